@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, ngram_join, packing, pii, quality_rules, secret_scans, suffix_dedup, topk
+from . import html_extract, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -48,9 +48,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_sampling.sample(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_revisits": warc.ORACLE}
