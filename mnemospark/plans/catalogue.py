@@ -1,11 +1,303 @@
-"""Every query by name, over the driver's tables, and its SQL."""
+"""Every query by name over the driver's tables; oracle.py holds the SQL that each must agree with."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scoring, words
+from ..functions.text import cost, postings, split_words
+from ..operators import extract, guard, rank, records
+from . import oracle
+from .fixtures import COMMITS, EVENTS, PAIRS
+
+SPACE = r"[ \t\n\r\f\x0b]+"
+def as_of():
+    """The time that all queries here are asked at."""
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def decisions(spark, d):
+    """documents as decisions: a language is a project, a source an agent, the first line's first 20 words the headline."""
+    lab = read(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    line = F.split(F.col("text"), "\n")[0]
+    docs = read(spark, d, "documents").join(lab, "doc_id", "left")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("project"), F.array_join(F.slice(F.split(line, " "), 1, 20), " ").alias("what"), F.col("text").alias("why"),
+        F.col("source").alias("agent"), F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000).alias("created_at"),
+        F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.8).alias("confidence"),
+        F.when(F.col("toxic") == 1, F.timestamp_micros(F.lit(1704067200000000))).alias("archived_at"),
+        F.when(F.col("quality") == 1, "human-reviewed").when(F.col("quality") == 0, "git-hook").alias("source"),
+    )
+
+
+def asked(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return q.withColumn("project", F.explode(F.array(*map(F.lit, ("en", "fr", "de", "es")))))
+
+
+def events(spark, d):
+    e = read(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("project"), F.col("event_type").alias("kind"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def history(spark, d):
+    lab = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return lab.select(F.col("lang").alias("project"), F.col("source").alias("category"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("outcome"))
+
+
+def audit_counts(spark, d):
+    return records.counts(events(spark, d))
+
+
+def audit_tail(spark, d):
+    return records.tail(events(spark, d), 50).select("id", "project", "kind", "payload")
+
+
+def audit_fails(spark, d):
+    return records.fails(events(spark, d), kinds=("error", "signup")).select("id", "project", "kind")
+
+
+def audit_total(spark, d):
+    return audit_counts(spark, d).agg(F.sum("n").alias("total"))
+
+
+def skip_reason_counts(spark, d):
+    return records.skip_reasons(events(spark, d), "$.k")
+
+
+def policy_tune(spark, d):
+    return records.tune(history(spark, d)).select("project", "category", "action", "sample_size", F.round("accept_rate", 6).alias("accept_rate"))
+
+
+def policy_stats(spark, d):
+    h = history(spark, d)
+    return records.policy_stats(h, records.tune(h)).select("project", "category", "n", "accepted", F.round("accept_rate", 6).alias("accept_rate"), "action")
+
+
+def policy_fixture(spark, d):
+    """Outcomes at the edges of the policy: only five or more with a rate of at most a tenth are turned down at once."""
+    rows = [("p", c, o) for c, yes, no in (("dup", 0, 6), ("why", 5, 1), ("four", 0, 4), ("edge", 1, 9), ("over", 2, 9)) for o in ["accepted"] * yes + ["rejected"] * no]
+    return records.tune(spark.createDataFrame(rows, "project string, category string, outcome string")).select("project", "category", "action", "sample_size", F.round("accept_rate", 6).alias("accept_rate"))
+
+
+def source_stats(spark, d):
+    return records.source_stats(decisions(spark, d))
+
+
+def latest_snapshot(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("project"), "turn", "role", "text")
+    return records.latest(c, "project", "turn", "role").select("project", "turn", "role", F.length("text").alias("n"))
+
+
+def hot_tasks_pack(spark, d):
+    c = read(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("project"), F.col("turn").alias("id"), "text")
+    return rank.pack(c, ["project"], [F.desc("id")], cost(F.col("text")), words.HOT_BUDGET).select("project", "id", "cost", "used")
+
+
+def effective_confidence(spark, d):
+    return decisions(spark, d).select("id", F.bround(scoring.effective(F.col("confidence"), F.col("created_at"), as_of()), 6).alias("eff"), F.round(scoring.reinforced(F.col("confidence")), 6).alias("reinforced"))
+
+
+def sweep_archive(spark, d):
+    return records.sweep(decisions(spark, d), as_of()).select("id", "project", F.round("eff", 6).alias("eff"))
+
+
+def en(spark, d):
+    return decisions(spark, d).where("project = 'en'")
+
+
+def tokenize(spark, d):
+    return postings(en(spark, d), ["id"], ["why"], SPACE).select("id", "token")
+
+
+def document_frequency(spark, d):
+    dec = decisions(spark, d)
+    return rank.idf(dec, postings(dec, ["project", "id"], ["what", "why"], SPACE)).select("project", "token", "df", F.round("idf", 6).alias("idf"))
+
+
+def keyword_scores(spark, d, tail=None):
+    return rank.keyword_scores(decisions(spark, d).where("archived_at is null"), asked(spark, d), as_of(), SPACE, tail)
+
+
+def keyword_rank(spark, d):
+    return rank.ranked(keyword_scores(spark, d), 10).select("query_id", "project", "id", "pos", F.round("base", 6).alias("base"), F.round("score", 6).alias("score"))
+
+
+def warm_pack(spark, d):
+    top = rank.ranked(keyword_scores(spark, d, words.WARM_BUDGET), words.WARM_BUDGET)
+    rows = top.join(decisions(spark, d).select("id", rank.tokens_cost().alias("size")), "id")
+    return rank.pack(rows, ["query_id", "project"], ["pos"], F.col("size"), words.WARM_BUDGET).select("query_id", "project", "id", "pos", "cost", "used")
+
+
+def recent_rank(spark, d):
+    r = rank.recent(decisions(spark, d).where("archived_at is null"), as_of()).where("pos <= 5")
+    return r.select("project", "id", "pos", F.round("score", 6).alias("score"))
+
+
+def eval_recall(spark, d):
+    """Benchmark passages that stand in a document word for word, looked up by keyword; the words of both meet exactly."""
+    shingle = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " "))))).alias("s")
+    b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    head = b.select("item_id", "passage", F.xxhash64(F.array_join(F.slice(split_words(F.col("passage"), SPACE), 1, 8), " ")).alias("s"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    keys = docs.select("doc_id", shingle(split_words(F.col("text"), SPACE)))
+    near = keys.join(head, "s").join(docs, "doc_id").where("contains(text, passage)")
+    expected = near.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("id"))
+    found = rank.ranked(keyword_scores(spark, d).withColumn("score", F.col("base")).withColumn("project", F.lit("all")), 10)
+    r = rank.recall(found, expected)
+    return r.select("n", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))
+
+
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), "embedding")
+
+
+def dense(spark, d, n=2):
+    v = vectors(spark, d).withColumn("project", F.lit(0))
+    q = v.where(F.col("id") < n).select(F.col("id").alias("query_id"), "project", "embedding")
+    return rank.dense_rank(v, q)
+
+
+def dense_rank(spark, d):
+    return dense(spark, d).select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
+
+
+def dense_topk(spark, d):
+    return dense(spark, d).where("pos <= 10").select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
+
+
+def rrf_fuse(spark, d):
+    x = dense(spark, d)
+    return rank.rrf([x.where("query_id = 0"), x.where("query_id = 1")], ["project"]).select("id", F.round("score", 9).alias("score"), "pos")
+
+
+def hybrid_pin(spark, d):
+    x = dense(spark, d)
+    kw = x.where("query_id = 0").select(F.lit(0).alias("query_id"), "id", F.col("sim").alias("base"), "pos")
+    dn = x.where("query_id = 1").select(F.lit(0).alias("query_id"), "id", "pos")
+    return rank.fuse_and_guard(kw, dn).select("id", "pos")
+
+
+def short(spark, d):
+    return decisions(spark, d).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
+
+
+def exact_dups(spark, d):
+    return guard.exact_pairs(short(spark, d))
+
+
+def fuzzy_dups(spark, d):
+    return guard.fuzzy_pairs(short(spark, d)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
+
+
+def contradictions(spark, d):
+    p = spark.createDataFrame(PAIRS, "project string, id long, seq long, what string, why string")
+    return guard.contradictions(p.where("id >= 100"), p.where("id < 100"))
+
+
+def guard_reasons(spark, d):
+    p = spark.createDataFrame(PAIRS, "project string, id long, seq long, what string, why string")
+    return guard.reasons(short(spark, d).drop("agent").unionByName(p.withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12)))
+
+
+def provenance(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("what"), F.col("o_orderstatus").alias("why"), (F.col("o_orderkey") - 1).alias("supersedes_id"))
+    dead = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("chosen_decision_id"), F.col("l_linenumber").alias("id"), F.col("l_shipdate").alias("created_at"), F.col("l_returnflag").alias("what_tried"), F.col("l_linestatus").alias("why_failed"))
+    p = records.provenance(o, dead)
+    return p.select("id", "what", "superseded_what", F.coalesce(F.size("dead_ends"), F.lit(0)).alias("n_dead"), F.coalesce(F.array_join(F.transform("dead_ends", lambda x: F.concat_ws("/", x["dead_end_id"], x["what_tried"], x["why_failed"])), ","), F.lit("")).alias("tried"))
+
+
+def orders(spark, d):
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+def handoff_delta(spark, d):
+    o = orders(spark, d)
+    packets = o.where("status = 'P'").select("project", "created_at")
+    return records.delta(o.where("status <> 'P'"), packets, "created_at").select("project", "id", "status")
+
+
+def latest_handoff(spark, d):
+    return records.latest(orders(spark, d)).select("project", "id", "status")
+
+
+def route(spark, d):
+    return records.route(decisions(spark, d), asked(spark, d), as_of(), space=SPACE)
+
+
+def route_task(spark, d):
+    return route(spark, d)[0].select("query_id", "project", "agent", "pos", "n", F.round("score", 6).alias("score"))
+
+
+def route_evidence(spark, d):
+    return route(spark, d)[1].select("query_id", "project", "agent", "id", "nth", F.round("relevance", 4).alias("relevance"))
+
+
+def commits(spark):
+    return extract.gates(extract.parse(spark.createDataFrame(COMMITS, "id long, message string")))
+
+
+def extract_gates(spark, d):
+    return commits(spark).select("id", "subject", "ctype", "status", "what", "why")
+
+
+def extract_conversations(spark, d):
+    c = read(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("message"))
+    return extract.gates(extract.parse(c)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def calibrate(spark, d):
+    c = extract.calibrate(commits(spark))
+    return c.withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+def supersede_view(spark, d):
+    log = spark.createDataFrame(EVENTS, "id string, seq long, op string, what string, supersedes_id string, archived boolean")
+    return records.supersede_view(log).select("id", "seq", "what", "supersedes_id", "archived")
+
+
+def reason_categories(spark, d):
+    """What reviewers' reasons begin with, here the first lines of conversations."""
+    from ..functions.text import category
+
+    c = read(spark, d, "conversations").select(category(F.col("text")).alias("category"))
+    return c.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def token_costs(spark, d):
+    return read(spark, d, "documents").select("doc_id", cost(F.col("text")).alias("cost"), F.size(split_words(F.col("text"), SPACE)).alias("n_words"))
+
+
+def unit_vectors(spark, d):
+    return vectors(spark, d).select("id", F.round(scoring.dot(scoring.unit(F.col("embedding")), F.col("embedding")), 6).alias("norm"))
+
+
+def staging_list(spark, d):
+    e = events(spark, d).where("kind = 'error'")
+    return e.withColumn("nth", F.row_number().over(Window.partitionBy("project").orderBy("created_at", "id"))).select("project", "id", "nth")
+
+
+def sequential_guard(spark, d):
+    """The fold in arrival order, of the headlines of each project as new decisions: no SQL can express it."""
+    rows = short(spark, d).select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
+    return guard.fold(rows, rows.where("false"))
+
+
+NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
+effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
+fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
+reason_categories token_costs unit_vectors staging_list sequential_guard""".split()
+
 
 def queries():
-    return {}
+    return {n: globals()[n] for n in NAMES}
 
 
 def oracle_sql():
-    return {}
+    return oracle.sql()
