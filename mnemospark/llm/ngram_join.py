@@ -99,20 +99,31 @@ def signature(sh: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, class_key binary, n_shingles int, sig binary"
+SIGNED = "doc_id long, class_key binary, n_shingles int, small binary, prefixes array<long>, shorter array<long>"
 
 
 def _sign(batches):
+    """Class, signature cut to one byte a hash, and for each tree the hashes of its prefixes at the asked depth and one level up."""
     import xxhash
 
+    asked = deepest(RECALL)
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        keys, ns, sigs = [], [], []
+        cols: list[list] = [[], [], [], [], []]
         for text in b.column(1).to_pylist():
             sh = shingles(text or b"")
-            ns.append(len(sh))
-            keys.append(xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None)
-            sigs.append(signature(sh).tobytes() if len(sh) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "class_key", "n_shingles", "sig"])
+            sig = signature(sh)
+            whole = sig.tobytes()
+            trees = [whole[4 * DEPTH * t :] for t in range(TREES)]
+            values = (
+                xxhash.xxh3_128_digest(sh.tobytes()), len(sh), sig.astype(np.uint8).tobytes(),
+                np.array([digest(x[: 4 * asked], seed=t) for t, x in enumerate(trees)], np.uint64).view(np.int64),
+                np.array([digest(x[: 4 * (asked - 1)], seed=t) for t, x in enumerate(trees)], np.uint64).view(np.int64),
+            ) if len(sh) else (None, 0, None, None, None)
+            for c, v in zip(cols, values, strict=True):
+                c.append(v)
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "class_key", "n_shingles", "small", "prefixes", "shorter"])
 
 
 def _near(batches):
@@ -239,14 +250,9 @@ def match(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = scratch.keep(whole.mapInArrow(_sign, SIGNED))
-    reps = scratch.keep(signed.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
-    asked = deepest(RECALL)
-    # one row for each tree: prefixes from the shortest allowed to the longest
-    small = F.expr(f"array_join(transform(sequence(0, {TREES * DEPTH - 1}), i -> substring(hex(sig), 8 * i + 1, 2)), '')")
-    trees = reps.where("rep is not null").select("rep", "sig", small.alias("small"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    prefix = lambda d: F.xxhash64("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * d)))
-    trees = trees.select("rep", F.unhex("small").alias("small"), *[prefix(d).alias(f"p{d}") for d in range(1, asked + 1)])
-    bucketed = trees.select("rep", "small", F.col(f"p{asked}").alias("bucket"), F.col(f"p{asked - 1}").alias("shorter"))
+    reps = scratch.keep(signed.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("small", "prefixes", "shorter")]))
+    # one row for each tree
+    bucketed = reps.where("rep is not null").select("rep", "small", F.explode(F.arrays_zip("prefixes", "shorter")).alias("t")).select("rep", "small", F.col("t.prefixes").alias("bucket"), "t.shorter")
     # the bucket one level up is used instead where it is small: every member of it decides alike
     up = bucketed.groupBy("shorter").agg(F.count("*").alias("m")).where(F.col("m").between(2, SMALL)).select("shorter", F.lit(True).alias("go_up"))
     bucketed = bucketed.join(up, "shorter", "left").select("rep", "small", F.when(F.col("go_up"), F.col("shorter")).otherwise(F.col("bucket")).alias("bucket"))
