@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,11 @@ WIDTH, GRAM = 200, 32
 #: k-byte strings in a window
 PLACES = WIDTH - GRAM + 1
 #: Bytes of a text that are hashed at a time, and bytes of regions of a construction.
-CHUNK, LOAD = 1 << 17, 1 << 20
-#: Symbols around a place that are looked at together.
-STRIP = 64
-STRIPS = np.arange(STRIP)
+CHUNK, LOAD = 1 << 17, 1 << 19
+#: Symbols around a place that are looked at together, and symbols of a block of counts; not more than those, as a
+#: symbol that is not found around then is the last or first of its block.
+STRIP, BLOCK = 128, 128
+WITHIN = np.arange(BLOCK, dtype=np.int16)
 #: Distinct regions of an anchor beyond which its windows are split into so many classes.
 CLASSES = ((256, 8), (20_000, PLACES))
 
@@ -214,22 +216,23 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
         n = len(bwt)
         c = bwt[pos].astype(np.int64)
         # counts of each symbol before each place: by blocks, then within the block
-        blocks = -(-n // STRIP)
-        full = np.zeros(blocks * STRIP, np.uint8)
+        blocks = -(-n // BLOCK)
+        full = np.zeros(blocks * BLOCK, np.uint8)
         full[:n] = bwt
-        key = (np.arange(blocks, dtype=np.int32) * width)[:, None] + full.reshape(blocks, STRIP)
+        full = full.reshape(blocks, BLOCK)
+        key = (np.arange(blocks) * width)[:, None] + full
         counts = np.bincount(key.ravel(), minlength=blocks * width).reshape(blocks, width)
         total = counts.sum(axis=0)
         total[0] = 0
-        before = np.cumsum(counts, axis=0)
-        before -= counts
+        before = np.zeros((blocks + 1, width), np.int64)
+        np.cumsum(counts, axis=0, out=before[1:])
         smaller = np.cumsum(total) - total
-        block = pos // STRIP
+        block = pos // BLOCK
         rank = before[block, c]
         symbol = bwt[pos][:, None]
-        rank = rank + ((full.reshape(blocks, STRIP)[block] == symbol) & (STRIPS < (pos - block * STRIP)[:, None])).sum(axis=1)
+        rank = rank + np.count_nonzero((full[block] == symbol) & (WITHIN < (pos - block * BLOCK)[:, None]), axis=1)
         place = m + smaller[c] + rank
-        prev, after = _beside(bwt, pos, c, rank, total, full.reshape(blocks, STRIP), before, counts)
+        prev, after = _beside(bwt, pos, c, rank, total, full, before)
         low = _least(lcp, prev + 1, pos + 1)
         high = _least(lcp, pos + 1, np.minimum(after, n - 1) + 1)
         # write the new files: old entries keep their order around the new ones
@@ -254,7 +257,7 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
     return bwt, lcp, symbols
 
 
-def _beside(bwt, pos, c, rank, total, full, before, counts):
+def _beside(bwt, pos, c, rank, total, full, before):
     """The places of the previous and the next equal symbol: near ones from a strip around, others from the block counts."""
     n = len(bwt)
     prev, after = np.full(len(pos), -1), np.full(len(pos), n)
@@ -269,15 +272,14 @@ def _beside(bwt, pos, c, rank, total, full, before, counts):
     more = hit.any(axis=1)
     after[more] = pos[more] + 1 + hit[more].argmax(axis=1)
     far_back, far_on = ~some & (rank > 0), ~more & (rank + 1 < total[c])
-    upto = before + counts
     for symbol in np.unique(c[far_back | far_on]):
-        sums = np.ascontiguousarray(upto[:, symbol])
+        sums = np.ascontiguousarray(before[1:, symbol])
         i = np.flatnonzero(far_back & (c == symbol))
         block = np.searchsorted(sums, rank[i] - 1, side="right")
-        prev[i] = (block + 1) * STRIP - 1 - (full[block, ::-1] == symbol).argmax(axis=1)
+        prev[i] = (block + 1) * BLOCK - 1 - (full[block, ::-1] == symbol).argmax(axis=1)
         i = np.flatnonzero(far_on & (c == symbol))
         block = np.searchsorted(sums, rank[i] + 1, side="right")
-        after[i] = block * STRIP + (full[block] == symbol).argmax(axis=1)
+        after[i] = block * BLOCK + (full[block] == symbol).argmax(axis=1)
     return prev, after
 
 
@@ -321,8 +323,7 @@ def repeated(texts: list[bytes], folder: str | None = None) -> list[np.ndarray]:
 def _worth(regions: list[bytes]) -> list[tuple[int, int] | None]:
     """The windows of each region, first and last, that may be repeated: those around a core that occurs in another place too.
 
-    Any window holds, for its start modulo STRIDE, one of the aligned cores of WIDTH - STRIDE + 1 bytes of its own text
-    only; so cores are looked up from every place of each region, and their equals counted over all regions.
+    A window is kept if every core of WIDTH - 24 bytes in it occurs elsewhere too, as in any repeated window.
     """
     core = WIDTH - 24
     sizes = [len(r) - core + 1 for r in regions]
@@ -331,14 +332,13 @@ def _worth(regions: list[bytes]) -> list[tuple[int, int] | None]:
     often = (n > 1)[code]
     out, at = [], 0
     for r, size in zip(regions, sizes, strict=True):
-        hit = np.flatnonzero(often[at : at + size])
         at += size
         last = len(r) - WIDTH
         # a repeated window's cores, from its start to 24 bytes on, are all repeated
         run = np.concatenate(([0], np.cumsum(often[at - size : at])))
         full = np.flatnonzero(run[25:] - run[:-25] == 25) if size >= 25 else np.zeros(0, int)
         full = full[full <= last]
-        out.append((int(full[0]), int(full[-1])) if len(hit) and len(full) else None)
+        out.append((int(full[0]), int(full[-1])) if len(full) else None)
     return out
 
 
@@ -357,18 +357,30 @@ def _build(batches):
             if r[3] >= 2:
                 for c, v in zip(cols, (r[0], r[1], 0, len(r[2]) - WIDTH + 1), strict=True):
                     c.append(v)
-        if single and len(regions) > 0:
+        if single:
             worth = _worth(regions)
-            use = [i for i, w in enumerate(worth) if w]
-            if use:
-                flags = repeated([regions[i][worth[i][0] : worth[i][1] + WIDTH] for i in use])
-                for i, f in zip(use, flags, strict=True):
-                    if held[i][3] >= 2:
-                        continue
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], f.view(np.int8), [0]))))
-                    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        for c, v in zip(cols, (held[i][0], held[i][1], lo + worth[i][0], hi + worth[i][0]), strict=True):
-                            c.append(v)
+            # equal texts of a group enter once, with the number of regions that hold them
+            texts: dict[tuple[int, bytes], int] = {}
+            of: dict[int, tuple[int, bytes]] = {}
+            for i, w in enumerate(worth):
+                if w:
+                    of[i] = (held[i][0], regions[i][w[0] : w[1] + WIDTH])
+                    texts[of[i]] = texts.get(of[i], 0) + held[i][3]
+            per = Counter(g for g, _ in texts)
+            lone = {k[0] for k, n in texts.items() if n == 1}  # where all texts stand twice, all is known
+            # no window occurs twice in one region: its anchor would stand in two places
+            use = [k for k in texts if per[k[0]] > 1 and k[0] in lone]
+            flags = dict(zip(use, repeated([k[1] for k in use]), strict=True)) if use else {}
+            for i in single:
+                if i not in of:
+                    continue
+                f = np.ones(worth[i][1] - worth[i][0] + 1, bool) if texts[of[i]] > 1 else flags.get(of[i])
+                if f is None:
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], f.view(np.int8), [0]))))
+                for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    for c, v in zip(cols, (held[i][0], held[i][1], lo + worth[i][0], hi + worth[i][0]), strict=True):
+                        c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gk", "sub", "lo", "hi"])
 
     for t in by_group(batches, ["gk"]):
