@@ -52,13 +52,14 @@ class Encoder:
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(back[c] for c in w): i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w not in special}
         self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("[^\x00-\u024f]|\\S{4096}|\\s{4096}" + "".join("|" + re.escape(t) for t in special))
+        self.odd = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, special)]))
+        self.run = re.compile(r"(?<!\S)\S{4096}|(?<!\s)\s{4096}")
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.odd.search(text):
+        if self.odd.search(text) or self.run.search(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.asarray(self.ranked.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
 
