@@ -73,18 +73,18 @@ def test_fold_sees_what_it_accepted(spark):
 
 def test_memory_end_to_end(spark, tmp_path):
     m = Memory(spark, str(tmp_path))
-    a = m.write("decision", "p", {"what": "Use SQLite over PostgreSQL for local storage", "why": "no server to run"}, NOW)
+    a = m.write("decision", "p", {"what": "Use SQLite over PostgreSQL as the data store", "why": "no server to run"}, NOW)
     assert a["status"] == "committed"
-    assert m.write("decision", "p", {"what": "Use PostgreSQL over SQLite for local storage", "why": "x"}, NOW)["reason"].startswith("Contradicts")
+    assert m.write("decision", "p", {"what": "Put PostgreSQL over SQLite in new services", "why": "x"}, NOW)["reason"].startswith("Contradicts")
     b = m.write("dead_end", "p", {"what_tried": "Tried a shared json file for records", "why_failed": "races", "chosen_decision_id": a["id"]}, NOW)
     assert b["status"] == "committed"
     assert m.write("dead_end", "p", {"what_tried": "Tried another odd thing for records too", "why_failed": "no", "chosen_decision_id": "nope"}, NOW)["status"] == "rejected"
     assert len(m.provenance(a["id"])["dead_ends"]) == 1 and m.provenance("nope") is None
-    assert [r["id"] for r in m.warm("p", "which database for storage", NOW).collect()] == [a["id"]]
+    assert [r["id"] for r in m.warm("p", "which database for data", NOW).collect()] == [a["id"]]
     assert m.sweep(NOW + timedelta(400)) == [a["id"]]
-    assert m.warm("p", "storage", NOW).count() == 0
+    assert m.warm("p", "database", NOW).count() == 0
     m.reinforce(a["id"], NOW + timedelta(401))
-    assert m.warm("p", "storage", NOW + timedelta(402)).count() == 1
+    assert m.warm("p", "database", NOW + timedelta(402)).count() == 1
     first = m.handoff("p", "x", "y", NOW + timedelta(403))
     assert len(first["delta"]["decisions_added"]) == 1
     assert m.handoff("p", "y", "x", NOW + timedelta(404))["delta"]["decisions_added"] == []
