@@ -144,9 +144,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of documents that are kept, as they were.
 
-    The counts are taken twice, once for the thresholds and once for the verdict, so that only counts and never
-    texts are exchanged.
+    The counts are written once, beside their rows: filters on them, pushed below, would take them again for every use.
     """
-    limits = limits_of(thresholds(spark, features(docs), labels, alpha, delta))
-    carried = features(docs.withColumn("__row", F.struct(*docs.columns)), also=["__row"])
+    carried = Scratch(spark).keep(features(docs.withColumn("__row", F.struct(*docs.columns)), also=["__row"]))
+    limits = limits_of(thresholds(spark, carried, labels, alpha, delta))
     return verdict(carried, limits).where("kept").select("__row.*")

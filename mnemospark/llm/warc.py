@@ -46,9 +46,9 @@ def resolve(records: DataFrame) -> DataFrame:
     names, digest (of the payload). status is "verified", "stale", "unverified" or "unresolved".
     """
     r = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "kind", "headers", "digest").withColumn("canonical_url", canonical(F.col("url")))
-    span = r.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).select("t0", F.greatest(F.lit(1.0), (F.col("t1") - F.col("t0") + 1) / SLICES).alias("wide"))
-    usable = r.where("canonical_url is not null and ts is not null").crossJoin(F.broadcast(span))  # one row
-    usable = usable.withColumn("slice", F.floor((F.col("ts") - F.col("t0")) / F.col("wide")).cast("int"))
+    t0, t1 = r.agg(F.min("ts"), F.max("ts")).first()
+    wide = max(1.0, (t1 - t0 + 1) / SLICES) if t0 is not None else 1.0
+    usable = r.where("canonical_url is not null and ts is not null").withColumn("slice", F.floor((F.col("ts") - F.lit(t0 or 0)) / F.lit(wide)).cast("int"))
     full = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "digest"))
     order = [F.col("ts"), F.when(F.col("kind") == "response", 0).otherwise(1), F.col("record_id")]
     within = Window.partitionBy("canonical_url", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
