@@ -27,13 +27,14 @@ ACCEPT = 0.9
 LABELERS = ("pattern", "gazetteer", "context", "edges")
 #: What stands before a candidate and is read by the context labeler.
 BEFORE = 40
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Groups that repeat are possessive: the engine of regular expressions calls itself for each repeat of others.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PATTERN = {
     "email": EMAIL,
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]++)+",
+    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]++)++",
     "loose_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
 }
 #: Cue words for and against a kind.

@@ -34,7 +34,7 @@ ALLOWED = (
     r"(.)\1*",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)(?:0123456789|abcdefghij|1234567890).*",
-    r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+",
+    r"(?:[A-Za-z]++[-_/=+])*+[A-Za-z]+",
     r"[0-9+/_=-]+",
 )
 
