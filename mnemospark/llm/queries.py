@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_revisits": warc.ORACLE}
+    return {"op7_exact_topk": topk.ORACLE, "op9_warc_revisits": warc.ORACLE}

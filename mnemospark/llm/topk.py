@@ -96,3 +96,16 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int =
     best_of = both.mapInArrow(_search, TOP)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "kth")
     return best_of.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+#: The same over a table of embeddings in DuckDB.
+ORACLE = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) z from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id::bigint query_id, c.vec_id::bigint vec_id, list_inner_product(q.z, c.z)::bigint score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.z) = len(c.z)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 20
+"""
