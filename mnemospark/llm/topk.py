@@ -101,8 +101,8 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int =
 #: The same over a table of embeddings in DuckDB.
 ORACLE = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) z from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) z from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id::bigint query_id, c.vec_id::bigint vec_id, list_inner_product(q.z, c.z)::bigint score
   from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.z) = len(c.z)),
