@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,8 @@ MARK = "▁"
 #: Sharpness of the distribution: scores of this vocabulary are merge ranks, so differences run to thousands.
 ALPHA, SEED = 0.0005, 17
 CACHED, LONGEST = 200_000, 64
+#: Characters that are encoded together; a longer text goes alone.
+CHUNK = 1 << 20
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stands for a literal piece mark while words are cut: a lone surrogate, which no UTF-8 text holds.
 PRIVATE = "\udc00"
@@ -43,6 +46,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.alpha, self.names = alpha, [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if sp.is_byte(i)}
+        self.values = {i: b for b, i in self.bytes.items()}
         skip = {i for i in range(len(self.names)) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.score = {n: (i, max(sp.get_score(i), -60000.0)) for i, n in enumerate(self.names) if i not in skip}
         self.longest = min(LONGEST, max(map(len, self.score)))
@@ -147,10 +151,23 @@ def encode(lattice: Lattice, rows: list[tuple[int, str]], seed: int = SEED) -> l
     return out
 
 
+def chunks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The rows in their order, about CHUNK characters at a time: the tables of choices are made anew for each."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[1]) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[1])
+    if held:
+        yield held
+
+
 def decode(lattice: Lattice, ids: list[int]) -> str:
     if not ids:
         return ""
-    value = {i: b for b, i in lattice.bytes.items()}
+    value = lattice.values
     raw = b"".join(bytes([value[i]]) if i in value else lattice.names[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids)
     return raw[1:].decode("utf-8", "surrogatepass")
 
@@ -175,8 +192,8 @@ def sample(rows: DataFrame, keys: list[str], model: str, alpha: float = ALPHA, s
             texts = [x or "" for x in b.column(len(keys)).to_pylist()]
             named = [key_of(*k) for k in zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)]
             ids: list[list[int]] = []
-            for i in range(0, len(texts), 256):
-                ids += encode(t, list(zip(named[i : i + 256], texts[i : i + 256], strict=True)), seed)
+            for some in chunks(list(zip(named, texts, strict=True))):
+                ids += encode(t, some, seed)
             same = [decode(t, x) == y for x, y in zip(ids, texts, strict=True)]
             crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
             cols = [*b.columns[: len(keys)], pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
