@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,11 @@ WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 PRIVATE = "\udc00"
 
 
+def _plus(a: float, b: float) -> float:
+    """The logarithm of exp(a) + exp(b), of which b at least is finite."""
+    return max(a, b) + log1p(exp(-abs(a - b)))
+
+
 class Lattice:
     """Choices by node: node v has entries first[v]..first[v + 1] with cumulated probabilities, pieces and nodes to go on from."""
 
@@ -73,17 +79,17 @@ class Lattice:
                 hit = self.score.get(word[i:j])
                 if hit:
                     ways[j].append((forward[i] + self.alpha * hit[1], (hit[0],), i))
-                    forward[j] = np.logaddexp(forward[j], ways[j][-1][0])
+                    forward[j] = _plus(forward[j], ways[j][-1][0])
                     got = got or j == i + 1
             if not got:
                 c = MARK if word[i] == PRIVATE else word[i]
                 ids = tuple(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
                 ways[i + 1].append((forward[i] - 40.0, ids, i))
-                forward[i + 1] = np.logaddexp(forward[i + 1], forward[i] - 40.0)
+                forward[i + 1] = _plus(forward[i + 1], forward[i] - 40.0)
         for j in range(n + 1):
             total = 0.0
             for w, ids, i in ways[j]:
-                total += float(np.exp(w - forward[j]))
+                total += exp(w - forward[j])
                 self.cum.append(total)
                 self.piece.append(ids)
                 self.to.append(base + i)
