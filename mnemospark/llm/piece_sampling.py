@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log1p
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Sharpness of the distribution: scores of this vocabulary are merge ranks, so differences run to thousands.
 ALPHA, SEED = 0.0005, 17
-CACHED, LONGEST = 200_000, 64
+#: Choices that the cache holds before it is made anew; the longest piece looked for.
+CACHED, LONGEST = 2_000_000, 64
+#: Weights of words up to this length are added as plain numbers, which cannot underflow: exp(-40) a character at least.
+PLAIN, UNKNOWN = 16, 40.0
 #: Characters that are encoded together; a longer text goes alone.
 CHUNK = 1 << 20
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -54,59 +58,85 @@ class Lattice:
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if sp.is_byte(i)}
         self.values = {i: b for b, i in self.bytes.items()}
         skip = {i for i in range(len(self.names)) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        self.score = {n: (i, max(sp.get_score(i), -60000.0)) for i, n in enumerate(self.names) if i not in skip}
+        self.score = {n: ((i,), max(sp.get_score(i), -60000.0)) for i, n in enumerate(self.names) if i not in skip}
         self.longest = min(LONGEST, max(map(len, self.score)))
         inner = {n for n in self.score if MARK in n.lstrip(MARK)}
         for n in inner:  # such pieces would bind words together
             del self.score[n]
+        self.weight = {n: (ids, exp(alpha * s)) for n, (ids, s) in self.score.items()}
+        self.plain = PLAIN if alpha * 60000.0 <= UNKNOWN else 0
         self.clear()
 
     def clear(self):
         self.top: dict[str, int] = {}
-        self.cum, self.piece, self.to, self.first = [], [], [], [0]
+        self.cum, self.piece, self.to, self.first = array("d"), [], array("q"), array("q", [0])
         self.fixed = None
 
+    def bytes_of(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in (MARK if char == PRIVATE else char).encode("utf-8", "surrogatepass"))
+
     def add(self, word: str) -> int:
         """The node at the word's end; node ids of its places follow each other."""
         n, base = len(word), len(self.first) - 1
-        forward = [0.0] + [-np.inf] * n
+        ways = self.short(word) if n <= self.plain else self.long(word)
+        cum, piece, to, first = self.cum, self.piece, self.to, self.first
+        first.append(len(cum))
+        for into in ways[1:]:
+            whole = sum([w for w, _, _ in into])
+            total = 0.0
+            for w, ids, i in into:
+                total += w
+                cum.append(total / whole)
+                piece.append(ids)
+                to.append(base + i)
+            if into:
+                cum[-1] = 1.0
+            first.append(len(cum))
+        self.top[word] = base + n
+        return base + n
+
+    def short(self, word: str) -> list[list[tuple[float, tuple[int, ...], int]]]:
+        """By place, the ways into it (weight, pieces, place before); the forward sums are plain numbers."""
+        n, longest, get = len(word), self.longest, self.weight.get
         ways: list[list[tuple[float, tuple[int, ...], int]]] = [[] for _ in range(n + 1)]
+        forward = [1.0] + [0.0] * n
         for i in range(n):
-            if forward[i] == -np.inf:
+            f = forward[i]
+            if not f:
                 continue
-            got = False
+            hit = get(word[i])
+            ids, w = hit or (self.bytes_of(word[i]), exp(-UNKNOWN))
+            ways[i + 1].append((f * w, ids, i))
+            forward[i + 1] += f * w
+            for j in range(i + 2, min(n, i + longest) + 1):
+                hit = get(word[i:j])
+                if hit:
+                    w = f * hit[1]
+                    ways[j].append((w, hit[0], i))
+                    forward[j] += w
+        return ways
+
+    def long(self, word: str) -> list[list[tuple[float, tuple[int, ...], int]]]:
+        """The same with logarithms; weights are those relative to the place's sum."""
+        n = len(word)
+        ways: list[list[tuple[float, tuple[int, ...], int]]] = [[] for _ in range(n + 1)]
+        forward = [0.0] + [-np.inf] * n
+        for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 hit = self.score.get(word[i:j])
-                if hit:
-                    ways[j].append((forward[i] + self.alpha * hit[1], (hit[0],), i))
-                    forward[j] = _plus(forward[j], ways[j][-1][0])
-                    got = got or j == i + 1
-            if not got:
-                c = MARK if word[i] == PRIVATE else word[i]
-                ids = tuple(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
-                ways[i + 1].append((forward[i] - 40.0, ids, i))
-                forward[i + 1] = _plus(forward[i + 1], forward[i] - 40.0)
-        for j in range(n + 1):
-            total = 0.0
-            for w, ids, i in ways[j]:
-                total += exp(w - forward[j])
-                self.cum.append(total)
-                self.piece.append(ids)
-                self.to.append(base + i)
-            if ways[j]:
-                self.cum[-1] = 1.0
-            self.first.append(len(self.cum))
-        self.top[word] = base + n
-        return base + n
+                if hit or j == i + 1:
+                    ids, w = (hit[0], forward[i] + self.alpha * hit[1]) if hit else (self.bytes_of(word[i]), forward[i] - UNKNOWN)
+                    ways[j].append((w, ids, i))
+                    forward[j] = _plus(forward[j], w)
+        return [[(exp(w - f), ids, i) for w, ids, i in into] for into, f in zip(ways, forward, strict=True)]
 
     def tables(self):
         if self.fixed is None or self.fixed[0] != len(self.cum):
             first = np.array(self.first)
-            node = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            single = np.array([p[0] if len(p) == 1 else -1 for p in self.piece], np.int64)
-            start = np.ones(len(first), bool)
-            start[:-1] = np.diff(first) == 0
-            self.fixed = (len(self.cum), node + np.minimum(np.array(self.cum), 1.0), np.array(self.to), single, start, first)
+            count = np.diff(first)
+            node = np.repeat(np.arange(len(count)), count)
+            start = np.append(count == 0, True)
+            self.fixed = (len(self.cum), node + np.minimum(np.array(self.cum), 1.0), np.array(self.to), start, first)
         return self.fixed
 
 
@@ -119,13 +149,13 @@ def words_of(text: str) -> list[str]:
 def encode(lattice: Lattice, rows: list[tuple[int, str]], seed: int = SEED) -> list[list[int]]:
     """Piece ids of each (key, text)."""
     parts = [words_of(t) if t else [] for _, t in rows]
-    if len(lattice.top) > CACHED:
+    if len(lattice.cum) > CACHED:
         lattice.clear()
     top, add = lattice.top, lattice.add
     at = np.array([top[w] if w in top else add(w) for p in parts for w in p], np.int64)
     if not len(at):
         return [[] for _ in rows]
-    _, flat, to, _, start, first = lattice.tables()
+    _, flat, to, start, first = lattice.tables()
     # one uniform number for each character at most; a word's numbers follow each other
     lens = [sum(map(len, p)) for p in parts]
     random = np.concatenate([np.random.Generator(np.random.Philox(key=[key & (2**64 - 1), seed])).random(n) for (key, _), n in zip(rows, lens, strict=True) if n])

@@ -297,9 +297,17 @@ def test_sampled_frequencies_follow_the_weights():
             ways[tuple(ids)] = w
         for j in range(1, len(rest) + 1):
             if rest[:j] in lat.score:
-                walk(rest[j:], [*ids, lat.score[rest[:j]][0]], w + lat.alpha * lat.score[rest[:j]][1])
+                walk(rest[j:], [*ids, *lat.score[rest[:j]][0]], w + lat.alpha * lat.score[rest[:j]][1])
 
     walk("▁om", [], 0.0)
     total = sum(np.exp(w) for w in ways.values())
     for ids, w in ways.items():
         assert n[ids] / 4000 == pytest.approx(np.exp(w) / total, abs=0.04)
+
+
+def test_plain_and_logarithmic_sums_agree():
+    lat = piece_sampling.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    for word in ("▁international", "▁▁▁", "\U000f0000\U000f0001", "▁naïveté", "a"):
+        for plain, log in zip(lat.short(word), lat.long(word), strict=True):
+            whole = sum(w for w, *_ in plain)
+            assert [x[1:] for x in plain] == [x[1:] for x in log] and [w / whole for w, *_ in plain] == pytest.approx([w for w, *_ in log])
