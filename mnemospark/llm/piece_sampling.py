@@ -227,12 +227,15 @@ def sample(rows: DataFrame, keys: list[str], model: str, alpha: float = ALPHA, s
         for b in batches:
             texts = [x or "" for x in b.column(len(keys)).to_pylist()]
             named = [key_of(*k) for k in zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)]
-            ids: list[list[int]] = []
-            for some in chunks(list(zip(named, texts, strict=True))):
-                ids += encode(t, some, seed)
-            same = [decode(t, x) == y for x, y in zip(ids, texts, strict=True)]
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            cols = [*b.columns[: len(keys)], pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
+            ids, same, crc, sizes = [], [], [], []
+            for some in chunks(list(zip(named, texts, strict=True))):  # ids of long texts are let go chunk by chunk
+                coded = encode(t, some, seed)
+                same += [decode(t, x) == y for x, (_, y) in zip(coded, some, strict=True)]
+                crc += [zlib.crc32(np.array(x, "<u4").tobytes()) for x in coded]
+                sizes += map(len, coded)
+                if pieces:
+                    ids += coded
+            cols = [*b.columns[: len(keys)], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
             names = [*keys, "n_pieces", "ids_crc32", "lossless"]
             if pieces:
                 cols.append(pa.array(ids, pa.list_(pa.int32())))

@@ -55,7 +55,10 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_sampling.sample(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = piece_sampling.sample(table(spark, sf_dir, "documents"), ["doc_id"], model)
+    turns = piece_sampling.sample(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], model)
+    return docs.unionByName(turns, allowMissingColumns=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

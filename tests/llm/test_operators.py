@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mnemospark.llm import html_extract, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
+from mnemospark.llm import html_extract, ngram_join, packing, pii, piece_sampling, quality_rules, queries, secret_scans, suffix_dedup, topk, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -287,6 +287,16 @@ def test_pieces(spark, docs):
     assert out.where("not lossless").count() == 0 and out.count() == docs.count()
 
 
+def test_pieces_cover_both_tables(spark, tmp_path):
+    docs = [(1, "Hello  world"), (2, ""), (3, None), (4, "naïve 梦 ▁" * 50000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 0, "Good day")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op10_sentencepiece_sampling(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.conv_id or 0) for r in got) == [(0, 7), (1, 0), (2, 0), (3, 0), (4, 0)]
+    n = {r.doc_id: r.n_pieces for r in got}
+    assert all(r.lossless for r in got) and n[2] == n[3] == 0 and n[1] > 1 and n[4] > 400000
+
+
 def test_sampled_frequencies_follow_the_weights():
     lat = piece_sampling.Lattice(public_tokenizers.path("piece_bpe_32k.model"), 0.001)
     n = collections.Counter(tuple(x) for x in piece_sampling.encode(lat, [(i, "om") for i in range(4000)]))
