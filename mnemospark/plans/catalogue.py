@@ -22,13 +22,14 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def decisions(spark, d):
-    """documents as decisions: a language is a project, a source an agent, the first line's first 20 words the headline."""
+def decisions(spark, d, whole=False):
+    """documents as decisions: a language is a project, a source an agent, the first line's first 20 words (or all of it) the headline."""
     lab = read(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     line = F.split(F.col("text"), "\n")[0]
+    what = line if whole else F.array_join(F.slice(F.split(line, " "), 1, 20), " ")
     docs = read(spark, d, "documents").join(lab, "doc_id", "left")
     return docs.select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("project"), F.array_join(F.slice(F.split(line, " "), 1, 20), " ").alias("what"), F.col("text").alias("why"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("project"), what.alias("what"), F.col("text").alias("why"),
         F.col("source").alias("agent"), F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000).alias("created_at"),
         F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.5).otherwise(0.8).alias("confidence"),
         F.when(F.col("toxic") == 1, F.timestamp_micros(F.lit(1704067200000000))).alias("archived_at"),
@@ -184,16 +185,24 @@ def hybrid_pin(spark, d):
     return rank.fuse_and_guard(kw, dn).select("id", "pos")
 
 
-def short(spark, d):
-    return decisions(spark, d).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
+def short(spark, d, whole=False):
+    return decisions(spark, d, whole).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
 
 
-def exact_dups(spark, d):
-    return guard.exact_pairs(short(spark, d))
+def exact_dups(spark, d, whole=False):
+    return guard.exact_pairs(short(spark, d, whole))
 
 
-def fuzzy_dups(spark, d):
-    return guard.fuzzy_pairs(short(spark, d)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
+def exact_dups_whole(spark, d):
+    return exact_dups(spark, d, True)
+
+
+def fuzzy_dups(spark, d, whole=False):
+    return guard.fuzzy_pairs(short(spark, d, whole)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
+
+
+def fuzzy_dups_whole(spark, d):
+    return fuzzy_dups(spark, d, True)
 
 
 def contradictions(spark, d):
@@ -201,9 +210,13 @@ def contradictions(spark, d):
     return guard.contradictions(p.where("id >= 100"), p.where("id < 100"))
 
 
-def guard_reasons(spark, d):
+def guard_reasons(spark, d, whole=False):
     p = spark.createDataFrame(PAIRS, "project string, id long, seq long, what string, why string")
-    return guard.reasons(short(spark, d).drop("agent").unionByName(p.withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12)))
+    return guard.reasons(short(spark, d, whole).drop("agent").unionByName(p.withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12)))
+
+
+def guard_reasons_whole(spark, d):
+    return guard_reasons(spark, d, True)
 
 
 def provenance(spark, d):
@@ -284,15 +297,15 @@ def staging_list(spark, d):
 
 
 def sequential_guard(spark, d):
-    """The fold in arrival order, of the headlines of each project as new decisions: no SQL can express it."""
-    rows = short(spark, d).select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
+    """The fold in arrival order, of the whole first lines of each project as new decisions: no SQL can express it."""
+    rows = short(spark, d, whole=True).select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
     return guard.fold(rows, rows.where("false"))
 
 
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
-reason_categories token_costs unit_vectors staging_list sequential_guard""".split()
+reason_categories token_costs unit_vectors staging_list sequential_guard exact_dups_whole fuzzy_dups_whole guard_reasons_whole""".split()
 
 
 def queries():

@@ -23,6 +23,8 @@ DEC = """dec as (select d.doc_id id, d.lang project, array_to_string(list_slice(
   timestamp '2024-01-01' + to_minutes(d.doc_id) created_at, case when l.quality = 1 then 1.0 when l.quality = 0 then 0.5 else 0.8 end::double confidence,
   case when l.toxic = 1 then 1 end archived, case when l.quality = 1 then 'human-reviewed' when l.quality = 0 then 'git-hook' end source
   from documents d left join (select doc_id, min(quality) quality, max(toxic) toxic from labels group by 1) l using (doc_id))"""
+CUT = "array_to_string(list_slice(string_split(string_split(d.text, chr(10))[1], ' '), 1, 20), ' ')"
+DEC_WHOLE = DEC.replace(CUT, "string_split(d.text, chr(10))[1]")
 EFF = "confidence * power(0.5::double, greatest(0, epoch_us(timestamp '2024-06-01') - epoch_us(created_at)) / 8.64e10 / 90)"
 ASKED = "asked as (select item_id query_id, p.project, text from benchmark, (values ('en'), ('fr'), ('de'), ('es')) p(project))"
 
@@ -89,7 +91,7 @@ ACTION = "case when n >= 5 and accepted / n <= 0.10 then 'auto_reject' else 'sta
 
 def sql() -> dict[str, str]:
     fused = "rest as (select *, row_number() over (order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)), rd as (select d.id, row_number() over (order by d.pos) - 1 rk from dr d where query_id = 1 and d.id in (select id from rest))"
-    return {
+    found = {
         "audit_counts": "select event_type kind, count(*) n from events group by 1",
         "audit_tail": "select event_id id, user_id project, event_type kind, props payload from events order by event_id desc limit 50",
         "audit_fails": "select event_id id, user_id project, event_type kind from events where event_type in ('error', 'signup')",
@@ -153,3 +155,5 @@ def sql() -> dict[str, str]:
         "unit_vectors": "select vec_id id, round(list_dot_product(embedding::double[], embedding::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6) norm from embeddings",
         "staging_list": "select user_id project, event_id id, row_number() over (partition by user_id order by ts, event_id) nth from events where event_type = 'error'",
     }
+    # the same over whole first lines
+    return found | {f"{n}_whole": found[n].replace(DEC, DEC_WHOLE) for n in ("exact_dups", "fuzzy_dups", "guard_reasons")}

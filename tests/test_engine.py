@@ -30,6 +30,21 @@ def test_queries_agree_with_sql(spark, con, name):
     assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["exact_dups_whole", "fuzzy_dups_whole", "guard_reasons_whole"])
+def test_queries_of_whole_lines_agree_with_sql(spark, con, name):
+    assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
+
+
+def test_words_after_the_twentieth_count(spark, tmp_path):
+    head = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, f"{head} {' '.join(f'{t}{j}' for j in range(60))}\nmore", "en", "a") for i, t in enumerate(["left", "right"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    assert catalogue.exact_dups_whole(spark, d).count() == 0 and catalogue.fuzzy_dups_whole(spark, d).count() == 0
+    assert {r.status for r in catalogue.sequential_guard(spark, d).collect()} == {"committed"}
+
+
 def test_every_query_has_sql_or_is_the_fold():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"sequential_guard"}
 
