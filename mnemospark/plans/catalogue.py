@@ -185,6 +185,36 @@ def hybrid_pin(spark, d):
     return rank.fuse_and_guard(kw, dn).select("id", "pos")
 
 
+def dense_all(spark, d, follow=False):
+    """Every vec_id divisible by 20 as a query against all rows; with follow, the vector after each as its second query."""
+    v = vectors(spark, d).withColumn("project", F.lit(0))
+    q = v.where(F.col("id") % 20 <= (1 if follow else 0)).select(F.col("id").alias("query_id"), "project", "embedding")
+    return rank.dense_rank(v, q)
+
+
+def dense_rank_all(spark, d):
+    return dense_all(spark, d).select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
+
+
+def dense_topk_all(spark, d):
+    return dense_all(spark, d).where("pos <= 10").select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
+
+
+def both_lists(spark, d):
+    x = dense_all(spark, d, follow=True)
+    base = F.col("query_id") - F.col("query_id") % 20
+    return [x.where(F.col("query_id") % 20 == i).withColumn("query_id", base) for i in (0, 1)]
+
+
+def rrf_fuse_all(spark, d):
+    return rank.rrf(both_lists(spark, d), ["query_id"]).select("query_id", "id", F.round("score", 9).alias("score"), "pos")
+
+
+def hybrid_pin_all(spark, d):
+    kw, dn = both_lists(spark, d)
+    return rank.fuse_and_guard(kw.select("query_id", "id", F.col("sim").alias("base"), "pos"), dn.select("query_id", "id", "pos")).select("query_id", "id", "pos")
+
+
 def short(spark, d, whole=False):
     return decisions(spark, d, whole).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
 
@@ -305,7 +335,8 @@ def sequential_guard(spark, d):
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
-reason_categories token_costs unit_vectors staging_list sequential_guard exact_dups_whole fuzzy_dups_whole guard_reasons_whole""".split()
+reason_categories token_costs unit_vectors staging_list sequential_guard exact_dups_whole fuzzy_dups_whole guard_reasons_whole
+dense_rank_all dense_topk_all rrf_fuse_all hybrid_pin_all""".split()
 
 
 def queries():

@@ -155,5 +155,18 @@ def sql() -> dict[str, str]:
         "unit_vectors": "select vec_id id, round(list_dot_product(embedding::double[], embedding::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6) norm from embeddings",
         "staging_list": "select user_id project, event_id id, row_number() over (partition by user_id order by ts, event_id) nth from events where event_type = 'error'",
     }
+    every, pairs = DENSE.replace("q.id < 2", "q.id % 20 = 0"), DENSE.replace("q.id < 2", "q.id % 20 <= 1")
+    pairs += ", dp as (select query_id - query_id % 20 query_id, query_id % 20 part, id, sim, pos from dr)"
+    found |= {n + "_all": found[n].replace(DENSE, every) for n in ("dense_rank", "dense_topk")}
+    found["rrf_fuse_all"] = f"""with {pairs}, f as (select query_id, id, sum(1 / (60 + pos)) score, min(part * 1e9 + pos) first from dp group by 1, 2)
+        select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, first, id) pos from f"""
+    found["hybrid_pin_all"] = f"""with {pairs}, lead as (select query_id, max(case when pos = 1 then sim end) - max(case when pos = 2 then sim end) >= 0.15 pin from dp where part = 0 group by 1),
+        kw as (select query_id, id, pos, pin from dp join lead using (query_id) where part = 0),
+        rest as (select *, row_number() over (partition by query_id order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)),
+        rd as (select d.query_id, d.id, row_number() over (partition by d.query_id order by d.pos) - 1 rk from dp d semi join rest using (query_id, id) where d.part = 1),
+        fu as (select query_id, rest.id, 1 / (61 + rest.rk) + coalesce(1 / (61 + rd.rk), 0) s, rest.rk from rest left join rd using (query_id, id)),
+        o as (select query_id, id, 0 part, 0 k from kw where pin and pos = 1 union all select query_id, id, 1, row_number() over (partition by query_id order by round(s, 12) desc, rk) from fu
+          union all select query_id, id, 2, pos from kw where pos > 10)
+        select query_id, id, row_number() over (partition by query_id order by part, k) pos from o"""
     # the same over whole first lines
     return found | {f"{n}_whole": found[n].replace(DEC, DEC_WHOLE) for n in ("exact_dups", "fuzzy_dups", "guard_reasons")}

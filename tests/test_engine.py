@@ -35,6 +35,13 @@ def test_queries_of_whole_lines_agree_with_sql(spark, con, name):
     assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["dense_rank_all", "dense_topk_all", "rrf_fuse_all", "hybrid_pin_all"])
+def test_every_twentieth_vector_is_a_query(spark, con, name):
+    assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
+    ids = [r[0] for r in catalogue.vectors(spark, SF).where("id % 20 = 0").select("id").collect()]
+    assert len(ids) > 2 and {r.query_id for r in catalogue.queries()[name](spark, SF).collect()} == set(ids)
+
+
 def test_words_after_the_twentieth_count(spark, tmp_path):
     head = " ".join(f"word{i}" for i in range(20))
     rows = [(i, f"{head} {' '.join(f'{t}{j}' for j in range(60))}\nmore", "en", "a") for i, t in enumerate(["left", "right"])]
