@@ -117,6 +117,11 @@ def tokenize(spark, d):
     return postings(en(spark, d), ["id"], ["why"], SPACE).select("id", "token")
 
 
+def tokenize_all(spark, d):
+    """The tokens of every document, whatever its language."""
+    return postings(decisions(spark, d), ["id"], ["why"], SPACE).select("id", "token")
+
+
 def document_frequency(spark, d):
     dec = decisions(spark, d)
     return rank.idf(dec, postings(dec, ["project", "id"], ["what", "why"], SPACE)).select("project", "token", "df", F.round("idf", 6).alias("idf"))
@@ -336,7 +341,7 @@ NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts po
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
 reason_categories token_costs unit_vectors staging_list sequential_guard exact_dups_whole fuzzy_dups_whole guard_reasons_whole
-dense_rank_all dense_topk_all rrf_fuse_all hybrid_pin_all""".split()
+dense_rank_all dense_topk_all rrf_fuse_all hybrid_pin_all tokenize_all""".split()
 
 
 def queries():

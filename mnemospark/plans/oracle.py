@@ -168,5 +168,6 @@ def sql() -> dict[str, str]:
         o as (select query_id, id, 0 part, 0 k from kw where pin and pos = 1 union all select query_id, id, 1, row_number() over (partition by query_id order by round(s, 12) desc, rk) from fu
           union all select query_id, id, 2, pos from kw where pos > 10)
         select query_id, id, row_number() over (partition by query_id order by part, k) pos from o"""
+    found["tokenize_all"] = found["tokenize"].replace(" where project = 'en'", "")
     # the same over whole first lines
     return found | {f"{n}_whole": found[n].replace(DEC, DEC_WHOLE) for n in ("exact_dups", "fuzzy_dups", "guard_reasons")}

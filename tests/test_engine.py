@@ -42,6 +42,13 @@ def test_every_twentieth_vector_is_a_query(spark, con, name):
     assert len(ids) > 2 and {r.query_id for r in catalogue.queries()[name](spark, SF).collect()} == set(ids)
 
 
+def test_every_language_is_tokenised(spark, con):
+    assert differences(spark, con, SF, "tokenize_all", catalogue.queries()["tokenize_all"], catalogue.oracle_sql()["tokenize_all"]) == ""
+    docs = catalogue.decisions(spark, SF).select("id", "project")
+    got = catalogue.tokenize_all(spark, SF).select("id").distinct().join(docs, "id").select("project").distinct()
+    assert {r[0] for r in got.collect()} == {r[0] for r in docs.select("project").distinct().collect()}
+
+
 def test_words_after_the_twentieth_count(spark, tmp_path):
     head = " ".join(f"word{i}" for i in range(20))
     rows = [(i, f"{head} {' '.join(f'{t}{j}' for j in range(60))}\nmore", "en", "a") for i, t in enumerate(["left", "right"])]
