@@ -1,26 +1,27 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling; lossless decoding.
 
-White space becomes the piece mark, and no piece of the vocabulary holds a mark behind another character, so a text's
-lattice falls apart at words. Over each distinct word a forward pass sums the weights exp(alpha * score) of all ways to
-each place; backward, a way is drawn piece by piece with the probability that the forward sums give it. Words are kept in
-a bounded cache as tables of choices, and the backward steps of all words of a batch go in vectors. The random numbers
-of a row come from a counter-based generator keyed by the row's key, so that they do not depend on how rows are dealt.
+White space becomes the piece mark, and no piece that is used holds a mark behind another character, so a text's lattice
+falls apart at words. The distinct words of about CHUNK characters are worked together, in vectors: a trie of the
+pieces, held as one sorted table of transitions, gives all arcs of all their lattices, a character further at a time;
+the forward pass sums, place by place from the left, the weights exp(alpha * score) of all ways to each place, as
+logarithms; backward, a way is drawn for every occurrence of a word, piece by piece, with the probabilities that the
+forward sums give. A row's random numbers come from a counter-based generator keyed by the row's key, so that they do
+not depend on how rows are dealt.
 
 Characters that no piece covers, and a literal piece mark, become their UTF-8 bytes, which the vocabulary has; decoding
 joins pieces and bytes, turns marks into spaces and drops the one put in front, which gives back every text exactly.
 
-Defined results: null and empty texts have no pieces and decode to an empty text; equal rows with equal keys are
-segmented alike; an empty table gives no rows; other columns are not looked at. Texts are encoded whole.
+Defined results: null and empty texts have no pieces and decode to an empty text; rows with equal keys and texts are
+segmented alike; an empty table gives no rows; other columns are not looked at. Texts are encoded whole; a word of n
+characters takes n rounds of the forward pass.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,116 +29,160 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 MARK = "▁"
 #: Sharpness of the distribution: scores of this vocabulary are merge ranks, so differences run to thousands.
 ALPHA, SEED = 0.0005, 17
-#: Choices that the cache holds before it is made anew; the longest piece looked for.
-CACHED, LONGEST = 2_000_000, 64
-#: Weights of words up to this length are added as plain numbers, which cannot underflow: exp(-40) a character at least.
-PLAIN, UNKNOWN = 16, 40.0
+#: The negative logarithm of the weight of a character that no piece covers.
+UNKNOWN = 40.0
 #: Characters that are encoded together; a longer text goes alone.
 CHUNK = 1 << 20
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stands for a literal piece mark while words are cut: a lone surrogate, which no UTF-8 text holds.
 PRIVATE = "\udc00"
+#: Bits of a code point in a transition of the trie.
+BITS = 21
+
+
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. for size[0] numbers, then those from begin[1], and so on."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(begin - before, size)
 
 
-def _plus(a: float, b: float) -> float:
-    """The logarithm of exp(a) + exp(b), of which b at least is finite."""
-    return max(a, b) + log1p(exp(-abs(a - b)))
+def uniform(keys: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """sizes[i] numbers of [0, 1) for each key: the i-th of a key is a mix of key, seed and i, whatever the other rows."""
+    with np.errstate(over="ignore"):
+        start = keys ^ (np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+        x = np.repeat(start, sizes) + _gather(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 class Lattice:
-    """Choices by node: node v has entries first[v]..first[v + 1] with cumulated probabilities, pieces and nodes to go on from."""
+    """A vocabulary as a trie in arrays; `score` has the pieces that segmentations may use, `alpha` scales their scores."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.alpha, self.names = alpha, [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if sp.is_byte(i)}
-        self.values = {i: b for b, i in self.bytes.items()}
-        skip = {i for i in range(len(self.names)) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        self.score = {n: ((i,), max(sp.get_score(i), -60000.0)) for i, n in enumerate(self.names) if i not in skip}
-        self.longest = min(LONGEST, max(map(len, self.score)))
-        inner = {n for n in self.score if MARK in n.lstrip(MARK)}
-        for n in inner:  # such pieces would bind words together
-            del self.score[n]
-        self.weight = {n: (ids, exp(alpha * s)) for n, (ids, s) in self.score.items()}
-        self.plain = PLAIN if alpha * 60000.0 <= UNKNOWN else 0
-        self.clear()
-
-    def clear(self):
-        self.top: dict[str, int] = {}
-        self.cum, self.piece, self.to, self.first = array("d"), [], array("q"), array("q", [0])
-        self.fixed = None
-
-    def bytes_of(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in (MARK if char == PRIVATE else char).encode("utf-8", "surrogatepass"))
-
-    def add(self, word: str) -> int:
-        """The node at the word's end; node ids of its places follow each other."""
-        n, base = len(word), len(self.first) - 1
-        ways = self.short(word) if n <= self.plain else self.long(word)
-        cum, piece, to, first = self.cum, self.piece, self.to, self.first
-        first.append(len(cum))
-        for into in ways[1:]:
-            whole = sum([w for w, _, _ in into])
-            total = 0.0
-            for w, ids, i in into:
-                total += w
-                cum.append(total / whole)
-                piece.append(ids)
-                to.append(base + i)
-            if into:
-                cum[-1] = 1.0
-            first.append(len(cum))
-        self.top[word] = base + n
-        return base + n
-
-    def short(self, word: str) -> list[list[tuple[float, tuple[int, ...], int]]]:
-        """By place, the ways into it (weight, pieces, place before); the forward sums are plain numbers."""
-        n, longest, get = len(word), self.longest, self.weight.get
-        ways: list[list[tuple[float, tuple[int, ...], int]]] = [[] for _ in range(n + 1)]
-        forward = [1.0] + [0.0] * n
-        for i in range(n):
-            f = forward[i]
-            if not f:
-                continue
-            hit = get(word[i])
-            ids, w = hit or (self.bytes_of(word[i]), exp(-UNKNOWN))
-            ways[i + 1].append((f * w, ids, i))
-            forward[i + 1] += f * w
-            for j in range(i + 2, min(n, i + longest) + 1):
-                hit = get(word[i:j])
-                if hit:
-                    w = f * hit[1]
-                    ways[j].append((w, hit[0], i))
-                    forward[j] += w
-        return ways
-
-    def long(self, word: str) -> list[list[tuple[float, tuple[int, ...], int]]]:
-        """The same with logarithms; weights are those relative to the place's sum."""
-        n = len(word)
-        ways: list[list[tuple[float, tuple[int, ...], int]]] = [[] for _ in range(n + 1)]
-        forward = [0.0] + [-np.inf] * n
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                hit = self.score.get(word[i:j])
-                if hit or j == i + 1:
-                    ids, w = (hit[0], forward[i] + self.alpha * hit[1]) if hit else (self.bytes_of(word[i]), forward[i] - UNKNOWN)
-                    ways[j].append((w, ids, i))
-                    forward[j] = _plus(forward[j], w)
-        return [[(exp(w - f), ids, i) for w, ids, i in into] for into, f in zip(ways, forward, strict=True)]
-
-    def tables(self):
-        if self.fixed is None or self.fixed[0] != len(self.cum):
-            first = np.array(self.first)
-            count = np.diff(first)
-            node = np.repeat(np.arange(len(count)), count)
-            start = np.append(count == 0, True)
-            self.fixed = (len(self.cum), node + np.minimum(np.array(self.cum), 1.0), np.array(self.to), start, first)
-        return self.fixed
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        byte = {i: int(n[3:5], 16) for i, n in enumerate(names) if sp.is_byte(i)}
+        self.alpha, self.size = alpha, len(names)
+        self.bytes = {b: i for i, b in byte.items()}
+        skip = {i for i in range(len(names)) if i in byte or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
+        # a piece with a mark behind another character would bind words together
+        self.score = {n: (i, max(sp.get_score(i), -60000.0)) for i, n in enumerate(names) if i not in skip and MARK not in n.lstrip(MARK)}
+        raw = [bytes([byte[i]]) if i in byte else n.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, n in enumerate(names)]
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.width = np.array([len(x) for x in raw])
+        self.begin = np.cumsum(self.width) - self.width
+        nodes, piece, weight = {}, [-1], [0.0]
+        for n, (i, s) in self.score.items():
+            at = 0
+            for c in n:
+                step = (at << BITS) | ord(c)
+                if step not in nodes:
+                    nodes[step] = len(piece)
+                    piece.append(-1)
+                    weight.append(0.0)
+                at = nodes[step]
+            piece[at], weight[at] = i, alpha * s
+        self.steps = np.array(sorted(nodes), np.int64)
+        self.into = np.array([nodes[k] for k in sorted(nodes)])
+        self.piece, self.weight = np.array(piece), np.array(weight)
+
+    def bytes_of(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in (MARK if char == PRIVATE else char).encode("utf-8", "surrogatepass")]
+
+    def arcs(self, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, length, piece, log weight) of every piece that stands anywhere in the characters `code`.
+
+        A piece from character i ends at stop[i] at the latest. Where no piece covers a single character, the arc over
+        it has the character plus the size of the vocabulary as its piece.
+        """
+        live, state, k = np.arange(len(code)), np.zeros(len(code), np.int64), 0
+        out: list[tuple] = []
+        while len(live):
+            step = (state << BITS) | code[live + k]
+            i = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            ok = self.steps[i] == step
+            if k == 0:
+                bare = ~ok
+                bare[ok] = self.piece[self.into[i[ok]]] < 0
+                at = live[bare]
+                out.append((at, np.ones(len(at), np.int64), code[at] + self.size, np.full(len(at), -UNKNOWN)))
+            live, state = live[ok], self.into[i[ok]]
+            k += 1
+            hit = self.piece[state] >= 0
+            out.append((live[hit], np.full(int(hit.sum()), k), self.piece[state[hit]], self.weight[state[hit]]))
+            more = live + k < stop[live]
+            live, state = live[more], state[more]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+class Choices:
+    """The lattices of distinct words. Place p of word w is node first[w] + p; arcs are sorted by the node that they lead to."""
+
+    def __init__(self, lattice: Lattice, words: list[str]):
+        size = np.array([len(w) for w in words])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        origin, length, piece, weight = lattice.arcs(code, ends[word])
+        self.top = ends + np.arange(len(words))  # the node at a word's end
+        source = origin + word[origin]  # one more node than characters in each word
+        node = source + length
+        place = node - (self.top - size)[word[origin]]
+        order = np.lexsort((source, node, place))
+        source, node, weight, place = source[order], node[order], weight[order], place[order]
+        total = np.full(len(code) + len(words), -np.inf)
+        total[self.top - size] = 0.0
+        fresh = np.concatenate(([True], node[1:] != node[:-1]))
+        group = np.cumsum(fresh) - 1
+        begin = np.flatnonzero(fresh)
+        part = np.empty(len(node))
+        cuts = np.searchsorted(place, np.arange(1, int(place[-1]) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # all nodes at a place at once
+            w = total[source[lo:hi]] + weight[lo:hi]
+            g = group[lo:hi] - group[lo]
+            starts = begin[group[lo] : group[hi - 1] + 1] - lo
+            most = np.maximum.reduceat(w, starts)
+            part[lo:hi] = np.exp(w - most[g])
+            whole = np.add.reduceat(part[lo:hi], starts)
+            part[lo:hi] /= whole[g]
+            total[node[begin[group[lo] : group[hi - 1] + 1]]] = most + np.log(whole)
+        run = np.cumsum(part)
+        base = np.concatenate(([0.0], run))[begin]
+        #: group of arcs into a node, plus the cumulated probability within it: rises along all arcs
+        self.flat = group + np.minimum(run - base[group], 1.0)
+        self.group = np.zeros(len(total), np.int64)
+        self.group[node] = group
+        self.last = np.concatenate((begin[1:], [len(node)])) - 1
+        self.first = begin
+        self.source, self.piece, self.share = source, piece[order], part
+        self.start = np.zeros(len(total), bool)
+        self.start[self.top - size] = True
+
+    def draw(self, at: np.ndarray, random: np.ndarray, u_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arcs of a way through each word of `at`, first to last, and how many each has; word i uses random[u_at[i]:]."""
+        live, node, count = np.arange(len(at)), self.top[at], np.zeros(len(at), np.int64)
+        steps = []
+        while len(live):
+            g = self.group[node]
+            arc = np.clip(np.searchsorted(self.flat, g + random[u_at[live] + len(steps)], side="right"), self.first[g], self.last[g])
+            steps.append((live, arc))
+            count[live] += 1
+            node = self.source[arc]
+            go = ~self.start[node]
+            live, node = live[go], node[go]
+        end = np.cumsum(count)
+        out = np.empty(int(count.sum()), np.int64)
+        for k, (live, arc) in enumerate(steps):  # the k-th drawn is the k-th from the end
+            out[end[live] - 1 - k] = arc
+        return out, count
 
 
 def words_of(text: str) -> list[str]:
@@ -146,49 +191,43 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK))
 
 
-def encode(lattice: Lattice, rows: list[tuple[int, str]], seed: int = SEED) -> list[list[int]]:
+def encode(lattice: Lattice, rows: list[tuple[int, str]], seed: int = SEED) -> list[np.ndarray]:
     """Piece ids of each (key, text)."""
-    parts = [words_of(t) if t else [] for _, t in rows]
-    if len(lattice.cum) > CACHED:
-        lattice.clear()
-    top, add = lattice.top, lattice.add
-    at = np.array([top[w] if w in top else add(w) for p in parts for w in p], np.int64)
-    if not len(at):
-        return [[] for _ in rows]
-    _, flat, to, start, first = lattice.tables()
-    # one uniform number for each character at most; a word's numbers follow each other
-    lens = [sum(map(len, p)) for p in parts]
-    random = np.concatenate([np.random.Generator(np.random.Philox(key=[key & (2**64 - 1), seed])).random(n) for (key, _), n in zip(rows, lens, strict=True) if n])
-    sizes = np.array([len(w) for p in parts for w in p])
-    u_at = np.cumsum(sizes) - sizes
-    live, node, steps = np.arange(len(at)), at, []
-    k = 0
-    while len(live):
-        e = np.minimum(np.searchsorted(flat, node + random[u_at[live] + k], side="right"), first[node + 1] - 1)
-        steps.append((live, e))
-        node = to[e]
-        go = ~start[node]
-        live, node = live[go], node[go]
-        k += 1
-    word = np.concatenate([s[0] for s in steps])
-    entry = np.concatenate([s[1] for s in steps])
-    back = np.concatenate([np.full(len(s[0]), i) for i, s in enumerate(steps)])
-    order = np.lexsort((-back, word))
-    doc_of = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-    out: list[list[int]] = [[] for _ in rows]
-    pieces = lattice.piece
-    cut = np.searchsorted(doc_of[word[order]], np.arange(len(rows) + 1))
-    entries = entry[order].tolist()
-    for i in range(len(rows)):
-        ids: list[int] = []
-        for e in entries[cut[i] : cut[i + 1]]:
-            ids += pieces[e]
-        out[i] = ids
-    return out
+    index: dict[str, int] = {}
+    at, n_words, n_chars = [], [], []
+    for _, text in rows:
+        parts = words_of(text) if text else []
+        at += [index.setdefault(w, len(index)) for w in parts]
+        n_words.append(len(parts))
+        n_chars.append(len(text) + 1 if text else 0)
+    if not index:
+        return [np.zeros(0, np.int64) for _ in rows]
+    words = list(index)
+    choices = Choices(lattice, words)
+    at = np.array(at)
+    size = np.array([len(w) for w in words])[at]
+    # one random number for each character at most; those of a word follow each other
+    random = uniform(np.array([k & (2**64 - 1) for k, _ in rows], np.uint64), np.array(n_chars), seed)
+    arcs, count = choices.draw(at, random, np.cumsum(size) - size)
+    ids = choices.piece[arcs]
+    wide = np.ones(len(ids), np.int64)
+    odd = np.flatnonzero(ids >= lattice.size)
+    if len(odd):
+        chars, which = np.unique(ids[odd], return_inverse=True)
+        spelt = [lattice.bytes_of(chr(c - lattice.size)) for c in chars.tolist()]
+        lens = np.array([len(s) for s in spelt])
+        wide[odd] = lens[which]
+        begin = np.cumsum(wide) - wide
+        flat = np.repeat(ids, wide)
+        flat[_gather(begin[odd], wide[odd])] = np.concatenate([np.array(s) for s in spelt])[_gather((np.cumsum(lens) - lens)[which], lens[which])]
+        ids = flat
+    row = np.concatenate(([0], np.cumsum(n_words)))
+    words_end = np.concatenate(([0], np.cumsum(np.concatenate(([0], np.cumsum(wide)))[np.cumsum(count)] - np.concatenate(([0], np.cumsum(wide)))[np.cumsum(count) - count])))
+    return np.split(ids, words_end[row[1:-1]])
 
 
 def chunks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
-    """The rows in their order, about CHUNK characters at a time: the tables of choices are made anew for each."""
+    """The rows in their order, about CHUNK characters at a time."""
     held, size = [], 0
     for row in rows:
         if held and size + len(row[1]) > CHUNK:
@@ -200,12 +239,10 @@ def chunks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def decode(lattice: Lattice, ids: list[int]) -> str:
-    if not ids:
-        return ""
-    value = lattice.values
-    raw = b"".join(bytes([value[i]]) if i in value else lattice.names[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids)
-    return raw[1:].decode("utf-8", "surrogatepass")
+def decode(lattice: Lattice, ids: np.ndarray) -> bytes:
+    """The UTF-8 text of pieces."""
+    ids = np.asarray(ids, np.int64)
+    return lattice.blob[_gather(lattice.begin[ids], lattice.width[ids])].tobytes()[1:]
 
 
 @lru_cache(2)
@@ -219,7 +256,10 @@ def key_of(*parts) -> int:
 
 def sample(rows: DataFrame, keys: list[str], model: str, alpha: float = ALPHA, seed: int = SEED, pieces: bool = False) -> DataFrame:
     """The key columns, n_pieces, ids_crc32, lossless, and with `pieces` the ids: one row for each row; nothing is exchanged."""
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    at = {c: i for i, c in enumerate(rows.columns)}
+    plain = [f"k{i}" for i in range(len(keys))]  # names with dots can't be passed on
+    keyed = [columns(rows)[at[k]].alias(p) for k, p in zip(keys, plain, strict=True)]
+    kinds = ", ".join(f"{p} {rows.schema[k].dataType.simpleString()}" for k, p in zip(keys, plain, strict=True))
     extra = ", ids array<int>" if pieces else ""
 
     def run(batches):
@@ -230,16 +270,17 @@ def sample(rows: DataFrame, keys: list[str], model: str, alpha: float = ALPHA, s
             ids, same, crc, sizes = [], [], [], []
             for some in chunks(list(zip(named, texts, strict=True))):  # ids of long texts are let go chunk by chunk
                 coded = encode(t, some, seed)
-                same += [decode(t, x) == y for x, (_, y) in zip(coded, some, strict=True)]
-                crc += [zlib.crc32(np.array(x, "<u4").tobytes()) for x in coded]
+                same += [decode(t, x) == y.encode("utf-8", "surrogatepass") for x, (_, y) in zip(coded, some, strict=True)]
+                crc += [zlib.crc32(x.astype("<u4").tobytes()) for x in coded]
                 sizes += map(len, coded)
                 if pieces:
-                    ids += coded
-            cols = [*b.columns[: len(keys)], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
-            names = [*keys, "n_pieces", "ids_crc32", "lossless"]
+                    ids += [x.astype(np.int32) for x in coded]
+            cols = [*b.columns[: len(keys)], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            names = [*plain, "n_pieces", "ids_crc32", "lossless"]
             if pieces:
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, n_pieces long, ids_crc32 long, lossless boolean{extra}")
+    out = rows.select(*keyed, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, n_pieces long, ids_crc32 long, lossless boolean{extra}")
+    return out.toDF(*keys, *out.columns[len(keys) :])
