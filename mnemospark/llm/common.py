@@ -5,20 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this process."""
+    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one, in local mode only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="scratch-")
@@ -64,6 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of a frame, whatever signs their names hold."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the runs of equal keys in sorted batches; a run may go on over several batches."""
     held: list[pa.RecordBatch] = []
@@ -91,8 +98,8 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFram
     """(id, root): the smallest id of each component, by alternating large-star and small-star contraction.
 
     edges has long columns a and b. Each half round is a minimum by node and a join back to the edges, which
-    Spark pre-aggregates and, for hot nodes, splits; no adjacency list is ever collected. Edges are rewritten
-    to the shared folder each round. Nodes that have no edge but to themselves come out as their own root.
+    Spark pre-aggregates and, for hot nodes, splits: the minima are written first, so that both sides of a join are plain
+    exchanges. No adjacency list is ever collected. Edges are rewritten to the shared folder each round. Nodes that have no edge but to themselves come out as their own root.
     """
     both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = scratch.keep(both.distinct())
@@ -100,15 +107,15 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFram
     for _ in range(rounds):
         # large star: every larger neighbour of a node points at the node's least neighbour
         u = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = u.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = scratch.keep(u.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = u.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.union(now.where("a = b")).distinct()
+        large = scratch.keep(large.union(now.where("a = b")).distinct())
         # small star: every smaller neighbour of a node, and the node, point at the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = scratch.keep(small.distinct())
         n = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, low)
         now = after
         if n == seen:
             break
@@ -116,14 +123,3 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFram
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-
-def arrow_rows(fn: Callable, schema: pa.Schema) -> Callable:
-    """A mapInArrow function that gives fn each batch's columns as a dict of lists and packs the lists that it returns."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(b), schema=schema)
-
-    return run

@@ -1,21 +1,26 @@
 """N-gram Jaccard self-join of documents: MinHash LSH forest, then exact verification.
 
-1. Each document's distinct 5-word shingles become 64-bit hashes; documents with the same set form one class, which
-   goes on as a single representative with a MinHash signature. Shorter texts count as one shingle.
-2. The signature feeds `TREES` prefix tries of `DEPTH` levels. Sorting by (tree, prefix) puts equal prefixes side by
-   side. A prefix is shortened as long as the target recall asks for it: to `deepest(recall)`, the longest prefix at
-   which a pair of similarity 0.8 meets in some tree with that probability; and further, for more recall at no
-   cost, while the bucket of the shorter prefix still has at most `SMALL` members.
-3. Within a bucket, signatures are compared in blocks; pairs far below the threshold fall out (a bound of more than
+1. Each row gets a number. A document's distinct 5-word shingles become 64-bit hashes; documents with the same set form
+   one class, which goes on as a single representative, its lowest row number, with a MinHash signature. Shorter texts
+   count as one shingle.
+2. The signature makes a label of `DEPTH` levels for each of `TREES` prefix tries. A representative is looked up under
+   the longest prefix that others share, and that prefix is shortened as long as its node would then hold at most
+   `SMALL` members: from the root, a node with more is split by one more level, down to the last. All members of a node
+   decide alike, so any two that share it meet.
+3. From the depths that a representative got, the probability follows that a partner of similarity 0.8 meets it in some
+   tree. Those for which it is below `RECALL` shorten their prefixes in all trees to the longest at which that recall
+   is certain, `deepest(RECALL)`; the nodes that they ask for then take the place of all nodes below them.
+4. Within a node, signatures are compared in blocks; pairs far below the threshold fall out (a bound of more than
    five standard deviations). Each block gives at most one edge a member, never all pairs. What hangs together forms
    a candidate group.
-4. The shingle sets of each candidate group meet once, in bounded blocks, and every pair of a
+5. The shingle sets of each candidate group meet once, in bounded blocks, and every pair of a
    group is verified exactly, so links are counted whole whether or not the forest saw them itself.
 
 Defined results: words are runs of anything but ASCII white space, case counts; a null text or one without words has
-no shingles, is linked to nothing and is a class of its own; repeated rows and equal texts share a class; an empty
-table gives no rows; a row without doc_id gets the class of its text, null if no other row has that text; rows that
-share a doc_id are versions of one document, of which one is compared; other columns are not looked at.
+no shingles, is linked to nothing and is a class of its own; repeated rows and equal texts share a class; rows that share
+a doc_id but not the text are compared like any others, and so are rows without a doc_id; class_id is the smallest
+doc_id of what hangs together, null only if no row of it has one; an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_group, components
+from .common import Scratch, by_group, columns, components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 6, 0.9999
-SMALL = 32
+#: Trees, levels of a label, bytes of a level, and the shortest prefix that is looked at.
+TREES, DEPTH, LEVEL, SHORTEST = 16, 6, 2, 2
+#: The probability with which two texts of similarity 0.8 must meet, and the members of a node that is not split.
+RECALL, SMALL = 0.999, 32
 #: Members of a block, by the size n of a bucket or group: bounded, and small enough to spread a hot group.
 BUCKET, BLOCK = "512", "greatest(128, least(2048, pow(n, 0.66)))"
 #: Estimates below this are more than five standard deviations of 96 hashes off a similarity of 0.8.
@@ -90,7 +97,7 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def signature(sh: np.ndarray) -> np.ndarray:
-    """Minima of TREES * DEPTH hash functions, as 32-bit numbers."""
+    """Minima of TREES * DEPTH hash functions, as 32-bit numbers; the low bits of equal minima are equal too."""
     out = np.full(TREES * DEPTH, 2**32 - 1, np.uint32)
     for at in range(0, len(sh), 4096):
         x = sh[at : at + 4096]
@@ -99,31 +106,22 @@ def signature(sh: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, class_key binary, n_shingles int, small binary, prefixes array<long>, shorter array<long>"
+SIGNED = "doc_id long, th long, class_key binary, label binary, small binary"
 
 
 def _sign(batches):
-    """Class, signature cut to one byte a hash, and for each tree the hashes of its prefixes at the asked depth and one level up."""
+    """Class, the labels in all trees one after the other, and the signature cut to one byte a hash."""
     import xxhash
 
-    asked = deepest(RECALL)
-    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for text in b.column(1).to_pylist():
+        cols: list[list] = [[], [], []]
+        for text in b.column(2).to_pylist():
             sh = shingles(text or b"")
             sig = signature(sh)
-            whole = sig.tobytes()
-            trees = [whole[4 * DEPTH * t :] for t in range(TREES)]
-            values = (
-                xxhash.xxh3_128_digest(sh.tobytes()), len(sh), sig.astype(np.uint8).tobytes(),
-                np.array([digest(x[: 4 * asked], seed=t) for t, x in enumerate(trees)], np.uint64).view(np.int64),
-                np.array([digest(x[: 4 * (asked - 1)], seed=t) for t, x in enumerate(trees)], np.uint64).view(np.int64),
-            ) if len(sh) else (None, 0, None, None, None)
+            values = (xxhash.xxh3_128_digest(sh.tobytes()), sig.astype("<u2").tobytes(), sig.astype(np.uint8).tobytes()) if len(sh) else (None, None, None)
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
-        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "class_key", "n_shingles", "small", "prefixes", "shorter"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.binary()) for c in cols]], names=["doc_id", "th", "class_key", "label", "small"])
 
 
 def _near(batches):
@@ -227,13 +225,13 @@ def _shingled(batches):
         )
 
 
-def _blocked(df: DataFrame, key: str, order: str, size: str) -> DataFrame:
+def _blocked(scratch: Scratch, df: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """Adds `part` and `side`: members of a key dealt to pairs of blocks, so that any two meet in exactly one part.
 
     The block of a member is its hash modulo the number of blocks; `size`, an expression over the key's count n, says how
     many share a block. A block on the diagonal has side 0, others -1 and 1.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    counts = scratch.keep(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
     df = df.join(counts, key)
     blocks = F.ceil(F.col("n") / F.expr(size)).cast("int")
     df = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"))
@@ -241,40 +239,96 @@ def _blocked(df: DataFrame, key: str, order: str, size: str) -> DataFrame:
     return df.withColumn("d", F.explode(dealt)).select("*", "d.part", "d.side").drop("d", "blocks", "own", "n")
 
 
+def forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
+    """(rep, bucket): the nodes under which representatives are compared; reps has rep and label."""
+    label = F.expr(f"substring(label, tree * {DEPTH * LEVEL} + 1, {DEPTH * LEVEL})")
+    rows = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("rep", "tree", label.alias("label"))
+    node = lambda depth: F.xxhash64("tree", F.expr(f"substring(label, 1, {depth * LEVEL})"))
+    settled, deep = [], []
+    for depth in range(SHORTEST, DEPTH + 1):
+        keyed = rows.withColumn("bucket", node(depth))
+        # written before the join, so that both of its sides are plain exchanges and a hot node can be split
+        sizes = scratch.keep(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        found = keyed.join(sizes, "bucket", "inner" if depth == SHORTEST else "left")
+        found = scratch.keep(found.select("rep", "tree", "label", "bucket", F.coalesce("n", F.lit(1)).alias("n"), F.lit(depth).alias("depth")))
+        stays = found.where((F.col("n") <= SMALL) | (F.col("depth") == DEPTH))
+        (settled if depth == SHORTEST else deep).append(stays)
+        rows = found.where(F.col("n") > SMALL).select("rep", "tree", "label")
+        if depth < DEPTH and rows.isEmpty():
+            break
+    out = settled[0].select("rep", "bucket")
+    if not deep:
+        return out
+    below = deep[0]
+    for more in deep[1:]:
+        below = below.union(more)
+    # what is missed: the product over trees of the chance not to share the prefix
+    here = 1 - THRESHOLD**SHORTEST
+    missed = below.groupBy("rep").agg((F.count("*").alias("trees")), F.sum(F.log(1 - F.pow(F.lit(THRESHOLD), "depth"))).alias("miss"))
+    short = missed.where(F.exp(F.col("miss") + (TREES - F.col("trees")) * float(np.log(here))) > 1 - RECALL).select("rep")
+    limit = deepest(RECALL)
+    far = below.where(F.col("depth") > limit).withColumn("up", node(limit))
+    asked = far.join(short, "rep", "left_semi").select("up").distinct().withColumn("asked", F.lit(True))
+    far = far.join(scratch.keep(asked), "up", "left").select("rep", F.when(F.col("asked"), F.col("up")).otherwise(F.col("bucket")).alias("bucket"))
+    return out.union(below.where(F.col("depth") <= limit).select("rep", "bucket")).union(far)
+
+
+def _linked(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, th, class_key) of each row, and (class_key, root, n_links, n_copies, first_id) of each class of equal sets."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), F.col("text").cast("string").cast("binary").alias("text"))
+    signed = scratch.keep(whole.mapInArrow(_sign, SIGNED).select(F.monotonically_increasing_id().alias("row"), "*"))
+    reps = signed.where("class_key is not null").groupBy("class_key").agg(
+        F.min(F.struct("row", "doc_id", "th")).alias("of"), F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("label").alias("label"), F.first("small").alias("small")
+    )
+    reps = scratch.keep(reps.select("class_key", F.col("of.row").alias("rep"), "of.doc_id", "of.th", "first_id", "n_copies", "label", "small"))
+    buckets = scratch.keep(forest(scratch, reps.select("rep", "label")).join(reps.select("rep", "small"), "rep"))
+    parts = _blocked(scratch, buckets, "bucket", "rep", BUCKET)
+    near = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_near, "a long, b long")
+    groups = components(scratch, near).withColumnRenamed("root", "group")
+    wanted = scratch.keep(groups.withColumnRenamed("id", "rep").join(reps.select("rep", "doc_id", "th"), "rep"))
+    texts = wanted.join(whole.withColumnRenamed("doc_id", "id"), ["th"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "group", "text")
+    # rows that agree in id and text stand for each other
+    sets = texts.mapInArrow(_shingled, "rep long, group long, sh binary").groupBy("rep", "group").agg(F.first("sh").alias("sh"))
+    verified = _blocked(scratch, scratch.keep(sets), "group", "rep", BLOCK).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify, "rep long, top long, links long")
+    verified = scratch.keep(verified)
+    roots = components(scratch, verified.select(F.col("rep").alias("a"), F.col("top").alias("b")))
+    links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
+    classes = reps.select("class_key", "rep", "n_copies", "first_id").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    return signed.select("row", "doc_id", "th", "class_key"), classes.select("class_key", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "first_id")
+
+
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+
+
 def match(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, rep_id, n_copies: one row for each input row.
 
     class_id is the smallest doc_id of what hangs together; n_links counts the other different texts (shingle sets) that
-    are similar to this one at 0.8 or more; rep_id names the class of equal sets, which has n_copies rows.
+    are similar to this one at 0.8 or more; rep_id is the smallest doc_id of the class of equal sets, which has n_copies rows.
     """
     scratch = Scratch(spark)
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = scratch.keep(whole.mapInArrow(_sign, SIGNED))
-    reps = scratch.keep(signed.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("small", "prefixes", "shorter")]))
-    # one row for each tree
-    bucketed = reps.where("rep is not null").select("rep", "small", F.explode(F.arrays_zip("prefixes", "shorter")).alias("t")).select("rep", "small", F.col("t.prefixes").alias("bucket"), "t.shorter")
-    # the bucket one level up is used instead where it is small: every member of it decides alike
-    up = bucketed.groupBy("shorter").agg(F.count("*").alias("m")).where(F.col("m").between(2, SMALL)).select("shorter", F.lit(True).alias("go_up"))
-    bucketed = bucketed.join(up, "shorter", "left").select("rep", "small", F.when(F.col("go_up"), F.col("shorter")).otherwise(F.col("bucket")).alias("bucket"))
-    parts = _blocked(bucketed, "bucket", "rep", BUCKET)
-    near = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_near, "a long, b long")
-    groups = scratch.keep(components(scratch, near).withColumnRenamed("root", "group"))
-    texts = groups.withColumnRenamed("id", "doc_id").join(whole, "doc_id").select(F.col("doc_id").alias("rep"), "group", "text")
-    sets = texts.mapInArrow(_shingled, "rep long, group long, sh binary").groupBy("rep", "group").agg(F.first("sh").alias("sh"))
-    verified = _blocked(scratch.keep(sets), "group", "rep", BLOCK).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify, "rep long, top long, links long")
-    verified = scratch.keep(verified)
-    roots = components(scratch, verified.select(F.col("rep").alias("a"), F.col("top").alias("b")))
-    links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = reps.select("class_key", "rep", "n_copies").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("class_key", F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("doc_id", "class_key").join(classes, "class_key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")
+    rows, classes = _linked(spark, docs, scratch)
+    classes = scratch.keep(classes)
+    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = classes.join(ids, "root").drop("root")
+    return rows.join(named, "class_key", "left").select(
+        "doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("rep_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is the smallest of their class; of repeated rows of that id, one. Rows without id stay."""
-    found = Scratch(spark).keep(match(spark, docs.select("doc_id", "text")))
-    kept = found.where("doc_id is not null and doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: that with the smallest doc_id, or a row without if none has one.
+
+    Rows that share an id are told apart by their texts, so none goes but for a copy that stays. Of rows that agree in
+    id and text one stays. Rows whose text has no words have no copies and all stay.
+    """
+    scratch = Scratch(spark)
+    rows, classes = _linked(spark, docs, scratch)
+    found = rows.join(classes.select("class_key", "root"), "class_key")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "th")).alias("best"))
+    kept = scratch.keep(kept.select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("th")))
+    packed = docs.select(F.struct(*columns(docs)).alias("packed"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    stay = packed.where("words").join(kept, "th").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["doc_id", "th"]).select("packed.*")
+    return stay.union(packed.where("not words").select("packed.*"))

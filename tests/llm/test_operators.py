@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mnemospark.llm import html_extract, ngram_join, packing, pii, piece_sampling, quality_rules, queries, secret_scans, suffix_dedup, topk, warc
+from mnemospark.llm import html_extract, packing, pii, quality_rules, secret_scans, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,34 +116,6 @@ def test_classes_split_alike():
     assert all(sum(1 for c in range(j) if c * -(-suffix_dedup.PLACES // j) <= o <= min(suffix_dedup.PLACES, (c + 1) * -(-suffix_dedup.PLACES // j)) - 1) == 1 for _, j in suffix_dedup.CLASSES for o in range(suffix_dedup.PLACES))
 
 
-def test_ngram_join(spark, docs, none):
-    got = {r.doc_id: r for r in ngram_join.match(spark, docs).collect() if r.doc_id is not None}
-    assert got[0].class_id == got[1].class_id == got[2].class_id == 0 and got[2].n_links == 1 and got[0].n_copies == 3
-    assert all(got[i].class_id == i and got[i].n_links == 0 for i in (3, 4, 5, 6, 7, 8, 9))
-    assert ngram_join.match(spark, none).count() == 0
-    kept = ngram_join.keep_one(spark, docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 0, *range(3, 13)}
-    assert 1 - (1 - 0.8 ** ngram_join.deepest(0.9999)) ** ngram_join.TREES >= 0.9999
-
-
-def test_shingles_tell_words_apart():
-    for _, t in texts():
-        w = WORD.findall(t or "")
-        assert len(ngram_join.shingles((t or "").encode())) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
-
-
-def test_blocks_verify_every_pair(spark):
-    rng = random.Random(3)
-    base = sentence(rng, 300).split()
-    rows = []
-    for i in range(300):
-        w = list(base)
-        w[i] = f"other{i}"
-        rows.append((i, " ".join(w)))
-    got = ngram_join.match(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {299}
-
-
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge(spark, docs, labels).collect()
@@ -227,27 +199,6 @@ def test_expectation_tells_labelers_apart():
     assert p["card", (1, 1, 1, 1)] > 0.97 and p["card", (-1, -1, -1, -1)] < 0.03 and p["card", (1, 1, -1, 1)] > 0.9
 
 
-def test_topk(spark):
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(300, 24)) / 5
-    v[50:90] = v[50]
-    rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(v)] + [(1000, None, 1), (1020, [float("nan")] * 24, 1), (1040, [1.0], 1)]
-    got = topk.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")).collect()
-    z = np.floor(64 * v).astype(int)
-    for q in range(0, 300, 20):
-        s = z @ z[q]
-        want = [int(i) for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        assert [r.vec_id for r in mine] == want and [r.score for r in mine] == s[want].tolist()
-    assert {r.query_id for r in got} == set(range(0, 300, 20))
-
-
-def test_topk_of_large_numbers():
-    q = np.array([[2**40, 1]], object)
-    c = np.array([[2**40, 1], [2**40, 2], [1, 1]], object)
-    assert [(p.tolist(), list(s)) for _, p, s in topk.best(q, np.array([9]), c, np.array([1, 2, 3]), 2)] == [([1, 0], [2**80 + 2, 2**80 + 1])]
-
-
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><a href=x>home</a></header><div class="sidebar"><p>side, bar, text</p></div>
 <div id="main-content"><h1>Head &amp; line</h1><p>First, with   <b>bold</b> and a <a href="y">link</a>, commas, more and more text to count.<br>next<p>Second paragraph, unclosed, with &eacute; and more words, many words.
 <div class="ad">Buy</div><ul><li>point one<li>point two</ul><script>var a="</p>";</script></div><div class="comments"><p>reader says, hello, there, all</p></div><footer>&copy; x</footer></body></html>"""
@@ -272,52 +223,3 @@ def test_warc(spark):
     assert {k: r.status for k, r in got.items()} == {3: "verified", 4: "stale", 5: "unresolved", 6: "unresolved", 7: "unverified"}
     assert got[3].headers_merged == {"etag": 'W/"1"', "date": "d3", "content-type": "t"} and got[3].digest_resolved == "p1"
     assert warc.resolve(df.where("false")).count() == 0
-
-
-def test_pieces(spark, docs):
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    lat = piece_sampling.Lattice(model)
-    odd = ["Hello  world ▁x 梦😀\n\tfoo", " a ", "", "x" * 300, "▁", " \U000f0000 "]
-    a = piece_sampling.encode(lat, list(enumerate(odd)))
-    assert [piece_sampling.decode(lat, x) for x in a] == odd
-    assert a == piece_sampling.encode(piece_sampling.Lattice(model), list(enumerate(odd)))
-    many = piece_sampling.encode(lat, [(i, "international") for i in range(400)])
-    assert len({tuple(x) for x in many}) > 3
-    out = piece_sampling.sample(docs, ["doc_id"], model)
-    assert out.where("not lossless").count() == 0 and out.count() == docs.count()
-
-
-def test_pieces_cover_both_tables(spark, tmp_path):
-    docs = [(1, "Hello  world"), (2, ""), (3, None), (4, "naïve 梦 ▁" * 50000)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, 0, "Good day")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = queries.op10_sentencepiece_sampling(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id or 0, r.conv_id or 0) for r in got) == [(0, 7), (1, 0), (2, 0), (3, 0), (4, 0)]
-    n = {r.doc_id: r.n_pieces for r in got}
-    assert all(r.lossless for r in got) and n[2] == n[3] == 0 and n[1] > 1 and n[4] > 400000
-
-
-def test_sampled_frequencies_follow_the_weights():
-    lat = piece_sampling.Lattice(public_tokenizers.path("piece_bpe_32k.model"), 0.001)
-    n = collections.Counter(tuple(x) for x in piece_sampling.encode(lat, [(i, "om") for i in range(4000)]))
-    ways = {}
-
-    def walk(rest, ids, w):
-        if not rest:
-            ways[tuple(ids)] = w
-        for j in range(1, len(rest) + 1):
-            if rest[:j] in lat.score:
-                walk(rest[j:], [*ids, *lat.score[rest[:j]][0]], w + lat.alpha * lat.score[rest[:j]][1])
-
-    walk("▁om", [], 0.0)
-    total = sum(np.exp(w) for w in ways.values())
-    for ids, w in ways.items():
-        assert n[ids] / 4000 == pytest.approx(np.exp(w) / total, abs=0.04)
-
-
-def test_plain_and_logarithmic_sums_agree():
-    lat = piece_sampling.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    for word in ("▁international", "▁▁▁", "\U000f0000\U000f0001", "▁naïveté", "a"):
-        for plain, log in zip(lat.short(word), lat.long(word), strict=True):
-            whole = sum(w for w, *_ in plain)
-            assert [x[1:] for x in plain] == [x[1:] for x in log] and [w / whole for w, *_ in plain] == pytest.approx([w for w, *_ in log])
