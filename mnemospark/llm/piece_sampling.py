@@ -2,7 +2,7 @@
 
 White space becomes the piece mark, and no piece that is used holds a mark behind another character, so a text's lattice
 falls apart at words. The distinct words of about CHUNK characters are worked together, in vectors: a trie of the
-pieces, held as one sorted table of transitions, gives all arcs of all their lattices, a character further at a time;
+pieces, held as one table of transitions, gives all arcs of all their lattices, a character further at a time;
 the forward pass sums, place by place from the left, the weights exp(alpha * score) of all ways to each place, as
 logarithms; backward, a way is drawn for every occurrence of a word, piece by piece, with the probabilities that the
 forward sums give. A row's random numbers come from a counter-based generator keyed by the row's key, so that they do
@@ -37,7 +37,7 @@ ALPHA, SEED = 0.0005, 17
 #: The negative logarithm of the weight of a character that no piece covers.
 UNKNOWN = 40.0
 #: Characters that are encoded together; a longer text goes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stands for a literal piece mark while words are cut: a lone surrogate, which no UTF-8 text holds.
 PRIVATE = "\udc00"
@@ -90,9 +90,32 @@ class Lattice:
                     weight.append(0.0)
                 at = nodes[step]
             piece[at], weight[at] = i, alpha * s
-        self.steps = np.array(sorted(nodes), np.int64)
-        self.into = np.array([nodes[k] for k in sorted(nodes)])
         self.piece, self.weight = np.array(piece), np.array(weight)
+        # transitions in a hash table of four to eight times their number; -1 marks a free place
+        self.bits = max(4, (4 * len(nodes)).bit_length())
+        self.steps, self.into = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        at = self._slot(np.array(list(nodes), np.int64)).tolist()
+        for h, (step, node) in zip(at, nodes.items(), strict=True):
+            while self.steps[h] >= 0:
+                h = (h + 1) & ((1 << self.bits) - 1)
+            self.steps[h], self.into[h] = step, node
+
+    def _slot(self, step: np.ndarray) -> np.ndarray:
+        return ((step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, step: np.ndarray) -> np.ndarray:
+        """The nodes that transitions lead to, -1 where the trie has none."""
+        h = self._slot(step)
+        seen = self.steps[h]
+        out = np.where(seen == step, self.into[h], -1)
+        rest = np.flatnonzero((seen != step) & (seen >= 0))
+        while len(rest):
+            h[rest] = (h[rest] + 1) & ((1 << self.bits) - 1)
+            seen = self.steps[h[rest]]
+            hit = seen == step[rest]
+            out[rest[hit]] = self.into[h[rest[hit]]]
+            rest = rest[~hit & (seen >= 0)]
+        return out
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (MARK if char == PRIVATE else char).encode("utf-8", "surrogatepass")]
@@ -106,15 +129,12 @@ class Lattice:
         live, state, k = np.arange(len(code)), np.zeros(len(code), np.int64), 0
         out: list[tuple] = []
         while len(live):
-            step = (state << BITS) | code[live + k]
-            i = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
-            ok = self.steps[i] == step
+            state = self.follow((state << BITS) | code[live + k])
             if k == 0:
-                bare = ~ok
-                bare[ok] = self.piece[self.into[i[ok]]] < 0
-                at = live[bare]
+                at = live[(state < 0) | (self.piece[state] < 0)]
                 out.append((at, np.ones(len(at), np.int64), code[at] + self.size, np.full(len(at), -UNKNOWN)))
-            live, state = live[ok], self.into[i[ok]]
+            ok = state >= 0
+            live, state = live[ok], state[ok]
             k += 1
             hit = self.piece[state] >= 0
             out.append((live[hit], np.full(int(hit.sum()), k), self.piece[state[hit]], self.weight[state[hit]]))
@@ -136,7 +156,9 @@ class Choices:
         source = origin + word[origin]  # one more node than characters in each word
         node = source + length
         place = node - (self.top - size)[word[origin]]
-        order = np.lexsort((source, node, place))
+        # by place, node and length, which are all different
+        deep, wide = int(length.max()).bit_length(), int(node.max()).bit_length()
+        order = np.argsort((((place << wide) | node) << deep) | length)
         source, node, weight, place = source[order], node[order], weight[order], place[order]
         total = np.full(len(code) + len(words), -np.inf)
         total[self.top - size] = 0.0
@@ -154,14 +176,8 @@ class Choices:
             whole = np.add.reduceat(part[lo:hi], starts)
             part[lo:hi] /= whole[g]
             total[node[begin[group[lo] : group[hi - 1] + 1]]] = most + np.log(whole)
-        run = np.cumsum(part)
-        base = np.concatenate(([0.0], run))[begin]
-        #: group of arcs into a node, plus the cumulated probability within it: rises along all arcs
-        self.flat = group + np.minimum(run - base[group], 1.0)
-        self.group = np.zeros(len(total), np.int64)
-        self.group[node] = group
-        self.last = np.concatenate((begin[1:], [len(node)])) - 1
-        self.first = begin
+        self.first, self.last = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
+        self.first[node[begin]], self.last[node[begin]] = begin, np.concatenate((begin[1:], [len(node)])) - 1
         self.source, self.piece, self.share = source, piece[order], part
         self.start = np.zeros(len(total), bool)
         self.start[self.top - size] = True
@@ -171,8 +187,12 @@ class Choices:
         live, node, count = np.arange(len(at)), self.top[at], np.zeros(len(at), np.int64)
         steps = []
         while len(live):
-            g = self.group[node]
-            arc = np.clip(np.searchsorted(self.flat, g + random[u_at[live] + len(steps)], side="right"), self.first[g], self.last[g])
+            arc, left = self.first[node], random[u_at[live] + len(steps)]
+            more = np.arange(len(arc))
+            while len(more):  # pass over arcs until their shares reach the random number
+                left[more] -= self.share[arc[more]]
+                more = more[(left[more] >= 0) & (arc[more] < self.last[node[more]])]
+                arc[more] += 1
             steps.append((live, arc))
             count[live] += 1
             node = self.source[arc]
