@@ -71,6 +71,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled and sorted, however small it is today, never broadcast."""
+    return df.hint("merge")
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the runs of equal keys in sorted batches; a run may go on over several batches."""
     held: list[pa.RecordBatch] = []
@@ -108,11 +113,11 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFram
         # large star: every larger neighbour of a node points at the node's least neighbour
         u = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = scratch.keep(u.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = u.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = u.where("v > u").join(grows(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = scratch.keep(large.union(now.where("a = b")).distinct())
         # small star: every smaller neighbour of a node, and the node, point at the least of them
         low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        small = large.join(grows(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = scratch.keep(small.distinct())
         n = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now, least, large, low)

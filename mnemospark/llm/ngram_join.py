@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_group, columns, components
+from .common import Scratch, by_group, columns, components, grows
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, levels of a label, bytes of a level, and the shortest prefix that is looked at.
@@ -232,7 +232,7 @@ def _blocked(scratch: Scratch, df: DataFrame, key: str, order: str, size: str) -
     many share a block. A block on the diagonal has side 0, others -1 and 1.
     """
     counts = scratch.keep(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
-    df = df.join(counts, key)
+    df = df.join(grows(counts), key)
     blocks = F.ceil(F.col("n") / F.expr(size)).cast("int")
     df = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int"))
     dealt = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('part', least(own, o) * blocks + greatest(own, o), 'side', case when o = own then 0 when own < o then -1 else 1 end))")
@@ -249,7 +249,7 @@ def forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
         keyed = rows.withColumn("bucket", node(depth))
         # written before the join, so that both of its sides are plain exchanges and a hot node can be split
         sizes = scratch.keep(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-        found = keyed.join(sizes, "bucket", "inner" if depth == SHORTEST else "left")
+        found = keyed.join(grows(sizes), "bucket", "inner" if depth == SHORTEST else "left")
         found = scratch.keep(found.select("rep", "tree", "label", "bucket", F.coalesce("n", F.lit(1)).alias("n"), F.lit(depth).alias("depth")))
         stays = found.where((F.col("n") <= SMALL) | (F.col("depth") == DEPTH))
         (settled if depth == SHORTEST else deep).append(stays)
@@ -268,8 +268,8 @@ def forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
     short = missed.where(F.exp(F.col("miss") + (TREES - F.col("trees")) * float(np.log(here))) > 1 - RECALL).select("rep")
     limit = deepest(RECALL)
     far = below.where(F.col("depth") > limit).withColumn("up", node(limit))
-    asked = far.join(short, "rep", "left_semi").select("up").distinct().withColumn("asked", F.lit(True))
-    far = far.join(scratch.keep(asked), "up", "left").select("rep", F.when(F.col("asked"), F.col("up")).otherwise(F.col("bucket")).alias("bucket"))
+    asked = far.join(grows(short), "rep", "left_semi").select("up").distinct().withColumn("asked", F.lit(True))
+    far = far.join(grows(scratch.keep(asked)), "up", "left").select("rep", F.when(F.col("asked"), F.col("up")).otherwise(F.col("bucket")).alias("bucket"))
     return out.union(below.where(F.col("depth") <= limit).select("rep", "bucket")).union(far)
 
 
@@ -281,19 +281,19 @@ def _linked(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Dat
         F.min(F.struct("row", "doc_id", "th")).alias("of"), F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("label").alias("label"), F.first("small").alias("small")
     )
     reps = scratch.keep(reps.select("class_key", F.col("of.row").alias("rep"), "of.doc_id", "of.th", "first_id", "n_copies", "label", "small"))
-    buckets = scratch.keep(forest(scratch, reps.select("rep", "label")).join(reps.select("rep", "small"), "rep"))
+    buckets = scratch.keep(forest(scratch, reps.select("rep", "label")).join(grows(reps.select("rep", "small")), "rep"))
     parts = _blocked(scratch, buckets, "bucket", "rep", BUCKET)
     near = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_near, "a long, b long")
     groups = components(scratch, near).withColumnRenamed("root", "group")
-    wanted = scratch.keep(groups.withColumnRenamed("id", "rep").join(reps.select("rep", "doc_id", "th"), "rep"))
-    texts = wanted.join(whole.withColumnRenamed("doc_id", "id"), ["th"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "group", "text")
+    wanted = scratch.keep(groups.withColumnRenamed("id", "rep").join(grows(reps.select("rep", "doc_id", "th")), "rep"))
+    texts = grows(wanted).join(whole.withColumnRenamed("doc_id", "id"), ["th"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "group", "text")
     # rows that agree in id and text stand for each other
     sets = texts.mapInArrow(_shingled, "rep long, group long, sh binary").groupBy("rep", "group").agg(F.first("sh").alias("sh"))
     verified = _blocked(scratch, scratch.keep(sets), "group", "rep", BLOCK).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify, "rep long, top long, links long")
     verified = scratch.keep(verified)
     roots = components(scratch, verified.select(F.col("rep").alias("a"), F.col("top").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = reps.select("class_key", "rep", "n_copies", "first_id").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = reps.select("class_key", "rep", "n_copies", "first_id").join(grows(links), "rep", "left").join(grows(roots.withColumnRenamed("id", "rep")), "rep", "left")
     return signed.select("row", "doc_id", "th", "class_key"), classes.select("class_key", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "first_id")
 
 
@@ -311,8 +311,8 @@ def match(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows, classes = _linked(spark, docs, scratch)
     classes = scratch.keep(classes)
     ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = classes.join(ids, "root").drop("root")
-    return rows.join(named, "class_key", "left").select(
+    named = classes.join(grows(ids), "root").drop("root")
+    return rows.join(grows(named), "class_key", "left").select(
         "doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("rep_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
@@ -326,9 +326,9 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark)
     rows, classes = _linked(spark, docs, scratch)
-    found = rows.join(classes.select("class_key", "root"), "class_key")
+    found = rows.join(grows(classes.select("class_key", "root")), "class_key")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "th")).alias("best"))
     kept = scratch.keep(kept.select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("th")))
     packed = docs.select(F.struct(*columns(docs)).alias("packed"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
-    stay = packed.where("words").join(kept, "th").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["doc_id", "th"]).select("packed.*")
+    stay = packed.where("words").join(grows(kept), "th").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["doc_id", "th"]).select("packed.*")
     return stay.union(packed.where("not words").select("packed.*"))
