@@ -2,9 +2,11 @@
 
 The lengths of all pieces form a histogram of at most `capacity` entries, which is all that reaches the driver.
 A covering program over patterns (multisets of lengths that fit into one sequence) is solved by multiplicative
-weights: each round prices the lengths by their weights, a knapsack dynamic program finds the best pattern, and
-lengths that it covers lose weight. The fractional solution is rounded down, and what is left is packed best fit
-in decreasing order over the histogram. Pieces then find their places by their rank within their length.
+weights: each round prices the lengths by their weights, a knapsack dynamic program finds the best patterns, these are
+used up to a share of the stock of their scarcest length, and lengths that are covered beyond the others lose weight.
+Multiplicative updates of the amounts then bring the coverage of every length close to its stock. The amounts are
+rounded down; where a length has run out, its room in a pattern goes to the longest pieces that fit, and what no whole
+pattern takes is packed best fit in decreasing order. Pieces then find their places by their rank within their length.
 
 Defined results: null text packs as an empty document, i.e. as its end token alone; equal documents are packed
 each on their own; an empty table gives no rows; other columns of the input are not looked at.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +32,9 @@ from .common import Scratch
 CAPACITY, END = 1024, 2
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Rounds of weights, the share of a need that a round may cover, how fast weights fall, how far from the best price a
+#: pattern may be, and updates of the amounts.
+ROUNDS, SHARE, RATE, SLACK, FITS = 400, 0.02, 0.01, 0.01, 1500
 #: Ranks within a length are counted in so many groups, so that no length gathers in one task.
 SALTS = 256
 
@@ -94,56 +100,114 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Indices, with repeats, of the lengths in a pattern of the highest total price, by dynamic programming over the capacity."""
+def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest total price by room, and the index of the length to take first there (-1: leave one token free)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = bisect.bisect_right(lengths, c)
-        best[c], pick[c] = best[c - 1], -1
-        if n:
-            v = price[:n] + best[c - lengths[:n]]
-            i = int(v.argmax())
-            if v[i] > best[c]:
-                best[c], pick[c] = v[i], i
-    out, c = [], capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fitting[room]
+        value = price[:n] + best[room - lengths[:n]]
+        i = int(value.argmax())
+        best[room] = best[room - 1]
+        if value[i] > best[room]:
+            best[room], pick[room] = value[i], i
+    return best, pick
+
+
+def best_pattern(room: int, pick: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """The lengths, by index and with repeats, that a knapsack table takes for a room."""
+    out = []
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
         else:
-            out.append(int(pick[c]))
-            c -= int(lengths[pick[c]])
+            out.append(int(pick[room]))
+            room -= int(lengths[pick[room]])
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, rate: float = 0.35) -> list[tuple[dict[int, int], int]]:
+def program(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS, share: float = SHARE, rate: float = RATE, slack: float = SLACK, fits: int = FITS) -> dict[tuple[tuple[int, int], ...], float]:
+    """Amounts of patterns that cover each length about as often as needed; a pattern is ((index of a length, count), ..).
+
+    A pattern is taken in a round if its price is within `slack` of the best one's, and in such an amount that no
+    length is covered more than `share` of its need in the round. Weights fall exponentially with what a length is
+    covered beyond the mean.
+    """
+    mass = need * lengths / (need @ lengths)
+    have, weight = np.zeros(len(need)), np.ones(len(need))
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    for _ in range(rounds):
+        price = lengths / capacity * weight
+        best, pick = knapsack(price, lengths, capacity)
+        with_one = price + best[capacity - lengths]  # the best pattern that holds a given length
+        good = np.flatnonzero(with_one >= best[capacity] * (1 - slack))
+        room = share * need
+        for i in good[np.argsort(have[good] / need[good], kind="stable")].tolist():
+            if room[i] <= 0:
+                continue
+            pattern = Counter([i, *best_pattern(int(capacity - lengths[i]), pick, lengths)])
+            amount = min(room[j] / c for j, c in pattern.items())
+            if amount > 1e-9 * need[i]:
+                key = tuple(sorted(pattern.items()))
+                used[key] = used.get(key, 0.0) + amount
+                for j, c in pattern.items():
+                    room[j] -= c * amount
+                    have[j] += c * amount
+        covered = have / need
+        weight = np.exp(np.clip(-rate * (covered - covered @ mass) / share, -8, 8))
+    # amounts such that the mean length is covered once, then multiplied until each is
+    patterns = list(used)
+    amount = np.array([used[p] for p in patterns]) / ((have / need) @ mass)
+    of = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    item = np.array([j for p in patterns for j, _ in p])
+    count = np.array([c for p in patterns for _, c in p], float)
+    part = count * lengths[item]
+    whole = np.bincount(of, part)
+    for _ in range(fits):
+        covered = np.bincount(item, count * amount[of], len(need)) / need
+        amount = amount * np.exp(-np.bincount(of, part * np.log(np.maximum(covered, 1e-9))[item]) / whole)
+    return dict(zip(patterns, amount.tolist(), strict=True))
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(pattern, times) whose patterns take every piece exactly once. A pattern maps lengths to counts."""
-    left = {n: c for n, c in histogram.items() if c > 0}
+    stock = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[dict[int, int], int]] = []
-    if capacity in left:
-        out.append(({capacity: 1}, left.pop(capacity)))
-    if left:
-        lengths = np.array(sorted(left))
-        need = np.array([left[n] for n in lengths], float)
-        have, weight = np.zeros(len(need)), np.ones(len(need))
-        used: dict[tuple[int, ...], float] = {}
-        for _ in range(rounds):
-            pattern = knapsack(weight / need, lengths, capacity)
-            items, counts = np.unique(pattern, return_counts=True)
-            step = (need[items] / counts).min()
-            used[tuple(pattern)] = used.get(tuple(pattern), 0.0) + step
-            have[items] += counts * step
-            weight[items] *= np.exp(-rate * counts * step / need[items])
-            weight /= weight.max()
-        scale = max((have / need).min(), (have @ lengths) / (need @ lengths) * 0.97, 1e-9)
-        for pattern, x in sorted(used.items(), key=lambda p: -p[1]):
-            items, counts = np.unique(pattern, return_counts=True)
-            times = min(int(x / scale), *(left.get(int(lengths[i]), 0) // int(c) for i, c in zip(items, counts, strict=True)))
-            if times > 0 and sum(int(lengths[i]) for i in pattern) >= 0.98 * capacity:
-                for i, c in zip(items, counts, strict=True):
-                    left[int(lengths[i])] -= int(c) * times
-                out.append(({int(lengths[i]): int(c) for i, c in zip(items, counts, strict=True)}, times))
-        out += best_fit(left, capacity)
-    return out
+    if capacity in stock:
+        out.append(({capacity: 1}, stock.pop(capacity)))
+    if not stock:
+        return out
+    lengths = sorted(stock)
+    amounts = program(np.array(lengths), np.array([stock[n] for n in lengths], float), capacity)
+    order = list(lengths)
+    for pattern, amount in sorted(amounts.items(), key=lambda p: (-int(p[1]), p[0])):
+        times = int(amount)
+        while times > 0:
+            taken = {lengths[j]: min(c, stock[lengths[j]]) for j, c in pattern if stock[lengths[j]]}
+            if not taken:
+                break
+            if sum(n * c for n, c in taken.items()) < sum(lengths[j] * c for j, c in pattern):
+                order = [n for n in order if stock[n]]
+                fill(taken, stock, order, capacity)
+            k = min(times, *(stock[n] // c for n, c in taken.items()))
+            for n, c in taken.items():
+                stock[n] -= c * k
+            out.append((taken, k))
+            times -= k
+    return out + best_fit(stock, capacity)
+
+
+def fill(pattern: dict[int, int], stock: dict[int, int], order: list[int], capacity: int) -> None:
+    """Adds the longest pieces of the stock that still fit, as often as it allows; order has the lengths in stock, rising."""
+    room = capacity - sum(n * c for n, c in pattern.items())
+    i = bisect.bisect_right(order, room) - 1
+    while i >= 0 and room:
+        n = order[i]
+        take = min(stock[n] - pattern.get(n, 0), room // n)
+        if take > 0:
+            pattern[n] = pattern.get(n, 0) + take
+            room -= take * n
+        i = min(i, bisect.bisect_right(order, room)) - 1
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -152,16 +216,7 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     order, out = sorted(stock), []
     while order:
         pattern: dict[int, int] = {}
-        room = capacity
-        while (i := bisect.bisect_right(order, room) - 1) >= 0:
-            while i >= 0 and stock[order[i]] <= pattern.get(order[i], 0):
-                i -= 1
-            if i < 0:
-                break
-            n = order[i]
-            take = min(stock[n] - pattern.get(n, 0), room // n)
-            pattern[n] = pattern.get(n, 0) + take
-            room -= take * n
+        fill(pattern, stock, order, capacity)
         times = min(stock[n] // c for n, c in pattern.items())
         for n, c in pattern.items():
             stock[n] -= c * times
@@ -172,11 +227,9 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, count in a sequence, first sequence, offset in it), by the better of the program and plain best fit."""
-    tried = [solve(histogram, capacity), best_fit(dict(histogram), capacity)]
-    chosen = min(tried, key=lambda s: sum(t for _, t in s))
+    """(length, first rank, count in a sequence, first sequence, offset in it) for each length of each pattern."""
     rows, taken, sequence = [], dict.fromkeys(histogram, 0), 0
-    for pattern, times in chosen:
+    for pattern, times in solve(histogram, capacity):
         at = 0
         for n in sorted(pattern, reverse=True):
             rows.append((n, taken[n], pattern[n], sequence, at))
@@ -189,14 +242,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document, once.
 
-    The plan has at most a few thousand rows whatever the input (patterns times lengths), the counts by length and
-    salt at most capacity * SALTS; both are broadcast for that reason. Everything else is partitioned by length and salt.
+    The plan has some ten thousand entries whatever the input (at most one pattern for each length and round, and one for
+    each length that runs out), the counts by length and salt at most capacity * SALTS rows; both are broadcast for that
+    reason, after a look at their size. Everything else is partitioned by length and salt.
     """
     scratch = Scratch(spark)
     rows = scratch.keep(pieces(docs, tokenizer, capacity, end))
     counts = scratch.keep(rows.groupBy("length", "salt").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     slots = plan(histogram, capacity)
+    if len(slots) > capacity * (4 * ROUNDS + 64) or len(histogram) > capacity:
+        raise ValueError("the plan is larger than its bound")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")

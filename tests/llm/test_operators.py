@@ -4,15 +4,12 @@ import collections
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from mnemospark.llm import html_extract, packing, pii, quality_rules, secret_scans, suffix_dedup, warc
+from mnemospark.llm import html_extract, pii, quality_rules, secret_scans, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,46 +40,6 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_packing(spark, docs, none):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    whole = Tokenizer.from_file(path)
-    odd = ["a  b", " a\n b \nc", "x <|endoftext|> y", "日本 é", "it's  the\t\tend ", ""]
-    encode = packing.Encoder(path)
-    for t in odd + [t for _, t in texts() if t]:
-        assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    rows = packing.pack(spark, docs, path).collect()
-    want = sorted((i is None, i or 0, len(whole.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in texts())
-    by = collections.defaultdict(list)
-    for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
-    for placed in by.values():
-        at = 0
-        for o, n in sorted(placed):
-            assert o == at
-            at += n
-        assert at <= 1024
-    assert sum(n for *_, n in want) == sum(r.length for r in rows)
-    ids = whole.encode(texts()[9][1], add_special_tokens=False).ids + [2]
-    mine = sorted((r for r in rows if r.doc_id == 9), key=lambda r: r.piece)
-    assert [r.length for r in mine][1:] == [1024] * (len(mine) - 1)
-    assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in mine)
-    assert packing.pack(spark, none, path).count() == 0
-
-
-def test_packing_plan_is_near_the_bound():
-    rng = random.Random(1)
-    h = collections.Counter(rng.randint(20, 1024) for _ in range(5000))
-    chosen = packing.solve(dict(h))
-    used = collections.Counter()
-    for pattern, times in chosen:
-        assert sum(n * c for n, c in pattern.items()) <= 1024
-        for n, c in pattern.items():
-            used[n] += c * times
-    assert used == h
-    best = min(sum(t for _, t in chosen), sum(t for _, t in packing.best_fit(dict(h), 1024)))
-    assert best <= 1.03 * sum(n * c for n, c in h.items()) / 1024 + 1
-
-
 def test_suffix_dedup(spark, docs, none):
     rows = suffix_dedup.remove(spark, docs).collect()
     data = [(i, (t or "").encode()) for i, t in texts()]
