@@ -1,24 +1,30 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each document gets counts (words, symbols, repeated lines and windows) and from these a few rule scores. For each
-stratum (language) and rule, a grid of cutoffs is tested on the labelled documents: a cutoff may reject good
-documents (quality 1, not toxic) at a rate of at most `alpha / number of rules`. It passes only if an exact binomial
-tail says so at level `delta / (strata * rules * cutoffs)`, which is Bonferroni's correction over every test made, so
-with probability 1 - delta no stratum loses more than `alpha` of its good documents. The strictest cutoff that
-passes is used; where none passes (few labels), the rule rejects nothing in that stratum.
+Each document gets counts (words, symbols, repeated lines and windows) and from these a few rule scores, each with a grid
+of cutoffs. For each stratum (language), settings of all cutoffs together are tested on the labelled documents: a setting
+may reject good documents (quality 1, not toxic, past the base rule) at a rate of at most `alpha`. The settings form fixed
+paths, one that starts with each rule: all rules are off, then one after the other is tightened cutoff by cutoff. Along a
+path, exact binomial tails are compared with `delta / (strata * paths)`, and the first that fails ends it: a path
+certifies no bad setting but with that probability, so by Bonferroni's correction over strata and paths, with probability
+1 - delta no certified setting of any stratum loses more than `alpha` of its good documents. Of a stratum's certified settings
+the one is used that rejects most labelled bad documents beyond the good ones that it rejects, then the mildest. A stratum
+in which no setting is certified has no cutoffs: with no good document rejected, that takes `least_labels()` labelled good documents, 308.
 
 Defined results: null or empty text has no words, so the base rule rejects it; a null or unlisted language is the
 stratum "other"; repeated doc_ids are judged row by row; labels that are null count for nothing and repeated labels
 of a document count once (the lowest); an empty table gives no rows; columns that are not named here are not looked
-at. Windows are told apart by 64-bit hashes and then compared as words, so equal hashes alone never count.
+at. Windows are told apart by 64-bit hashes; those that seem to repeat are then compared as words.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, columns
 
 STRATA = ("en", "de", "fr", "es")
 ALPHA, DELTA = 0.02, 0.05
@@ -34,15 +40,24 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _repeats() -> Column:
-    """Words within 3-word windows that occur twice or more, from the array column `w`.
+    """Words within 3-word windows that occur twice or more, from the array columns `w` and `k`.
 
-    Windows become longs of hash bits above index bits; sorted as primitives, equal windows lie side by side.
+    The longs of `k` are hash bits above index bits, sorted, so that equal windows lie side by side. Those whose hash
+    bits repeat are sorted by their words, and only equal words count.
     """
     return F.expr("""
         aggregate(
-          array_sort(flatten(transform(
-            filter(sequence(1, greatest(size(k) - 1, 1)), j -> size(k) > 1 and shiftright(k[j], bits) = shiftright(k[j - 1], bits)),
-            j -> transform(array(k[j - 1], k[j]), x -> cast(x & (shiftleft(1L, bits) - 1) as int))))),
+          transform(
+            array(array_sort(transform(
+              array_distinct(flatten(transform(
+                filter(sequence(1, greatest(size(k) - 1, 1)), j -> size(k) > 1 and shiftright(k[j], bits) = shiftright(k[j - 1], bits)),
+                j -> transform(array(k[j - 1], k[j]), x -> cast(x & (shiftleft(1L, bits) - 1) as int))))),
+              i -> named_struct('window', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)))),
+            some -> array_sort(transform(
+              filter(transform(some, (x, j) -> named_struct('i', x.i, 'same',
+                  (j > 0 and some[greatest(j - 1, 0)].window = x.window) or (j < size(some) - 1 and some[least(j + 1, size(some) - 1)].window = x.window))),
+                x -> x.same),
+              x -> x.i)))[0],
           named_struct('n', 0L, 'at', -3),
           (s, i) -> named_struct('n', s.n + least(3, greatest(i - s.at, 0)), 'at', i),
           s -> s.n)
@@ -100,24 +115,50 @@ def tail(k: str, n: str, p: float) -> Column:
           s -> s.sum) end""")
 
 
+RULES = tuple(GRID)
+#: Fixed paths: for each, the cutoffs in force by rule after each step, as a number of cutoffs tried (0: the rule is off).
+PATHS = [
+    [tuple(len(GRID[r]) if (j - first) % len(RULES) < k else step if (j - first) % len(RULES) == k else 0 for j, r in enumerate(RULES)) for k in range(len(RULES)) for step in range(1, len(GRID[RULES[(first + k) % len(RULES)]]) + 1)]
+    for first in range(len(RULES))
+]
+
+
+def least_labels(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Labelled good documents that a stratum needs for a cutoff to be certified that rejects none of them."""
+    return ceil(log(delta / ((len(STRATA) + 1) * len(PATHS))) / log(1 - alpha))
+
+
 def thresholds(spark: SparkSession, measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_rejected, certified: every test; at most 5 strata x 30 cutoffs rows."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    held = measured.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(good, "doc_id", "left_semi")
-    counts = [F.count("*").alias("n_good")]
-    for rule, score in scores().items():
-        counts += [F.count_if(score > F.lit(c)).alias(f"{rule}__{i}") for i, c in enumerate(GRID[rule])]
-    by = held.groupBy(stratum().alias("stratum")).agg(*counts)
-    tests = [(r, i, float(c)) for r, g in GRID.items() for i, c in enumerate(g)]
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}__{i}").alias("n_rejected")) for r, i, c in tests])).alias("t")
-    level = delta / (len(tests) * (len(STRATA) + 1))
-    return by.select("stratum", "n_good", each).select("stratum", "t.*", "n_good").withColumn("certified", tail("n_rejected", "n_good", alpha / len(GRID)) <= F.lit(level))
+    """stratum, path, step, n_good, good_rejected, n_bad, bad_rejected, certified: at most 5 strata x 150 settings.
+
+    Documents are first counted by the step at which each rule begins to reject them, so each setting is tried on counts.
+    """
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null")
+    known = known.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    held = measured.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(known, "doc_id")
+    by = scores()
+    first = [(len(GRID[r]) + 1 - sum((by[r] > F.lit(float(c))).cast("int") for c in GRID[r])).alias(f"first_{j}") for j, r in enumerate(RULES)]
+    counted = held.select(stratum().alias("stratum"), "good", *first).groupBy("stratum", "good", *[f"first_{j}" for j in range(len(RULES))]).count()
+    tests = [F.struct(F.lit(p).alias("path"), F.lit(k).alias("step"), F.array(*map(F.lit, cuts)).alias("cuts")) for p, path in enumerate(PATHS) for k, cuts in enumerate(path)]
+    tried = counted.withColumn("t", F.explode(F.array(*tests)))
+    rejected = F.expr(" or ".join(f"first_{j} <= t.cuts[{j}]" for j in range(len(RULES))))
+    total = lambda which, name: F.sum(F.when(which, F.col("count")).otherwise(0)).alias(name)
+    good = F.col("good")
+    each = tried.groupBy("stratum", F.col("t.path").alias("path"), F.col("t.step").alias("step")).agg(
+        total(good, "n_good"), total(good & rejected, "good_rejected"), total(~good, "n_bad"), total(~good & rejected, "bad_rejected")
+    )
+    passed = each.withColumn("passed", (F.col("n_good") > 0) & (tail("good_rejected", "n_good", alpha) <= F.lit(delta / ((len(STRATA) + 1) * len(PATHS)))))
+    before = Window.partitionBy("stratum", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return passed.withColumn("certified", F.min("passed").over(before)).drop("passed")
 
 
 def limits_of(tests: DataFrame) -> dict[tuple[str, str], float]:
-    """The strictest certified cutoff by stratum and rule: at most 5 x 5 numbers, which become literals of the plan."""
-    chosen = tests.where("certified").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return {(r["stratum"], r["rule"]): r["cutoff"] for r in chosen.collect()}
+    """The cutoffs in force by stratum and rule: at most 5 x 5 numbers, which become literals of the plan."""
+    best: dict[str, tuple] = {}
+    for r in tests.where("certified").collect():
+        rank = (r["good_rejected"] - r["bad_rejected"], r["good_rejected"], r["step"], r["path"])
+        best[r["stratum"]] = min(best.get(r["stratum"], rank), rank)
+    return {(s, rule): GRID[rule][len(GRID[rule]) - k] for s, (_, _, step, path) in best.items() for rule, k in zip(RULES, PATHS[path][step], strict=True) if k}
 
 
 def verdict(measured: DataFrame, limits: dict[tuple[str, str], float]) -> DataFrame:
@@ -127,7 +168,7 @@ def verdict(measured: DataFrame, limits: dict[tuple[str, str], float]) -> DataFr
         rejects = F.lit(False)
         for s in (*STRATA, "other"):
             if (s, rule) in limits:
-                rejects = rejects | ((stratum() == F.lit(s)) & (score > F.lit(limits[s, rule])))
+                rejects = rejects | ((stratum() == F.lit(s)) & (score > F.lit(float(limits[s, rule]))))
         failed.append(F.when(rejects, F.lit(rule)))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     out = measured.withColumns({"base_failed": base, "failed_rules": F.concat_ws(",", *failed)})
@@ -146,6 +187,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: fl
 
     The counts are written once, beside their rows: filters on them, pushed below, would take them again for every use.
     """
-    carried = Scratch(spark).keep(features(docs.withColumn("__row", F.struct(*docs.columns)), also=["__row"]))
+    carried = Scratch(spark).keep(features(docs.select("doc_id", "lang", "text", F.struct(*columns(docs)).alias("__row")), also=["__row"]))
     limits = limits_of(thresholds(spark, carried, labels, alpha, delta))
     return verdict(carried, limits).where("kept").select("__row.*")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import html_extract, pii, quality_rules, secret_scans, suffix_dedup, warc
+from mnemospark.llm import html_extract, pii, secret_scans, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,37 +73,6 @@ def test_classes_split_alike():
     assert all(sum(1 for c in range(j) if c * -(-suffix_dedup.PLACES // j) <= o <= min(suffix_dedup.PLACES, (c + 1) * -(-suffix_dedup.PLACES // j)) - 1) == 1 for _, j in suffix_dedup.CLASSES for o in range(suffix_dedup.PLACES))
 
 
-def test_quality_rules(spark, docs, none):
-    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
-    rows = quality_rules.judge(spark, docs, labels).collect()
-    for r in rows:
-        if r.doc_id is None or r.doc_id == 0:
-            continue
-        t = dict(texts()[1:13])[r.doc_id] or ""
-        w = WORD.findall(t)
-        win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        n = collections.Counter(win)
-        cover = {i + j for i, x in enumerate(win) if n[x] > 1 for j in range(3)}
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
-        assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and r.kept == (not r.base_failed)
-    assert quality_rules.judge(spark, none, labels).count() == 0
-    assert quality_rules.keep_good(spark, docs, labels).columns == docs.columns
-
-
-def test_binomial_tail_and_thresholds(spark):
-    from math import comb
-
-    df = spark.createDataFrame([(k, n) for n in (5, 60, 400) for k in (0, 1, 4)], "k long, n long").withColumn("p", quality_rules.tail("k", "n", 0.05))
-    for r in df.collect():
-        assert r.p == pytest.approx(sum(comb(r.n, i) * 0.05**i * 0.95 ** (r.n - i) for i in range(r.k + 1)), rel=1e-9)
-    clean = [(i, "en", 100, 500, 0, 0, 10, 0) for i in range(4000)] + [(9000 + i, "en", 100, 500, 300, 0, 10, 0) for i in range(50)]
-    m = spark.createDataFrame(clean, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
-    labels = m.where("doc_id < 9000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    limits = quality_rules.limits_of(quality_rules.thresholds(spark, m, labels))
-    out = quality_rules.verdict(m, limits)
-    assert out.where("doc_id < 9000 and not kept").count() == 0 and out.where("doc_id >= 9000 and kept").count() == 0
-
-
 def test_secrets(spark, docs, none):
     rows = {r.doc_id: r for r in secret_scans.report(docs).collect()}
     t = texts()[12][1]
