@@ -1,6 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Fixed patterns give the base spans, which always stay. Looser patterns give further candidates. Four labelers vote on
+Fixed patterns give the base spans, which always stay. Looser patterns of every kind (spelt-out signs, other separators,
+no country code) give further candidates, as far as their digits pass the checks of the kind. Four labelers vote on
 every candidate with 1, -1 or 0 (abstains): the strict pattern with its checks; a gazetteer of top-level domains, card
 issuers, area codes and reserved addresses; cue words in the text before it; and the characters around it. The votes of
 all candidates are counted by kind and vote pattern, a table of at most 4 * 3^4 * 4 rows, from which
@@ -34,8 +35,10 @@ PATTERN = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]++)++",
-    "loose_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
+    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:\x20?[\[({](?:at|@)[\])}]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?[\[({](?:dot|\.)[\])}]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
+    "loose_ip": r"(?i)(?<![0-9.])[0-9]{1,3}(?:(?:\x20?[\[({](?:dot|\.)[\])}]\x20?|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])",
+    "loose_card": r"(?<![0-9])(?:[0-9]{4}[\x20._/-]{1,3}[0-9]{6}[\x20._/-]{1,3}[0-9]{5}|[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){2}[\x20._/-]{1,3}[0-9]{1,7})(?![0-9])",
+    "loose_phone": r"(?<![0-9+(.-])(?:00[1-9][0-9]{0,2}[\x20.-](?:[0-9]{2,5}[\x20.-]){1,4}[0-9]{2,5}|(?:1[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4})(?![0-9])",
 }
 #: Cue words for and against a kind.
 CUES = {
@@ -58,8 +61,10 @@ def _arrays() -> dict[str, Column]:
         "ip": t.rlike(r"[0-9]\.[0-9]"),
         "card": digits,
         "phone": F.contains(t, F.lit("+")),
-        "loose_email": t.rlike(r"(?i)[\[(](?:at|@)[\])]"),
-        "loose_phone": t.rlike(r"[0-9]{3}[. -][0-9]{4}"),
+        "loose_email": t.rlike(r"(?i)[\[({](?:at|@)[\])}]| at "),
+        "loose_ip": t.rlike(r"(?i)[0-9](?: ?[\[({](?:dot|\.)[\])}] ?| dot )[0-9]"),
+        "loose_card": t.rlike("[0-9]{4}[ ._/-]{1,3}[0-9]{4}"),
+        "loose_phone": t.rlike(r"[0-9]{3}[. -][0-9]{4}|(?<![0-9])00[1-9]"),
     }
     out = {}
     for k, p in PATTERN.items():
@@ -75,25 +80,39 @@ def _luhn(d: str) -> str:
         cast(substring('0246813579', cast(substring({d}, i, 1) as int) + 1, 1) as int))) % 10 = 0)"""
 
 
-def _valid(kind: str) -> str:
-    d = "regexp_replace(m, '[^0-9]', '')"
+def _digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
+
+
+def _valid(kind: str, m: str) -> str:
+    """SQL for the checks of a kind on a match."""
+    d = _digits(m)
     if kind == "email":
         return "true"
     if kind == "ip":
-        return "forall(split(m, '[.]', -1), p -> length(ltrim('0', p)) <= 3 and cast(concat('0', right(ltrim('0', p), 3)) as int) <= 255)"
+        return f"forall(split({m}, '[^0-9]+', -1), p -> length(ltrim('0', p)) <= 3 and cast(concat('0', right(ltrim('0', p), 3)) as int) <= 255)"
     if kind == "card":
         return f"(length({d}) between 13 and 19 and if(length({d}) between 13 and 19, {_luhn(d)}, false))"
     return f"length({d}) between 9 and 15"
 
 
-def _gazetteer(kind: str) -> str:
+def _gazetteer(kind: str, m: str) -> str:
     if kind == "email":
-        return f"case when lower(m) rlike '[.\\\\])]\\\\s?(?:{DOMAINS})$' then 1 else -1 end"
+        return f"case when lower({m}) rlike '[^a-z0-9-](?:{DOMAINS})$' then 1 else -1 end"
     if kind == "ip":
-        return "case when m rlike '^(?:0|10|127|255|22[4-9]|2[345][0-9])[.]' then -1 else 1 end"
+        return f"case when {m} rlike '^(?:0|10|127|255|22[4-9]|2[345][0-9])[^0-9]' then -1 else 1 end"
     if kind == "card":
-        return "case when m rlike '^(?:4|5[1-5]|3[47]|6011|65)' then 1 else -1 end"
-    return "case when m rlike '^(?:[+]1[ (.-]*)?[(]?[2-9][0-9]{2}' or m rlike '^[+][2-9]' then 1 else 0 end"
+        return f"case when {m} rlike '^(?:4|5[1-5]|3[47]|6011|65)' then 1 else -1 end"
+    return f"case when {m} rlike '^(?:[+]?1[ (.-]*)?[(]?[2-9][0-9]{{2}}' or {m} rlike '^(?:[+]|00)[2-9]' then 1 else 0 end"
+
+
+def _votes(kind: str, strict: bool, x: str) -> str:
+    """SQL for the votes of the four labelers on a struct x of match, text before, and the characters beside it."""
+    cue, against = CUES[kind].replace("\\", "\\\\"), AGAINST.replace("\\", "\\\\")
+    pattern = f"if({_valid(kind, x + '.m')}, 1, -1)" if strict else "0"
+    context = f"case when {x}.before rlike '{cue}' then 1 when {x}.before rlike '{against}' then -1 else 0 end"
+    edges = f"case when {x}.left rlike '[A-Za-z0-9]' or {x}.right rlike '[A-Za-z0-9]' then -1 else 1 end"
+    return f"concat_ws(',', {pattern}, {_gazetteer(kind, x + '.m')}, {context}, {edges})"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -101,40 +120,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     df = df.withColumns(_arrays())
     df = df.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, starts(f"g_{k}", f"m_{k}")).otherwise(F.expr("cast(array() as array<bigint>)")) for k in PATTERN})
-    base, cands = [], []
+    cands = []
     for order, kind in enumerate(KINDS):
-        span = f"transform(m_{kind}, (m, i) -> named_struct('order', {order}, 'start', p_{kind}[i], 'end', p_{kind}[i] + length(m), 'kind', '{kind}', 'ok', {_valid(kind)}))"
+        span = f"transform(m_{kind}, (m, i) -> named_struct('order', {order}, 'start', p_{kind}[i], 'end', p_{kind}[i] + length(m), 'kind', '{kind}', 'ok', {_valid(kind, 'm')}))"
         df = df.withColumn(f"s_{kind}", F.expr(f"filter({span}, s -> s.ok)"))
-        base.append(f"s_{kind}")
         for source in (kind, f"loose_{kind}"):
-            if source not in PATTERN:
-                continue
-            strict = f"if({_valid(kind)}, 1, -1)" if source == kind else "0"
-            cue = CUES[kind].replace("\\", "\\\\")
-            against = AGAINST.replace("\\", "\\\\")
+            strict = source == kind
             # the text before a match lies in the gap before it, as far as that goes
-            before = f"lower(right(g_{source}[i], {BEFORE}))"
-            context = f"case when {before} rlike '{cue}' then 1 when {before} rlike '{against}' then -1 else 0 end"
-            edges = f"case when right(g_{source}[i], 1) rlike '[A-Za-z0-9]' or left(g_{source}[i + 1], 1) rlike '[A-Za-z0-9]' then -1 else 1 end"
-            loose = "true" if source == kind else f"not exists(s_{kind}, b -> b.start < s.end and s.start < b.end)"
-            fits = f"length(regexp_replace(m, '[^0-9]', '')) between {13 if kind == 'card' else 4} and {19 if kind == 'card' else 15}" if kind != "email" else "true"
-            each = f"transform(filter(transform(m_{source}, (m, i) -> named_struct('m', m, 'i', i)), x -> {fits.replace('(m,', '(x.m,')}), x -> transform(array(named_struct('m', x.m, 'i', x.i)), y -> named_struct('start', p_{source}[y.i], 'end', p_{source}[y.i] + length(y.m), 'kind', '{kind}', 'votes', concat_ws(',', __P__, __G__, __C__, __E__), 'size', cast(length(y.m) div 8 as int)))[0])"
-            for mark, sql in (("__P__", strict), ("__G__", _gazetteer(kind)), ("__C__", context), ("__E__", edges)):
-                each = each.replace(mark, _named(sql))
-            cands.append(f"filter({each}, s -> {loose})")
-    df = df.withColumn("base", F.concat(*base))
-    df = df.withColumn("base", F.array_sort("base"))
+            seen = f"transform(m_{source}, (m, i) -> named_struct('m', m, 'start', p_{source}[i], 'before', lower(right(g_{source}[i], {BEFORE})), 'left', right(g_{source}[i], 1), 'right', left(g_{source}[i + 1], 1)))"
+            # what is too short or too long is no candidate; loose ones must pass the checks and lie beside the base spans
+            fits = f"length({_digits('x.m')}) between {13 if kind == 'card' else 4} and {19 if kind == 'card' else 15}" if strict and kind != "email" else _valid(kind, "x.m")
+            if not strict:
+                fits += f" and not exists(s_{kind}, b -> b.start < x.start + length(x.m) and x.start < b.end)"
+            cands.append(f"transform(filter({seen}, x -> {fits}), x -> named_struct('start', x.start, 'end', x.start + length(x.m), 'kind', '{kind}', 'votes', {_votes(kind, strict, 'x')}, 'size', cast(length(x.m) div 8 as int)))")
+    df = df.withColumn("base", F.array_sort(F.concat(*[f"s_{k}" for k in KINDS])))
     df = df.withColumn("cands", F.expr(f"cast(concat({', '.join(cands)}) as {VOTE})"))
     return df.select("doc_id", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base", "cands")
 
 
-def _named(sql: str) -> str:
-    """An expression over m and i, for a struct y that holds both."""
-    import re
-
-    return re.sub(r"\bm\b(?!_)(?=[ ,)])", "y.m", re.sub(r"\[i( \+ 1)?\]", r"[y.i\1]", sql))
-
-
 def expectation(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:
     """Probability that a candidate is real, by kind and votes, from counts of votes alone.
 
@@ -187,7 +190,7 @@ def classifier(counts: dict[tuple[str, tuple[int, ...], int], int], rounds: int
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_spans, the number of all spans."""
     measured = Scratch(spark).keep(candidates(docs))
     one = measured.where("size(cands) > 0").select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", F.least(F.col("c.size"), F.lit(5)).alias("size")).count()
     # at most 4 kinds x 81 patterns x 6 lengths
@@ -200,4 +203,5 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = "case c.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
     added = F.expr(f"transform(fresh, c -> named_struct('order', {order}, 'start', c.start, 'end', c.end, 'kind', c.kind, 'ok', true))")
     out = measured.withColumn("taken", F.array(*map(F.lit, taken)).cast("array<string>")).withColumn("fresh", fresh)
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", added))).alias("spans"))
+    out = out.withColumn("all", F.array_sort(F.concat("base", added)))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
