@@ -3,7 +3,8 @@
 Candidates are runs of 20 or more characters that keys are made of. A candidate belongs to the class "hex" (digits
 and a-f in one case) or "base64" (lower case, upper case and digits together). Over every window of `WINDOW`
 characters the entropy is kept by incremental counts: as the window moves on, the counts of the character that
-leaves and of the one that comes change, and with them their two terms of the sum of c * log2(c). The largest entropy
+leaves and of the one that comes change, and with them their two terms of the sum of c * log2(c). A candidate costs time in
+proportion to its length. The largest entropy
 decides, against a threshold by class. An allow list suppresses known harmless shapes. What overlaps a span of the
 fixed patterns is not reported again.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
 from .spans import joined, matches, starts
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
@@ -39,9 +41,8 @@ ALLOWED = (
 )
 
 
-def _code(c: str) -> str:
-    """0 to 63 for the characters of a candidate; signs that stand for the same value share a code."""
-    return f"(instr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', translate({c}, '-_=', '+//')) - 1)"
+#: The characters of a candidate by code; signs that stand for the same value share one.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def _term(n: str) -> str:
@@ -49,24 +50,26 @@ def _term(n: str) -> str:
 
 
 def _entropy(token: str, size: int = WINDOW) -> str:
-    """SQL for the largest entropy in bits of any window of a string, by counts that change by one character at a time."""
+    """SQL for the largest entropy in bits of any window of a string, by counts that change by one character at a time.
+
+    The string becomes an array of codes once, over which the window slides; so the work is in proportion to its length.
+    """
+    moved = f"z.sum - {_term('c.gone')} + {_term('c.gone - 1')} - {_term('c.had')} + {_term('c.had + 1')}"
     return f"""
-      aggregate(
-        sequence(0, length({token}) - 1),
-        named_struct('counts', transform(sequence(0, 63), x -> 0), 'sum', 0d, 'least', double('infinity')),
-        (z, i) -> transform(array(struct(
-            {_code(f"substring({token}, i + 1, 1)")} as inn,
-            if(i >= {size}, {_code(f"substring({token}, i - {size} + 1, 1)")}, -1) as out)),
-          m -> transform(array(struct(
-              if(m.out >= 0, z.counts[m.out], 0) as gone,
-              z.counts[m.inn] - if(m.out = m.inn, 1, 0) as had)),
-            c -> named_struct(
-              'counts', if(m.out = m.inn, z.counts, transform(z.counts, (v, k) -> v + if(k = m.inn, 1, 0) - if(k = m.out, 1, 0))),
-              'sum', z.sum - {_term("c.gone")} + {_term("c.gone - 1")} - {_term("c.had")} + {_term("c.had + 1")},
-              'least', if(i >= {size} - 1,
-                          least(z.least, z.sum - {_term("c.gone")} + {_term("c.gone - 1")} - {_term("c.had")} + {_term("c.had + 1")}),
-                          z.least)))[0])[0],
-        z -> log2({size}d) - z.least / {size})
+      transform(
+        array(transform(filter(split(translate({token}, '-_=', '+//'), ''), x -> x <> ''), x -> instr('{ALPHABET}', x) - 1)),
+        codes -> aggregate(
+          sequence(0, size(codes) - 1),
+          named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'sum', 0d, 'least', double('infinity')),
+          (z, i) -> transform(array(struct(codes[i] as inn, if(i >= {size}, codes[greatest(i - {size}, 0)], -1) as out)),
+            m -> transform(array(struct(
+                if(m.out >= 0, z.counts[greatest(m.out, 0)], 0) as gone,
+                z.counts[m.inn] - if(m.out = m.inn, 1, 0) as had)),
+              c -> named_struct(
+                'counts', if(m.out = m.inn, z.counts, transform(z.counts, (v, k) -> v + if(k = m.inn, 1, 0) - if(k = m.out, 1, 0))),
+                'sum', {moved},
+                'least', if(i >= {size} - 1, least(z.least, {moved}), z.least)))[0])[0],
+          z -> log2({size}d) - z.least / {size}))[0]
     """
 
 
@@ -114,7 +117,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """Every row with each secret in its text replaced by MARK; overlapping spans count as one. Null texts stay null."""
-    found = scan(docs.withColumn("__row", F.struct(*docs.columns)), also=["__row"])
+    found = scan(docs.select("doc_id", "text", F.struct(*columns(docs)).alias("__row")), also=["__row"])
     # spans merged where they overlap, in the order of their starts
     merged = F.expr("""
       aggregate(all, cast(array() as array<struct<start: bigint, end: bigint>>), (acc, s) ->
@@ -129,5 +132,13 @@ def redact(docs: DataFrame) -> DataFrame:
         '{MARK}', substring(whole_text, cast(element_at(cut, -1).end as int) + 1))
     """)
     new = F.when(F.col("cut").isNotNull(), kept).otherwise(F.col("__row.text"))
-    cols = [new.alias(c) if c == "text" else F.when(F.col("cut").isNotNull(), F.length(new)).otherwise(F.col("__row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    field = lambda c: F.col("__row.`{}`".format(c.replace("`", "``")))
+    cols = []
+    for c, kind in docs.dtypes:
+        if c == "text":
+            cols.append(new.alias(c))
+        elif c == "n_chars":
+            cols.append(F.when(F.col("cut").isNotNull(), F.length(new)).otherwise(field(c)).cast(kind).alias(c))
+        else:
+            cols.append(field(c).alias(c))
     return found.select(*cols)

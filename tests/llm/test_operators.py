@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import html_extract, pii, secret_scans, suffix_dedup, warc
+from mnemospark.llm import html_extract, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,58 +73,6 @@ def test_classes_split_alike():
     assert all(sum(1 for c in range(j) if c * -(-suffix_dedup.PLACES // j) <= o <= min(suffix_dedup.PLACES, (c + 1) * -(-suffix_dedup.PLACES // j)) - 1) == 1 for _, j in suffix_dedup.CLASSES for o in range(suffix_dedup.PLACES))
 
 
-def test_secrets(spark, docs, none):
-    rows = {r.doc_id: r for r in secret_scans.report(docs).collect()}
-    t = texts()[12][1]
-    assert (rows[12].n_assign, rows[12].n_access, rows[12].n_hex) == (1, 1, 1)
-    assert rows[12].spans.split(",")[0] == f"assign:{t.index('token')}:{t.index('907ff') + 5}"
-    assert rows[3].spans == "" and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
-    extra = spark.createDataFrame([(1, "key aB3dE6gH9jK2mN5pQ8sT1vW4yZ7x and theninternationalization example"), (2, "id 123e4567-e89b-12d3-a456-426614174000 aaaaaaaaaaaaaaaaaaaaaaaaaaaa")], "doc_id long, text string")
-    spans = [r.spans for r in secret_scans.report(extra).orderBy("doc_id").collect()]
-    assert spans[0].startswith("entropy_base64:4:") and spans[1] == ""
-    clean = {r.doc_id: r.text for r in secret_scans.redact(docs).collect()}
-    assert "24be64" not in clean[12] and "AKIA" not in clean[12] and clean[9] == texts()[9][1] and clean[3] is None
-    assert secret_scans.report(none).count() == 0
-
-
-def test_entropy_is_that_of_windows(spark):
-    from math import log2
-
-    rng = random.Random(4)
-    tokens = ["".join(rng.choice("ABCdef0123+/") for _ in range(n)) for n in (20, 33, 90)]
-    df = spark.createDataFrame([(t,) for t in tokens], "t string").selectExpr("t", f"{secret_scans._entropy('t')} as h")
-    for r in df.collect():
-        each = [[c / 20 for c in collections.Counter(r.t[i : i + 20]).values()] for i in range(len(r.t) - 19)]
-        assert r.h == pytest.approx(max(-sum(p * log2(p) for p in w) for w in each))
-
-
-def test_pii(spark, docs, none):
-    rows = {r.doc_id: r for r in pii.find(spark, docs).collect()}
-    assert (rows[12].n_email, rows[12].n_ip, rows[12].n_card, rows[12].n_phone) == (2, 1, 1, 1)
-    assert rows[3].spans == "" and rows[12].spans.startswith("email:5:")
-    assert pii.find(spark, none).count() == 0
-
-
-def test_very_long_matches(spark):
-    """Matches of many thousand repeats come out whole; none of them makes the pattern engine run out of stack."""
-    long = ["a@b" + ".c" * 60000, "joe (at) host" + " (dot) z" * 40000, "4 " * 60000, "Ab-" * 5000 + "1", "aB1" * 500, "+1" + " 2" * 50000]
-    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
-    found = {r.doc_id: r for r in pii.find(spark, df).collect()}
-    assert found[0].spans == f"email:0:{len(long[0])}" and found[2].n_card == found[5].n_phone == 0
-    secrets = {r.doc_id: r for r in secret_scans.report(df).collect()}
-    assert all(r.n_assign == r.n_access == r.n_hex == 0 for r in secrets.values())
-
-
-def test_expectation_tells_labelers_apart():
-    rng = random.Random(2)
-    counts = collections.Counter()
-    for _ in range(4000):
-        real = rng.random() < 0.5
-        counts["card", tuple((1 if real else -1) * (1 if rng.random() < a else -1) for a in (0.95, 0.9, 0.6, 0.85))] += 1
-    p = pii.expectation(counts)
-    assert p["card", (1, 1, 1, 1)] > 0.97 and p["card", (-1, -1, -1, -1)] < 0.03 and p["card", (1, 1, -1, 1)] > 0.9
-
-
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><a href=x>home</a></header><div class="sidebar"><p>side, bar, text</p></div>
 <div id="main-content"><h1>Head &amp; line</h1><p>First, with   <b>bold</b> and a <a href="y">link</a>, commas, more and more text to count.<br>next<p>Second paragraph, unclosed, with &eacute; and more words, many words.
 <div class="ad">Buy</div><ul><li>point one<li>point two</ul><script>var a="</p>";</script></div><div class="comments"><p>reader says, hello, there, all</p></div><footer>&copy; x</footer></body></html>"""
