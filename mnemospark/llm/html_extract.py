@@ -1,13 +1,18 @@
 """Main text of web pages by tree scoring.
 
 Block elements form a tree; inline markup is passed over. Each paragraph-like block has a point, one for each comma and up
-to three for its length, less its share of characters in links; its ancestors get them in full, then a half, a third and
-so on. The best container (an article around it, if there is one) is kept, and with it siblings that score a fifth of it
-or are long and hold few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts
-and styles are left out by tag, role, or words in class and id.
+to three for its length, less its share of characters in links; the container around it gets them in full, the next one a
+half, then a quarter and so on up to the root. The best container is kept (the article around it, if there is one, else the
+main element), and with it siblings that score a fifth of it or hold fewer characters in links than beside them. Menus,
+headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles are left out by tag, by role,
+and, of containers alone, by words in class and id: headings and paragraphs stay whatever they are called, and inside an
+article or main element only names go that are made of such words and of neutral ones like "box" throughout.
+
+All sums and marks go once up or once down the tree, so depth costs nothing.
 
 Defined results: null or empty html, and pages without text, give an empty text; broken markup is read as far as it
-goes, with no limit on depth or length; repeated rows are read each on their own; other columns are not looked at.
+goes, with no limit on depth or length; repeated rows are read each on their own; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>""",
     re.S,
 )
+OPEN = re.compile(r"<!--|<!\[CDATA\[")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "xmp", "select", "title"}
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = set("p pre td blockquote li dd div section article h1 h2 h3 h4 h5 h6".split())
@@ -31,37 +37,55 @@ DROPPED = set("nav footer aside form head menu dialog button fieldset".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 VOID = set("hr br img input meta link area base col embed source track wbr".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|popup|modal|overlay|login|signup|search|toolbar|pagination|pager|tags|copyright)(?:[\s_\d-]|$)",
-    re.I,
-)
+#: Words in class and id that name what is no part of the text.
+UNWANTED = (
+    "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr "
+    "notice notices alert alerts sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead comment comments "
+    "disqus replies respond share sharing social related recommended recommendations newsletter subscribe popup modal overlay login signup search toolbar pagination "
+    "pager tags copyright"
+).split()
+#: Words that say nothing beside these.
+NEUTRAL = "area article bar block body bottom box button buttons col column container content footer form group holder inner item items label left link links list main module outer page panel post posts right row section site slot story stories text title top unit wrap wrapper zone".split()
+PART = re.compile(r"[A-Za-z]+|[0-9]+")
+#: Elements that hold others; only these are judged by class and id.
+CONTAINERS = set("address aside center details div dl fieldset figure footer form header li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"display\s*:\s*none")
+_UNWANTED, _NEUTRAL = set(UNWANTED), set(NEUTRAL)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "points", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "out", "inside", "points", "chars", "links", "order", "kept")
 
     def __init__(self, tag, parent, out, order):
         self.tag, self.parent, self.out, self.order = tag, parent, out, order
+        self.inside = parent is not None and parent.inside or tag in ("article", "main")
         self.points = self.chars = self.links = 0.0
+        self.kept = False
 
 
-def _unwanted(tag: str, attributes: str, parent: Node | None) -> bool:
+def _named(value: str, inside: bool) -> bool:
+    """Whether one of the names in a class or id says that the element is no part of the text."""
+    for name in value.lower().split():
+        parts = PART.findall(name)
+        if any(p in _UNWANTED for p in parts) and (not inside or all(p in _UNWANTED or p in _NEUTRAL or p.isdigit() for p in parts)):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROPPED:
         return True
-    inside = parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
     if tag == "header":
-        return inside is None
+        return not inside
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and WORD.search(value):
+        if name in ("class", "id") and tag in CONTAINERS and tag != "main" and _named(value, inside):
             return True
     return False
 
@@ -72,6 +96,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     nodes, blocks = [root], []
     here, held, link, in_link = root, [], 0, 0
     open_tags: dict[str, int] = {}
+    unclosed: set[str] = set()
 
     def close():
         nonlocal held, link
@@ -90,9 +115,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 return
 
     at, n = 0, len(page)
+    stop = page.rfind(">") + 1  # no tag ends behind it, so none is looked for
     while at < n:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        m = TOKEN.search(page, at, stop) if at < stop else None
+        piece = page[at : m.start()] if m else OPEN.split(page[at:], maxsplit=1)[0]
         if piece and not here.out:
             held.append(piece)
             if in_link:
@@ -100,14 +126,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if not m:
             break
         at = m.end()
+        if m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+            break  # never closed: nothing behind it is read
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW:
             if not ends and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else (n if tag in ("script", "style") else at)
+                close_tag = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if close_tag is None:  # nor will there be one further on
+                    unclosed.add(tag)
+                at = close_tag.end() if close_tag else (n if tag in ("script", "style") else at)
             continue
         if tag == "a":
             in_link = 0 if ends else 1
@@ -125,7 +155,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 for other in CLOSES.get(tag, ()):
                     if here.tag == other:
                         leave(other)
-                here = Node(tag, here, here.out or _unwanted(tag, attributes, here), len(nodes))
+                here = Node(tag, here, here.out or _unwanted(tag, attributes, here.inside), len(nodes))
                 open_tags[tag] = open_tags.get(tag, 0) + 1
                 nodes.append(here)
                 in_link = 0
@@ -133,44 +163,44 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return nodes, blocks
 
 
+def _value(x: Node) -> float:
+    return x.points * (1 - x.links / x.chars if x.chars else 1) * (1.25 if x.tag in ("article", "main") else 1)
+
+
+def _best(nodes: list[Node]) -> Node:
+    """The container with the highest value, the first of equals; the outermost article around it, else the outermost main element."""
+    best = max((x for x in nodes if x.tag not in ("", "html") and not x.out), key=lambda x: (_value(x), -x.order), default=nodes[0])
+    if _value(best) <= 0:
+        return nodes[0]
+    around, up = {}, best
+    while up is not None:
+        around[up.tag] = up
+        up = up.parent
+    return around.get("article") or around.get("main") or best
+
+
 def extract(page: str | None) -> str:
     nodes, blocks = parse(page or "")
     if not blocks:
         return ""
     for node, text, link in blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link / len(text)) if node.tag in PARAGRAPHS else 0.0
-        up, k = node.parent or node, 1
-        while up is not None:
-            if k <= 6:
-                up.points += points / k
-            up.chars += len(text)
-            up.links += link
-            up, k = up.parent, k + 1
-    scored = [x for x in nodes if x.tag not in ("", "html") and not x.out] or nodes[:1]
-    value = lambda x: x.points * (1 - x.links / x.chars if x.chars else 1) * (1.25 if x.tag in ("article", "main") else 1)
-    best = max(scored, key=lambda x: (value(x), -x.order))
-    up = best
-    while up is not None:
-        if up.tag == "article":
-            best = up
-        up = up.parent
-    if value(best) <= 0:
-        best = nodes[0]
-    kept = {best.order}
+        if node.tag in PARAGRAPHS:
+            (node.parent or node).points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link / len(text))
+        node.chars += len(text)
+        node.links += link
+    for x in reversed(nodes[1:]):  # children come behind their parents
+        x.parent.points += x.points / 2
+        x.parent.chars += x.chars
+        x.parent.links += x.links
+    best = _best(nodes)
+    best.kept = True
     if best.parent is not None and best.tag not in ("article", "main"):
-        for x in scored:
-            if x.parent is best.parent and x is not best:
-                paragraph = x.tag == "p"
-                if value(x) >= max(10, 0.2 * value(best)) or paragraph:
-                    kept.add(x.order)
-    out = []
-    for node, text, _ in blocks:
-        up = node
-        while up is not None and up.order not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+        for x in nodes:
+            if x.parent is best.parent and not x.out and (x.links < x.chars - x.links or _value(x) >= _value(best) / 5):
+                x.kept = True
+    for x in nodes[1:]:
+        x.kept = x.kept or x.parent.kept
+    return "\n".join(text for node, text, _ in blocks if node.kept)
 
 
 def _run(batches):

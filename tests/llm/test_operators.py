@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import html_extract, suffix_dedup, warc
+from mnemospark.llm import suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sum int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,17 +73,6 @@ def test_classes_split_alike():
     assert all(sum(1 for c in range(j) if c * -(-suffix_dedup.PLACES // j) <= o <= min(suffix_dedup.PLACES, (c + 1) * -(-suffix_dedup.PLACES // j)) - 1) == 1 for _, j in suffix_dedup.CLASSES for o in range(suffix_dedup.PLACES))
 
 
-PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><a href=x>home</a></header><div class="sidebar"><p>side, bar, text</p></div>
-<div id="main-content"><h1>Head &amp; line</h1><p>First, with   <b>bold</b> and a <a href="y">link</a>, commas, more and more text to count.<br>next<p>Second paragraph, unclosed, with &eacute; and more words, many words.
-<div class="ad">Buy</div><ul><li>point one<li>point two</ul><script>var a="</p>";</script></div><div class="comments"><p>reader says, hello, there, all</p></div><footer>&copy; x</footer></body></html>"""
-
-
-def test_html():
-    assert html_extract.extract(PAGE) == "Head & line\nFirst, with bold and a link, commas, more and more text to count. next\nSecond paragraph, unclosed, with é and more words, many words.\npoint one\npoint two"
-    assert [html_extract.extract(x) for x in (None, "", "<div", "<p>", "plain")] == ["", "", "", "", "plain"] or html_extract.extract("plain") == "plain"
-    assert html_extract.extract("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
-
-
 def test_warc(spark):
     rec = lambda i, url, ts, kind, h, d=None: (i, url, ts, kind, h, d)
     rows = [
