@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 SLICES = 1024
 #: Headers that a not-modified answer may renew, in lower case.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning")
@@ -46,6 +48,7 @@ def resolve(records: DataFrame) -> DataFrame:
     names, digest (of the payload). status is "verified", "stale", "unverified" or "unresolved".
     """
     r = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "kind", "headers", "digest").withColumn("canonical_url", canonical(F.col("url")))
+    r = Scratch(records.sparkSession).keep(r)  # every branch below reads these slim rows, not what they come from
     t0, t1 = r.agg(F.min("ts"), F.max("ts")).first()
     wide = max(1.0, (t1 - t0 + 1) / SLICES) if t0 is not None else 1.0
     usable = r.where("canonical_url is not null and ts is not null").withColumn("slice", F.floor((F.col("ts") - F.lit(t0 or 0)) / F.lit(wide)).cast("int"))
@@ -81,12 +84,6 @@ def resolve(records: DataFrame) -> DataFrame:
     return answered.unionByName(lost.select("record_id", "url", "ts", "canonical_url", F.lit("unresolved").alias("status")), allowMissingColumns=True)
 
 
-def with_payload(resolved: DataFrame, responses: DataFrame, column: str = "payload") -> DataFrame:
-    """The resolved revisits with the body of their response, by a join on record ids that Spark may split where one is hot."""
-    bodies = responses.select(F.col("record_id").alias("response_id"), column)
-    return resolved.join(bodies, "response_id", "left")
-
-
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl's records from a table of pages: a full response for each page in the order of ids, and a later revisit.
 
