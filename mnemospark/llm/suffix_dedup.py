@@ -5,17 +5,21 @@ equal windows have equal anchors and only texts around equal anchors need compar
 each other; together they are a region of at most 2 * WIDTH bytes.
 
 1. One pass over the texts gives each region's anchor hash and content hash. Anchors that occur once drop out.
-   Where all regions of an anchor are equal, all of their windows are repeated.
+   Where all regions of an anchor are equal, all of their windows are repeated; equal here means that two independent
+   64-bit hashes agree, one of the anchor and one of the whole region.
 2. The other regions, each distinct one once, go to the construction, dealt by anchor. It inserts one symbol of every
    region each round, from the right: a new suffix goes where the transform's counts put it, and its common prefixes
    with its neighbours are one more than the least common prefix between the places they come from. Transform and
-   prefixes lie in files that each round reads and writes in sequence. At the end, a suffix with a common prefix of
-   WIDTH bytes or more begins a repeated window. Regions that share no long core with any other are left out before.
+   prefixes lie in files that each round reads from front to back and writes anew. At the end, a suffix with a common
+   prefix of WIDTH bytes or more begins a repeated window. Regions that share no long core with any other are left out
+   before. A construction takes about LOAD bytes, so its files fit in memory too; they lie in a temporary folder of the
+   task, which ends with it, and a lost executor's tasks are simply run again.
 3. An anchor with many distinct regions is split: its windows are dealt to classes by the anchor's place in them, and
    by the hash of the bytes that all windows of a class have in common; in the limit, by the whole window.
 
 Defined results: null text is empty; a text of fewer than 200 bytes keeps all; repeated rows are documents of their
-own, so equal texts of 200 bytes or more lose everything; an empty table gives no rows; other columns are not looked at.
+own, so equal texts of 200 bytes or more lose everything; bytes that aren't UTF-8 are treated as they are; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,20 +32,17 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, by_group
+from .common import Scratch, by_group, columns, grows
 
 WIDTH, GRAM = 200, 32
 #: k-byte strings in a window
 PLACES = WIDTH - GRAM + 1
 #: Bytes of a text that are hashed at a time, and bytes of regions of a construction.
-CHUNK, LOAD = 1 << 17, 1 << 19
-#: Symbols around a place that are looked at together, and symbols of a block of counts; not more than those, as a
-#: symbol that is not found around then is the last or first of its block.
-STRIP, BLOCK = 128, 128
-WITHIN = np.arange(BLOCK, dtype=np.int16)
+CHUNK, LOAD = 1 << 17, 1 << 21
 #: Distinct regions of an anchor beyond which its windows are split into so many classes.
 CLASSES = ((256, 8), (20_000, PLACES))
 
@@ -174,17 +175,17 @@ class Files:
 
     def __init__(self, folder: str):
         self.at = [[open(os.path.join(folder, f"{n}{i}"), "w+b", buffering=0) for n in ("bwt", "lcp")] for i in (0, 1)]  # noqa: SIM115
-        self.now, self.n = 0, 0
+        self.now, self.n, self.kinds = 0, 0, ()
 
     def load(self) -> list[np.ndarray]:
         out = []
-        for f in self.at[self.now]:
+        for f, kind in zip(self.at[self.now], self.kinds, strict=True):
             f.seek(0)
-            out.append(np.fromfile(f, np.uint8, self.n))
+            out.append(np.fromfile(f, kind, self.n))
         return out
 
     def store(self, *columns: np.ndarray) -> None:
-        self.now, self.n = 1 - self.now, len(columns[0])
+        self.now, self.n, self.kinds = 1 - self.now, len(columns[0]), [x.dtype for x in columns]
         for f, x in zip(self.at[self.now], columns, strict=True):
             f.seek(0)
             x.tofile(f)
@@ -206,7 +207,8 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
     lens = np.array([len(x) for x in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8)
     symbols, code = np.unique(flat, return_inverse=True)
-    code = (code + 1).astype(np.uint8)  # at most 255 codes but where all 256 bytes occur, which the caller rules out
+    kind = np.uint8 if len(symbols) < 256 else np.uint16  # strings that aren't UTF-8 may hold all 256 bytes
+    code = (code + 1).astype(kind)
     ends = np.cumsum(lens)
     width = len(symbols) + 1
     files.store(code[ends - 1], np.zeros(m, np.uint8))
@@ -215,24 +217,16 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
         bwt, lcp = files.load()
         n = len(bwt)
         c = bwt[pos].astype(np.int64)
-        # counts of each symbol before each place: by blocks, then within the block
-        blocks = -(-n // BLOCK)
-        full = np.zeros(blocks * BLOCK, np.uint8)
-        full[:n] = bwt
-        full = full.reshape(blocks, BLOCK)
-        key = (np.arange(blocks) * width)[:, None] + full
-        counts = np.bincount(key.ravel(), minlength=blocks * width).reshape(blocks, width)
-        total = counts.sum(axis=0)
-        total[0] = 0
-        before = np.zeros((blocks + 1, width), np.int64)
-        np.cumsum(counts, axis=0, out=before[1:])
-        smaller = np.cumsum(total) - total
-        block = pos // BLOCK
-        rank = before[block, c]
-        symbol = bwt[pos][:, None]
-        rank = rank + np.count_nonzero((full[block] == symbol) & (WITHIN < (pos - block * BLOCK)[:, None]), axis=1)
-        place = m + smaller[c] + rank
-        prev, after = _beside(bwt, pos, c, rank, total, full, before)
+        # places in the order of their symbols: beside each place stand the ones before and after it with the same symbol
+        order = np.argsort(bwt, kind="stable")
+        at = np.empty(n, np.int64)
+        at[order] = np.arange(n)
+        total = np.bincount(bwt, minlength=width)
+        i = at[pos]
+        rank = i - (np.cumsum(total) - total)[c]
+        place = m + i - total[0]
+        prev = np.where(rank > 0, order[i - 1], -1)
+        after = np.where(rank + 1 < total[c], order[np.minimum(i + 1, n - 1)], n)
         low = _least(lcp, prev + 1, pos + 1)
         high = _least(lcp, pos + 1, np.minimum(after, n - 1) + 1)
         # write the new files: old entries keep their order around the new ones
@@ -240,7 +234,7 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
         docs, place = docs[order], place[order]
         fresh = np.zeros(n + len(place), bool)
         fresh[place] = True
-        new_bwt, new_lcp = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
+        new_bwt, new_lcp = np.empty(len(fresh), kind), np.empty(len(fresh), np.uint8)
         old = ~fresh
         new_bwt[old], new_lcp[old] = bwt, lcp
         left = lens[docs] - t
@@ -257,32 +251,6 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
     return bwt, lcp, symbols
 
 
-def _beside(bwt, pos, c, rank, total, full, before):
-    """The places of the previous and the next equal symbol: near ones from a strip around, others from the block counts."""
-    n = len(bwt)
-    prev, after = np.full(len(pos), -1), np.full(len(pos), n)
-    pad = np.zeros(n + 2 * STRIP + 1, np.uint8)  # code 0 is no symbol that is looked for
-    pad[STRIP : STRIP + n] = bwt
-    view = np.lib.stride_tricks.sliding_window_view(pad, STRIP)
-    symbol = bwt[pos][:, None]
-    hit = view[pos] == symbol
-    some = hit.any(axis=1)
-    prev[some] = pos[some] - 1 - hit[some, ::-1].argmax(axis=1)
-    hit = view[pos + STRIP + 1] == symbol
-    more = hit.any(axis=1)
-    after[more] = pos[more] + 1 + hit[more].argmax(axis=1)
-    far_back, far_on = ~some & (rank > 0), ~more & (rank + 1 < total[c])
-    for symbol in np.unique(c[far_back | far_on]):
-        sums = np.ascontiguousarray(before[1:, symbol])
-        i = np.flatnonzero(far_back & (c == symbol))
-        block = np.searchsorted(sums, rank[i] - 1, side="right")
-        prev[i] = (block + 1) * BLOCK - 1 - (full[block, ::-1] == symbol).argmax(axis=1)
-        i = np.flatnonzero(far_on & (c == symbol))
-        block = np.searchsorted(sums, rank[i] + 1, side="right")
-        after[i] = block * BLOCK + (full[block] == symbol).argmax(axis=1)
-    return prev, after
-
-
 def _least(lcp, lo, hi):
     """Minima of lcp[lo:hi] for each pair, where hi > lo; 0 where the range is empty."""
     pairs = np.column_stack((lo, hi)).ravel()
@@ -293,8 +261,6 @@ def _least(lcp, lo, hi):
 def repeated(texts: list[bytes], folder: str | None = None) -> list[np.ndarray]:
     """For each text, which of its windows of WIDTH bytes start anywhere else in the collection."""
     flags = [np.zeros(max(0, len(x) - WIDTH + 1), bool) for x in texts]
-    if len(set().union(*map(set, texts))) > 254:  # no code would be left: such bytes never are UTF-8
-        raise ValueError("texts are not UTF-8")
     with tempfile.TemporaryDirectory(dir=folder) as at:
         files = Files(at)
         bwt, lcp, _ = construct(texts, files)
@@ -423,24 +389,33 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4], pa.binary())], names=["id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keys() -> list[Column]:
     """id and th together tell documents with different texts apart, null ids included."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), text.cast("binary").alias("text"))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, th, spans: the runs of starts of repeated windows of each document that has any."""
+    """id, th, spans: the runs of starts of repeated windows of each document that has any, apart from each other and in order.
+
+    Counts by anchor are written before they are joined, so that both sides of a join are plain exchanges and an anchor
+    that very many regions have is split. Runs that overlap are merged in a sorted pass before a document's are collected.
+    """
     texts = _keyed(docs)
     regions = scratch.keep(texts.where("octet_length(text) >= %d" % WIDTH).mapInArrow(_regions, REGIONS))
     groups = regions.groupBy("ahash").agg(F.count("*").alias("n"), F.min("rhash").alias("r0"), F.max("rhash").alias("r1")).where("n > 1")
-    hits = scratch.keep(regions.join(groups.select("ahash", (F.col("r0") != F.col("r1")).alias("mixed")), "ahash"))
-    scratch.drop(regions)
+    groups = scratch.keep(groups.select("ahash", (F.col("r0") != F.col("r1")).alias("mixed")))
+    hits = scratch.keep(regions.join(grows(groups), "ahash"))
+    scratch.drop(regions, groups)
     mixed = hits.where("mixed")
     distinct = mixed.groupBy("ahash", "rhash").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "s", "nwin", "place")).alias("rep"))
     distinct = scratch.keep(distinct)
-    many = distinct.groupBy("ahash").agg(F.count("*").alias("m"))
-    wanted = distinct.join(many, "ahash").groupBy("rep.id", "rep.th").agg(
+    many = scratch.keep(distinct.groupBy("ahash").agg(F.count("*").alias("m")))
+    wanted = distinct.join(grows(many), "ahash").groupBy("rep.id", "rep.th").agg(
         F.collect_list(F.struct("ahash", "rhash", "rep.s", "rep.nwin", "rep.place", "copies", "m")).alias("wanted")
     )
     cut = wanted.join(texts.mapInArrow(_squeeze, "id long, th long, z binary").dropDuplicates(["id", "th"]), ["id", "th"]).mapInArrow(_cut, PIECES)
@@ -448,9 +423,13 @@ def spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     one = cut.groupBy("gk", "sub").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
     found = one.repartition("gk").sortWithinPartitions("gk").mapInArrow(_build, FOUND)
     by_region = cut.select("gk", "sub", "ahash", "rhash", "off").join(found, ["gk", "sub"]).select("ahash", "rhash", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
-    part = mixed.select("id", "th", "s", "ahash", "rhash").join(by_region, ["ahash", "rhash"]).select("id", "th", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
+    part = mixed.select("id", "th", "s", "ahash", "rhash").join(grows(scratch.keep(by_region)), ["ahash", "rhash"]).select("id", "th", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
     full = hits.where("not mixed").select("id", "th", F.col("s").alias("lo"), (F.col("s") + F.col("nwin")).alias("hi"))
-    return full.union(part).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    by = Window.partitionBy("id", "th").orderBy("lo")
+    before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = full.union(part).withColumn("starts", F.coalesce(F.col("lo") > before, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -463,24 +442,24 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stripped(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every row with what is left of its text; a character of which some bytes go is dropped whole. Null texts stay null."""
+    """Every row with what is left of its text, and n_chars set anew; a character of which some bytes go is dropped whole. Null texts stay null."""
     scratch = Scratch(spark)
     found = spans(spark, docs, scratch)
-    row = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", *_keyed(docs).columns[:0], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull()).alias("th"))
-    joined = row.join(found, ["id", "th"], "left")
+    row = docs.select(F.struct(*columns(docs)).alias("packed"), F.col("text").cast("string").cast("binary").alias("raw"), *_keys())
+    joined = row.join(found, ["id", "th"], "left").select("packed", "raw", "spans")
     shape = docs.schema
 
     def run(batches):
         for b in batches:
-            rows = b.column(b.schema.get_field_index("__row"))
+            rows = b.column(0)
             names = shape.names
             cols = [rows.field(i) for i in range(len(names))]
             texts, n = [], []
-            for x, s in zip(cols[names.index("text")].to_pylist(), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            for i, (x, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if x is not None and s:
-                    x = _strip(x.encode(), [(y["lo"], y["hi"]) for y in s])[0].decode("utf-8", "ignore")
-                texts.append(x)
-                n.append(None if x is None else len(x))
+                    x = _strip(x, [(y["lo"], y["hi"]) for y in s])[0]
+                texts.append(None if x is None else x.decode("utf-8", "ignore"))
+                n.append(None if x is None else len(texts[i]))
             for i, name in enumerate(names):
                 if name == "text":
                     cols[i] = pa.array(texts, pa.string())
