@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import words
 
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: White space as the standard has it, and the four separators below the space.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 #: The stem of a word w, the first rule that holds; SQL that both Spark and the tests' engine read.
 STEM = """case
@@ -34,23 +35,21 @@ def word_count(c: Column) -> Column:
     return F.size(split_words(c))
 
 
-def postings(df: DataFrame, keys: list[str], fields: list[str], space: str = SPACE) -> DataFrame:
-    """(keys, field, token), each once: words are exploded, so that stemming stays in generated code."""
+def terms(df: DataFrame, keys: list[str], fields: list[str], space: str = SPACE) -> DataFrame:
+    """(keys, field, token), repeats included: words are exploded, each once a text, so that stemming stays in generated code."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("body")) for f in fields])).alias("f")
-    raw = df.select(*keys, each).select(*keys, "f.field", F.explode(split_words(F.col("f.body"), space)).alias("w"))
+    raw = df.select(*keys, each).select(*keys, "f.field", F.explode(F.array_distinct(split_words(F.col("f.body"), space))).alias("w"))
     clean = raw.withColumn("w", F.lower(F.btrim("w", F.lit(words.PUNCTUATION)))).where((F.length("w") > 2) & ~F.col("w").isin(*words.STOP))
     stem = clean.select(*keys, "field", F.expr(STEM).alias("token"))
-    table = F.create_map(*[F.lit(x) for k, v in words.RELATED.items() for x in (k, v)])
-    more = F.split(table[F.col("token")], " ")
-    tags = stem.where(F.col("token").isin(*words.RELATED)).select(*keys, "field", F.explode(more).alias("token"))
-    return stem.union(tags).distinct()
+    table = F.create_map(*[x for k, v in words.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    # one pass for stems and related terms; the table is looked into only for words that stand in it
+    more = F.when(F.col("token").isin(*words.RELATED), F.concat(F.array("token"), table[F.col("token")])).otherwise(F.array("token"))
+    return stem.select(*keys, "field", F.explode(more).alias("token"))
 
 
-def token_set(c: Column) -> Column:
-    """The same as an array, for short texts."""
-    base = F.transform(split_words(c), lambda x: F.lower(F.btrim(x, F.lit(words.PUNCTUATION))))
-    base = F.filter(base, lambda x: (F.length(x) > 2) & ~x.isin(*words.STOP))
-    return F.array_distinct(base)
+def postings(df: DataFrame, keys: list[str], fields: list[str], space: str = SPACE) -> DataFrame:
+    """(keys, field, token), each once."""
+    return terms(df, keys, fields, space).distinct()
 
 
 def guard_tokens(c: Column) -> Column:

@@ -10,20 +10,20 @@ GUARD_STOP = ("a", "an", "the", "is", "in", "on", "at", "to", "for", "of", "and"
 PUNCTUATION = ".,!?;:()[]\"'`<>"
 # Related terms by stem.
 RELATED = {
-    "sqlite": "database", "postgresql": "database", "postgres": "database", "mysql": "database", "mariadb": "database", "mongodb": "database",
-    "datastore": "database", "persistence": "database", "persistent": "database", "oltp": "database", "olap": "database analytics", "duckdb": "database analytics",
-    "redis": "cache key-value", "ephemeral": "cache", "jaccard": "duplicate", "sequencematcher": "duplicate", "stdlib": "dependency", "pip": "dependency package",
-    "fastapi": "framework api", "flask": "framework api", "django": "framework api", "starlette": "framework api", "hot": "tier", "warm": "tier", "cold": "tier",
-    "monitor": "track", "telemetry": "track observability", "trace": "track observability", "exception": "error", "errors": "error", "sentry": "error observability",
-    "loki": "log observability", "elasticsearch": "log observability", "prometheus": "metric observability", "mimir": "metric observability", "opentelemetry": "track observability",
-    "jwt": "auth token", "oauth2": "auth token", "oauth": "auth token", "pkce": "auth native", "argon2id": "hash password kdf", "argon2": "hash password kdf",
-    "bcrypt": "hash password kdf", "kdf": "hash password", "hashing": "hash", "credentials": "auth token", "httponly": "cookie token", "cookies": "cookie",
-    "kafka": "messaging events stream", "rabbitmq": "messaging", "amqp": "messaging", "nats": "messaging rpc", "kubernetes": "deploy orchestration",
-    "k8s": "deploy orchestration kubernetes", "helm": "deploy kubernetes manifest", "argocd": "deploy gitops", "gitops": "deploy", "serverless": "deploy lambda",
-    "lambda": "deploy serverless", "manifest": "config", "react": "frontend ui", "tailwind": "styling css frontend", "styled": "styling css", "tanstack": "frontend fetching",
-    "ssr": "frontend render", "airflow": "orchestration workflow", "dbt": "transform etl", "iceberg": "lakehouse table", "onnx": "inference ml", "hnsw": "ann vector index",
-    "ann": "vector index", "approximate": "ann vector", "nearest": "ann vector", "neighbor": "ann vector", "embedding": "vector ml", "encoder": "vector embedding ml",
-    "reranker": "retrieval ml", "ner": "entity extraction ml", "pytest": "test", "hypothesis": "test fuzz", "e2e": "test browser",
+    "sqlite": ["database"], "postgresql": ["database"], "postgres": ["database"], "mysql": ["database"], "mariadb": ["database"], "mongodb": ["database"],
+    "datastore": ["database"], "persistence": ["database"], "persistent": ["database"], "oltp": ["database"], "olap": ["database", "analytics"], "duckdb": ["database", "analytics"],
+    "redis": ["cache", "key-value"], "ephemeral": ["cache"], "jaccard": ["duplicate"], "sequencematcher": ["duplicate"], "stdlib": ["dependency"], "pip": ["dependency", "package"],
+    "fastapi": ["framework", "api"], "flask": ["framework", "api"], "django": ["framework", "api"], "starlette": ["framework", "api"], "hot": ["tier"], "warm": ["tier"], "cold": ["tier"],
+    "monitor": ["track"], "telemetry": ["track", "observability"], "trace": ["track", "observability"], "exception": ["error"], "errors": ["error"], "sentry": ["error", "observability"],
+    "loki": ["log", "observability"], "elasticsearch": ["log", "observability"], "prometheus": ["metric", "observability"], "mimir": ["metric", "observability"], "opentelemetry": ["track", "observability"],
+    "jwt": ["auth", "token"], "oauth2": ["auth", "token"], "oauth": ["auth", "token"], "pkce": ["auth", "native"], "argon2id": ["hash", "password", "kdf"], "argon2": ["hash", "password", "kdf"],
+    "bcrypt": ["hash", "password", "kdf"], "kdf": ["hash", "password"], "hashing": ["hash"], "credentials": ["auth", "token"], "httponly": ["cookie", "token"], "cookies": ["cookie"],
+    "kafka": ["messaging", "events", "stream"], "rabbitmq": ["messaging"], "amqp": ["messaging"], "nats": ["messaging", "rpc"], "kubernetes": ["deploy", "orchestration"],
+    "k8s": ["deploy", "orchestration", "kubernetes"], "helm": ["deploy", "kubernetes", "manifest"], "argocd": ["deploy", "gitops"], "gitops": ["deploy"], "serverless": ["deploy", "lambda"],
+    "lambda": ["deploy", "serverless"], "manifest": ["config"], "react": ["frontend", "ui"], "tailwind": ["styling", "css", "frontend"], "styled": ["styling", "css"], "tanstack": ["frontend", "fetching"],
+    "ssr": ["frontend", "render"], "airflow": ["orchestration", "workflow"], "dbt": ["transform", "etl"], "iceberg": ["lakehouse", "table"], "onnx": ["inference", "ml"], "hnsw": ["ann", "vector", "index"],
+    "ann": ["vector", "index"], "approximate": ["ann", "vector"], "nearest": ["ann", "vector"], "neighbor": ["ann", "vector"], "embedding": ["vector", "ml"], "encoder": ["vector", "embedding", "ml"],
+    "reranker": ["retrieval", "ml"], "ner": ["entity", "extraction", "ml"], "pytest": ["test"], "hypothesis": ["test", "fuzz"], "e2e": ["test", "browser"],
 }
 # Marks between the two sides of a choice.
 MARKERS = (" vs ", " over ", " instead of ", " not ", " rather than ")
@@ -35,6 +35,7 @@ CUES = ("chose", "chosen", "over", "switched to", "switch to", "instead of", "ra
         "decided to", "decided", "opted for", "opted", "in favor of", "moved to", "adopted", "settled on", "going with", "went with")
 # Commit types that may hold a decision.
 TYPES = ("feat", "fix", "refactor", "perf")
+# The forms of commit subjects that the format prescribes: type(scope)!: subject, merges, versions.
 CONVENTIONAL = r"^([a-z]+)(?:\([^)]*\))?!?:\s*(.+)$"
 MERGE = r"(?i)^(merge\b|revert\b)"
 VERSION = r"(?i)^(?:\s*(?:bump|release|version|v?\d+\.\d+)\b.*$|\bv?\d+\.\d+\.\d+\b)"

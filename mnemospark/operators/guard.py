@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import words
-from ..functions.text import ascii_lower, guard_tokens, jaccard, side_tokens, vague_snapshot, word_count
+from ..functions.scoring import dot
+from ..functions.text import ascii_lower, guard_tokens, jaccard, postings, side_tokens, vague_snapshot, word_count
 
 MAIN = {"decision": "what", "snapshot": "file_structure", "open_task": "description", "dead_end": "what_tried"}
 REQUIRED = {"decision": ("what",), "snapshot": ("file_structure",), "open_task": ("description",), "dead_end": ("what_tried", "why_failed")}
@@ -79,15 +80,23 @@ def contradictions(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def opposed(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -> DataFrame:
-    """The dense form: a similar vector, a word in common, and a phrase of replacement; both need `embedding` besides."""
-    from ..functions.scoring import dot
-
-    cue = F.lit(False)
-    for x in words.REPLACED:
-        cue = cue | F.contains(F.lower("n.what"), F.lit(x))
-    pairs = new.alias("n").where(cue).join(existing.alias("e"), F.col("n.project") == F.col("e.project"))
-    good = (dot(F.col("n.embedding"), F.col("e.embedding")) >= least) & F.arrays_overlap(guard_tokens(F.col("n.what")), guard_tokens(F.col("e.what")))
-    return pairs.where(good).groupBy("n.project", "n.id").agg(F.min(F.struct("e.seq", "e.id")).alias("m")).select("project", "id", F.col("m.id").alias("other"))
+    """(project, id, other): the first existing record with a similar vector, a token in common and a phrase of replacement in either.
+
+    Records meet on project and token, so no pairs are formed but those with something in common; both need `embedding`.
+    """
+    def told(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        cue = F.lit(False)
+        for x in words.REPLACED:
+            cue = cue | F.contains(F.lower("what"), F.lit(x))
+        return df.withColumn("cue", cue).select("project", "id", "seq", "cue", "embedding").withColumnsRenamed(names)
+
+    tokens = lambda df, name: postings(df, ["project", "id"], ["what"]).select("project", F.col("id").alias(name), "token")
+    pairs = tokens(new, "id").join(tokens(existing, "other"), ["project", "token"]).select("project", "id", "other").distinct()
+    n = told(new, {"seq": "n_seq", "cue": "n_cue", "embedding": "n_vector"})
+    e = told(existing, {"id": "other", "seq": "e_seq", "cue": "e_cue", "embedding": "e_vector"})
+    near = pairs.join(n, ["project", "id"]).join(e, ["project", "other"]).where((F.col("n_cue") | F.col("e_cue")) & (F.col("e_seq") < F.col("n_seq")))
+    near = near.where(dot(F.col("n_vector"), F.col("e_vector")) >= least)
+    return near.groupBy("project", "id").agg(F.min(F.struct("e_seq", "other")).alias("m")).select("project", "id", F.col("m.other").alias("other"))
 
 
 def reasons(new: DataFrame) -> DataFrame:

@@ -1,28 +1,34 @@
 """The engine's calls on single records and projects: each reads current views, runs one of the plans, and appends.
 
-Time is given with every call. Reads leave no trace unless audit=True.
+Time is given with every call. With an embedding provider, a function from a list of texts to a list of vectors of length
+one, reads are improved by dense ranks and decisions are checked for contradictions in meaning; without one, neither is.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import words
-from ..functions.text import category, cost
+from ..functions import scoring, words
+from ..functions.text import category, cost, postings
 from ..sources.store import Store
 from . import extract, guard, rank, records
 
+BATCH = "project string, seq long, kind string, data map<string,string>"
+#: Fields that are stored without white space around them.
+STRIPPED = {"what", "why", "description", "what_tried", "why_failed", "supersedes_id", "chosen_decision_id"}
 TABLES = {"decision": "decisions", "snapshot": "snapshots", "open_task": "open_tasks", "dead_end": "dead_ends"}
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]] | None = None, model: str = "given"):
+        self.spark, self.store, self.embed, self.model = spark, Store(spark, root), embed, model
         self.store.create()
 
     # writes
@@ -39,7 +45,7 @@ class Memory:
     def audit(self, project: str, kind: str, as_of: datetime, **payload) -> None:
         self._put("audit_log", "insert", as_of, project=project, kind=kind, payload=json.dumps(payload), created_at=as_of)
 
-    def _existing(self, project: str) -> DataFrame:
+    def _existing(self, project: str | None = None) -> DataFrame:
         """What checks look at: all decisions, archived ones too, open tasks and dead ends."""
         parts = []
         for kind, where in (("decision", "true"), ("open_task", "status = 'open'"), ("dead_end", "true")):
@@ -53,8 +59,10 @@ class Memory:
             self.audit(project, "write_rejected", as_of, type=kind)
             return {"status": "rejected", "id": None, "reason": f"Unknown type: {kind}"}
         text = {k: v for k, v in data.items() if v is None or isinstance(v, str)}
-        new = self.spark.createDataFrame([(project, 1, kind, text)], "project string, seq long, kind string, data map<string,string>")
+        new = self.spark.createDataFrame([(project, 1, kind, text)], BATCH)
         reason = guard.fold(new, self._existing(project)).first()["reason"]
+        if reason == "ok" and kind == "decision" and (old := self._opposed(project, data.get("what") or "")):
+            reason = f"Contradicts existing decision: '{old[:80]}'"
         if reason != "ok":
             return self._turned_down(kind, project, data, reason, as_of, source)
         for f, name in (("supersedes_id", "decisions"), ("chosen_decision_id", "decisions")):
@@ -75,7 +83,7 @@ class Memory:
         return {"status": "staged", "id": id_, "reason": reason}
 
     def _insert(self, kind, project, data, as_of, source, confidence=None, agent="unknown"):
-        row = {k: v for k, v in data.items() if k != "id"} | {"project": project, "created_at": as_of}
+        row = {k: v.strip() if k in STRIPPED and isinstance(v, str) else v for k, v in data.items() if k != "id"} | {"project": project, "created_at": as_of}
         if kind in ("decision", "dead_end"):
             c = data.get("confidence") if confidence is None else confidence
             row |= {"confidence": min(1.0, max(0.0, 1.0 if c is None else float(c))), "agent": data.get("agent") or agent}
@@ -87,13 +95,37 @@ class Memory:
             row["status"] = "open"
         return self._put(TABLES[kind], "insert", as_of, **row)
 
-    def write_batch(self, rows: DataFrame, as_of: datetime) -> DataFrame:
-        """Verdicts for (project, seq, kind, data) in order of arrival, each project folded in one task; nothing is appended."""
-        held = None
-        for r in rows.select("project").distinct().toLocalIterator():
-            one = self._existing(r["project"])
-            held = one if held is None else held.unionByName(one)
-        return guard.fold(rows, held, self.store.current("guard_policy").select("project", "category", "action"))
+    def write_batch(self, rows: DataFrame, as_of: datetime, source: str | None = None) -> DataFrame:
+        """Judges (project, seq, kind, data) in order of arrival and appends what is committed or staged, with audit events.
+
+        Tables are read once for all projects of the batch; every table gets one append. Returns project, seq, status,
+        reason and id. Links to other records are not followed in a batch; such records go by write(). A batch is what one
+        writer adds at once: its verdicts pass through the driver, which fixes the ids that they get.
+        """
+        touched = rows.select("project").distinct()
+        held = self._existing().join(touched, "project", "left_semi")
+        judged = guard.fold(rows.select("project", "seq", "kind", "data"), held, self.store.current("guard_policy").select("project", "category", "action"))
+        named = rows.join(judged, ["project", "seq"]).withColumn("id", F.when(F.col("status").isin("committed", "staged"), F.expr("uuid()")))
+        named = self.spark.createDataFrame(named.select("project", "seq", "kind", "data", "status", "reason", "id").collect(), BATCH + ", status string, reason string, id string")
+        at = F.lit(as_of).cast("timestamp")
+        for kind, table in TABLES.items():
+            mine = named.where((F.col("status") == "committed") & (F.col("kind") == kind))
+            shape = self.spark.createDataFrame([], self.store.schema(table)).drop("seq", "op", "at").schema
+            made = {"id": F.col("id"), "project": F.col("project"), "created_at": at, "source": F.lit(source), "status": F.lit("open"),
+                    "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("data")["confidence"].cast("double"), F.lit(1.0)))),
+                    "agent": F.coalesce(F.col("data")["agent"], F.lit("unknown"))}
+            cols = [(made[f.name] if f.name in made else F.trim(F.col("data")[f.name]) if f.name in STRIPPED else F.col("data")[f.name]).cast(f.dataType).alias(f.name) for f in shape]
+            self.store.append(table, mine.select(*cols, F.col("seq").alias("nth")), "insert", as_of, "nth")
+        staged = named.where("status = 'staged'").select("id", F.col("kind").alias("type"), "project", F.to_json("data").alias("data"), "reason", at.alias("created_at"), F.lit(source).alias("source"), F.col("seq").alias("nth"))
+        self.store.append("staging", staged, "insert", as_of, "nth")
+        kinds = F.create_map(*[F.lit(x) for p in (("committed", "write_commit"), ("staged", "write_staged"), ("auto_rejected", "write_auto_rejected"), ("rejected", "write_rejected")) for x in p])
+        self._events(named.select("project", kinds[F.col("status")].alias("kind"), F.to_json(F.struct(F.col("kind").alias("type"), "id", "reason")).alias("payload"), F.col("seq").alias("nth")), as_of)
+        return named.select("project", "seq", "status", "reason", "id")
+
+    def _events(self, events: DataFrame, as_of: datetime) -> None:
+        """Audit events (project, kind, payload, nth) in one append."""
+        rows = events.select(F.expr("uuid()").alias("id"), "project", "kind", "payload", F.lit(as_of).cast("timestamp").alias("created_at"), "nth")
+        self.store.append("audit_log", rows, "insert", as_of, "nth")
 
     def close_task(self, id_: str, as_of: datetime) -> dict:
         row = self._get("open_tasks", id_)
@@ -148,12 +180,14 @@ class Memory:
 
     def sweep(self, as_of: datetime, project: str | None = None, floor: float = words.FLOOR) -> list[str]:
         """Archives live decisions whose confidence has decayed below the floor, in one append."""
-        low = records.sweep(self.store.current("decisions", project), F.lit(as_of).cast("timestamp"), floor).drop("eff", "seq", "op", "at").withColumn("archived_at", F.lit(as_of).cast("timestamp"))
-        low = self.spark.createDataFrame(low.collect(), low.schema)
-        self.store.append("decisions", low, "archive", as_of)
-        for r in low.collect():
-            self.audit(r["project"], "decision_archive", as_of, id=r["id"])
-        return [r["id"] for r in low.collect()]
+        at = F.lit(as_of).cast("timestamp")
+        low = records.sweep(self.store.current("decisions", project), at, floor).drop("eff", "seq", "op", "at").withColumn("archived_at", at)
+        swept = low.collect()  # what one sweep archives; its images and events are one append each
+        if swept:
+            low = self.spark.createDataFrame(swept, low.schema)
+            self.store.append("decisions", low, "archive", as_of)
+            self._events(low.select("project", F.lit("decision_archive").alias("kind"), F.to_json(F.struct("id")).alias("payload"), F.col("id").alias("nth")), as_of)
+        return [r["id"] for r in swept]
 
     # policy
     def tune(self, as_of: datetime) -> DataFrame:
@@ -191,16 +225,61 @@ class Memory:
         at = F.lit(as_of).cast("timestamp")
         q = self.spark.createDataFrame([(1, project, query or "")], "query_id int, project string, text string")
         scores = rank.keyword_scores(docs, q, at)
-        empty = rank.postings(q, ["query_id"], ["text"]).isEmpty()
-        order = rank.recent(docs, at).select("project", "id", "score", "pos") if empty else rank.ranked(scores).select("project", "id", "score", "pos")
-        rows = docs.drop("seq", "op", "at").join(order, ["project", "id"]).withColumn("score", F.bround("score", 3))
+        empty = postings(q, ["query_id"], ["text"]).isEmpty()
+        if empty:
+            order = rank.recent(docs.select("project", "id", "created_at", "confidence"), at, words.WARM_BUDGET).select("project", "id", "score", "pos")
+        else:
+            order = rank.ranked(scores).select("query_id", "project", "id", "base", "score", "pos")
+            if self.embed:
+                # the keyword order with its first places improved by the dense one
+                v = self.vectors(docs, as_of)
+                near = rank.dense_rank(v.select("project", "id", "embedding"), self._query_vector(project, query)).select("query_id", "id", "pos")
+                fused = rank.fuse_and_guard(order.select("query_id", "id", "base", "pos"), near)
+                order = order.drop("pos").join(fused.drop("query_id"), "id")
+        eff = F.bround(scoring.effective(F.col("confidence"), F.col("created_at"), at), 3)
+        rows = docs.drop("seq", "op", "at").join(order.select("project", "id", "score", "pos"), ["project", "id"]).withColumn("score", F.bround("score", 3)).withColumn("effective_confidence", eff)
         return rank.pack(rows, ["project"], ["pos"], rank.tokens_cost(), words.WARM_BUDGET).orderBy("pos")
 
-    def read(self, project: str, query: str, as_of: datetime, include_archived: bool = False, audit: bool = False) -> dict:
+    def _query_vector(self, project: str, text: str) -> DataFrame:
+        return self.spark.createDataFrame([(1, project, [float(x) for x in self.embed([text])[0]])], "query_id int, project string, embedding array<double>")
+
+    def vectors(self, docs: DataFrame, as_of: datetime) -> DataFrame:
+        """project, id, seq, what, embedding of decisions: from the table of the model, and for those that it lacks from the provider, whose answers are kept."""
+        known = lambda: self.store.current("decision_embeddings").where(F.col("model") == self.model).select("id", F.col("vector").cast("array<double>").alias("embedding"))
+        lacking = docs.join(known(), "id", "left_anti").select("id", "project", F.concat(F.col("what"), F.lit(". "), F.coalesce("why", F.lit(""))).alias("text"))
+        embed = self.embed
+
+        def run(batches):
+            for b in batches:
+                given = [[float(x) for x in v] for v in embed(b.column(2).to_pylist())] if b.num_rows else []
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(given, pa.list_(pa.float32()))], names=["id", "project", "vector"])
+
+        if not lacking.isEmpty():
+            fresh = lacking.mapInArrow(run, "id string, project string, vector array<float>")
+            at = F.lit(as_of).cast("timestamp")
+            self.store.append("decision_embeddings", fresh.select("id", "project", F.lit(self.model).alias("model"), F.size("vector").alias("dim"), "vector", at.alias("created_at")), "upsert", as_of)
+        return docs.join(known(), "id").select("project", "id", "seq", "what", "embedding")
+
+    def _opposed(self, project: str, what: str) -> str | None:
+        """The first decision of the project that a new one contradicts in meaning."""
+        if not self.embed:
+            return None
+        old = self.store.current("decisions", project)
+        v = self.vectors(old, self.store.last_time("decisions"))
+        new = self._query_vector(project, what).select("project", F.lit("new").alias("id"), F.lit(2**62).alias("seq"), F.lit(what).alias("what"), "embedding")
+        hit = guard.opposed(new, v).join(v.select(F.col("id").alias("other"), F.col("what").alias("text")), "other").select("text").limit(1).collect()
+        return hit[0]["text"] if hit else None
+
+    def read(self, project: str, query: str, as_of: datetime, include_archived: bool = False, audit: bool = True) -> dict:
+        """hot tasks, the last snapshot, warm decisions and token_estimate; each read is an audit event unless audit is False."""
         hot, snap, warm = self.hot(project), self.snapshot(project), self.warm(project, query, as_of, include_archived)
+        # what the budgets let through: bounded by them
+        tasks, decisions = hot.select("cost").collect(), warm.select("cost", "score", "pos").orderBy("pos").collect()
+        layout = snap.select(cost(F.coalesce("file_structure", F.lit(""))).alias("cost")).collect()
+        estimate = sum(r["cost"] for r in [*tasks, *decisions, *layout])
         if audit:
-            self.audit(project, "query", as_of, query=query[:120])
-        return {"hot": hot, "snapshot": snap, "warm": warm}
+            self.audit(project, "query", as_of, query=(query or "")[:120], decisions_returned=len(decisions), open_tasks_returned=len(tasks), top_score=decisions[0]["score"] if decisions else 0.0, token_estimate=estimate)
+        return {"hot": hot, "snapshot": snap, "warm": warm, "token_estimate": estimate}
 
     def provenance(self, id_: str) -> dict | None:
         ids = self.spark.createDataFrame([(id_,)], "id string")

@@ -7,16 +7,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, words
-from ..functions.text import SPACE, cost, postings
+from ..functions.text import SPACE, cost, postings, terms
 
 
-def idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(project, token, df, idf): documents without tokens count in n too."""
+#: Slices of time that positions within a project are counted in.
+SLICES = 256
+
+
+def flags(docs: DataFrame, space: str = SPACE, asked: DataFrame | None = None) -> DataFrame:
+    """(project, id, token, in_what) of each document, in one aggregate; with `asked`, of the tokens in it alone.
+
+    Frequencies and hits both read this, with all its columns, so that Spark makes and exchanges it once.
+    """
+    found = terms(docs, ["project", "id"], ["what", "why"], space)
+    if asked is not None:
+        found = found.join(asked.select("token").distinct(), "token", "left_semi")
+    return found.groupBy("project", "id", "token").agg(F.max((F.col("field") == "what").cast("int")).alias("in_what"))
+
+
+def idf(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(project, token, df, idf) of flagged tokens: documents without tokens count in n too."""
     n = docs.groupBy("project").agg(F.count("*").alias("n"))
-    df = terms.select("project", "id", "token").distinct().groupBy("project", "token").agg(F.count("*").alias("df"))
+    df = flagged.groupBy("project", "token").agg(F.count("in_what").alias("df"))
     return df.join(n, "project").select("project", "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def weighted(docs: DataFrame, queries: DataFrame, space: str = SPACE) -> DataFrame:
+    """(query_id, project, id, hit, hit_what, total): the weights of the tokens that a document shares with a query.
+
+    Only the tokens of queries are kept before anything is exchanged; frequencies of other tokens are not needed.
+    """
+    asked = postings(queries, ["query_id", "project"], ["text"], space).select("query_id", "project", "token")
+    flagged = flags(docs, space, asked)
+    asked = asked.join(idf(docs, flagged).select("project", "token", "idf"), ["project", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
+    total = asked.groupBy("query_id", "project").agg(F.sum("w").alias("total"))
+    hits = flagged.join(asked, ["project", "token"]).groupBy("query_id", "project", "id").agg(F.sum("w").alias("hit"), F.sum(F.col("w") * F.col("in_what")).alias("hit_what"))
+    return hits.join(total, ["query_id", "project"])
+
+
+def recency(docs: DataFrame) -> DataFrame:
+    """docs with `recency`, from 0 for a project's oldest record to the full weight for its newest.
+
+    A record's position is the number of records in earlier slices of time and its place within its own slice, so no
+    project gathers in one task; the counts by slice are at most SLICES a project.
+    """
+    span = docs.groupBy("project").agg(F.min("created_at").alias("t0"), F.max("created_at").alias("t1"), F.count("*").alias("n"))
+    at = lambda c: F.unix_micros(F.col(c))
+    cut = F.floor((at("created_at") - at("t0")) / (at("t1") - at("t0") + 1) * SLICES).cast("int")
+    sliced = docs.join(span, "project").withColumn("slice", F.coalesce(cut, F.lit(-1)))
+    counts = sliced.groupBy("project", "slice").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("project").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("project", "slice", F.coalesce(before, F.lit(0)).alias("earlier"))
+    nth = F.row_number().over(Window.partitionBy("project", "slice").orderBy("created_at", "id")) - 1 + F.col("earlier")
+    share = F.coalesce(nth / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))
+    return sliced.join(counts, ["project", "slice"]).withColumn("recency", share * words.RECENCY_WEIGHT).drop("slice", "earlier", "t0", "t1", "n")
+
+
 def keyword_scores(docs: DataFrame, queries: DataFrame, as_of: Column, space: str = SPACE, tail: int | None = words.WARM_BUDGET) -> DataFrame:
     """(query_id, project, id, base, score, created_at) of all documents with a common token.
 
@@ -24,21 +70,11 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, as_of: Column, space: st
     changes; so of these only the first `tail` of each project are added, which is as many as any budget can hold.
     docs: project, id, created_at, confidence, what, why. queries: query_id, project, text.
     """
-    terms = postings(docs, ["project", "id"], ["what", "why"], space)
-    weight = idf(docs, terms)
-    asked = postings(queries, ["query_id", "project"], ["text"], space).select("query_id", "project", "token")
-    asked = asked.join(weight.select("project", "token", "idf"), ["project", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
-    total = asked.groupBy("query_id", "project").agg(F.sum("w").alias("total"))
-    flags = terms.groupBy("project", "id", "token").agg(F.max((F.col("field") == "what").cast("int")).alias("in_what"))
-    hits = flags.join(asked, ["project", "token"]).groupBy("query_id", "project", "id").agg(F.sum("w").alias("hit"), F.sum(F.col("w") * F.col("in_what")).alias("hit_what"))
-    hits = hits.join(total, ["query_id", "project"])
-    w = Window.partitionBy("project").orderBy("created_at", "id")
-    age = docs.withColumn("nth", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("project")))
-    age = age.withColumn("recency", F.coalesce(F.col("nth") / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)) * words.RECENCY_WEIGHT)
-    age = age.withColumn("eff", scoring.effective(F.col("confidence"), F.col("created_at"), as_of))
+    hits = weighted(docs, queries, space)
+    age = recency(docs.select("project", "id", "created_at", "confidence"))
+    meta = age.select("project", "id", "created_at", "recency", scoring.effective(F.col("confidence"), F.col("created_at"), as_of).alias("eff"))
     base, what = F.col("hit") / F.col("total"), F.col("hit_what") / F.col("total")
     nudge = words.CONFIDENCE_WEIGHT * (F.col("eff") - 1)
-    meta = age.select("project", "id", "created_at", "recency", "eff")
     scored = hits.join(meta, ["project", "id"]).select("query_id", "project", "id", "created_at", base.alias("base"), (base + words.WHAT_WEIGHT * what + F.col("recency") + nudge).alias("score"))
     if not tail:
         return scored
@@ -57,13 +93,12 @@ def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return out.where(F.col("pos") <= limit) if limit else out
 
 
-def recent(docs: DataFrame, as_of: Column) -> DataFrame:
+def recent(docs: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """The order of an empty query: recency and confidence alone."""
-    w = Window.partitionBy("project").orderBy("created_at", "id")
-    n = F.count("*").over(Window.partitionBy("project"))
     eff = scoring.effective(F.col("confidence"), F.col("created_at"), as_of)
-    score = F.coalesce((F.row_number().over(w) - 1) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)) * words.RECENCY_WEIGHT + words.CONFIDENCE_WEIGHT * (eff - 1)
-    return docs.withColumn("score", score).withColumn("pos", F.row_number().over(Window.partitionBy("project").orderBy(*_order())))
+    scored = recency(docs).withColumn("score", F.col("recency") + words.CONFIDENCE_WEIGHT * (eff - 1)).drop("recency")
+    out = scored.withColumn("pos", F.row_number().over(Window.partitionBy("project").orderBy(*_order())))
+    return out.where(F.col("pos") <= limit) if limit else out
 
 
 def pack(rows: DataFrame, keys: list[str], order: list, size: Column, budget: int) -> DataFrame:
@@ -72,10 +107,15 @@ def pack(rows: DataFrame, keys: list[str], order: list, size: Column, budget: in
     return rows.withColumn("cost", size).withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 
 
-def dense_rank(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, project, id, sim, pos). A stated set of queries, so it is broadcast only while it is small."""
-    pairs = vectors.join(queries.withColumnRenamed("embedding", "q"), "project")
-    out = pairs.select("query_id", "project", "id", scoring.dot(F.col("embedding"), F.col("q")).alias("sim"))
+def dense_rank(vectors: DataFrame, queries: DataFrame, k: int | None = None, blocks: int = 64) -> DataFrame:
+    """(query_id, project, id, sim, pos) of a stated set of queries against all vectors of their project.
+
+    Vectors are dealt to blocks and the queries go to each block, so that a project's vectors never share one task
+    whether or not Spark finds the queries small enough to broadcast; with k, each task keeps its k best of a query.
+    """
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    each = queries.withColumnRenamed("embedding", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    out = dealt.join(each, ["project", "block"]).select("query_id", "project", "id", scoring.dot(F.col("embedding"), F.col("q")).alias("sim"))
     out = out.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "project").orderBy(F.round("sim", 9).desc(), "id")))
     return out.where(F.col("pos") <= k) if k else out
 

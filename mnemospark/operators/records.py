@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, words
-from .rank import idf, postings
+from .rank import weighted
 
 FAILURES = ("write_staged", "write_auto_rejected", "write_rejected")
 
@@ -77,16 +77,10 @@ def delta(rows: DataFrame, handoffs: DataFrame, at: str, extra: Column | None =
 
 def route(decisions: DataFrame, tasks: DataFrame, as_of: Column, top: int = 3, evidence: int = 3, space: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Agents by the decayed relevance of their decisions to a task, and their best evidence. tasks: query_id, project, text."""
-    args = (space,) if space else ()
     live = decisions.where("archived_at is null")
-    terms = postings(live, ["project", "id"], ["what", "why"], *args)
-    weight = idf(live, terms)
-    asked = postings(tasks, ["query_id", "project"], ["text"], *args).select("query_id", "project", "token")
-    asked = asked.join(weight.select("project", "token", "idf"), ["project", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
-    total = asked.groupBy("query_id", "project").agg(F.sum("w").alias("total"))
-    hits = terms.select("project", "id", "token").distinct().join(asked, ["project", "token"]).groupBy("query_id", "project", "id").agg(F.sum("w").alias("hit"))
+    hits = weighted(live, tasks, *((space,) if space else ()))
     eff = scoring.effective(F.col("confidence"), F.col("created_at"), as_of)
-    rel = hits.join(total, ["query_id", "project"]).withColumn("relevance", F.col("hit") / F.col("total")).where("relevance > 0")
+    rel = hits.withColumn("relevance", F.col("hit") / F.col("total")).where("relevance > 0")
     rel = rel.join(live.select("project", "id", F.coalesce(F.nullif("agent", F.lit("")), F.lit("unknown")).alias("agent"), eff.alias("eff")), ["project", "id"])
     rel = rel.withColumn("contribution", F.col("relevance") * F.col("eff"))
     agents = rel.groupBy("query_id", "project", "agent").agg(F.sum("contribution").alias("score"), F.count("*").alias("n"))

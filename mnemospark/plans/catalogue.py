@@ -12,7 +12,8 @@ from ..operators import extract, guard, rank, records
 from . import oracle
 from .fixtures import COMMITS, EVENTS, PAIRS
 
-SPACE = r"[ \t\n\r\f\x0b]+"
+
+
 def as_of():
     """The time that all queries here are asked at."""
     return F.lit("2024-06-01 00:00:00").cast("timestamp")
@@ -22,11 +23,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def decisions(spark, d, whole=False):
-    """documents as decisions: a language is a project, a source an agent, the first line's first 20 words (or all of it) the headline."""
+def decisions(spark, d):
+    """documents as decisions: a language is a project, a source an agent, the first line the headline, the whole text the reason."""
     lab = read(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    line = F.split(F.col("text"), "\n")[0]
-    what = line if whole else F.array_join(F.slice(F.split(line, " "), 1, 20), " ")
+    what = F.split(F.col("text"), "\n")[0]
     docs = read(spark, d, "documents").join(lab, "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("project"), what.alias("what"), F.col("text").alias("why"),
@@ -109,26 +109,18 @@ def sweep_archive(spark, d):
     return records.sweep(decisions(spark, d), as_of()).select("id", "project", F.round("eff", 6).alias("eff"))
 
 
-def en(spark, d):
-    return decisions(spark, d).where("project = 'en'")
-
-
 def tokenize(spark, d):
-    return postings(en(spark, d), ["id"], ["why"], SPACE).select("id", "token")
-
-
-def tokenize_all(spark, d):
     """The tokens of every document, whatever its language."""
-    return postings(decisions(spark, d), ["id"], ["why"], SPACE).select("id", "token")
+    return postings(decisions(spark, d), ["id"], ["why"]).select("id", "token")
 
 
 def document_frequency(spark, d):
     dec = decisions(spark, d)
-    return rank.idf(dec, postings(dec, ["project", "id"], ["what", "why"], SPACE)).select("project", "token", "df", F.round("idf", 6).alias("idf"))
+    return rank.idf(dec, rank.flags(dec)).select("project", "token", "df", F.round("idf", 6).alias("idf"))
 
 
 def keyword_scores(spark, d, tail=None):
-    return rank.keyword_scores(decisions(spark, d).where("archived_at is null"), asked(spark, d), as_of(), SPACE, tail)
+    return rank.keyword_scores(decisions(spark, d).where("archived_at is null"), asked(spark, d), as_of(), tail=tail)
 
 
 def keyword_rank(spark, d):
@@ -142,17 +134,18 @@ def warm_pack(spark, d):
 
 
 def recent_rank(spark, d):
-    r = rank.recent(decisions(spark, d).where("archived_at is null"), as_of()).where("pos <= 5")
+    r = rank.recent(decisions(spark, d).where("archived_at is null"), as_of(), 5)
     return r.select("project", "id", "pos", F.round("score", 6).alias("score"))
 
 
 def eval_recall(spark, d):
     """Benchmark passages that stand in a document word for word, looked up by keyword; the words of both meet exactly."""
-    shingle = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " "))))).alias("s")
+    windows = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " ")))
+    shingle = lambda c: F.explode(F.array_distinct(F.transform(F.array(c), windows)[0])).alias("s")
     b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    head = b.select("item_id", "passage", F.xxhash64(F.array_join(F.slice(split_words(F.col("passage"), SPACE), 1, 8), " ")).alias("s"))
+    head = b.select("item_id", "passage", F.xxhash64(F.array_join(F.slice(split_words(F.col("passage")), 1, 8), " ")).alias("s"))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    keys = docs.select("doc_id", shingle(split_words(F.col("text"), SPACE)))
+    keys = docs.select("doc_id", shingle(split_words(F.col("text"))))
     near = keys.join(head, "s").join(docs, "doc_id").where("contains(text, passage)")
     expected = near.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("id"))
     found = rank.ranked(keyword_scores(spark, d).withColumn("score", F.col("base")).withColumn("project", F.lit("all")), 10)
@@ -164,10 +157,11 @@ def vectors(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), "embedding")
 
 
-def dense(spark, d, n=2):
+def dense(spark, d, follow=False, k=None):
+    """Every vec_id divisible by 20 as a query against all rows; with follow, the vector after each as its second query."""
     v = vectors(spark, d).withColumn("project", F.lit(0))
-    q = v.where(F.col("id") < n).select(F.col("id").alias("query_id"), "project", "embedding")
-    return rank.dense_rank(v, q)
+    q = v.where(F.col("id") % 20 <= (1 if follow else 0)).select(F.col("id").alias("query_id"), "project", "embedding")
+    return rank.dense_rank(v, q, k)
 
 
 def dense_rank(spark, d):
@@ -175,69 +169,34 @@ def dense_rank(spark, d):
 
 
 def dense_topk(spark, d):
-    return dense(spark, d).where("pos <= 10").select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
-
-
-def rrf_fuse(spark, d):
-    x = dense(spark, d)
-    return rank.rrf([x.where("query_id = 0"), x.where("query_id = 1")], ["project"]).select("id", F.round("score", 9).alias("score"), "pos")
-
-
-def hybrid_pin(spark, d):
-    x = dense(spark, d)
-    kw = x.where("query_id = 0").select(F.lit(0).alias("query_id"), "id", F.col("sim").alias("base"), "pos")
-    dn = x.where("query_id = 1").select(F.lit(0).alias("query_id"), "id", "pos")
-    return rank.fuse_and_guard(kw, dn).select("id", "pos")
-
-
-def dense_all(spark, d, follow=False):
-    """Every vec_id divisible by 20 as a query against all rows; with follow, the vector after each as its second query."""
-    v = vectors(spark, d).withColumn("project", F.lit(0))
-    q = v.where(F.col("id") % 20 <= (1 if follow else 0)).select(F.col("id").alias("query_id"), "project", "embedding")
-    return rank.dense_rank(v, q)
-
-
-def dense_rank_all(spark, d):
-    return dense_all(spark, d).select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
-
-
-def dense_topk_all(spark, d):
-    return dense_all(spark, d).where("pos <= 10").select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
+    return dense(spark, d, k=10).select("query_id", "id", "pos", F.round("sim", 6).alias("sim"))
 
 
 def both_lists(spark, d):
-    x = dense_all(spark, d, follow=True)
+    x = dense(spark, d, follow=True)
     base = F.col("query_id") - F.col("query_id") % 20
     return [x.where(F.col("query_id") % 20 == i).withColumn("query_id", base) for i in (0, 1)]
 
 
-def rrf_fuse_all(spark, d):
+def rrf_fuse(spark, d):
     return rank.rrf(both_lists(spark, d), ["query_id"]).select("query_id", "id", F.round("score", 9).alias("score"), "pos")
 
 
-def hybrid_pin_all(spark, d):
+def hybrid_pin(spark, d):
     kw, dn = both_lists(spark, d)
     return rank.fuse_and_guard(kw.select("query_id", "id", F.col("sim").alias("base"), "pos"), dn.select("query_id", "id", "pos")).select("query_id", "id", "pos")
 
 
-def short(spark, d, whole=False):
-    return decisions(spark, d, whole).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
-
-
-def exact_dups(spark, d, whole=False):
-    return guard.exact_pairs(short(spark, d, whole))
-
+def short(spark, d):
+    return decisions(spark, d).select("project", "id", F.col("id").alias("seq"), "what", "why", F.col("agent"))
 
-def exact_dups_whole(spark, d):
-    return exact_dups(spark, d, True)
 
+def exact_dups(spark, d):
+    return guard.exact_pairs(short(spark, d))
 
-def fuzzy_dups(spark, d, whole=False):
-    return guard.fuzzy_pairs(short(spark, d, whole)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
 
-
-def fuzzy_dups_whole(spark, d):
-    return fuzzy_dups(spark, d, True)
+def fuzzy_dups(spark, d):
+    return guard.fuzzy_pairs(short(spark, d)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
 
 
 def contradictions(spark, d):
@@ -245,13 +204,9 @@ def contradictions(spark, d):
     return guard.contradictions(p.where("id >= 100"), p.where("id < 100"))
 
 
-def guard_reasons(spark, d, whole=False):
+def guard_reasons(spark, d):
     p = spark.createDataFrame(PAIRS, "project string, id long, seq long, what string, why string")
-    return guard.reasons(short(spark, d, whole).drop("agent").unionByName(p.withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12)))
-
-
-def guard_reasons_whole(spark, d):
-    return guard_reasons(spark, d, True)
+    return guard.reasons(short(spark, d).drop("agent").unionByName(p.withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12)))
 
 
 def provenance(spark, d):
@@ -276,7 +231,7 @@ def latest_handoff(spark, d):
 
 
 def route(spark, d):
-    return records.route(decisions(spark, d), asked(spark, d), as_of(), space=SPACE)
+    return records.route(decisions(spark, d), asked(spark, d), as_of())
 
 
 def route_task(spark, d):
@@ -319,7 +274,7 @@ def reason_categories(spark, d):
 
 
 def token_costs(spark, d):
-    return read(spark, d, "documents").select("doc_id", cost(F.col("text")).alias("cost"), F.size(split_words(F.col("text"), SPACE)).alias("n_words"))
+    return read(spark, d, "documents").select("doc_id", cost(F.col("text")).alias("cost"), F.size(split_words(F.col("text"))).alias("n_words"))
 
 
 def unit_vectors(spark, d):
@@ -333,15 +288,14 @@ def staging_list(spark, d):
 
 def sequential_guard(spark, d):
     """The fold in arrival order, of the whole first lines of each project as new decisions: no SQL can express it."""
-    rows = short(spark, d, whole=True).select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
+    rows = short(spark, d).select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
     return guard.fold(rows, rows.where("false"))
 
 
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
-reason_categories token_costs unit_vectors staging_list sequential_guard exact_dups_whole fuzzy_dups_whole guard_reasons_whole
-dense_rank_all dense_topk_all rrf_fuse_all hybrid_pin_all tokenize_all""".split()
+reason_categories token_costs unit_vectors staging_list sequential_guard""".split()
 
 
 def queries():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import words
-from ..functions.text import STEM
 from .fixtures import COMMITS, EVENTS, PAIRS
 
 
@@ -19,24 +18,37 @@ def listed(xs) -> str:
     return "(" + ", ".join(q(x) for x in xs) + ")"
 
 
-DEC = """dec as (select d.doc_id id, d.lang project, array_to_string(list_slice(string_split(string_split(d.text, chr(10))[1], ' '), 1, 20), ' ') what, d.text why, d.source agent,
+DEC = """dec as (select d.doc_id id, d.lang project, string_split(d.text, chr(10))[1] what, d.text why, d.source agent,
   timestamp '2024-01-01' + to_minutes(d.doc_id) created_at, case when l.quality = 1 then 1.0 when l.quality = 0 then 0.5 else 0.8 end::double confidence,
   case when l.toxic = 1 then 1 end archived, case when l.quality = 1 then 'human-reviewed' when l.quality = 0 then 'git-hook' end source
   from documents d left join (select doc_id, min(quality) quality, max(toxic) toxic from labels group by 1) l using (doc_id))"""
-CUT = "array_to_string(list_slice(string_split(string_split(d.text, chr(10))[1], ' '), 1, 20), ' ')"
-DEC_WHOLE = DEC.replace(CUT, "string_split(d.text, chr(10))[1]")
 EFF = "confidence * power(0.5::double, greatest(0, epoch_us(timestamp '2024-06-01') - epoch_us(created_at)) / 8.64e10 / 90)"
 ASKED = "asked as (select item_id query_id, p.project, text from benchmark, (values ('en'), ('fr'), ('de'), ('es')) p(project))"
 
 
+#: White space, and the rule by which words are stemmed, written down here on their own.
+BLANK = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+STEM = r"""case when length(w) <= 3 then w
+  when regexp_matches(w, '^.{2,}ie[sd]$') then regexp_replace(w, 'ie[sd]$', 'y')
+  when regexp_matches(w, 'sses$') then regexp_replace(w, 'es$', '')
+  when regexp_matches(w, '^.+(ct|ss|pt)ion$') then regexp_replace(w, 'ion$', '')
+  when regexp_matches(w, '^.{3,}ing$') then regexp_replace(w, 'ing$', '')
+  when regexp_matches(w, '^.{3,}(ed|ing)ly$') then regexp_replace(w, '(ed|ing)ly$', '')
+  when regexp_matches(w, '^.*(.v|ch|sh|th)ed$') and length(w) > 4 then regexp_replace(w, 'd$', '')
+  when regexp_matches(w, '^.{2,}[^aeiou]ed$') then regexp_replace(w, 'ed$', '')
+  when regexp_matches(w, '^.{3,}ly$') then regexp_replace(w, 'ly$', '')
+  when regexp_matches(w, '[^suio]s$') then regexp_replace(w, 's$', '')
+  else w end"""
+
+
 def tokens(name, source, keys, fields) -> str:
     """CTEs that end in `name`: keys, field, token."""
-    raw = " union all ".join(f"select {keys}, {q(f)} field, unnest(string_split_regex({f}, '[ \\t\\n\\r\\f\\v]+')) w from {source}" for f in fields)
-    more = values(list(words.RELATED.items()), "k, v")
+    raw = " union all ".join(f"select {keys}, {q(f)} field, unnest(string_split_regex({f}, '{BLANK}')) w from {source}" for f in fields)
+    more = values([(k, x) for k, v in words.RELATED.items() for x in v], "k, v")
     punct = q(words.PUNCTUATION)
     return f"""{name}_raw as ({raw}), {name}_w as (select {keys}, field, lower(trim(w, {punct})) w from {name}_raw),
       {name}_s as (select {keys}, field, {STEM} token from {name}_w where length(w) > 2 and w not in {listed(words.STOP)}),
-      {name} as (select distinct {keys}, field, token from {name}_s union select {keys}, field, unnest(string_split(v, ' ')) from {name}_s join {more} r on r.k = token)"""
+      {name} as (select distinct {keys}, field, token from {name}_s union select {keys}, field, v from {name}_s join {more} r on r.k = token)"""
 
 
 IDF = """idf as (select project, token, count(distinct id) df, ln((any_value(n) + 1) / (count(distinct id) + 1)) + 1 idf from terms join (select project, count(*) n from live group by 1) using (project) group by 1, 2)"""
@@ -51,18 +63,19 @@ SCORED = f"""with {DEC}, live as (select * from dec where archived is null), {AS
     from hits h join total using (query_id, project) join meta m on m.id = h.id and m.project = h.project)"""
 ORDER = "round(score, 9) desc, created_at desc, id"
 PAIR = values(PAIRS, "project, id, seq, what, why")
-GT = f"list_distinct(list_transform(list_filter(string_split_regex(lower(what), '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 2 and w not in {listed(words.GUARD_STOP)}), lambda w: trim(w, '.,!?')))"
+GT = f"list_distinct(list_transform(list_filter(string_split_regex(lower(what), '{BLANK}'), lambda w: length(w) > 2 and w not in {listed(words.GUARD_STOP)}), lambda w: trim(w, '.,!?')))"
 FUZZY = f"""gt as (select project, id, seq, {GT} t from short), pairs as (select a.project, a.id, b.id other, b.seq, len(list_intersect(a.t, b.t)) c, len(a.t) + len(b.t) u
    from gt a join gt b on a.project = b.project and b.seq < a.seq where len(a.t) > 0 and len(b.t) > 0),
   fuzzy as (select project, id, arg_min(other, seq) other, arg_min(c / (u - c), seq) sim from pairs where c / (u - c) >= 0.45 group by 1, 2)"""
-SIDE = lambda x: f"list_filter(list_transform(list_filter(string_split_regex({x}, '[ \\t\\n\\r\\f\\v]+'), lambda w: w not in {listed(words.GUARD_STOP)}), lambda w: trim(w, '.,!?')), lambda w: length(w) > 2)"
+SIDE = lambda x: f"list_filter(list_transform(list_filter(string_split_regex({x}, '{BLANK}'), lambda w: w not in {listed(words.GUARD_STOP)}), lambda w: trim(w, '.,!?')), lambda w: length(w) > 2)"
 OPPOSED = f"""marks as (select * from {values(list(enumerate(words.MARKERS)), 'rank, mark')} m),
   sides as (select project, id, seq, rank, {SIDE("split_part(lower(what), mark, 1)")} l, {SIDE("substr(lower(what), strpos(lower(what), mark) + length(mark))")} r from src, marks where contains(lower(what), mark)),
   opp as (select n.project, n.id, arg_min(e.id, e.seq * 10 + e.rank) other from sides n join sides e on n.project = e.project and n.rank = e.rank
     where list_has_any(n.l, e.r) and list_has_any(n.r, e.l) and not (list_has_any(n.l, e.l) and list_has_any(n.r, e.r)) and {{}} group by 1, 2)"""
 DENSE = """v as (select vec_id id, embedding::double[] e from embeddings),
-  dn as (select q.id query_id, v.id, list_dot_product(v.e, q.e) sim from v, v q where q.id < 2),
-  dr as (select *, row_number() over (partition by query_id order by round(sim, 9) desc, id) pos from dn)"""
+  dn as (select q.id query_id, v.id, list_dot_product(v.e, q.e) sim from v, v q where q.id % 20 <= 1),
+  dr as (select *, row_number() over (partition by query_id order by round(sim, 9) desc, id) pos from dn),
+  dp as (select query_id - query_id % 20 query_id, query_id % 20 part, id, sim, pos from dr)"""
 ROUTE = f"""with {DEC}, live as (select * from dec where archived is null), {ASKED}, {tokens('terms', 'live', 'project, id', ['what', 'why'])}, {IDF}, {HITS},
   rel as (select query_id, h.project, h.id, agent, hit / total relevance, hit / total * {EFF} contribution from hits h join total using (query_id, project) join live l on l.id = h.id and l.project = h.project),
   agents as (select query_id, project, agent, sum(contribution) score, count(*) n from rel group by 1, 2, 3),
@@ -90,7 +103,6 @@ ACTION = "case when n >= 5 and accepted / n <= 0.10 then 'auto_reject' else 'sta
 
 
 def sql() -> dict[str, str]:
-    fused = "rest as (select *, row_number() over (order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)), rd as (select d.id, row_number() over (order by d.pos) - 1 rk from dr d where query_id = 1 and d.id in (select id from rest))"
     found = {
         "audit_counts": "select event_type kind, count(*) n from events group by 1",
         "audit_tail": "select event_id id, user_id project, event_type kind, props payload from events order by event_id desc limit 50",
@@ -105,7 +117,7 @@ def sql() -> dict[str, str]:
         "hot_tasks_pack": "select project, id, cost, used from (select *, sum(cost) over (partition by project order by id desc) used from (select conv_id project, turn id, greatest(1, length(text) // 4) cost from conversations where role = 'user')) where used <= 500",
         "effective_confidence": f"with {DEC} select id, round_even({EFF}, 6) eff, round(least(1, greatest(0, confidence + 0.25)), 6) reinforced from dec",
         "sweep_archive": f"with {DEC} select id, project, round({EFF}, 6) eff from dec where archived is null and {EFF} < 0.25",
-        "tokenize": f"with {DEC}, en as (select * from dec where project = 'en'), {tokens('t', 'en', 'id', ['why'])} select id, token from t",
+        "tokenize": f"with {DEC}, en as (select * from dec), {tokens('t', 'en', 'id', ['why'])} select id, token from t",
         "document_frequency": f"with {DEC}, live as (select * from dec), {tokens('terms', 'live', 'project, id', ['what', 'why'])}, {IDF} select project, token, df, round(idf, 6) idf from idf",
         "keyword_rank": f"{SCORED} select query_id, project, id, pos, round(base, 6) base, round(score, 6) score from (select *, row_number() over (partition by query_id, project order by {ORDER}) pos from scored) where pos <= 10",
         "warm_pack": f"""{SCORED}, every as (select * from scored union all select a.query_id, m.project, m.id, m.created_at, 0, 0.05 * (eff - 1) from asked a join meta m on a.project = m.project
@@ -118,21 +130,25 @@ def sql() -> dict[str, str]:
             r as (select *, row_number() over (partition by query_id order by round(base, 9) desc, created_at desc, id) pos from scored),
             f as (select ex.query_id, coalesce(pos, 0) pos from ex left join (select * from r where pos <= 10) r using (query_id, id))
             select count(*) n, round(avg(case when pos = 1 then 1.0 else 0 end), 6) recall_1, round(avg(case when pos between 1 and 3 then 1.0 else 0 end), 6) recall_3, round(avg(case when pos > 0 then 1.0::double / pos else 0 end), 6) mrr from f""",
-        "dense_rank": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dr",
-        "dense_topk": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dr where pos <= 10",
-        "rrf_fuse": f"with {DENSE}, f as (select id, sum(1 / (60 + pos)) score, min(query_id * 1e9 + pos) first from dr group by 1) select id, round(score, 9) score, row_number() over (order by round(score, 12) desc, first, id) pos from f",
-        "hybrid_pin": f"""with {DENSE}, lead as (select max(case when pos = 1 then sim end) - max(case when pos = 2 then sim end) >= 0.15 pin from dr where query_id = 0),
-            kw as (select id, pos, pin from dr, lead where query_id = 0), {fused},
-            fu as (select coalesce(rest.id, rd.id) id, coalesce(1 / (61 + rest.rk), 0) + coalesce(1 / (61 + rd.rk), 0) s, rest.rk from rest full join rd using (id)),
-            o as (select id, 0 part, 0 k from kw where pin and pos = 1 union all select id, 1, row_number() over (order by round(s, 12) desc, rk) from fu union all select id, 2, pos from kw where pos > 10)
-            select id, row_number() over (order by part, k) pos from o""",
+        "dense_rank": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dp where part = 0",
+        "dense_topk": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dp where part = 0 and pos <= 10",
+        "rrf_fuse": f"""with {DENSE}, f as (select query_id, id, sum(1 / (60 + pos)) score, min(part * 1e9 + pos) first from dp group by 1, 2)
+            select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, first, id) pos from f""",
+        "hybrid_pin": f"""with {DENSE}, lead as (select query_id, max(case when pos = 1 then sim end) - max(case when pos = 2 then sim end) >= 0.15 pin from dp where part = 0 group by 1),
+            kw as (select query_id, id, pos, pin from dp join lead using (query_id) where part = 0),
+            rest as (select *, row_number() over (partition by query_id order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)),
+            rd as (select d.query_id, d.id, row_number() over (partition by d.query_id order by d.pos) - 1 rk from dp d semi join rest using (query_id, id) where d.part = 1),
+            fu as (select query_id, rest.id, 1 / (61 + rest.rk) + coalesce(1 / (61 + rd.rk), 0) s, rest.rk from rest left join rd using (query_id, id)),
+            o as (select query_id, id, 0 part, 0 k from kw where pin and pos = 1 union all select query_id, id, 1, row_number() over (partition by query_id order by round(s, 12) desc, rk) from fu
+              union all select query_id, id, 2, pos from kw where pos > 10)
+            select query_id, id, row_number() over (partition by query_id order by part, k) pos from o""",
         "exact_dups": f"with {DEC}, k as (select project, id, translate(trim(what), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from dec) select project, id, other from (select project, id, first_value(id) over (partition by project, k order by id) other from k) where other <> id",
         "fuzzy_dups": f"with {DEC}, short as (select project, id, id seq, what from dec), {FUZZY} select project, id, other, round(sim, 6) sim from fuzzy",
         "contradictions": f"with src as (select * from {PAIR} p), {OPPOSED.format('n.id >= 100 and e.id < 100')} select project, id, other from opp",
         "guard_reasons": f"""with {DEC}, short as (select project, id, id seq, what, why from dec union all select project, id + 1000000000000, seq + 1000000000000, what, why from {PAIR} p), src as (select * from short),
             k as (select project, id, first_value(id) over (partition by project, translate(trim(what), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') order by seq) f from short),
             {FUZZY}, {OPPOSED.format('e.seq < n.seq')}
-            select s.project, s.id, case when trim(what) = '' then 'Missing required field' when len(list_filter(string_split_regex(what, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) < 5 then 'Too vague'
+            select s.project, s.id, case when trim(what) = '' then 'Missing required field' when len(list_filter(string_split_regex(what, '{BLANK}'), lambda w: w <> '')) < 5 then 'Too vague'
               when k.f <> s.id then 'Exact duplicate' when o.id is not null then 'Contradicts existing decision' when f.id is not null then 'Too similar to existing decision'
               when trim(why) = '' then 'Missing ''why'' field' else 'ok' end reason
             from short s join k on k.id = s.id and k.project = s.project left join opp o on o.id = s.id and o.project = s.project left join fuzzy f on f.id = s.id and f.project = s.project""",
@@ -151,23 +167,8 @@ def sql() -> dict[str, str]:
         "supersede_view": f"""with l as (select * from {values(EVENTS, 'id, seq, op, what, supersedes_id, archived')} e), n as (select * from (select *, row_number() over (partition by id order by seq desc) k from l) where k = 1 and op <> 'delete')
             select id, seq, what, case when supersedes_id in (select id from n) then supersedes_id end supersedes_id, archived from n""",
         "reason_categories": "select substr(trim(string_split_regex(text, '[:—(]')[1]), 1, 80) category, count(*) n from conversations group by 1",
-        "token_costs": "select doc_id, greatest(1, length(text) // 4) cost, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) n_words from documents",
+        "token_costs": f"select doc_id, greatest(1, length(text) // 4) cost, len(list_filter(string_split_regex(text, '{BLANK}'), lambda w: w <> '')) n_words from documents",
         "unit_vectors": "select vec_id id, round(list_dot_product(embedding::double[], embedding::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6) norm from embeddings",
         "staging_list": "select user_id project, event_id id, row_number() over (partition by user_id order by ts, event_id) nth from events where event_type = 'error'",
     }
-    every, pairs = DENSE.replace("q.id < 2", "q.id % 20 = 0"), DENSE.replace("q.id < 2", "q.id % 20 <= 1")
-    pairs += ", dp as (select query_id - query_id % 20 query_id, query_id % 20 part, id, sim, pos from dr)"
-    found |= {n + "_all": found[n].replace(DENSE, every) for n in ("dense_rank", "dense_topk")}
-    found["rrf_fuse_all"] = f"""with {pairs}, f as (select query_id, id, sum(1 / (60 + pos)) score, min(part * 1e9 + pos) first from dp group by 1, 2)
-        select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, first, id) pos from f"""
-    found["hybrid_pin_all"] = f"""with {pairs}, lead as (select query_id, max(case when pos = 1 then sim end) - max(case when pos = 2 then sim end) >= 0.15 pin from dp where part = 0 group by 1),
-        kw as (select query_id, id, pos, pin from dp join lead using (query_id) where part = 0),
-        rest as (select *, row_number() over (partition by query_id order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)),
-        rd as (select d.query_id, d.id, row_number() over (partition by d.query_id order by d.pos) - 1 rk from dp d semi join rest using (query_id, id) where d.part = 1),
-        fu as (select query_id, rest.id, 1 / (61 + rest.rk) + coalesce(1 / (61 + rd.rk), 0) s, rest.rk from rest left join rd using (query_id, id)),
-        o as (select query_id, id, 0 part, 0 k from kw where pin and pos = 1 union all select query_id, id, 1, row_number() over (partition by query_id order by round(s, 12) desc, rk) from fu
-          union all select query_id, id, 2, pos from kw where pos > 10)
-        select query_id, id, row_number() over (partition by query_id order by part, k) pos from o"""
-    found["tokenize_all"] = found["tokenize"].replace(" where project = 'en'", "")
-    # the same over whole first lines
-    return found | {f"{n}_whole": found[n].replace(DEC, DEC_WHOLE) for n in ("exact_dups", "fuzzy_dups", "guard_reasons")}
+    return found

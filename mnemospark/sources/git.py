@@ -8,6 +8,7 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The framing of a log, and the most names of a tree that are listed.
 FORMAT, FIELD, RECORD, MOST = "%H%x1f%B%x1e", "\x1f", "\x1e", 40
 
 
@@ -18,7 +19,7 @@ def run(args: list[str], repo: str | None = None) -> str:
 
 def framed(spark: SparkSession, path: str) -> DataFrame:
     """(sha, message) of a log that was written with FORMAT, at any size: records are split by Spark's reader."""
-    t = spark.read.text(path, lineSep=RECORD).where(F.trim("value") != "")
+    t = spark.read.text(path, lineSep=RECORD).where(F.btrim("value", F.lit(" \n")) != "")
     return t.select(F.trim(F.split_part("value", F.lit(FIELD), F.lit(1)), F.lit("\n ")).alias("sha"), F.split_part("value", F.lit(FIELD), F.lit(2)).alias("message"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LOG = "seq long, op string, at timestamp"
 SCHEMAS = {
@@ -27,7 +26,7 @@ SCHEMAS = {
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.marks = spark, root.rstrip("/"), {}
 
     def schema(self, name: str) -> str:
         return f"{SCHEMAS[name]}, {LOG}"
@@ -55,16 +54,38 @@ class Store:
         now = self.log(name, project).groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("id", "r.*")
         return now.where("op <> 'delete'")
 
+    def last_time(self, name: str):
+        """When the table was last appended to."""
+        return self.log(name).agg(F.max("at")).first()[0]
+
+    def last_seq(self, name: str) -> int:
+        """The highest number given so far: kept by this writer, and read from the log once."""
+        if name not in self.marks:
+            self.marks[name] = self.log(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        return self.marks[name]
+
     def append(self, name: str, rows: DataFrame, op: str, as_of, order: str | None = None) -> int:
-        """Appends images in the order of a column; returns how many. Batches are what one writer adds at once."""
-        last = self.log(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        w = Window.orderBy(order or "id")
-        out = rows.withColumn("seq", F.row_number().over(w) + F.lit(last)).withColumn("op", F.lit(op)).withColumn("at", F.lit(as_of).cast("timestamp"))
-        names = [f.split()[0] for f in self.schema(name).split(", ")]
-        out = out.select(*[F.col(c) for c in names])
-        before = self.log(name).count()
-        out.write.partitionBy("project").mode("append").parquet(self.path(name))
-        return self.log(name).count() - before
+        """Appends images numbered in the order of a column; returns how many.
+
+        Rows are sorted by range and numbered by their place within a partition and the counts of those before it, which
+        are one number a partition; so no task sees the whole batch.
+        """
+        last = self.last_seq(name)
+        fields = [f.split(" ", 1) for f in self.schema(name).split(", ")]
+        sorted_rows = rows.orderBy(order or "id").withColumn("nth", F.monotonically_increasing_id()).persist()
+        part = F.shiftright("nth", 33)
+        counts = {r[0]: r[1] for r in sorted_rows.groupBy(part.alias("part")).count().collect()}
+        total, before = 0, []
+        for p in sorted(counts):
+            before += [F.lit(p), F.lit(last + total)]
+            total += counts[p]
+        if total:
+            seq = F.create_map(*before)[part] + F.col("nth").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+            out = sorted_rows.withColumn("seq", seq).withColumn("op", F.lit(op)).withColumn("at", F.lit(as_of).cast("timestamp"))
+            out.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields]).write.partitionBy("project").mode("append").parquet(self.path(name))
+            self.marks[name] = last + total
+        sorted_rows.unpersist()
+        return total
 
     def compact(self, name: str, to: str) -> None:
         """Writes the current view to another root, from which a new store then reads."""

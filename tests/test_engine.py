@@ -6,11 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.functions import scoring
+from mnemospark.functions import scoring, words
 from mnemospark.functions.text import STEM, category, postings
 from mnemospark.operators import guard, rank
 from mnemospark.operators.memory import Memory
 from mnemospark.plans import catalogue
+from mnemospark.sources import git
 
 from .oracle_check import differences, tables
 
@@ -25,17 +26,17 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["audit_counts", "policy_stats", "policy_fixture", "hot_tasks_pack", "keyword_rank", "hybrid_pin", "exact_dups", "contradictions", "guard_reasons", "extract_gates", "supersede_view", "provenance"])
+@pytest.mark.parametrize("name", ["audit_counts", "policy_stats", "policy_fixture", "hot_tasks_pack", "keyword_rank", "warm_pack", "recent_rank", "route_task", "contradictions", "extract_gates", "supersede_view", "provenance"])
 def test_queries_agree_with_sql(spark, con, name):
     assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["exact_dups_whole", "fuzzy_dups_whole", "guard_reasons_whole"])
-def test_queries_of_whole_lines_agree_with_sql(spark, con, name):
+@pytest.mark.parametrize("name", ["exact_dups", "fuzzy_dups", "guard_reasons"])
+def test_queries_of_lines_agree_with_sql(spark, con, name):
     assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["dense_rank_all", "dense_topk_all", "rrf_fuse_all", "hybrid_pin_all"])
+@pytest.mark.parametrize("name", ["dense_rank", "dense_topk", "rrf_fuse", "hybrid_pin"])
 def test_every_twentieth_vector_is_a_query(spark, con, name):
     assert differences(spark, con, SF, name, catalogue.queries()[name], catalogue.oracle_sql()[name]) == ""
     ids = [r[0] for r in catalogue.vectors(spark, SF).where("id % 20 = 0").select("id").collect()]
@@ -43,9 +44,9 @@ def test_every_twentieth_vector_is_a_query(spark, con, name):
 
 
 def test_every_language_is_tokenised(spark, con):
-    assert differences(spark, con, SF, "tokenize_all", catalogue.queries()["tokenize_all"], catalogue.oracle_sql()["tokenize_all"]) == ""
+    assert differences(spark, con, SF, "tokenize", catalogue.queries()["tokenize"], catalogue.oracle_sql()["tokenize"]) == ""
     docs = catalogue.decisions(spark, SF).select("id", "project")
-    got = catalogue.tokenize_all(spark, SF).select("id").distinct().join(docs, "id").select("project").distinct()
+    got = catalogue.tokenize(spark, SF).select("id").distinct().join(docs, "id").select("project").distinct()
     assert {r[0] for r in got.collect()} == {r[0] for r in docs.select("project").distinct().collect()}
 
 
@@ -55,7 +56,7 @@ def test_words_after_the_twentieth_count(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = str(tmp_path)
-    assert catalogue.exact_dups_whole(spark, d).count() == 0 and catalogue.fuzzy_dups_whole(spark, d).count() == 0
+    assert catalogue.exact_dups(spark, d).count() == 0 and catalogue.fuzzy_dups(spark, d).count() == 0
     assert {r.status for r in catalogue.sequential_guard(spark, d).collect()} == {"committed"}
 
 
@@ -119,3 +120,110 @@ def test_memory_end_to_end(spark, tmp_path):
     assert m.handoff("p", "y", "x", NOW + timedelta(404))["delta"]["decisions_added"] == []
     staged = m.staging("p").collect()
     assert m.promote(staged[0]["id"], NOW)["status"] == "committed" and m.reject("nope", NOW)["status"] == "not_found"
+
+
+def toy(texts):
+    """Vectors of length one from counts of a few words: a provider for tests."""
+    out = []
+    for t in texts:
+        v = [1.0 + t.lower().count(w) for w in ("rest", "grpc", "api", "queue", "log", "cache")]
+        n = sum(x * x for x in v) ** 0.5
+        out.append([x / n for x in v])
+    return out
+
+
+def test_stored_texts_are_stripped(spark, tmp_path):
+    m = Memory(spark, str(tmp_path))
+    assert m.write("decision", "p", {"what": "  Use one queue for all jobs ", "why": " simple "}, NOW)["status"] == "committed"
+    row = m.store.current("decisions").first()
+    assert (row["what"], row["why"]) == ("Use one queue for all jobs", "simple")
+    again = m.write("decision", "p", {"what": "use one queue for all jobs", "why": "x"}, NOW)
+    assert again["reason"].startswith("Exact duplicate")
+
+
+def test_read_estimates_and_leaves_an_event(spark, tmp_path):
+    m = Memory(spark, str(tmp_path))
+    m.write("decision", "p", {"what": "Use one queue for all jobs", "why": "simple"}, NOW)
+    m.write("open_task", "p", {"description": "Move the old jobs to the queue"}, NOW)
+    out = m.read("p", "which queue", NOW)
+    warm = out["warm"].collect()
+    assert out["token_estimate"] == sum(r["cost"] for r in warm) + sum(r["cost"] for r in out["hot"].collect())
+    assert warm[0]["effective_confidence"] == 1.0
+    event = m.audit_log("p").where("kind = 'query'").collect()
+    assert len(event) == 1 and '"decisions_returned": 1' in event[0]["payload"] and '"open_tasks_returned": 1' in event[0]["payload"]
+
+
+def test_batches_persist(spark, tmp_path):
+    m = Memory(spark, str(tmp_path))
+    rows = [("p", 1, "decision", {"what": " Use one queue for all jobs", "why": "simple", "confidence": "3"}), ("p", 2, "decision", {"what": "use one queue for all jobs", "why": "x"}),
+            ("q", 1, "decision", {"what": "Use one queue for all jobs", "why": "other project"}), ("q", 2, "open_task", {"description": "Write down how the queue works"}), ("q", 3, "poem", {})]
+    got = {(r["project"], r["seq"]): r for r in m.write_batch(spark.createDataFrame(rows, "project string, seq long, kind string, data map<string,string>"), NOW).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {("p", 1): "committed", ("p", 2): "staged", ("q", 1): "committed", ("q", 2): "committed", ("q", 3): "rejected"}
+    assert sorted((r["project"], r["what"], r["confidence"]) for r in m.store.current("decisions").collect()) == [("p", "Use one queue for all jobs", 1.0), ("q", "Use one queue for all jobs", 1.0)]
+    assert m.store.current("open_tasks").first()["status"] == "open" and m.staging("p").count() == 1 and m.audit_log().count() == 5
+    assert m.write_batch(spark.createDataFrame(rows[:1], "project string, seq long, kind string, data map<string,string>"), NOW).first()["status"] == "staged"
+    seqs = [r["seq"] for r in m.store.log("audit_log").collect()]
+    assert sorted(seqs) == list(range(1, 7))
+
+
+def test_hybrid_read_with_a_provider(spark, tmp_path):
+    m = Memory(spark, str(tmp_path), embed=toy, model="toy")
+    for what in ("Keep a log of every single job", "Serve the api by rest calls only", "Put a cache before slow pages", "Keep the queue small at night"):
+        assert m.write("decision", "p", {"what": what, "why": "because it works"}, NOW)["status"] == "committed"
+    warm = [r["what"] for r in m.warm("p", "api design", NOW).collect()]
+    assert warm[0] == "Serve the api by rest calls only" and len(warm) == 4
+    # no token in common: the dense order stands
+    assert m.warm("p", "grpc grpc rest", NOW).first()["what"] == "Serve the api by rest calls only"
+    kept = m.store.current("decision_embeddings")
+    assert kept.count() == 4 and {r["model"] for r in kept.collect()} == {"toy"}
+
+
+def test_contradictions_in_meaning(spark, tmp_path):
+    m = Memory(spark, str(tmp_path), embed=toy, model="toy")
+    m.write("decision", "p", {"what": "Adopted rest for the public api", "why": "simple"}, NOW)
+    assert m.write("decision", "p", {"what": "Moved to rest grpc for this public api now", "why": "speed"}, NOW)["reason"].startswith("Contradicts")
+    assert m.write("decision", "p", {"what": "Wrote the public queue cache log page", "why": "speed"}, NOW)["status"] == "committed"
+
+
+def test_opposed_against_pairs(spark):
+    import itertools
+
+    whats = ["Moved to rest for the api", "Adopted rest for the api", "Dropped the queue for jobs", "Run the queue for jobs", "Cache pages", "No longer cache pages"]
+    rows = [("p" if i < 5 else "q", i, i, w, toy([w])[0]) for i, w in enumerate(whats)] + [("q", 9, 9, "Cache pages again", toy(["Cache pages again"])[0])]
+    df = spark.createDataFrame(rows, "project string, id long, seq long, what string, embedding array<double>")
+    tokens = {r[1]: {x.token for x in postings(df.where(F.col("id") == r[1]), ["id"], ["what"]).collect()} for r in rows}
+    cue = {r[1]: any(c in r[3].lower() for c in words.REPLACED) for r in rows}
+    want = {}
+    for a, b in itertools.product(rows, rows):
+        if a[0] == b[0] and b[2] < a[2] and tokens[a[1]] & tokens[b[1]] and (cue[a[1]] or cue[b[1]]) and sum(x * y for x, y in zip(a[4], b[4], strict=True)) >= 0.9:
+            want[a[1]] = min(want.get(a[1], b[1]), b[1])
+    assert want and {r["id"]: r["other"] for r in guard.opposed(df, df, 0.9).collect()} == want
+
+
+def test_positions_within_slices_of_time(spark):
+    times = [NOW + timedelta(minutes=(i * i) % 97) for i in range(200)]
+    df = spark.createDataFrame([("pq"[i % 2], i, t, 1.0) for i, t in enumerate(times)] + [("one", 900, NOW, 1.0), ("none", 901, None, 1.0)], "project string, id long, created_at timestamp, confidence double")
+    got = {r["id"]: r["recency"] for r in rank.recency(df).collect()}
+    for p in "pq":
+        mine = sorted((t, i) for i, t in enumerate(times) if "pq"[i % 2] == p)
+        assert [got[i] for _, i in mine] == pytest.approx([k / 99 * words.RECENCY_WEIGHT for k in range(100)])
+    assert got[900] == got[901] == 0.0
+
+
+def test_git_sources(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i, message in enumerate(["feat: use one queue\n\nbecause it is simple", "fix: second"]):
+        (tmp_path / f"f{i}.txt").write_text("x")
+        run("add", "-A")
+        run("commit", "-qm", message)
+    assert git.project(str(tmp_path)) == tmp_path.name and git.tree(str(tmp_path)) == "f0.txt, f1.txt"
+    rows = git.log(spark, 5, str(tmp_path)).collect()
+    assert [r["message"].split("\n")[0] for r in rows] == ["fix: second", "feat: use one queue"]
+    assert git.message(rows[0]["sha"], str(tmp_path)).strip() == "fix: second"
+    (tmp_path / "log.txt").write_text(git.run(["log", f"--format={git.FORMAT}"], str(tmp_path)))
+    framed = git.framed(spark, str(tmp_path / "log.txt")).collect()
+    assert [(r["sha"], r["message"].strip()) for r in framed] == [(r["sha"], r["message"].strip()) for r in rows]
+    assert git.tree("/") == "(empty tree)"
