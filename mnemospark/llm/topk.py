@@ -4,7 +4,8 @@ Vectors become integers, floor(64 * x). Every row gets a number, written once, b
 Queries and candidates are dealt to bounded blocks by these numbers, and each pair of blocks meets in a partition of its
 own. There the candidates lie in vertical layout, one row a dimension. Products are accumulated a block of
 dimensions at a time; what the rest can add is at most the product of the remaining norms, so a candidate whose upper
-bound is under the k-th best lower bound is compacted away before the next block of dimensions is read.
+bound is under the k-th best whole product of a query's most promising candidates is compacted away before the next block
+of dimensions is read.
 
 Defined results: null vectors, and those with a null, NaN or infinite component, and rows without an id take no part, an
 empty vector scores 0 with others; vectors of different lengths are not compared; rows that share an id, or all they
@@ -26,6 +27,8 @@ K, EVERY, SCALE = 20, 20, 64
 #: Components of a block of queries or candidates at most, its rows at most, and dimensions added at a time.
 COMPONENTS, ROWS, DIMENSIONS = 1 << 20, 16384, 16
 PARTITIONS = 20_000
+#: Candidates of which whole products are taken first, for a bound on the k-th best.
+TRIED = 64
 TOP = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -40,26 +43,48 @@ def best(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_rows: np.ndarray, c
     column = np.ascontiguousarray(c.T.astype(np.float64)) if exact else c.T.astype(object)
     rows = q.astype(np.float64) if exact else q.astype(object)
     size = (c.astype(np.float64) ** 2)[:, ::-1].cumsum(axis=1)[:, ::-1]
-    rest_c = np.sqrt(np.concatenate((size, np.zeros((n, 1))), axis=1))
+    rest_c = np.ascontiguousarray(np.sqrt(np.concatenate((size, np.zeros((n, 1))), axis=1)).T)
     size = (q.astype(np.float64) ** 2)[:, ::-1].cumsum(axis=1)[:, ::-1]
     rest_q = np.sqrt(np.concatenate((size, np.zeros((len(q), 1))), axis=1))
     cuts = [*range(0, dims, DIMENSIONS), dims] if dims else [0, 0]
     for at in range(0, len(q), 256):
-        head = rows[at : at + 256, : cuts[1]] @ column[: cuts[1]] if dims else np.zeros((len(rows[at : at + 256]), n))
-        for i in range(len(head)):
-            j = at + i
-            live = np.flatnonzero(c_rows != q_rows[j])
-            part = head[i][live]
-            for a, b in zip(cuts[1:], cuts[2:], strict=False):
-                if len(live) > k:
-                    slack = rest_q[j, a] * rest_c[live, a] * (1 + 1e-9) + 1
-                    value = part.astype(np.float64)
-                    least = np.partition(value - slack, len(live) - k)[len(live) - k]
-                    keep = value + slack >= least
-                    live, part = live[keep], part[keep]
-                part = part + rows[j, a:b] @ column[a:b, live]
+        some = slice(at, min(at + 256, len(q)))
+        sums = rows[some, : cuts[1]] @ column[: cuts[1]] if dims else np.zeros((some.stop - at, n))
+        own = [np.flatnonzero(c_rows == r) for r in q_rows[some]]
+        least = [_least(sums[i], rows[at + i], column, cuts[1], own[i], k) for i in range(len(sums))]
+
+        def survivors(i, a, part, live=slice(None), at=at, least=least):
+            value = part.astype(np.float64)
+            return np.flatnonzero(value + rest_q[at + i, a] * rest_c[a, live] * (1 + 1e-9) + abs(value) * 1e-12 + 1 >= least[i])
+
+        # while most candidates survive, a block of dimensions is added for all queries at once
+        done = 1
+        while done + 1 < len(cuts) and np.mean([len(survivors(i, cuts[done], sums[i])) for i in range(min(4, len(sums)))]) > n / 2:
+            sums = sums + rows[some, cuts[done] : cuts[done + 1]] @ column[cuts[done] : cuts[done + 1]]
+            done += 1
+        for i in range(len(sums)):
+            live = survivors(i, cuts[done], sums[i])
+            live = live[~np.isin(live, own[i])]
+            part = sums[i][live]
+            for a, b in zip(cuts[done:], cuts[done + 1 :], strict=False):
+                part = part + rows[at + i, a:b] @ column[a:b, live]
+                keep = survivors(i, b, part, live)
+                live, part = live[keep], part[keep]
             order = np.lexsort((c_ids[live], -part))[:k] if exact else np.array(sorted(range(len(live)), key=lambda x: (-part[x], c_ids[live[x]]))[:k], int)
-            yield j, live[order], part[order]
+            yield at + i, live[order], part[order]
+
+
+def _least(part: np.ndarray, row: np.ndarray, column: np.ndarray, a: int, own: np.ndarray, k: int) -> float:
+    """A lower bound on the k-th best product: the k-th best whole product of the candidates with the highest sums up to dimension a."""
+    if len(part) - len(own) <= max(k, TRIED):
+        return -np.inf
+    rough = part.astype(np.float64)
+    rough[own] = -np.inf
+    best = np.argpartition(rough, len(part) - TRIED)[len(part) - TRIED :] if k <= TRIED else np.zeros(0, int)
+    if not len(best):
+        return -np.inf
+    whole = np.partition((part[best] + row[a:] @ column[a:, best]).astype(np.float64), TRIED - k)[TRIED - k]
+    return float(whole - abs(whole) * 1e-12)
 
 
 def _search(batches):
