@@ -47,3 +47,6 @@ SIMILAR, LEAST_WORDS = 0.45, 5
 POLICY_SAMPLE, POLICY_RATE = 5, 0.10
 RRF_K, HEAD, MARGIN = 60, 10, 0.15
 OPPOSED, MACHINE_CONFIDENCE = 0.80, 0.6
+#: Parts of made-up records, to see how ranking holds among many that are beside the point.
+TOOLS = ("Terraform", "Ansible", "Kafka", "RabbitMQ", "Nginx", "Envoy", "Grafana", "Jenkins", "Gradle", "Bazel", "Pulumi", "Vault", "Consul", "Istio", "Airflow")
+AIMS = ("builds", "releases", "alerts", "backups", "billing", "search", "routing", "image storage", "load tests", "nightly jobs", "secrets", "dashboards")

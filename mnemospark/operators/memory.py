@@ -207,6 +207,9 @@ class Memory:
     def staging(self, project: str | None = None) -> DataFrame:
         return self.store.current("staging", project).orderBy("created_at", "seq")
 
+    def preview(self, project: str | None = None) -> DataFrame:
+        return records.preview(self.staging(project))
+
     def resolve(self, prefix: str) -> list[str]:
         """Ids of staged records that begin with a prefix, at most two: none, the one, or not unique."""
         return [r["id"] for r in self.store.current("staging").where(F.col("id").startswith(prefix)).select("id").limit(2).collect()]
@@ -245,7 +248,7 @@ class Memory:
 
     def vectors(self, docs: DataFrame, as_of: datetime) -> DataFrame:
         """project, id, seq, what, embedding of decisions: from the table of the model, and for those that it lacks from the provider, whose answers are kept."""
-        known = lambda: self.store.current("decision_embeddings").where(F.col("model") == self.model).select("id", F.col("vector").cast("array<double>").alias("embedding"))
+        known = lambda: records.cascade(self.store.current("decision_embeddings"), self.store.current("decisions")).where(F.col("model") == self.model).select("id", F.col("vector").cast("array<double>").alias("embedding"))
         lacking = docs.join(known(), "id", "left_anti").select("id", "project", F.concat(F.col("what"), F.lit(". "), F.coalesce("why", F.lit(""))).alias("text"))
         embed = self.embed
 
@@ -288,7 +291,11 @@ class Memory:
 
     def route(self, project: str, task: str, as_of: datetime, top: int = 3) -> tuple[DataFrame, DataFrame]:
         q = self.spark.createDataFrame([(1, project, task)], "query_id int, project string, text string")
-        return records.route(self.store.current("decisions", project), q, F.lit(as_of).cast("timestamp"), top)
+        old, near = self.store.current("decisions", project), None
+        if self.embed:
+            live = old.where("archived_at is null")
+            near = rank.dense_rank(self.vectors(live, as_of).select("project", "id", "embedding"), self._query_vector(project, task))
+        return records.route(old, q, F.lit(as_of).cast("timestamp"), top, similar=near)
 
     def handoff(self, project: str, from_agent: str, to_agent: str, as_of: datetime) -> dict:
         """State (five latest decisions, hot tasks, snapshot) and what changed since the last packet."""

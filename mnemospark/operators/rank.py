@@ -168,3 +168,44 @@ def recall(found: DataFrame, expected: DataFrame, by: list[str] = ()) -> DataFra
 
 def tokens_cost() -> Column:
     return cost(F.concat_ws(" ", "what", "why"))
+
+
+def evaluate(docs: DataFrame, queries: DataFrame, space: str = SPACE) -> DataFrame:
+    """(query_id, id, category, pos): where a labelled set's expected records come, by shared tokens alone; ties keep the order of nth.
+
+    docs: id, nth from 0, what, why. queries: query_id, text, expected, category. Records without a common token stand
+    behind the others in their order, so their places follow from counts and no pairs are formed for them.
+    """
+    all_docs = docs.withColumn("project", F.lit("set"))
+    hits = weighted(all_docs, queries.withColumn("project", F.lit("set")), space)
+    hits = hits.join(docs.select("id", "nth"), "id").select("query_id", "id", "nth", F.round(F.col("hit") / F.col("total"), 9).alias("score"))
+    asked = queries.select("query_id", F.col("expected").alias("id"), "category").join(docs.select("id", F.col("nth").alias("own")), "id", "left")
+    asked = asked.join(hits.select("query_id", "id", F.col("score").alias("mine")), ["query_id", "id"], "left").withColumn("mine", F.coalesce("mine", F.lit(0.0)))
+    beside = asked.join(hits.select("query_id", "nth", "score"), "query_id", "left")
+    ahead = F.count_if((F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("nth") < F.col("own"))))
+    counted = beside.groupBy("query_id", "id", "category", "own", "mine").agg(ahead.alias("ahead"), F.count_if(F.col("nth") < F.col("own")).alias("hits_before"))
+    pos = F.when(F.col("mine") > 0, F.col("ahead") + 1).otherwise(F.col("ahead") + F.col("own") - F.col("hits_before") + 1)
+    return counted.select("query_id", "id", "category", F.coalesce(pos, F.lit(0)).cast("int").alias("pos"))
+
+
+def summary(places: DataFrame, by: list[str] = ()) -> DataFrame:
+    """n, recall_1, recall_3 and mrr of evaluate(), over all or by a column."""
+    return recall(places.select("query_id", "id", "pos"), places.drop("pos"), list(by))
+
+
+def misses(places: DataFrame, first: int = 1) -> DataFrame:
+    """What does not come among the first, the worst first."""
+    return places.where((F.col("pos") > first) | (F.col("pos") == 0)).orderBy(F.desc("pos"), "query_id")
+
+
+def latencies(times: DataFrame, column: str = "ms") -> DataFrame:
+    """The median and the 95th percentile of measured times, each a time that was measured."""
+    return times.agg(F.count("*").alias("n"), F.expr(f"percentile_disc(0.5) within group (order by `{column}`)").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by `{column}`)").alias("p95"))
+
+
+def distractors(spark, n: int, seed: int = 1234) -> DataFrame:
+    """n made-up records (id, nth, what, why) that scale an evaluation: a tool, a purpose and a form for each, drawn by hash."""
+    pick = lambda name, xs: F.array(*map(F.lit, xs))[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(len(xs))).cast("int")]
+    tool, aim = pick("tool", words.TOOLS), pick("aim", words.AIMS)
+    rows = spark.range(1, n + 1).select(F.format_string("x%05d", "id").alias("id"), F.col("id").alias("nth"), tool.alias("tool"), aim.alias("aim"))
+    return rows.select("id", "nth", F.concat_ws(" ", F.lit("Use"), "tool", F.lit("for"), "aim").alias("what"), F.concat_ws(" ", F.lit("It fits the needs of"), "aim").alias("why"))

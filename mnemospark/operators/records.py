@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, words
+from ..functions.text import postings
 from .rank import weighted
 
 FAILURES = ("write_staged", "write_auto_rejected", "write_rejected")
@@ -75,22 +76,49 @@ def delta(rows: DataFrame, handoffs: DataFrame, at: str, extra: Column | None =
     return out.where(extra) if extra is not None else out
 
 
-def route(decisions: DataFrame, tasks: DataFrame, as_of: Column, top: int = 3, evidence: int = 3, space: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Agents by the decayed relevance of their decisions to a task, and their best evidence. tasks: query_id, project, text."""
+def route(decisions: DataFrame, tasks: DataFrame, as_of: Column, top: int = 3, evidence: int = 3, space: str | None = None, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Agents by the decayed relevance of their decisions to a task, and their best evidence. tasks: query_id, project, text.
+
+    Relevance is the share of the task's tokens by weight, and with `similar` (query_id, project, id, sim) the similarity
+    of the vectors besides, as far as it is over 0; a task without tokens has no agents.
+    """
     live = decisions.where("archived_at is null")
-    hits = weighted(live, tasks, *((space,) if space else ()))
+    hits = weighted(live, tasks, *((space,) if space else ())).select("query_id", "project", "id", (F.col("hit") / F.col("total")).alias("relevance"))
+    if similar is not None:
+        told = postings(tasks, ["query_id", "project"], ["text"], *((space,) if space else ())).select("query_id", "project").distinct()
+        near = similar.join(told, ["query_id", "project"], "left_semi").select("query_id", "project", "id", F.greatest(F.lit(0.0), F.col("sim")).alias("near"))
+        hits = hits.join(near, ["query_id", "project", "id"], "full").select("query_id", "project", "id", (F.coalesce("relevance", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("relevance"))
     eff = scoring.effective(F.col("confidence"), F.col("created_at"), as_of)
-    rel = hits.withColumn("relevance", F.col("hit") / F.col("total")).where("relevance > 0")
-    rel = rel.join(live.select("project", "id", F.coalesce(F.nullif("agent", F.lit("")), F.lit("unknown")).alias("agent"), eff.alias("eff")), ["project", "id"])
+    rel = hits.where("relevance > 0").join(live.select("project", "id", F.coalesce(F.nullif("agent", F.lit("")), F.lit("unknown")).alias("agent"), eff.alias("eff")), ["project", "id"])
     rel = rel.withColumn("contribution", F.col("relevance") * F.col("eff"))
     agents = rel.groupBy("query_id", "project", "agent").agg(F.sum("contribution").alias("score"), F.count("*").alias("n"))
     w = Window.partitionBy("query_id", "project").orderBy(F.round("score", 9).desc(), "agent")
     best = agents.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top)
-    e = Window.partitionBy("query_id", "project", "agent").orderBy(F.bround("relevance", 4).desc(), "id")
+    # evidence counts for what it contributes, as it is shown: to four places
+    rel = rel.withColumn("relevance", F.bround("contribution", 4))
+    e = Window.partitionBy("query_id", "project", "agent").orderBy(F.col("relevance").desc(), "id")
     proof = rel.withColumn("nth", F.row_number().over(e)).where(F.col("nth") <= evidence).join(best.select("query_id", "project", "agent"), ["query_id", "project", "agent"], "left_semi")
     return best, proof
 
 
+def preview(staged: DataFrame, most: int = 80) -> DataFrame:
+    """id, short_id, type, reason and the first text of a staged record that isn't empty, cut for a list."""
+    field = lambda f: F.nullif(F.get_json_object("data", f"$.{f}"), F.lit(""))
+    text = F.coalesce(*map(field, ("what", "description", "file_structure")), F.lit("(no preview)"))
+    return staged.select("id", F.substring("id", 1, 8).alias("short_id"), "project", "type", "reason", F.substring(text, 1, most).alias("preview"))
+
+
+def cascade(rows: DataFrame, owners: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose owner is still there."""
+    return rows.join(owners.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def same_ids(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two frames hold the same ids, each as often."""
+    a, b = a.select("id"), b.select("id")
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def supersede_view(log: DataFrame, key: str = "id") -> DataFrame:
     """Current rows of an append-only log of full row images: the last by seq, unless it is a tombstone; links to rows that are gone are null."""
     now = latest(log, key, "seq", "seq").where("op <> 'delete'")

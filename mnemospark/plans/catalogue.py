@@ -138,7 +138,7 @@ def recent_rank(spark, d):
     return r.select("project", "id", "pos", F.round("score", 6).alias("score"))
 
 
-def eval_recall(spark, d):
+def evaluated(spark, d, by=()):
     """Benchmark passages that stand in a document word for word, looked up by keyword; the words of both meet exactly."""
     windows = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " ")))
     shingle = lambda c: F.explode(F.array_distinct(F.transform(F.array(c), windows)[0])).alias("s")
@@ -149,8 +149,17 @@ def eval_recall(spark, d):
     near = keys.join(head, "s").join(docs, "doc_id").where("contains(text, passage)")
     expected = near.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("id"))
     found = rank.ranked(keyword_scores(spark, d).withColumn("score", F.col("base")).withColumn("project", F.lit("all")), 10)
-    r = rank.recall(found, expected)
-    return r.select("n", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))
+    expected = expected.join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category")), "id")
+    r = rank.recall(found, expected, list(by))
+    return r.select(*by, "n", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))
+
+
+def eval_recall(spark, d):
+    return evaluated(spark, d)
+
+
+def eval_by_language(spark, d):
+    return evaluated(spark, d, ["category"])
 
 
 def vectors(spark, d):
@@ -239,7 +248,7 @@ def route_task(spark, d):
 
 
 def route_evidence(spark, d):
-    return route(spark, d)[1].select("query_id", "project", "agent", "id", "nth", F.round("relevance", 4).alias("relevance"))
+    return route(spark, d)[1].select("query_id", "project", "agent", "id", "nth", "relevance")
 
 
 def commits(spark):
@@ -293,7 +302,7 @@ def sequential_guard(spark, d):
 
 
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
-effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
+effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall eval_by_language dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
 reason_categories token_costs unit_vectors staging_list sequential_guard""".split()
 

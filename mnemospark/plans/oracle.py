@@ -130,6 +130,10 @@ def sql() -> dict[str, str]:
             r as (select *, row_number() over (partition by query_id order by round(base, 9) desc, created_at desc, id) pos from scored),
             f as (select ex.query_id, coalesce(pos, 0) pos from ex left join (select * from r where pos <= 10) r using (query_id, id))
             select count(*) n, round(avg(case when pos = 1 then 1.0 else 0 end), 6) recall_1, round(avg(case when pos between 1 and 3 then 1.0 else 0 end), 6) recall_3, round(avg(case when pos > 0 then 1.0::double / pos else 0 end), 6) mrr from f""",
+        "eval_by_language": f"""{SCORED}, ex as (select item_id query_id, min(doc_id) id from benchmark b join documents d on contains(d.text, b.text) group by 1),
+            r as (select *, row_number() over (partition by query_id order by round(base, 9) desc, created_at desc, id) pos from scored),
+            f as (select d.lang category, coalesce(pos, 0) pos from ex join documents d on d.doc_id = ex.id left join (select * from r where pos <= 10) r on r.query_id = ex.query_id and r.id = ex.id)
+            select category, count(*) n, round(avg(case when pos = 1 then 1.0 else 0 end), 6) recall_1, round(avg(case when pos between 1 and 3 then 1.0 else 0 end), 6) recall_3, round(avg(case when pos > 0 then 1.0::double / pos else 0 end), 6) mrr from f group by 1""",
         "dense_rank": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dp where part = 0",
         "dense_topk": f"with {DENSE} select query_id, id, pos, round(sim, 6) sim from dp where part = 0 and pos <= 10",
         "rrf_fuse": f"""with {DENSE}, f as (select query_id, id, sum(1 / (60 + pos)) score, min(part * 1e9 + pos) first from dp group by 1, 2)
@@ -157,8 +161,8 @@ def sql() -> dict[str, str]:
         "handoff_delta": "select o_custkey project, o_orderkey id, o_orderstatus status from orders o left join (select o_custkey, max(o_orderdate) since from orders where o_orderstatus = 'P' group by 1) using (o_custkey) where o_orderstatus <> 'P' and (since is null or o_orderdate > since)",
         "latest_handoff": "select project, id, status from (select o_custkey project, o_orderkey id, o_orderstatus status, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) k from orders) where k = 1",
         "route_task": f"{ROUTE} select query_id, project, agent, pos, n, round(score, 6) score from best where pos <= 3",
-        "route_evidence": f"""{ROUTE}, e as (select r.*, row_number() over (partition by r.query_id, r.project, r.agent order by round_even(relevance, 4) desc, r.id) nth from rel r join best b on b.query_id = r.query_id and b.project = r.project and b.agent = r.agent and b.pos <= 3)
-            select query_id, project, agent, id, nth, round(relevance, 4) relevance from e where nth <= 3""",
+        "route_evidence": f"""{ROUTE}, e as (select r.*, row_number() over (partition by r.query_id, r.project, r.agent order by round_even(contribution, 4) desc, r.id) nth from rel r join best b on b.query_id = r.query_id and b.project = r.project and b.agent = r.agent and b.pos <= 3)
+            select query_id, project, agent, id, nth, round_even(contribution, 4) relevance from e where nth <= 3""",
         "extract_gates": f"with {gates(values(COMMITS, 'id, message') + ' c')} select id, subject, ctype, status, what, why from gated",
         "extract_conversations": f"with {gates('(select conv_id id, text message from conversations) c')} select status, count(*) n from gated group by 1",
         "calibrate": f"""with {gates(values(COMMITS, 'id, message') + ' c')}, t as (select count(*) total, count(*) filter (where status = 'candidate') passed, count(*) filter (where status = 'type_gate') type_gate,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring, words
 from mnemospark.functions.text import STEM, category, postings
-from mnemospark.operators import guard, rank
+from mnemospark.operators import guard, rank, records
 from mnemospark.operators.memory import Memory
 from mnemospark.plans import catalogue
 from mnemospark.sources import git
@@ -227,3 +227,74 @@ def test_git_sources(spark, tmp_path):
     framed = git.framed(spark, str(tmp_path / "log.txt")).collect()
     assert [(r["sha"], r["message"].strip()) for r in framed] == [(r["sha"], r["message"].strip()) for r in rows]
     assert git.tree("/") == "(empty tree)"
+
+
+def labelled(tmp_path):
+    import json
+
+    whats = ["Use one queue for all jobs", "Serve the api by rest calls", "Cache pages before the api", "Keep logs of jobs", "Sign tokens with a key"]
+    data = {"seed": 1, "decisions": [{"id": f"d{i}", "what": w, "why": "it works for jobs" if i % 2 else "simple", "domain": "x"} for i, w in enumerate(whats)],
+            "queries": [{"query": t, "expected_id": e, "category": c} for t, e, c in (("which queue runs jobs", "d0", "exact"), ("api calls", "d1", "exact"), ("jobs", "d3", "vague"), ("nothing shared zebra", "d4", "vague"), ("the of and", "d2", "vague"), ("api pages", "d2", "exact"))]}
+    path = tmp_path / "set.json"
+    path.write_text(json.dumps(data, indent=1))
+    return str(path), data
+
+
+def test_evaluation_of_a_labelled_set(spark, tmp_path):
+    from math import log
+
+    from mnemospark.sources.labelled import json_lines, labelled_set, write_json
+
+    path, data = labelled(tmp_path)
+    docs, queries = labelled_set(spark, path)
+    token = lambda texts: [{r.token for r in postings(spark.createDataFrame([(t,)], "t string").withColumn("i", F.lit(1)), ["i"], ["t"]).collect()} for t in texts]
+    sets, asked = token([f"{d['what']}. {d['why']}" for d in data["decisions"]]), token([q["query"] for q in data["queries"]])
+    idf = lambda t: log((len(sets) + 1) / (sum(t in s for s in sets) + 1)) + 1 if any(t in s for s in sets) else 1.0
+    want = {}
+    for i, (q, a) in enumerate(zip(data["queries"], asked, strict=True)):
+        total = sum(map(idf, a))
+        score = [round(sum(map(idf, a & s)) / total, 9) if total else 0.0 for s in sets]
+        order = sorted(range(len(sets)), key=lambda j: (-score[j], j))
+        want[i] = order.index(int(q["expected_id"][1:])) + 1
+    places = rank.evaluate(docs, queries)
+    assert {r.query_id: r.pos for r in places.collect()} == want
+    all_of = rank.summary(places).first()
+    assert all_of["n"] == 6 and all_of["recall_1"] == pytest.approx(sum(p == 1 for p in want.values()) / 6) and all_of["mrr"] == pytest.approx(sum(1 / p for p in want.values()) / 6)
+    assert {r["category"]: r["n"] for r in rank.summary(places, ["category"]).collect()} == {"exact": 3, "vague": 3}
+    assert [r.query_id for r in rank.misses(places).collect()] == [i for i, p in sorted(want.items(), key=lambda x: (-x[1], x[0])) if p > 1]
+    more = docs.select("id", "nth", "what", "why").unionByName(rank.distractors(spark, 50).withColumn("nth", F.col("nth") + 4))
+    assert rank.summary(rank.evaluate(more, queries)).first()["n"] == 6
+    write_json(docs, f"{tmp_path}/out")
+    assert spark.read.text(f"{tmp_path}/out").count() == 5 and '"nth":0' in json_lines(docs).first()["value"]
+
+
+def test_latencies(spark):
+    r = rank.latencies(spark.createDataFrame([(float(x),) for x in range(1, 101)], "ms double")).first()
+    assert (r["n"], r["p50"], r["p95"]) == (100, 50.0, 95.0)
+
+
+def test_routing_with_vectors(spark, tmp_path):
+    plain, dense = Memory(spark, f"{tmp_path}/a"), Memory(spark, f"{tmp_path}/b", embed=toy, model="toy")
+    for m in (plain, dense):
+        m.write("decision", "p", {"what": "Serve the api by rest calls only", "why": "simple", "agent": "ann"}, NOW)
+        m.write("decision", "p", {"what": "Put a cache before slow pages", "why": "speed", "agent": "bob"}, NOW)
+    best, proof = plain.route("p", "api calls", NOW)
+    assert [r["agent"] for r in best.collect()] == ["ann"] and proof.first()["relevance"] <= 1
+    best, _ = dense.route("p", "api calls", NOW)
+    assert [r["agent"] for r in best.orderBy("pos").collect()] == ["ann", "bob"]
+
+
+def test_previews_and_ids(spark, tmp_path):
+    m = Memory(spark, str(tmp_path))
+    m.write("decision", "p", {"what": "too short", "why": "x"}, NOW)
+    m.write("dead_end", "p", {"what_tried": "also short", "why_failed": "x"}, NOW)
+    rows = m.preview("p").collect()
+    assert sorted(r["preview"] for r in rows) == ["(no preview)", "too short"] and all(len(r["short_id"]) == 8 for r in rows)
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert records.same_ids(ids, ids.orderBy(F.desc("id"))) and not records.same_ids(ids, ids.union(ids))
+    assert records.cascade(spark.createDataFrame([("a", 1), ("z", 2)], "id string, n int"), ids).count() == 1
+
+
+def test_every_white_space_separates(spark):
+    df = spark.createDataFrame([(1, "one\u00a0two\u2003three\x1cfour\x85five\u200bsix")], "id int, t string")
+    assert {r["token"] for r in postings(df, ["id"], ["t"]).collect()} == {"one", "two", "three", "four", "five\u200bsix"}
