@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, grows
 
 CAPACITY, END = 1024, 2
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
@@ -243,8 +243,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document, once.
 
     The plan has some ten thousand entries whatever the input (at most one pattern for each length and round, and one for
-    each length that runs out), the counts by length and salt at most capacity * SALTS rows; both are broadcast for that
-    reason, after a look at their size. Everything else is partitioned by length and salt.
+    each length that runs out) and is broadcast for that reason, after a look at its size. Pieces are partitioned by length
+    and salt once, for their ranks, and meet the counts of those before them in the same partitions.
     """
     scratch = Scratch(spark)
     rows = scratch.keep(pieces(docs, tokenizer, capacity, end))
@@ -256,7 +256,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
-    ranked = rows.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(base), ["length", "salt"])
+    ranked = rows.withColumn("k", F.row_number().over(within) - 1).join(grows(base), ["length", "salt"])
     by: dict[int, list[tuple[int, int, int, int]]] = {}
     for n, first, count, sequence, at in slots:
         by.setdefault(n, []).append((first, count, sequence, at))
