@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
+from . import fill_middle, html_extract, merkle, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -61,9 +61,17 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(turns, allowMissingColumns=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents")).drop("path")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk.ORACLE, "op9_warc_revisits": warc.ORACLE}
+    return {"op7_exact_topk": topk.ORACLE, "op9_warc_revisits": warc.ORACLE, "op13_fill_in_middle": fill_middle.ORACLE}
