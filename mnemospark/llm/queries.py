@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_middle, html_extract, merkle, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
+from . import fill_middle, html_extract, merkle, multi_index, ngram_join, packing, pii, piece_sampling, quality_rules, secret_scans, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, table(spark, sf_dir, "documents")).drop("path")
 
 
+def op12_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
