@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import words
 from ..functions.scoring import dot
-from ..functions.text import ascii_lower, guard_tokens, jaccard, postings, side_tokens, vague_snapshot, word_count
+from ..functions.text import SPACE, ascii_lower, category, guard_tokens, postings, side_tokens, vague_snapshot, word_count
+from ..steps import Steps
+from . import similar
 
 MAIN = {"decision": "what", "snapshot": "file_structure", "open_task": "description", "dead_end": "what_tried"}
 REQUIRED = {"decision": ("what",), "snapshot": ("file_structure",), "open_task": ("description",), "dead_end": ("what_tried", "why_failed")}
@@ -28,59 +29,54 @@ def vague(kind: str) -> Column:
 
 
 def exact_pairs(df: DataFrame) -> DataFrame:
-    """(project, id, other): the first earlier record with the same text but for ASCII case; df: project, id, seq, what."""
-    first = Window.partitionBy("project", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = df.withColumn("key", ascii_lower(F.trim("what")))
-    return keyed.withColumn("other", F.first("id").over(first)).where("other is not null").select("project", "id", "other")
+    """(project, id, other): the first earlier record with the same text but for ASCII case; df: project, id, seq, what.
+
+    The first of each text is a pre-aggregated minimum, joined back, so a text that fills a table is sorted nowhere.
+    """
+    keyed = df.select("project", "id", "seq", ascii_lower(F.trim("what")).alias("key"))
+    first = keyed.groupBy("project", "key").agg(F.min(F.struct("seq", "id")).alias("m"))
+    return keyed.join(first, ["project", "key"]).where("m.seq < seq").select("project", "id", F.col("m.id").alias("other"))
 
 
 def fuzzy_pairs(df: DataFrame, least: float = words.SIMILAR) -> DataFrame:
-    """(project, id, other, sim) with other earlier and a Jaccard similarity of at least `least`: an exact prefix-filtered join.
+    """(project, id, other, sim): the first earlier record with a Jaccard similarity of at least `least`.
 
-    Tokens are ordered from rare to common; two sets that similar share one of their first size - ceil(least * size) + 1
-    tokens, and their sizes differ by at most that factor. Equal token sets join once, through a representative.
+    Equal token sets join once, through a representative, by the filters of similar.within.
     """
-    sets = df.select("project", "id", "seq", F.array_sort(guard_tokens(F.col("what"))).alias("t")).where(F.size("t") > 0)
-    reps = sets.groupBy("project", "t").agg(F.min(F.struct("seq", "id")).alias("rep")).select("project", "t", F.col("rep.id").alias("rep_id"))
-    freq = reps.select("project", F.explode("t").alias("token")).groupBy("project", "token").agg(F.count("*").alias("df"))
-    ordered = reps.select("project", "rep_id", F.size("t").alias("n"), F.explode("t").alias("token")).join(freq, ["project", "token"])
-    w = Window.partitionBy("project", "rep_id").orderBy("df", "token")
-    prefix = ordered.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("project", "token", "rep_id", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.project") == F.col("b.project")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.rep_id") < F.col("b.rep_id")) & (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)
-    near = a.join(b, fits).select(F.col("a.project"), F.col("a.rep_id").alias("x"), F.col("b.rep_id").alias("y")).distinct()
-    rep = reps.select("project", "rep_id", "t")
-    near = near.join(rep.withColumnsRenamed({"rep_id": "x", "t": "tx"}), ["project", "x"]).join(rep.withColumnsRenamed({"rep_id": "y", "t": "ty"}), ["project", "y"])
-    near = near.withColumn("sim", jaccard(F.col("tx"), F.col("ty"))).where(F.col("sim") >= least)
-    links = near.select("project", "tx", "ty", "sim").union(near.select("project", "ty", "tx", "sim")).union(reps.select("project", "t", "t", F.lit(1.0)))
+    sets = df.select(F.col("project").alias("scope"), "id", "seq", F.array_sort(guard_tokens(F.col("what"))).alias("t")).where(F.size("t") > 0)
+    reps = sets.groupBy("scope", "t").agg(F.min(F.struct("seq", "id")).alias("rep")).select("scope", "t", "rep")
+    near = similar.within(reps.select("scope", F.col("rep.id").alias("sid"), "t"), least)
+    links = near.select("scope", "x", "y", "sim").union(near.select("scope", "y", "x", "sim")).union(reps.select("scope", "rep.id", "rep.id", F.lit(1.0))).toDF("scope", "x", "y", "sim")
     # what a record is too similar to first: the earliest record over all sets near its own
-    earliest = sets.groupBy("project", "t").agg(F.min(F.struct("seq", "id")).alias("e"))
-    best = links.toDF("project", "t", "u", "sim").join(earliest.withColumnRenamed("t", "u"), ["project", "u"])
-    first = best.groupBy("project", "t").agg(F.min(F.struct(F.col("e.seq").alias("seq"), F.col("e.id").alias("id"), "sim")).alias("m"))
-    return sets.join(first, ["project", "t"]).where("m.seq < seq").select("project", "id", F.col("m.id").alias("other"), F.col("m.sim").alias("sim"))
+    found = links.join(reps.select("scope", F.col("rep.id").alias("y"), "rep"), ["scope", "y"])
+    first = found.groupBy("scope", "x").agg(F.min(F.struct(F.col("rep.seq").alias("seq"), F.col("rep.id").alias("id"), "sim")).alias("m"))
+    first = first.join(reps.select("scope", F.col("rep.id").alias("x"), "t"), ["scope", "x"]).select("scope", "t", "m")
+    return sets.join(first, ["scope", "t"]).where("m.seq < seq").select(F.col("scope").alias("project"), "id", F.col("m.id").alias("other"), F.col("m.sim").alias("sim"))
+
+
+def choices(df: DataFrame) -> DataFrame:
+    """(project, id, seq, rank, l, r): the words on both sides of each marker of a choice; df: project, id, seq, what."""
+    m = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("mark")) for i, x in enumerate(words.MARKERS)])).alias("m")
+    low = df.select("project", "id", "seq", F.lower("what").alias("low"), m).where("contains(low, m.mark)")
+    left, right = F.expr("left(low, instr(low, m.mark) - 1)"), F.expr("substr(low, instr(low, m.mark) + length(m.mark))")
+    return low.select("project", "id", "seq", "m.rank", side_tokens(left).alias("l"), side_tokens(right).alias("r"))
 
 
-def contradictions(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(project, id, other): the first existing record that takes the opposite side of a choice.
+def contradictions(new: DataFrame, existing: DataFrame, order: bool = False) -> DataFrame:
+    """(project, id, other): the first existing record that takes the opposite side of a choice; with `order`, its seq as `at` besides.
 
     The two meet on project, marker, and a word that stands left in one and right in the other, so no pairs are formed
     but those that swap a word; both: project, id, seq, what.
     """
-    def sides(df: DataFrame) -> DataFrame:
-        m = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("mark")) for i, x in enumerate(words.MARKERS)])).alias("m")
-        low = df.select("project", "id", "seq", F.lower("what").alias("low"), m).where("contains(low, m.mark)")
-        at = F.expr("instr(low, m.mark)")
-        left, right = F.expr("left(low, instr(low, m.mark) - 1)"), F.expr("substr(low, instr(low, m.mark) + length(m.mark))")
-        return low.withColumn("at", at).select("project", "id", "seq", "m.rank", side_tokens(left).alias("l"), side_tokens(right).alias("r"))
-
-    n = sides(new).select("project", "rank", "id", F.col("l").alias("nl"), F.col("r").alias("nr"), F.explode("l").alias("w"))
-    e = sides(existing).select("project", "rank", F.col("id").alias("other"), F.col("seq").alias("at"), F.col("l").alias("el"), F.col("r").alias("er"), F.explode("r").alias("w"))
+    n = choices(new).select("project", "rank", "id", F.col("l").alias("nl"), F.col("r").alias("nr"), F.explode("l").alias("w"))
+    e = choices(existing).select("project", "rank", F.col("id").alias("other"), F.col("seq").alias("at"), F.col("l").alias("el"), F.col("r").alias("er"), F.explode("r").alias("w"))
     swapped = F.arrays_overlap("nl", "er") & F.arrays_overlap("nr", "el") & ~(F.arrays_overlap("nl", "el") & F.arrays_overlap("nr", "er"))
-    return n.join(e, ["project", "rank", "w"]).where(swapped).groupBy("project", "id").agg(F.min(F.struct("at", "rank", "other")).alias("m")).select("project", "id", F.col("m.other").alias("other"))
+    out = n.join(e, ["project", "rank", "w"]).where(swapped).groupBy("project", "id").agg(F.min(F.struct("at", "rank", "other")).alias("m"))
+    return out.select("project", "id", F.col("m.other").alias("other"), *([F.col("m.at").alias("at")] if order else []))
 
 
-def opposed(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -> DataFrame:
-    """(project, id, other): the first existing record with a similar vector, a token in common and a phrase of replacement in either.
+def opposed_pairs(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -> DataFrame:
+    """(project, id, e_seq, other): existing records before a new one with a similar vector, a token in common and a phrase of replacement in either.
 
     Records meet on project and token, so no pairs are formed but those with something in common; both need `embedding`.
     """
@@ -95,7 +91,12 @@ def opposed(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -
     n = told(new, {"seq": "n_seq", "cue": "n_cue", "embedding": "n_vector"})
     e = told(existing, {"id": "other", "seq": "e_seq", "cue": "e_cue", "embedding": "e_vector"})
     near = pairs.join(n, ["project", "id"]).join(e, ["project", "other"]).where((F.col("n_cue") | F.col("e_cue")) & (F.col("e_seq") < F.col("n_seq")))
-    near = near.where(dot(F.col("n_vector"), F.col("e_vector")) >= least)
+    return near.where(dot(F.col("n_vector"), F.col("e_vector")) >= least).select("project", "id", "e_seq", "other")
+
+
+def opposed(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -> DataFrame:
+    """(project, id, other): the first of these."""
+    near = opposed_pairs(new, existing, least)
     return near.groupBy("project", "id").agg(F.min(F.struct("e_seq", "other")).alias("m")).select("project", "id", F.col("m.other").alias("other"))
 
 
@@ -117,99 +118,251 @@ def reasons(new: DataFrame) -> DataFrame:
     return out.select("project", "id", reason.alias("reason"))
 
 
-# The fold: the same rules one record at a time, where a record is judged by what was accepted before it.
-def _words(s: str, before: bool) -> set[str]:
-    out = set()
-    for w in s.split():
-        bare = w.strip(".,!?")
-        if w not in words.GUARD_STOP and len(w if before else bare) > 2:
-            out.add(bare)
-    return out
-
-
-class Project:
-    """What one project holds, as far as the checks need it."""
-
-    def __init__(self):
-        self.seen: dict[str, dict[str, str]] = {k: {} for k in MAIN}
-        self.texts: dict[str, list[tuple[str, set[str]]]] = {k: [] for k in MAIN}
-
-    def accept(self, kind: str, data: dict) -> None:
-        text = data.get(MAIN[kind]) or ""
-        self.seen[kind].setdefault(_ascii(text), text)
-        self.texts[kind].append((text, _words(text.lower(), True)))
-
-    def check(self, kind: str, data: dict) -> str:
-        get = lambda f: data.get(f) or ""
-        for f in REQUIRED[kind]:
-            if not get(f).strip():
-                return f"Missing required field: '{f}'"
-        text = get(MAIN[kind])
-        if kind == "snapshot":
-            few = max(len(text.split(",")), len(text.split("/"))) < 2 and len(text.strip()) < 10
-            return f"Too vague — '{MAIN[kind]}' needs more detail" if few else "ok"
-        n = len(text.split())
-        if n < words.LEAST_WORDS:
-            return f"Too vague — '{MAIN[kind]}' needs at least {words.LEAST_WORDS} words (got {n})"
-        if kind != "dead_end" and _ascii(text.strip()) in self.seen[kind]:
-            return f"Exact duplicate{' task' if kind == 'open_task' else ''}: '{text[:60]}'"
-        if kind == "decision" and (old := self._opposite(text)):
-            return f"Contradicts existing decision: '{old[:80]}'"
-        mine = _words(text.lower(), True)
-        for old, theirs in self.texts[kind]:
-            both = len(mine & theirs)
-            if mine and theirs and both / len(mine | theirs) >= words.SIMILAR:
-                return f"Too similar to existing {NAMES[kind]} ({int(both / len(mine | theirs) * 100)}% match): '{old[:70]}'"
-        if kind == "decision" and not get("why").strip():
-            return "Missing 'why' field — decisions without reasoning lose value over time"
-        return "ok"
-
-    def _opposite(self, text: str) -> str | None:
-        low = text.lower()
-        mine = {m: [_words(x, False) for x in low.split(m, 1)] for m in words.MARKERS if m in low}
-        for old, _ in self.texts["decision"] if mine else ():
-            for m, (a, b) in mine.items():
-                if m in old.lower():
-                    c, d = (_words(x, False) for x in old.lower().split(m, 1))
-                    if a & d and b & c and not (a & c and b & d):
-                        return old
-        return None
-
-
-def _ascii(s: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
-
-
-def fold(new: DataFrame, existing: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+# The fold: what one record at a time in order of arrival would come to, each judged by what was accepted before it.
+#: Earlier records of a list of postings that a round of the fold looks at; doubled from round to round.
+NEAREST = 1024
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{SPACE}|{SPACE}$", "")
+
+
+def main_text(kind: Column, data: Column) -> Column:
+    return F.coalesce(*[F.when(kind == k, data[f]) for k, f in MAIN.items()])
+
+
+def scope(kind: Column, project: Column) -> Column:
+    """What records are compared within: a project's records of a kind; a null project is one of its own."""
+    return F.concat(kind, F.coalesce(F.concat(F.lit("+"), project), F.lit("-")))
+
+
+def own_reason(kind: Column, data: Column) -> Column:
+    """The first rule that a record fails on its own, or null; a lack of reasons comes last and is not among them."""
+    missing = F.coalesce(*[F.when((kind == k) & (stripped(data[f]) == ""), F.lit(f)) for k, fields in REQUIRED.items() for f in fields])
+    text, n = main_text(kind, data), word_count(main_text(kind, data))
+    least = F.concat(F.lit("Too vague — '"), F.coalesce(*[F.when(kind == k, F.lit(f)) for k, f in MAIN.items()]), F.lit("' needs "))
+    # The texts of reasons, from which categories are cut.
+    return (
+        F.when(~kind.isin(*MAIN) | kind.isNull(), F.concat(F.lit("Unknown type: "), F.coalesce(kind, F.lit("None"))))
+        .when(missing.isNotNull(), F.concat(F.lit("Missing required field: '"), missing, F.lit("'")))
+        .when((kind == "snapshot") & vague_snapshot(text), F.concat(least, F.lit("more detail")))
+        .when((kind != "snapshot") & (n < words.LEAST_WORDS), F.concat(least, F.lit(f"at least {words.LEAST_WORDS} words (got "), n.cast("string"), F.lit(")")))
+    )
+
+
+NO_REASON = "Missing 'why' field — decisions without reasoning lose value over time"
+
+
+def likes(scope_: Column, text: Column) -> Column:
+    """The sorted tokens that likeness is measured by; a text without any is like none but those that are the same, if such count at all."""
+    t = F.array_sort(guard_tokens(text))
+    none = F.when(scope_.startswith("dead_end"), F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("= "), ascii_lower(text))))
+    return F.when(F.size(t) > 0, t).otherwise(none)
+
+
+def hits(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """(scope, key, exact, opposed, near) of classes that something held stands against; each the first held record, by fresh and seq.
+
+    classes: scope, key, text, one text of each; held: scope, fresh, seq, text; where both have `embedding`, decisions are
+    compared by meaning besides. Texts that agree but for ASCII case, and token sets that agree, are collapsed on both sides before anything is joined.
+    """
+    first = F.min(F.struct("fresh", "seq", "text"))
+    exact = held.where("scope not like 'dead_end%'").groupBy("scope", ascii_lower(F.col("text")).alias("same")).agg(first.alias("m"))
+    exact = classes.select("scope", "key", ascii_lower(F.col("text")).alias("same")).join(exact, ["scope", "same"]).select("scope", "key", F.col("m").alias("exact"))
+    tokens = lambda df: df.withColumn("t", likes(F.col("scope"), F.col("text"))).where(F.size("t") > 0)
+    mine, theirs = tokens(classes), tokens(held)
+    sid = F.md5(F.array_join("t", " ").cast("binary"))
+    a = mine.select("scope", sid.alias("sid"), "t").distinct()
+    b = theirs.groupBy("scope", "t").agg(first.alias("m"))
+    links = similar.between(a, b.select("scope", sid.alias("sid"), "t"), words.SIMILAR)
+    near = links.withColumnRenamed("y", "sid").join(b.select("scope", sid.alias("sid"), "m"), ["scope", "sid"])
+    near = near.groupBy("scope", "x").agg(F.min(F.struct("m", "sim")).alias("near")).withColumnRenamed("x", "sid")
+    near = mine.select("scope", "key", sid.alias("sid")).join(near, ["scope", "sid"]).select("scope", "key", "near")
+    told = lambda df, id_, seq: df.where("scope like 'decision%'").select(F.col("scope").alias("project"), id_.alias("id"), seq.alias("seq"), F.col("text").alias("what"), *(["embedding"] if "embedding" in df.columns else []))
+    mine, theirs = told(classes, F.col("key"), F.struct(F.lit(9).alias("fresh"), F.lit(0).cast("long").alias("seq"))), told(held, F.col("text"), F.struct("fresh", "seq"))
+    swaps = contradictions(mine, theirs, order=True).select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("at.fresh").alias("fresh"), F.col("at.seq").alias("seq"), F.col("other").alias("text")).alias("swap"))
+    out = exact.join(near, ["scope", "key"], "full").join(swaps, ["scope", "key"], "full")
+    if "embedding" not in classes.columns:
+        return out.withColumn("meant", F.lit(None).cast("struct<fresh:int,seq:bigint,text:string>"))
+    theirs = theirs.withColumn("id", F.struct("id", "seq"))
+    meant = opposed_pairs(mine, theirs).groupBy("project", "id").agg(F.min(F.struct("e_seq", "other.id")).alias("m"))
+    meant = meant.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("m.e_seq.fresh").alias("fresh"), F.col("m.e_seq.seq").alias("seq"), F.col("m.id").alias("text")).alias("meant"))
+    return out.join(meant, ["scope", "key"], "full")
+
+
+AGAINST = "exact is not null or swap is not null or meant is not null or near is not null"
+
+
+def _edges(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(active, edges): the records all of whose lists of postings show at most `most` earlier ones, and (scope, later, earlier) among those shown.
+
+    Lists are those of rare tokens (for similar texts) and of swapped words (for choices); of a list only its first `most` records
+    are looked at, so a list that a hot group fills costs most * most at the most, and nothing that could stand against an active record is left out.
+    """
+    sets = reps.select("scope", F.col("seq").alias("sid"), likes(F.col("scope"), F.col("text")).alias("t")).where(F.size("t") > 0)
+    head = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("sid"))).where(F.col("k") <= most).drop("k")
+    count = lambda df, name: df.groupBy("scope", "sid").agg(F.count("*").alias(name))
+    listed = similar.prefixes(sets, similar.frequencies(sets), words.SIMILAR)
+    seen = head(listed, "scope", "token")
+    sides = choices(reps.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what")))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("ws")), F.struct(F.lit(1).alias("side"), F.col("r").alias("ws")))).alias("x")
+    sides = sides.select(F.col("project").alias("scope"), F.col("id").alias("sid"), "rank", "l", "r", both).select("scope", "sid", "rank", "l", "r", "x.side", F.explode("x.ws").alias("w"))
+    # both sides of a word make one list, so that whoever sees its own place in it sees all before it
+    sides_seen = head(sides, "scope", "rank", "w")
+    active = reps.select("scope", F.col("seq").alias("sid"))
+    for x, name in ((listed, "a"), (seen, "b"), (sides, "c"), (sides_seen, "d")):
+        active = active.join(count(x, name), ["scope", "sid"], "left")
+    active = active.where("coalesce(a, 0) = coalesce(b, 0) and coalesce(c, 0) = coalesce(d, 0)").select("scope", F.col("sid").alias("seq"))
+    near = similar.measured(similar.candidates(seen, seen, words.SIMILAR, F.col("a.sid") > F.col("b.sid")), sets, sets, words.SIMILAR).select("scope", F.col("x").alias("later"), F.col("y").alias("earlier"))
+    x, y = sides_seen.where("side = 0").alias("x"), sides_seen.where("side = 1").alias("y")
+    swap = lambda a, b: F.arrays_overlap(f"x.{a}", f"y.{b}")
+    meet = (F.col("x.scope") == F.col("y.scope")) & (F.col("x.rank") == F.col("y.rank")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.sid") != F.col("y.sid")) & swap("l", "r") & swap("r", "l") & ~(swap("l", "l") & swap("r", "r"))
+    swaps = x.join(y, meet).select(F.col("x.scope").alias("scope"), F.greatest("x.sid", "y.sid").alias("later"), F.least("x.sid", "y.sid").alias("earlier"))
+    return active, near.unionByName(swaps).distinct()
+
+
+def _greedy(steps: Steps, reps: DataFrame, needs: DataFrame, meant: DataFrame | None) -> DataFrame:
+    """(scope, seq, text) of the records that are accepted when each is turned down that an earlier accepted one stands against.
+
+    A round takes the records that see all earlier ones that matter to them, draws the edges among these, and settles those all of whose
+    earlier neighbours are settled, until nothing moves; then whatever is left and stands against an accepted one goes. The first
+    record of a list always sees all of it, so every round gets on, and lists shown double in length. needs: (scope, seq, of, nth)
+    of records that name a decision of the batch, which must be accepted first. meant: edges between decisions by meaning.
+    """
+    done, most, linked = None, NEAREST, not needs.isEmpty()
+    while not reps.isEmpty():
+        active, edges = _edges(reps, most)
+        active = steps.keep(active)
+        edges = edges.unionByName(meant) if meant is not None else edges
+        edges = steps.keep(edges.join(active.withColumnRenamed("seq", "later"), ["scope", "later"], "left_semi"))
+        state = steps.keep(reps.select("scope", "seq").join(active.withColumn("live", F.lit(True)), ["scope", "seq"], "left").select("scope", "seq", F.when(F.col("live"), "open").otherwise("wait").alias("is")))
+        moved = 1
+        while moved:
+            beside = edges.join(state.withColumnRenamed("seq", "earlier"), ["scope", "earlier"]).groupBy("scope", F.col("later").alias("seq"))
+            beside = beside.agg(F.max(F.col("is") == "in").alias("hit"), F.max(F.col("is").isin("open", "wait")).alias("held"))
+            after = state.join(beside, ["scope", "seq"], "left")
+            if linked:
+                settled = state if done is None else state.unionByName(done.select("scope", "seq", F.lit("in").alias("is")))
+                named = needs.join(settled.select(F.col("scope").alias("of"), F.col("seq").alias("nth"), F.col("is").alias("need")), ["of", "nth"], "left")
+                after = after.join(named.select("scope", "seq", F.coalesce("need", F.lit("out")).alias("need")), ["scope", "seq"], "left")
+            else:
+                after = after.withColumn("need", F.lit(None).cast("string"))
+            verdict = F.when(F.col("is") != "open", F.col("is")).when(F.col("hit") | (F.col("need") == "out"), "out").when(F.col("held") | F.col("need").isin("open", "wait"), "open").otherwise("in")
+            after = steps.keep(after.select("scope", "seq", verdict.alias("is"), (F.col("is") == "open").alias("was")))
+            moved = after.where("was and is <> 'open'").count()
+            state = after.drop("was")
+        fresh = steps.keep(reps.join(state.where("is = 'in'"), ["scope", "seq"], "left_semi"))
+        done = fresh if done is None else done.unionByName(fresh)
+        rest = reps.join(state.where("is in ('open', 'wait')"), ["scope", "seq"], "left_semi")
+        if rest.isEmpty():
+            break
+        key = F.col("seq").cast("string").alias("key")
+        gone = hits(rest.select("scope", key, "text"), fresh.select("scope", F.lit(1).alias("fresh"), "seq", "text")).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq"))
+        if meant is not None:
+            gone = gone.unionByName(meant.join(fresh.select("scope", F.col("seq").alias("earlier")), ["scope", "earlier"], "left_semi").select("scope", F.col("later").alias("seq")))
+        reps = steps.keep(rest.join(gone.distinct(), ["scope", "seq"], "left_anti"))
+        most *= 2
+    return done if done is not None else reps
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """project, seq, kind, scope, own (the reason that a record fails on its own), text, why, link; rows: project, seq, kind, data."""
+    kind, data = F.col("kind"), F.col("data")
+    link = F.when(kind == "decision", data["supersedes_id"]).when(kind == "dead_end", data["chosen_decision_id"])
+    more = ["embedding"] if "embedding" in rows.columns else []
+    return rows.select("project", "seq", "kind", scope(kind, F.col("project")).alias("scope"), own_reason(kind, data).alias("own"), stripped(main_text(kind, data)).alias("text"),
+                       stripped(data["why"]).alias("why"), F.nullif(stripped(link), F.lit("")).alias("link"), *more)
+
+
+def judge(known: DataFrame, held: DataFrame) -> DataFrame:
+    """(project, seq, status, reason) of records against what is held, `held` being (scope, fresh, seq, text): the first rule that fails.
+
+    Something held counts against a record only where it comes before it. known: what prepared() gives, with `linked`, whether
+    the decision that a record names is there, or null where it names none.
+    """
+    key = F.col("text") if "embedding" in known.columns else ascii_lower(F.col("text"))  # vectors may tell apart what case does
+    known = known.withColumn("key", key)
+    compared = known.where((F.col("kind") != "snapshot") & F.col("own").isNull())
+    classes = compared.groupBy("scope", "key").agg(F.min("text").alias("text"), *([F.first("embedding").alias("embedding")] if "embedding" in known.columns else []))
+    found = hits(classes, held)
+    before = lambda m: F.col(m).isNotNull() & (F.struct(F.col(f"{m}.fresh"), F.col(f"{m}.seq")) < F.struct(F.lit(1), F.col("seq")))
+    out = known.join(found, ["scope", "key"], "left")
+    name = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in NAMES.items()])
+    against = lambda m: F.concat(F.lit("Contradicts existing decision: '"), F.substring(f"{m}.text", 1, 80), F.lit("'"))
+    # The texts of reasons, from which categories are cut.
+    reason = (
+        F.when(F.col("own").isNotNull(), F.col("own"))
+        .when(F.col("kind") == "snapshot", "ok")
+        .when(before("exact"), F.concat(F.lit("Exact duplicate"), F.when(F.col("kind") == "open_task", " task").otherwise(""), F.lit(": '"), F.substring("text", 1, 60), F.lit("'")))
+        .when(before("swap"), against("swap"))
+        .when(before("meant"), against("meant"))
+        .when(before("near.m"), F.concat(F.lit("Too similar to existing "), name, F.lit(" ("), F.floor(F.col("near.sim") * 100).cast("string"), F.lit("% match): '"), F.substring("near.m.text", 1, 70), F.lit("'")))
+        .when((F.col("kind") == "decision") & (F.col("why") == ""), F.lit(NO_REASON))
+        .when(~F.col("linked"), F.concat(F.lit("Referenced decision does not exist: '"), F.col("link"), F.lit("'")))
+        .otherwise("ok")
+    )
+    status = F.when(F.col("reason").startswith("Unknown type") | F.col("reason").startswith("Referenced decision"), "rejected").when(F.col("reason") == "ok", "committed").otherwise("staged")
+    return out.select("project", "seq", "kind", reason.alias("reason")).select("project", "seq", status.alias("status"), "reason")
+
+
+def held_texts(existing: DataFrame) -> DataFrame:
+    """(scope, fresh, seq, text) of records that are held."""
+    more = ["embedding"] if "embedding" in existing.columns else []
+    return existing.where(F.col("kind").isin(*NAMES)).select(scope(F.col("kind"), F.col("project")).alias("scope"), F.lit(0).alias("fresh"), "seq", stripped(main_text(F.col("kind"), F.col("data"))).alias("text"), *more)
+
+
+def _accepted(known: DataFrame, held: DataFrame, needs: DataFrame, steps: Steps) -> DataFrame:
+    """(scope, fresh, seq, text) of the records of a batch that are accepted and that later ones are judged by."""
+    more = ["embedding"] if "embedding" in known.columns else []
+    fit = known.where(F.col("own").isNull() & F.col("kind").isin(*NAMES) & ((F.col("kind") != "decision") | (F.col("why") != "")) & F.coalesce("linked", F.lit(True)))
+    fit = fit.select("scope", "seq", "text", "within", *more)
+    # what one of a class stands against, all later ones do, so only the first can be accepted; not so for one that waits for another
+    # record of the batch, for what vectors may tell apart, and for dead ends without tokens, which are no one's likes
+    lone = F.col("within") | (F.col("scope").startswith("dead_end") & (F.size(likes(F.col("scope"), F.col("text"))) == 0)) | F.lit(bool(more))
+    fit = fit.withColumn("class", F.when(lone, F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("="), ascii_lower(F.col("text")))))
+    reps = steps.keep(fit.groupBy("scope", "class").agg(F.min(F.struct("seq", "text", *more)).alias("m")).select("scope", "m.*"))
+    key = F.col("seq").cast("string").alias("key")
+    gone = hits(reps.select("scope", key, "text", *more), held).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq")).distinct()
+    free = steps.keep(reps.join(gone, ["scope", "seq"], "left_anti"))
+    meant = None
+    if more:
+        told = free.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what"), "embedding")
+        meant = steps.keep(opposed_pairs(told, told).select(F.col("project").alias("scope"), F.col("id").alias("later"), F.col("other").alias("earlier")))
+    return _greedy(steps, free, needs, meant).select("scope", F.lit(1).alias("fresh"), "seq", "text", *more)
+
+
+def fold(new: DataFrame, existing: DataFrame, actions: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
     """(project, seq, status, reason) of a batch: each record against what the project held and what the batch added before it.
 
-    new and existing: project, seq, kind, and a `data` map; existing holds what checks look at (all decisions, open tasks,
-    dead ends). actions: (project, category, action), read once for the batch. One task folds one project, in order,
-    because each verdict depends on those before it.
+    new and existing: project, seq, kind, and a `data` map; seq tells the records of a project apart; existing holds what checks
+    look at (all decisions, open tasks, dead ends). actions: (project, category, action). The accepted records are the first, in
+    order, of a graph of what stands against what, found in rounds (see _greedy); then every record is judged against these. No
+    project gathers in a task. Where new has `id`, links are followed: decisions holds the ids of decisions that there are, and a
+    link may also name a decision of the same project that the batch has accepted before. Where new and existing have `embedding`,
+    decisions are compared by meaning too.
     """
-    both = existing.select("project", "seq", "kind", "data", F.lit(0).alias("fresh")).unionByName(new.select("project", "seq", "kind", "data", F.lit(1).alias("fresh")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = Project(), []
-        for r in pdf.sort_values(["fresh", "seq"]).itertuples():
-            data = dict(r.data)
-            if not r.fresh:
-                held.accept(r.kind, data)
-                continue
-            if r.kind not in MAIN:
-                out.append((r.project, r.seq, "rejected", f"Unknown type: {r.kind}"))
-                continue
-            reason = held.check(r.kind, data)
-            if reason == "ok":
-                held.accept(r.kind, data)
-            out.append((r.project, r.seq, "committed" if reason == "ok" else "staged", reason))
-        return pd.DataFrame(out, columns=["project", "seq", "status", "reason"])
-
-    judged = both.groupBy("project").applyInPandas(run, "project string, seq long, status string, reason string")
-    if actions is None:
-        return judged
-    from ..functions.text import category
-
-    judged = judged.withColumn("category", category(F.col("reason"))).join(actions, ["project", "category"], "left")
+    steps = Steps(new.sparkSession)
+    known, needs = prepared(new).withColumn("linked", F.lit(None).cast("boolean")).withColumn("within", F.lit(False)), None
+    if "id" in new.columns:
+        known = prepared(new).join(decisions.select(F.col("id").alias("link"), F.lit(True).alias("there")).distinct(), "link", "left")
+        known = known.join(new.where("kind = 'decision'").select("project", F.col("id").alias("link"), F.col("seq").alias("nth")), ["project", "link"], "left")
+        known = known.withColumn("nth", F.when(F.col("there").isNull() & (F.col("nth") < F.col("seq")), F.col("nth")))
+        known = known.withColumn("within", F.col("nth").isNotNull()).withColumn("linked", F.when(F.col("link").isNotNull(), F.coalesce("there", F.lit(False)) | F.col("within")))
+        known = steps.keep(known.drop("there"))
+        needs = known.where("within").select("scope", "seq", scope(F.lit("decision"), F.col("project")).alias("of"), "nth")
+    else:
+        needs = known.where("false").select("scope", "seq", F.col("scope").alias("of"), F.col("seq").alias("nth"))
+    held = held_texts(existing)
+    taken = steps.keep(_accepted(known, held, needs, steps))
+    if "id" in new.columns:
+        met = taken.select(F.col("scope").alias("of"), F.col("seq").alias("nth"), F.lit(True).alias("met"))
+        known = known.withColumn("of", scope(F.lit("decision"), F.col("project"))).join(met, ["of", "nth"], "left").withColumn("linked", F.when(F.col("within"), F.coalesce("met", F.lit(False))).otherwise(F.col("linked")))
+    judged = judge(known, held.unionByName(taken))
+    return with_policy(judged, actions) if actions is not None else judged
+
+
+def with_policy(judged: DataFrame, actions: DataFrame) -> DataFrame:
+    """Staged records whose category is to be turned down at once are."""
+    judged = judged.withColumn("category", category(F.col("reason"))).join(actions.select("project", "category", "action"), ["project", "category"], "left")
     auto = (F.col("status") == "staged") & (F.col("action") == "auto_reject")
     return judged.select("project", "seq", F.when(auto, "auto_rejected").otherwise(F.col("status")).alias("status"), "reason")
