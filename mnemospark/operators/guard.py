@@ -178,16 +178,48 @@ def hits(classes: DataFrame, held: DataFrame) -> DataFrame:
     near = links.withColumnRenamed("y", "sid").join(b.select("scope", sid.alias("sid"), "m"), ["scope", "sid"])
     near = near.groupBy("scope", "x").agg(F.min(F.struct("m", "sim")).alias("near")).withColumnRenamed("x", "sid")
     near = mine.select("scope", "key", sid.alias("sid")).join(near, ["scope", "sid"]).select("scope", "key", "near")
-    told = lambda df, id_, seq: df.where("scope like 'decision%'").select(F.col("scope").alias("project"), id_.alias("id"), seq.alias("seq"), F.col("text").alias("what"), *(["embedding"] if "embedding" in df.columns else []))
-    mine, theirs = told(classes, F.col("key"), F.struct(F.lit(9).alias("fresh"), F.lit(0).cast("long").alias("seq"))), told(held, F.col("text"), F.struct("fresh", "seq"))
-    swaps = contradictions(mine, theirs, order=True).select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("at.fresh").alias("fresh"), F.col("at.seq").alias("seq"), F.col("other").alias("text")).alias("swap"))
+    swaps = contradictions(_told(classes, True), _told(held, False), order=True)
+    swaps = swaps.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("at.fresh").alias("fresh"), F.col("at.seq").alias("seq"), F.col("other").alias("text")).alias("swap"))
     out = exact.join(near, ["scope", "key"], "full").join(swaps, ["scope", "key"], "full")
     if "embedding" not in classes.columns:
         return out.withColumn("meant", F.lit(None).cast("struct<fresh:int,seq:bigint,text:string>"))
-    theirs = theirs.withColumn("id", F.struct("id", "seq"))
-    meant = opposed_pairs(mine, theirs).groupBy("project", "id").agg(F.min(F.struct("e_seq", "other.id")).alias("m"))
-    meant = meant.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("m.e_seq.fresh").alias("fresh"), F.col("m.e_seq.seq").alias("seq"), F.col("m.id").alias("text")).alias("meant"))
-    return out.join(meant, ["scope", "key"], "full")
+    return out.join(_meant(classes, held), ["scope", "key"], "full")
+
+
+def _told(df: DataFrame, new: bool) -> DataFrame:
+    """Decisions as contradictions() takes them, new ones behind all that is held."""
+    seq = F.struct(F.lit(9).alias("fresh"), F.lit(0).cast("long").alias("seq")) if new else F.struct("fresh", "seq")
+    more = ["embedding"] if "embedding" in df.columns else []
+    return df.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("key" if new else "text").alias("id"), seq.alias("seq"), F.col("text").alias("what"), *more)
+
+
+def _meant(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """(scope, key, meant): the first held decision that a class is against by meaning."""
+    theirs = _told(held, False).withColumn("id", F.struct("id", "seq"))
+    first = opposed_pairs(_told(classes, True), theirs).groupBy("project", "id").agg(F.min(F.struct("e_seq", "other.id")).alias("m"))
+    return first.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("m.e_seq.fresh").alias("fresh"), F.col("m.e_seq.seq").alias("seq"), F.col("m.id").alias("text")).alias("meant"))
+
+
+def hits_of_one(classes: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    """What hits() gives, for classes that are one row, of this text: a scan of what is held in its scope, beside which the row is sent, and one aggregate."""
+    mine = classes.select("scope", "key", F.col("text").alias("own"), likes(F.col("scope"), F.col("text")).alias("own_t"))
+    both = held.withColumn("t", likes(F.col("scope"), F.col("text"))).join(F.broadcast(mine), "scope")
+    swap, low, own = F.lit(False), F.lower("text"), F.lower("own")
+    for m in [m for m in words.MARKERS if m in text.lower()]:
+        cut = lambda c, m=m: (side_tokens(F.substring_index(c, m, 1)), side_tokens(F.substr(c, F.instr(c, m) + len(m))))
+        (a, b), (c, d) = cut(own), cut(low)
+        over = F.arrays_overlap
+        swap = swap | (F.contains(own, F.lit(m)) & F.contains(low, F.lit(m)) & over(a, d) & over(b, c) & ~(over(a, c) & over(b, d)))
+    common = F.size(F.array_intersect("t", "own_t"))
+    sim = common / F.greatest(F.size("t") + F.size("own_t") - common, F.lit(1))
+    it = F.struct("fresh", "seq", "text")
+    same = ~F.col("scope").startswith("dead_end") & (ascii_lower(F.col("text")) == ascii_lower(F.col("own")))
+    out = both.groupBy("scope", "key").agg(
+        F.min(F.when(same, it)).alias("exact"), F.min(F.when(F.col("scope").startswith("decision") & swap, it)).alias("swap"),
+        F.min(F.when(sim >= words.SIMILAR, F.struct(it.alias("m"), sim.alias("sim")))).alias("near"))
+    if "embedding" not in classes.columns:
+        return out.withColumn("meant", F.lit(None).cast("struct<fresh:int,seq:bigint,text:string>"))
+    return out.join(_meant(classes, held), ["scope", "key"], "left")
 
 
 AGAINST = "exact is not null or swap is not null or meant is not null or near is not null"
@@ -268,23 +300,23 @@ def _greedy(steps: Steps, reps: DataFrame, needs: DataFrame, meant: DataFrame |
 def prepared(rows: DataFrame) -> DataFrame:
     """project, seq, kind, scope, own (the reason that a record fails on its own), text, why, link; rows: project, seq, kind, data."""
     kind, data = F.col("kind"), F.col("data")
-    link = F.when(kind == "decision", data["supersedes_id"]).when(kind == "dead_end", data["chosen_decision_id"])
+    link = F.coalesce(*[F.nullif(stripped(data[f]), F.lit("")) for f in ("supersedes_id", "chosen_decision_id")])
     more = ["embedding"] if "embedding" in rows.columns else []
     return rows.select("project", "seq", "kind", scope(kind, F.col("project")).alias("scope"), own_reason(kind, data).alias("own"), stripped(main_text(kind, data)).alias("text"),
-                       stripped(data["why"]).alias("why"), F.nullif(stripped(link), F.lit("")).alias("link"), *more)
+                       stripped(data["why"]).alias("why"), link.alias("link"), *more)
 
 
-def judge(known: DataFrame, held: DataFrame) -> DataFrame:
+def judge(known: DataFrame, held: DataFrame, one: str | None = None) -> DataFrame:
     """(project, seq, status, reason) of records against what is held, `held` being (scope, fresh, seq, text): the first rule that fails.
 
     Something held counts against a record only where it comes before it. known: what prepared() gives, with `linked`, whether
-    the decision that a record names is there, or null where it names none.
+    the decision that a record names is there, or null where it names none; `one` is its text where it is a single row.
     """
     key = F.col("text") if "embedding" in known.columns else ascii_lower(F.col("text"))  # vectors may tell apart what case does
     known = known.withColumn("key", key)
     compared = known.where((F.col("kind") != "snapshot") & F.col("own").isNull())
     classes = compared.groupBy("scope", "key").agg(F.min("text").alias("text"), *([F.first("embedding").alias("embedding")] if "embedding" in known.columns else []))
-    found = hits(classes, held)
+    found = hits(classes, held) if one is None else hits_of_one(classes, held, one)
     before = lambda m: F.col(m).isNotNull() & (F.struct(F.col(f"{m}.fresh"), F.col(f"{m}.seq")) < F.struct(F.lit(1), F.col("seq")))
     out = known.join(found, ["scope", "key"], "left")
     name = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in NAMES.items()])

@@ -6,10 +6,12 @@ one, reads are improved by dense ranks and decisions are checked for contradicti
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,156 +19,216 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, words
 from ..functions.text import category, cost, postings
-from ..sources.store import Store
+from ..sources.store import Store, Unit, unit
+from ..steps import Steps
 from . import extract, guard, rank, records
 
 BATCH = "project string, seq long, kind string, data map<string,string>"
 #: Fields that are stored without white space around them.
 STRIPPED = {"what", "why", "description", "what_tried", "why_failed", "supersedes_id", "chosen_decision_id"}
+#: Those that name a decision; of blanks alone they name none.
+LINKS = {"supersedes_id", "chosen_decision_id"}
 TABLES = {"decision": "decisions", "snapshot": "snapshots", "open_task": "open_tasks", "dead_end": "dead_ends"}
 
 
 class Memory:
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]] | None = None, model: str = "given"):
         self.spark, self.store, self.embed, self.model = spark, Store(spark, root), embed, model
+        #: What the provider failed with last; calls then go on without vectors.
+        self.embed_error: Exception | None = None
         self.store.create()
 
     # writes
-    def _put(self, name: str, op: str, as_of: datetime, **row) -> str:
-        row.setdefault("id", str(uuid.uuid4()))
-        schema = self.spark.createDataFrame([], self.store.schema(name)).drop("seq", "op", "at").schema
-        self.store.append(name, self.spark.createDataFrame([tuple(row.get(f) for f in schema.names)], schema), op, as_of)
-        return row["id"]
-
-    def _get(self, name: str, id_: str) -> dict | None:
-        found = self.store.current(name).where(F.col("id") == id_).limit(1).collect()
+    def _unit(self, as_of: datetime, reads: list[tuple[str, str | None]], work: Callable[[Unit], Any]) -> Any:
+        """One commit of what a call decides; decided again where a table that it read has changed before it could commit."""
+        return unit(self.store, as_of, reads, work)
+
+    def _get(self, name: str, id_: str, u: Unit | None = None) -> dict | None:
+        found = (u or self.store).current(name).where(F.col("id") == id_).limit(1).collect()
         return {k: v for k, v in found[0].asDict(True).items() if k not in ("seq", "op", "at")} if found else None
 
+    @staticmethod
+    def _event(u: Unit, project: str, kind: str, as_of: datetime, **payload) -> None:
+        u.put("audit_log", "insert", project=project, kind=kind, payload=json.dumps(payload), created_at=as_of)
+
     def audit(self, project: str, kind: str, as_of: datetime, **payload) -> None:
-        self._put("audit_log", "insert", as_of, project=project, kind=kind, payload=json.dumps(payload), created_at=as_of)
+        self._unit(as_of, [], lambda u: self._event(u, project, kind, as_of, **payload))
 
-    def _existing(self, project: str | None = None) -> DataFrame:
+    @staticmethod
+    def _existing(u: Unit, project: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
         """What checks look at: all decisions, archived ones too, open tasks and dead ends."""
         parts = []
         for kind, where in (("decision", "true"), ("open_task", "status = 'open'"), ("dead_end", "true")):
             f = guard.MAIN[kind]
-            parts.append(self.store.current(TABLES[kind], project).where(where).select("project", "seq", F.lit(kind).alias("kind"), F.create_map(F.lit(f), F.col(f)).alias("data")))
+            rows = u.current(TABLES[kind], project).where(where)
+            if vectors is not None:
+                rows = rows.join(vectors.select("id", "embedding"), "id", "left") if kind == "decision" else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+            parts.append(rows.select("project", "seq", F.lit(kind).alias("kind"), F.create_map(F.lit(f), F.col(f)).alias("data"), *(["embedding"] if vectors is not None else [])))
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def write(self, kind: str, project: str, data: dict, as_of: datetime, source: str | None = None) -> dict:
-        """status committed, staged, auto_rejected or rejected, with id and reason."""
-        if kind not in TABLES:
-            self.audit(project, "write_rejected", as_of, type=kind)
-            return {"status": "rejected", "id": None, "reason": f"Unknown type: {kind}"}
+        """status committed, staged, auto_rejected or rejected, with id and reason; all that it leads to is one commit."""
+        reads = [(t, project) for t in ("decisions", "open_tasks", "dead_ends")]
+        return self._unit(as_of, reads, lambda u: self._write(u, kind, project, data, as_of, source))
+
+    def _write(self, u: Unit, kind: str, project: str, data: dict, as_of: datetime, source: str | None) -> dict:
         text = {k: v for k, v in data.items() if v is None or isinstance(v, str)}
+        link = next((x.strip() for x in (text.get("supersedes_id"), text.get("chosen_decision_id")) if x and x.strip()), None)
+        linked = None if link is None else self._get("decisions", link, u) is not None
         new = self.spark.createDataFrame([(project, 1, kind, text)], BATCH)
-        reason = guard.fold(new, self._existing(project)).first()["reason"]
-        if reason == "ok" and kind == "decision" and (old := self._opposed(project, data.get("what") or "")):
-            reason = f"Contradicts existing decision: '{old[:80]}'"
-        if reason != "ok":
-            return self._turned_down(kind, project, data, reason, as_of, source)
-        for f, name in (("supersedes_id", "decisions"), ("chosen_decision_id", "decisions")):
-            if data.get(f) and self._get(name, data[f]) is None:
-                self.audit(project, "write_rejected", as_of, type=kind, reason="unknown link")
-                return {"status": "rejected", "id": None, "reason": f"{f} names no decision"}
-        id_ = self._insert(kind, project, data, as_of, source)
-        self.audit(project, "write_commit", as_of, type=kind, id=id_)
+        vectors = self.vectors(u.current("decisions", project), as_of) if self.embed and kind == "decision" else None
+        asked = self._query_vector(project, text.get("what") or "") if vectors is not None else None
+        if asked is not None:
+            new = new.join(asked.select("project", "embedding"), "project")
+        else:
+            vectors = None
+        known = guard.prepared(new).withColumn("linked", F.lit(linked).cast("boolean"))
+        judged = guard.judge(known, guard.held_texts(self._existing(u, project, vectors)), one=text.get(guard.MAIN.get(kind, "")) or "")
+        status, reason, cat = judged.select("status", "reason", category(F.col("reason"))).first()
+        if status == "rejected":
+            self._event(u, project, "write_rejected", as_of, type=kind, reason=reason)
+            return {"status": status, "id": None, "reason": reason}
+        if status == "staged":
+            if self.policy_action(project, cat) == "auto_reject":
+                self._event(u, project, "write_auto_rejected", as_of, type=kind, category=cat, reason=reason)
+                return {"status": "auto_rejected", "id": None, "reason": reason}
+            id_ = u.put("staging", "insert", type=kind, project=project, data=json.dumps(data), reason=reason, created_at=as_of, source=source)
+            self._event(u, project, "write_staged", as_of, type=kind, category=cat, reason=reason, source=source)
+            return {"status": "staged", "id": id_, "reason": reason}
+        id_ = self._insert(u, kind, project, data, as_of, source)
+        self._event(u, project, "write_commit", as_of, type=kind, id=id_)
         return {"status": "committed", "id": id_, "reason": "ok"}
 
-    def _turned_down(self, kind, project, data, reason, as_of, source):
-        cat = self.spark.range(1).select(category(F.lit(reason)).alias("c")).first()["c"]
-        if self.policy_action(project, cat) == "auto_reject":
-            self.audit(project, "write_auto_rejected", as_of, type=kind, category=cat)
-            return {"status": "auto_rejected", "id": None, "reason": reason}
-        id_ = self._put("staging", "insert", as_of, type=kind, project=project, data=json.dumps(data), reason=reason, created_at=as_of, source=source)
-        self.audit(project, "write_staged", as_of, type=kind, reason=reason)
-        return {"status": "staged", "id": id_, "reason": reason}
-
-    def _insert(self, kind, project, data, as_of, source, confidence=None, agent="unknown"):
-        row = {k: v.strip() if k in STRIPPED and isinstance(v, str) else v for k, v in data.items() if k != "id"} | {"project": project, "created_at": as_of}
+    def _insert(self, u: Unit, kind, project, data, as_of, source, confidence=None, agent="unknown"):
+        row = {k: (v.strip() or (None if k in LINKS else "")) if k in STRIPPED and isinstance(v, str) else v for k, v in data.items() if k != "id"} | {"project": project, "created_at": as_of}
         if kind in ("decision", "dead_end"):
             c = data.get("confidence") if confidence is None else confidence
             row |= {"confidence": min(1.0, max(0.0, 1.0 if c is None else float(c))), "agent": data.get("agent") or agent}
         if kind == "decision":
             row["source"] = source
-            if data.get("supersedes_id") and (old := self._get("decisions", data["supersedes_id"])) and old["archived_at"] is None:
-                self._put("decisions", "archive", as_of, **old | {"archived_at": as_of})
+            if row.get("supersedes_id") and (old := self._get("decisions", row["supersedes_id"], u)) and old["archived_at"] is None:
+                u.put("decisions", "archive", **old | {"archived_at": as_of})
         if kind == "open_task":
             row["status"] = "open"
-        return self._put(TABLES[kind], "insert", as_of, **row)
+        return u.put(TABLES[kind], "insert", **row)
 
-    def write_batch(self, rows: DataFrame, as_of: datetime, source: str | None = None) -> DataFrame:
-        """Judges (project, seq, kind, data) in order of arrival and appends what is committed or staged, with audit events.
+    @staticmethod
+    def batch_id(batch: str, project: str, seq: int) -> str:
+        """The id that a record of a batch gets, so that later ones of its project may name it."""
+        h = hashlib.md5(f"{batch}/{project}/{seq}".encode()).hexdigest()
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
 
-        Tables are read once for all projects of the batch; every table gets one append. Returns project, seq, status,
-        reason and id. Links to other records are not followed in a batch; such records go by write(). A batch is what one
-        writer adds at once: its verdicts pass through the driver, which fixes the ids that they get.
+    def write_batch(self, rows: DataFrame, as_of: datetime, source: str | None = None, batch: str | None = None) -> DataFrame:
+        """What write() would do with the records (project, seq, kind, data) of each project one after another, in one commit.
+
+        Returns project, seq, status, reason, and the id of what is committed or staged: batch_id() of the batch's name, made
+        on the executors. A link may name a decision that there is, or one that the batch has accepted before in its project.
+        Tables are read once for all projects; no record passes through the driver. project and seq tell records apart.
         """
-        touched = rows.select("project").distinct()
-        held = self._existing().join(touched, "project", "left_semi")
-        judged = guard.fold(rows.select("project", "seq", "kind", "data"), held, self.store.current("guard_policy").select("project", "category", "action"))
-        named = rows.join(judged, ["project", "seq"]).withColumn("id", F.when(F.col("status").isin("committed", "staged"), F.expr("uuid()")))
-        named = self.spark.createDataFrame(named.select("project", "seq", "kind", "data", "status", "reason", "id").collect(), BATCH + ", status string, reason string, id string")
-        at = F.lit(as_of).cast("timestamp")
+        steps, name = Steps(self.spark), batch or uuid.uuid4().hex
+        made = F.md5(F.concat_ws("/", F.lit(name), "project", F.col("seq").cast("string")).cast("binary"))
+        made = F.regexp_replace(made, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        fixed = steps.keep(rows.select("project", F.col("seq").cast("long").alias("seq"), "kind", "data", made.alias("id")))
+        reads = [(t, None) for t in ("decisions", "open_tasks", "dead_ends")]
+        return self._unit(as_of, reads, lambda u: self._write_batch(u, steps, fixed, as_of, source))
+
+    def _write_batch(self, u: Unit, steps: Steps, fixed: DataFrame, as_of: datetime, source: str | None) -> DataFrame:
+        touched = fixed.select("project").distinct()
+        vectors, new = None, fixed
+        if self.embed:
+            old = u.current("decisions").join(touched, "project", "left_semi")
+            vectors, fresh = self.vectors(old, as_of), self._embedded(steps, fixed.where("kind = 'decision'").select("project", "id", F.coalesce(F.col("data")["what"], F.lit("")).alias("text")))
+            vectors = vectors if fresh is not None else None
+            new = fixed.join(fresh.select("id", F.col("vector").cast("array<double>").alias("embedding")), "id", "left") if vectors is not None else fixed
+        held = self._existing(u, vectors=vectors).join(touched, "project", "left_semi")
+        judged = guard.fold(new, held, u.current("guard_policy").select("project", "category", "action"), u.current("decisions").select("id"))
+        named = steps.keep(fixed.join(judged, ["project", "seq"]))
+        at, data = F.lit(as_of).cast("timestamp"), F.col("data")
+        where = {}
         for kind, table in TABLES.items():
             mine = named.where((F.col("status") == "committed") & (F.col("kind") == kind))
-            shape = self.spark.createDataFrame([], self.store.schema(table)).drop("seq", "op", "at").schema
-            made = {"id": F.col("id"), "project": F.col("project"), "created_at": at, "source": F.lit(source), "status": F.lit("open"),
-                    "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("data")["confidence"].cast("double"), F.lit(1.0)))),
-                    "agent": F.coalesce(F.col("data")["agent"], F.lit("unknown"))}
-            cols = [(made[f.name] if f.name in made else F.trim(F.col("data")[f.name]) if f.name in STRIPPED else F.col("data")[f.name]).cast(f.dataType).alias(f.name) for f in shape]
-            self.store.append(table, mine.select(*cols, F.col("seq").alias("nth")), "insert", as_of, "nth")
-        staged = named.where("status = 'staged'").select("id", F.col("kind").alias("type"), "project", F.to_json("data").alias("data"), "reason", at.alias("created_at"), F.lit(source).alias("source"), F.col("seq").alias("nth"))
-        self.store.append("staging", staged, "insert", as_of, "nth")
+            value = lambda f: F.nullif(guard.stripped(data[f]), F.lit("")) if f in LINKS else guard.stripped(data[f]) if f in STRIPPED else data[f]
+            made = {"id": F.col("id"), "project": F.col("project"), "created_at": at, "source": F.lit(source), "status": F.lit("open"), "closed_at": F.lit(None), "archived_at": F.lit(None),
+                    "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(data["confidence"].try_cast("double"), F.lit(1.0)))),
+                    "agent": F.coalesce(F.nullif(data["agent"], F.lit("")), F.lit("unknown"))}
+            where[kind] = mine.select(*[(made[c] if c in made else value(c)).cast(t).alias(c) for c, t in self.store.fields(table)], F.lit("insert").alias("op"), (F.col("seq") * 2).alias("nth"))
+        # what is superseded, of the store or of the batch, is archived just before what supersedes it comes in
+        made = steps.keep(where["decision"])
+        later = made.where("supersedes_id is not null").groupBy(F.col("supersedes_id").alias("id")).agg((F.min("nth") - 1).alias("nth"))
+        live = u.current("decisions").where("archived_at is null").select(*[c for c, _ in self.store.fields("decisions")]).unionByName(made.drop("op", "nth"))
+        gone = live.join(later, "id").withColumn("archived_at", at).withColumn("op", F.lit("archive"))
+        where["decision"] = made.unionByName(gone.select(*made.columns))
+        for kind, table in TABLES.items():
+            u.frame(table, where[kind])
+        u.frame("staging", named.where("status = 'staged'").select("id", F.col("kind").alias("type"), "project", F.to_json("data").alias("data"), "reason", at.alias("created_at"), F.lit(source).alias("source"), F.lit("insert").alias("op"), F.col("seq").alias("nth")))
         kinds = F.create_map(*[F.lit(x) for p in (("committed", "write_commit"), ("staged", "write_staged"), ("auto_rejected", "write_auto_rejected"), ("rejected", "write_rejected")) for x in p])
-        self._events(named.select("project", kinds[F.col("status")].alias("kind"), F.to_json(F.struct(F.col("kind").alias("type"), "id", "reason")).alias("payload"), F.col("seq").alias("nth")), as_of)
-        return named.select("project", "seq", "status", "reason", "id")
+        told = F.struct(F.col("kind").alias("type"), F.when(F.col("status") == "committed", F.col("id")).alias("id"), F.when(F.col("status").isin("staged", "auto_rejected"), category(F.col("reason"))).alias("category"),
+                        F.when(F.col("status") != "committed", F.col("reason")).alias("reason"), F.when(F.col("status") == "staged", F.lit(source)).alias("source"))
+        self._events(u, named.select("project", kinds[F.col("status")].alias("kind"), F.to_json(told).alias("payload"), F.col("seq").alias("nth")), as_of)
+        return named.select("project", "seq", "status", "reason", F.when(F.col("status").isin("committed", "staged"), F.col("id")).alias("id"))
 
-    def _events(self, events: DataFrame, as_of: datetime) -> None:
+    @staticmethod
+    def _events(u: Unit, events: DataFrame, as_of: datetime) -> None:
         """Audit events (project, kind, payload, nth) in one append."""
-        rows = events.select(F.expr("uuid()").alias("id"), "project", "kind", "payload", F.lit(as_of).cast("timestamp").alias("created_at"), "nth")
-        self.store.append("audit_log", rows, "insert", as_of, "nth")
+        u.frame("audit_log", events.select(F.expr("uuid()").alias("id"), "project", "kind", "payload", F.lit(as_of).cast("timestamp").alias("created_at"), F.lit("insert").alias("op"), "nth"))
 
     def close_task(self, id_: str, as_of: datetime) -> dict:
-        row = self._get("open_tasks", id_)
-        if row is None or row["status"] != "open":
-            return {"status": "not_found"}
-        self._put("open_tasks", "close", as_of, **row | {"status": "done", "closed_at": as_of})
-        self.audit(row["project"], "task_close", as_of, id=id_)
-        return {"status": "closed"}
-
-    def _review(self, id_: str, outcome: str, as_of: datetime) -> dict | None:
-        row = self._get("staging", id_)
+        def work(u: Unit) -> dict:
+            row = self._get("open_tasks", id_, u)
+            if row is None or row["status"] != "open":
+                return {"status": "not_found"}
+            u.put("open_tasks", "close", **row | {"status": "done", "closed_at": as_of})
+            self._event(u, row["project"], "task_close", as_of, id=id_)
+            return {"status": "closed"}
+
+        return self._unit(as_of, [("open_tasks", None)], work)
+
+    def _review(self, u: Unit, id_: str, outcome: str, as_of: datetime) -> dict | None:
+        row = self._get("staging", id_, u)
         if row:
-            self._put("staging", "delete", as_of, **row)
+            u.put("staging", "delete", **row)
             cat = self.spark.range(1).select(category(F.lit(row["reason"])).alias("c")).first()["c"]
-            self._put("staging_history", "insert", as_of, project=row["project"], type=row["type"], category=cat, outcome=outcome, created_at=as_of)
-            self.audit(row["project"], "staging_accept" if outcome == "accepted" else "staging_reject", as_of, id=id_)
+            u.put("staging_history", "insert", project=row["project"], type=row["type"], category=cat, outcome=outcome, created_at=as_of)
+            self._event(u, row["project"], "staging_accept" if outcome == "accepted" else "staging_reject", as_of, id=id_)
         return row
 
     def promote(self, id_: str, as_of: datetime) -> dict:
         """A staged record goes in as it is, by the reviewer's word; its link to a superseded one does not."""
-        row = self._review(id_, "accepted", as_of)
-        if row is None:
-            return {"status": "not_found"}
-        data = {k: v for k, v in json.loads(row["data"]).items() if k != "supersedes_id"}
-        return {"status": "committed", "id": self._insert(row["type"], row["project"], data, as_of, "human-reviewed", 1.0, "human-reviewed")}
+        def work(u: Unit) -> dict:
+            row = self._review(u, id_, "accepted", as_of)
+            if row is None:
+                return {"status": "not_found"}
+            data = {k: v for k, v in json.loads(row["data"]).items() if k != "supersedes_id"}
+            return {"status": "committed", "id": self._insert(u, row["type"], row["project"], data, as_of, "human-reviewed", 1.0, "human-reviewed")}
+
+        return self._unit(as_of, [("staging", None)], work)
 
     def reject(self, id_: str, as_of: datetime) -> dict:
-        return {"status": "rejected" if self._review(id_, "rejected", as_of) else "not_found"}
+        return self._unit(as_of, [("staging", None)], lambda u: {"status": "rejected" if self._review(u, id_, "rejected", as_of) else "not_found"})
 
     def clear(self, project: str, as_of: datetime) -> int:
-        ids = [r["id"] for r in self.staging(project).select("id").collect()]
-        return sum(self.reject(i, as_of)["status"] == "rejected" for i in ids)
+        """Rejects all that is staged of a project, in one commit of frames."""
+        def work(u: Unit) -> int:
+            rows = Steps(self.spark).keep(u.current("staging", project))
+            at, nth = F.lit(as_of).cast("timestamp"), F.col("seq").alias("nth")
+            u.frame("staging", rows.select(*[c for c, _ in self.store.fields("staging")], F.lit("delete").alias("op"), nth))
+            u.frame("staging_history", rows.select(F.expr("uuid()").alias("id"), "project", "type", category(F.col("reason")).alias("category"), F.lit("rejected").alias("outcome"), at.alias("created_at"), F.lit("insert").alias("op"), nth))
+            self._events(u, rows.select("project", F.lit("staging_reject").alias("kind"), F.to_json(F.struct("id")).alias("payload"), nth), as_of)
+            return rows.count()
+
+        return self._unit(as_of, [("staging", project)], work)
 
     def _change(self, id_: str, op: str, kind: str | None, as_of: datetime, change) -> dict:
-        row = self._get("decisions", id_)
-        if row is None:
-            return {"status": "not_found"}
-        self._put("decisions", op, as_of, **row | change(row))
-        if kind:
-            self.audit(row["project"], kind, as_of, id=id_)
-        return {"status": op}
+        def work(u: Unit) -> dict:
+            row = self._get("decisions", id_, u)
+            if row is None:
+                return {"status": "not_found"}
+            u.put("decisions", op, **row | change(row))
+            if kind:
+                self._event(u, row["project"], kind, as_of, id=id_)
+            return {"status": op}
+
+        return self._unit(as_of, [("decisions", None)], work)
 
     def reinforce(self, id_: str, as_of: datetime, by: float = words.STEP) -> dict:
         up = lambda r: {"confidence": min(1.0, max(0.0, (r["confidence"] or 1.0) + by)), "created_at": as_of, "archived_at": None}
@@ -179,21 +241,22 @@ class Memory:
         return self._change(id_, "unarchive", None, as_of, lambda r: {"archived_at": None})
 
     def sweep(self, as_of: datetime, project: str | None = None, floor: float = words.FLOOR) -> list[str]:
-        """Archives live decisions whose confidence has decayed below the floor, in one append."""
-        at = F.lit(as_of).cast("timestamp")
-        low = records.sweep(self.store.current("decisions", project), at, floor).drop("eff", "seq", "op", "at").withColumn("archived_at", at)
-        swept = low.collect()  # what one sweep archives; its images and events are one append each
-        if swept:
-            low = self.spark.createDataFrame(swept, low.schema)
-            self.store.append("decisions", low, "archive", as_of)
-            self._events(low.select("project", F.lit("decision_archive").alias("kind"), F.to_json(F.struct("id")).alias("payload"), F.col("id").alias("nth")), as_of)
-        return [r["id"] for r in swept]
+        """Archives live decisions whose confidence has decayed below the floor, in one commit of frames; returns their ids."""
+        def work(u: Unit) -> list[str]:
+            at = F.lit(as_of).cast("timestamp")
+            low = records.sweep(u.current("decisions", project), at, floor).drop("eff", "op", "at").withColumn("archived_at", at)
+            low = Steps(self.spark).keep(low.withColumnRenamed("seq", "nth").withColumn("op", F.lit("archive")))
+            u.frame("decisions", low)
+            self._events(u, low.select("project", F.lit("decision_archive").alias("kind"), F.to_json(F.struct("id")).alias("payload"), "nth"), as_of)
+            return [r["id"] for r in low.orderBy("nth").select("id").collect()]
+
+        return self._unit(as_of, [("decisions", project)], work)
 
     # policy
     def tune(self, as_of: datetime) -> DataFrame:
-        out = records.tune(self.store.current("staging_history"))
+        out = Steps(self.spark).keep(records.tune(self.store.current("staging_history")))
         rows = out.withColumn("id", F.concat_ws("/", "project", "category")).withColumn("updated_at", F.lit(as_of).cast("timestamp"))
-        self.store.append("guard_policy", self.spark.createDataFrame(rows.collect(), rows.schema), "upsert", as_of)
+        self.store.append("guard_policy", rows, "upsert", as_of)
         return out
 
     def policy_action(self, project: str, cat: str) -> str:
@@ -233,45 +296,53 @@ class Memory:
             order = rank.recent(docs.select("project", "id", "created_at", "confidence"), at, words.WARM_BUDGET).select("project", "id", "score", "pos")
         else:
             order = rank.ranked(scores).select("query_id", "project", "id", "base", "score", "pos")
-            if self.embed:
-                # the keyword order with its first places improved by the dense one
+            asked = self._query_vector(project, query) if self.embed else None
+            if asked is not None:
+                # the keyword order with its first places improved by the dense one; without vectors it stands as it is
                 v = self.vectors(docs, as_of)
-                near = rank.dense_rank(v.select("project", "id", "embedding"), self._query_vector(project, query)).select("query_id", "id", "pos")
+                near = rank.dense_rank(v.select("project", "id", "embedding"), asked).select("query_id", "id", "pos")
                 fused = rank.fuse_and_guard(order.select("query_id", "id", "base", "pos"), near)
                 order = order.drop("pos").join(fused.drop("query_id"), "id")
         eff = F.bround(scoring.effective(F.col("confidence"), F.col("created_at"), at), 3)
         rows = docs.drop("seq", "op", "at").join(order.select("project", "id", "score", "pos"), ["project", "id"]).withColumn("score", F.bround("score", 3)).withColumn("effective_confidence", eff)
         return rank.pack(rows, ["project"], ["pos"], rank.tokens_cost(), words.WARM_BUDGET).orderBy("pos")
 
-    def _query_vector(self, project: str, text: str) -> DataFrame:
-        return self.spark.createDataFrame([(1, project, [float(x) for x in self.embed([text])[0]])], "query_id int, project string, embedding array<double>")
+    def _query_vector(self, project: str, text: str) -> DataFrame | None:
+        """One row with the vector of a text, or None where the provider fails."""
+        try:
+            return self.spark.createDataFrame([(1, project, [float(x) for x in self.embed([text])[0]])], "query_id int, project string, embedding array<double>")
+        except Exception as e:  # noqa: BLE001  whatever a given function raises
+            self.embed_error = e
+            return None
 
-    def vectors(self, docs: DataFrame, as_of: datetime) -> DataFrame:
-        """project, id, seq, what, embedding of decisions: from the table of the model, and for those that it lacks from the provider, whose answers are kept."""
-        known = lambda: records.cascade(self.store.current("decision_embeddings"), self.store.current("decisions")).where(F.col("model") == self.model).select("id", F.col("vector").cast("array<double>").alias("embedding"))
-        lacking = docs.join(known(), "id", "left_anti").select("id", "project", F.concat(F.col("what"), F.lit(". "), F.coalesce("why", F.lit(""))).alias("text"))
+    def _embedded(self, steps: Steps, texts: DataFrame) -> DataFrame | None:
+        """project, id, vector of (project, id, text), written down so that the provider is asked once; None where it fails."""
         embed = self.embed
 
         def run(batches):
             for b in batches:
                 given = [[float(x) for x in v] for v in embed(b.column(2).to_pylist())] if b.num_rows else []
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(given, pa.list_(pa.float32()))], names=["id", "project", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(given, pa.list_(pa.float32()))], names=["project", "id", "vector"])
+
+        try:
+            return steps.keep(texts.select("project", "id", "text").mapInArrow(run, "project string, id string, vector array<float>"))
+        except Exception as e:  # noqa: BLE001  whatever a given function raises on the executors
+            self.embed_error = e
+            return None
+
+    def vectors(self, docs: DataFrame, as_of: datetime) -> DataFrame:
+        """project, id, seq, what, embedding of decisions: from the table of the model, and for those that it lacks from the provider, whose answers are kept.
 
-        if not lacking.isEmpty():
-            fresh = lacking.mapInArrow(run, "id string, project string, vector array<float>")
+        Where the provider fails, those without a vector are left out.
+        """
+        steps = Steps(self.spark)
+        known = self.store.current("decision_embeddings").where(F.col("model") == self.model).select("id", "vector")
+        lacking = steps.keep(docs.join(known, "id", "left_anti").select("project", "id", F.concat(F.col("what"), F.lit(". "), F.coalesce("why", F.lit(""))).alias("text")))
+        if not lacking.isEmpty() and (fresh := self._embedded(steps, lacking)) is not None:
             at = F.lit(as_of).cast("timestamp")
             self.store.append("decision_embeddings", fresh.select("id", "project", F.lit(self.model).alias("model"), F.size("vector").alias("dim"), "vector", at.alias("created_at")), "upsert", as_of)
-        return docs.join(known(), "id").select("project", "id", "seq", "what", "embedding")
-
-    def _opposed(self, project: str, what: str) -> str | None:
-        """The first decision of the project that a new one contradicts in meaning."""
-        if not self.embed:
-            return None
-        old = self.store.current("decisions", project)
-        v = self.vectors(old, self.store.last_time("decisions"))
-        new = self._query_vector(project, what).select("project", F.lit("new").alias("id"), F.lit(2**62).alias("seq"), F.lit(what).alias("what"), "embedding")
-        hit = guard.opposed(new, v).join(v.select(F.col("id").alias("other"), F.col("what").alias("text")), "other").select("text").limit(1).collect()
-        return hit[0]["text"] if hit else None
+            known = known.unionByName(fresh.select("id", "vector"))
+        return docs.join(known, "id").select("project", "id", "seq", "what", F.col("vector").cast("array<double>").alias("embedding"))
 
     def read(self, project: str, query: str, as_of: datetime, include_archived: bool = False, audit: bool = True) -> dict:
         """hot tasks, the last snapshot, warm decisions and token_estimate; each read is an audit event unless audit is False."""
@@ -292,22 +363,30 @@ class Memory:
     def route(self, project: str, task: str, as_of: datetime, top: int = 3) -> tuple[DataFrame, DataFrame]:
         q = self.spark.createDataFrame([(1, project, task)], "query_id int, project string, text string")
         old, near = self.store.current("decisions", project), None
-        if self.embed:
+        if self.embed and (asked := self._query_vector(project, task)) is not None:
             live = old.where("archived_at is null")
-            near = rank.dense_rank(self.vectors(live, as_of).select("project", "id", "embedding"), self._query_vector(project, task))
+            near = rank.dense_rank(self.vectors(live, as_of).select("project", "id", "embedding"), asked)
         return records.route(old, q, F.lit(as_of).cast("timestamp"), top, similar=near)
 
-    def handoff(self, project: str, from_agent: str, to_agent: str, as_of: datetime) -> dict:
-        """State (five latest decisions, hot tasks, snapshot) and what changed since the last packet."""
-        past = self.store.current("handoffs", project)
+    def handoff(self, project: str, from_agent: str | None, to_agent: str | None, as_of: datetime) -> dict:
+        """The packet, as it is stored: id, project, agents, time, state (five latest decisions, hot tasks, snapshot) and what changed since the last one."""
         plain = lambda df: [{k: (v.isoformat() if isinstance(v, datetime) else v) for k, v in r.asDict(True).items()} for r in df.collect()]
-        pick = lambda name, at, where=None: plain(records.delta(self.store.current(name, project), past, at, where).orderBy(at, "seq").drop("seq", "op", "at", "since"))
-        state = {"decisions": plain(self.warm(project, "", as_of).where("pos <= 5")), "tasks": plain(self.hot(project)), "snapshot": plain(self.snapshot(project))}
-        delta = {"decisions_added": pick("decisions", "created_at"), "dead_ends_added": pick("dead_ends", "created_at"), "tasks_opened": pick("open_tasks", "created_at"), "tasks_closed": pick("open_tasks", "closed_at", F.col("status") == "done")}
-        packet = {"state": state, "delta": delta}
-        id_ = self._put("handoffs", "insert", as_of, project=project, from_agent=from_agent, to_agent=to_agent, payload=json.dumps(packet, default=str), created_at=as_of)
-        self.audit(project, "handoff_create", as_of, id=id_)
-        return {"id": id_, **packet}
+
+        def work(u: Unit) -> dict:
+            past = u.current("handoffs", project)
+            since = past.agg(F.max("created_at")).first()[0]
+            pick = lambda name, at, where=None: plain(records.delta(u.current(name, project), past, at, where).orderBy(at, "seq").drop("seq", "op", "at", "since"))
+            state = {"decisions": plain(self.warm(project, "", as_of).where("pos <= 5")), "tasks": plain(self.hot(project)), "snapshot": plain(self.snapshot(project))}
+            delta = {"since": since.isoformat() if since else None, "decisions_added": pick("decisions", "created_at"), "dead_ends_added": pick("dead_ends", "created_at"),
+                     "tasks_opened": pick("open_tasks", "created_at"), "tasks_closed": pick("open_tasks", "closed_at", F.col("status") == "done")}
+            id_ = str(uuid.uuid4())
+            packet = {"id": id_, "project": project, "from_agent": from_agent, "to_agent": to_agent, "created_at": as_of.isoformat(), "state": state, "delta": delta}
+            u.put("handoffs", "insert", id=id_, project=project, from_agent=from_agent, to_agent=to_agent, payload=json.dumps(packet, default=str), created_at=as_of)
+            told = {"id": id_, "from": from_agent, "to": to_agent, "decisions_added": len(delta["decisions_added"]), "tasks_closed": len(delta["tasks_closed"])}
+            self._event(u, project, "handoff_create", as_of, **told)
+            return packet
+
+        return self._unit(as_of, [("handoffs", project)], work)
 
     def get_handoff(self, id_: str) -> dict | None:
         row = self._get("handoffs", id_)
@@ -318,16 +397,15 @@ class Memory:
         return json.loads(r[0]["payload"]) if r else None
 
     # commits
-    def capture(self, message: str, project: str, as_of: datetime, files: str | None = None) -> dict:
+    def capture(self, message: str, project: str, as_of: datetime, files: str | None = None, sha: str = "") -> dict:
         """A commit's decision, if it passes the gates, goes through the checks as a machine's; then the snapshot is renewed."""
         one = extract.gates(extract.parse(self.spark.createDataFrame([(message,)], "message string"))).first()
         if one["status"] != "candidate":
-            self.audit(project, "extract_skipped", as_of, reason=one["status"])
+            self.audit(project, "extract_skipped", as_of, sha=sha[:12], reason=one["status"], subject=one["subject"][:80])
             return {"status": "skipped", "reason": one["status"]}
         out = self.write("decision", project, {"what": one["what"], "why": one["why"], "agent": "git-hook", "confidence": words.MACHINE_CONFIDENCE}, as_of, "git-hook")
-        if files:
-            self.write("snapshot", project, {"file_structure": files}, as_of, "git-hook")
-        return out
+        snap = self.write("snapshot", project, {"file_structure": files or "(empty tree)"}, as_of, "git-hook")
+        return {"status": out["status"], "decision": out, "snapshot": snap["status"]}
 
     def stats(self, project: str | None = None) -> dict[str, DataFrame]:
         log = self.store.current("audit_log", project).where("kind = 'extract_skipped'")

@@ -162,8 +162,8 @@ def test_batches_persist(spark, tmp_path):
     assert sorted((r["project"], r["what"], r["confidence"]) for r in m.store.current("decisions").collect()) == [("p", "Use one queue for all jobs", 1.0), ("q", "Use one queue for all jobs", 1.0)]
     assert m.store.current("open_tasks").first()["status"] == "open" and m.staging("p").count() == 1 and m.audit_log().count() == 5
     assert m.write_batch(spark.createDataFrame(rows[:1], "project string, seq long, kind string, data map<string,string>"), NOW).first()["status"] == "staged"
-    seqs = [r["seq"] for r in m.store.log("audit_log").collect()]
-    assert sorted(seqs) == list(range(1, 7))
+    seqs = [r["seq"] for r in m.store.log("audit_log").orderBy("seq").collect()]
+    assert len(seqs) == len(set(seqs)) == 6
 
 
 def test_hybrid_read_with_a_provider(spark, tmp_path):

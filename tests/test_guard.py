@@ -142,3 +142,28 @@ def test_similar_pairs_against_all(spark):
         assert {(r["scope"], r["x"], r["y"]) for r in similar.within(df, least).collect()} == want
         both = {(r["scope"], r["x"], r["y"]) for r in similar.between(df, df, least).collect()}
         assert both == want | {(s, y, x) for s, x, y in want} | {(r[0], r[1], r[1]) for r in rows}
+
+
+def test_links_within_a_batch(spark):
+    """Records that name a decision of the batch count only once that is accepted; those left out stand in nobody's way."""
+    rng, rows = random.Random(5), []
+    for p, i, kind, data in made(160, 9, ("decision", "open_task", "dead_end")):
+        if kind != "open_task" and rng.random() < 0.5:
+            data = data | {"supersedes_id" if kind == "decision" else "chosen_decision_id": rng.choice([f"b{rng.randrange(i + 5)}", f"b{max(0, i - 1)}", "held", "nope", " "])}
+        rows.append((p, i, kind, data, f"b{i}"))
+    held, want, there = {}, {}, {"held"}
+    kept = {}
+    for p, seq, kind, data, id_ in rows:
+        mine = held.setdefault((p, kind), [])
+        reason = check(kind, data, mine)
+        link = next((x.strip() for x in (data.get("supersedes_id"), data.get("chosen_decision_id")) if x and x.strip()), None)
+        if reason == "ok" and link and link not in there and kept.get(link) != p:
+            reason = f"Referenced decision does not exist: '{link}'"
+        want[p, seq] = reason
+        if reason == "ok":
+            mine.append(data[guard.MAIN[kind]].strip())
+            if kind == "decision":
+                kept[id_] = p
+    new = spark.createDataFrame(rows, BATCH + ", id string")
+    got = {(r["project"], r["seq"]): r["reason"] for r in guard.fold(new, new.where("false"), decisions=spark.createDataFrame([("held",)], "id string")).collect()}
+    assert got == want and sum(r.startswith("Referenced") for r in want.values()) > 10
