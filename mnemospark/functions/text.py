@@ -35,10 +35,16 @@ def word_count(c: Column) -> Column:
     return F.size(split_words(c))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by a key where it comes from fewer files than there are cores, as one small file does; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def terms(df: DataFrame, keys: list[str], fields: list[str], space: str = SPACE) -> DataFrame:
     """(keys, field, token), repeats included: words are exploded, each once a text, so that stemming stays in generated code."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("body")) for f in fields])).alias("f")
-    raw = df.select(*keys, each).select(*keys, "f.field", F.explode(F.array_distinct(split_words(F.col("f.body"), space))).alias("w"))
+    raw = spread(df.select(*keys, *[f for f in fields if f not in keys]), keys[-1]).select(*keys, each).select(*keys, "f.field", F.explode(F.array_distinct(split_words(F.col("f.body"), space))).alias("w"))
     clean = raw.withColumn("w", F.lower(F.btrim("w", F.lit(words.PUNCTUATION)))).where((F.length("w") > 2) & ~F.col("w").isin(*words.STOP))
     stem = clean.select(*keys, "field", F.expr(STEM).alias("token"))
     table = F.create_map(*[x for k, v in words.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

@@ -47,6 +47,9 @@ SIMILAR, LEAST_WORDS = 0.45, 5
 POLICY_SAMPLE, POLICY_RATE = 5, 0.10
 RRF_K, HEAD, MARGIN = 60, 10, 0.15
 OPPOSED, MACHINE_CONFIDENCE = 0.80, 0.6
-#: Parts of made-up records, to see how ranking holds among many that are beside the point.
-TOOLS = ("Terraform", "Ansible", "Kafka", "RabbitMQ", "Nginx", "Envoy", "Grafana", "Jenkins", "Gradle", "Bazel", "Pulumi", "Vault", "Consul", "Istio", "Airflow")
-AIMS = ("builds", "releases", "alerts", "backups", "billing", "search", "routing", "image storage", "load tests", "nightly jobs", "secrets", "dashboards")
+#: Parts of made-up records, to see how ranking holds among many that are beside the point; combined, they give over a million.
+TOOLS = ("Terraform", "Ansible", "Kafka", "RabbitMQ", "Nginx", "Envoy", "Grafana", "Jenkins", "Gradle", "Bazel", "Pulumi", "Vault", "Consul", "Istio", "Airflow", "Redis", "Postgres", "Spark", "Flink", "Trino")
+ROLES = ("gateway", "scheduler", "registry", "mirror", "collector", "proxy", "builder", "planner", "watcher", "archive", "relay", "broker", "indexer", "balancer")
+AIMS = ("builds", "releases", "alerts", "backups", "billing", "search", "routing", "image storage", "load tests", "nightly jobs", "secrets", "dashboards", "invoices", "mail", "exports", "reports", "uploads", "sessions")
+MANNERS = ("in every region", "on spare nodes", "behind a flag", "with two replicas", "by the hour", "on demand", "in staging first", "without downtime", "per tenant", "at the edge", "for a trial", "in one cluster", "on bare metal", "with quotas")
+REASONS = ("costs less", "starts faster", "needs fewer hands", "scales further", "breaks less often", "is known to the team", "keeps history", "is easy to audit", "has good tests", "fits the budget", "leaves room to grow", "is simple to move")

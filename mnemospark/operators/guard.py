@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import words
 from ..functions.scoring import dot
-from ..functions.text import SPACE, ascii_lower, category, guard_tokens, postings, side_tokens, vague_snapshot, word_count
+from ..functions.text import SPACE, ascii_lower, category, guard_tokens, postings, side_tokens, spread, vague_snapshot, word_count
 from ..steps import Steps
 from . import similar
 
@@ -43,8 +43,11 @@ def fuzzy_pairs(df: DataFrame, least: float = words.SIMILAR) -> DataFrame:
 
     Equal token sets join once, through a representative, by the filters of similar.within.
     """
-    sets = df.select(F.col("project").alias("scope"), "id", "seq", F.array_sort(guard_tokens(F.col("what"))).alias("t")).where(F.size("t") > 0)
-    reps = sets.groupBy("scope", "t").agg(F.min(F.struct("seq", "id")).alias("rep")).select("scope", "t", "rep")
+    steps = Steps(df.sparkSession)
+    sets = spread(df.select("project", "id", "seq", "what"), "id").select(F.col("project").alias("scope"), "id", "seq", F.array_sort(guard_tokens(F.col("what"))).alias("t")).where(F.size("t") > 0)
+    # written once: what follows reads it from many sides, each with columns of its own, which no exchange could serve
+    sets = steps.keep(sets)
+    reps = steps.keep(sets.groupBy("scope", "t").agg(F.min(F.struct("seq", "id")).alias("rep")))
     near = similar.within(reps.select("scope", F.col("rep.id").alias("sid"), "t"), least)
     links = near.select("scope", "x", "y", "sim").union(near.select("scope", "y", "x", "sim")).union(reps.select("scope", "rep.id", "rep.id", F.lit(1.0))).toDF("scope", "x", "y", "sim")
     # what a record is too similar to first: the earliest record over all sets near its own

@@ -22,6 +22,7 @@ from ..functions.text import category, cost, postings
 from ..sources.store import Store, Unit, unit
 from ..steps import Steps
 from . import extract, guard, rank, records
+from .postings import Kept
 
 BATCH = "project string, seq long, kind string, data map<string,string>"
 #: Fields that are stored without white space around them.
@@ -37,6 +38,7 @@ class Memory:
         #: What the provider failed with last; calls then go on without vectors.
         self.embed_error: Exception | None = None
         self.store.create()
+        self.kept = Kept(self.store)
 
     # writes
     def _unit(self, as_of: datetime, reads: list[tuple[str, str | None]], work: Callable[[Unit], Any]) -> Any:
@@ -290,12 +292,12 @@ class Memory:
         docs = docs if include_archived else docs.where("archived_at is null")
         at = F.lit(as_of).cast("timestamp")
         q = self.spark.createDataFrame([(1, project, query or "")], "query_id int, project string, text string")
-        scores = rank.keyword_scores(docs, q, at)
         empty = postings(q, ["query_id"], ["text"]).isEmpty()
         if empty:
             order = rank.recent(docs.select("project", "id", "created_at", "confidence"), at, words.WARM_BUDGET).select("project", "id", "score", "pos")
         else:
-            order = rank.ranked(scores).select("query_id", "project", "id", "base", "score", "pos")
+            self.kept.refresh()
+            order = rank.ranked(rank.keyword_scores(docs, q, at, kept=self.kept.flags)).select("query_id", "project", "id", "base", "score", "pos")
             asked = self._query_vector(project, query) if self.embed else None
             if asked is not None:
                 # the keyword order with its first places improved by the dense one; without vectors it stands as it is

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, words
 from ..functions.text import SPACE, cost, postings, terms
-
-
-#: Slices of time that positions within a project are counted in.
-SLICES = 256
+from ..steps import Steps
 
 
 def flags(docs: DataFrame, space: str = SPACE, asked: DataFrame | None = None) -> DataFrame:
@@ -32,49 +32,103 @@ def idf(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     return df.join(n, "project").select("project", "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def weighted(docs: DataFrame, queries: DataFrame, space: str = SPACE) -> DataFrame:
-    """(query_id, project, id, hit, hit_what, total): the weights of the tokens that a document shares with a query.
+Flags = Callable[[DataFrame, DataFrame], DataFrame]
 
-    Only the tokens of queries are kept before anything is exchanged; frequencies of other tokens are not needed.
+
+def weights(docs: DataFrame, queries: DataFrame, space: str = SPACE, kept: Flags | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, project, token, w, df, total) of the tokens of queries, and the flags of documents that have them.
+
+    Only the tokens of queries are kept before anything is exchanged; frequencies of other tokens are not needed. kept: a
+    function of (docs, asked) that reads these flags from kept postings; without it, they come from the texts.
     """
     asked = postings(queries, ["query_id", "project"], ["text"], space).select("query_id", "project", "token")
-    flagged = flags(docs, space, asked)
-    asked = asked.join(idf(docs, flagged).select("project", "token", "idf"), ["project", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
+    flagged = kept(docs, asked) if kept else flags(docs, space, asked)
+    asked = asked.join(idf(docs, flagged).select("project", "token", "df", "idf"), ["project", "token"], "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
     total = asked.groupBy("query_id", "project").agg(F.sum("w").alias("total"))
-    hits = flagged.join(asked, ["project", "token"]).groupBy("query_id", "project", "id").agg(F.sum("w").alias("hit"), F.sum(F.col("w") * F.col("in_what")).alias("hit_what"))
-    return hits.join(total, ["query_id", "project"])
+    return asked.join(total, ["query_id", "project"]).select("query_id", "project", "token", "w", F.coalesce("df", F.lit(0)).alias("df"), "total"), flagged
 
 
-def recency(docs: DataFrame) -> DataFrame:
-    """docs with `recency`, from 0 for a project's oldest record to the full weight for its newest.
+def weighted(docs: DataFrame, queries: DataFrame, space: str = SPACE, kept: Flags | None = None) -> DataFrame:
+    """(query_id, project, id, hit, hit_what, total): the weights of the tokens that a document shares with a query."""
+    asked, flagged = weights(docs, queries, space, kept)
+    return _summed(flagged.join(asked, ["project", "token"]))
 
-    A record's position is the number of records in earlier slices of time and its place within its own slice, so no
-    project gathers in one task; the counts by slice are at most SLICES a project.
+
+def _summed(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "project", "id").agg(F.sum("w").alias("hit"), F.sum(F.col("w") * F.col("in_what")).alias("hit_what"), F.first("total").alias("total"))
+
+
+def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with nth, the place from 0 within a column's groups in the order of others, and n, the size of the group; and part, where a row was counted.
+
+    Rows are dealt by ranges of (group, order), whose splitters Spark samples, so tasks are even whatever the distribution; a place
+    is that in its range and the counts of the ranges before, which are one number a range and group. The ranges
+    are written down, so that all that reads them sees the same ones.
     """
-    span = docs.groupBy("project").agg(F.min("created_at").alias("t0"), F.max("created_at").alias("t1"), F.count("*").alias("n"))
-    at = lambda c: F.unix_micros(F.col(c))
-    cut = F.floor((at("created_at") - at("t0")) / (at("t1") - at("t0") + 1) * SLICES).cast("int")
-    sliced = docs.join(span, "project").withColumn("slice", F.coalesce(cut, F.lit(-1)))
-    counts = sliced.groupBy("project", "slice").agg(F.count("*").alias("m"))
-    before = F.sum("m").over(Window.partitionBy("project").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("project", "slice", F.coalesce(before, F.lit(0)).alias("earlier"))
-    nth = F.row_number().over(Window.partitionBy("project", "slice").orderBy("created_at", "id")) - 1 + F.col("earlier")
-    share = F.coalesce(nth / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))
-    return sliced.join(counts, ["project", "slice"]).withColumn("recency", share * words.RECENCY_WEIGHT).drop("slice", "earlier", "t0", "t1", "n")
+    steps = Steps(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, by, *order).sortWithinPartitions(by, *order).withColumn("at", F.monotonically_increasing_id())
+    dealt = steps.keep(dealt.withColumn("part", F.shiftright("at", 33)))
+    held = dealt.groupBy(by, "part").agg(F.min("at").alias("first"), F.count("*").alias("m"))
+    w = Window.partitionBy(by)
+    before = F.coalesce(F.sum("m").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col(by).alias("group"), F.col("part").alias("range"), (before - F.col("first")).alias("shift"), F.sum("m").over(w).alias("n"))
+    out = dealt.join(held, F.col(by).eqNullSafe(F.col("group")) & (F.col("part") == F.col("range")))
+    return out.withColumn("nth", F.col("at") + F.col("shift")).drop("group", "range", "shift", "at")
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame, as_of: Column, space: str = SPACE, tail: int | None = words.WARM_BUDGET) -> DataFrame:
-    """(query_id, project, id, base, score, created_at) of all documents with a common token.
+def recency(docs: DataFrame) -> DataFrame:
+    """docs with `recency`, from 0 for a project's oldest record to the full weight for its newest, by exact positions."""
+    placed = positions(docs, "project", ["created_at", "id"])
+    share = F.coalesce(F.col("nth") / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))
+    return placed.withColumn("recency", share * words.RECENCY_WEIGHT).drop("nth", "n", "part")
+
+
+#: Times k documents that a query's rarest tokens are to have before a floor is taken from them.
+SEEDS = 4
+
+
+def promising(asked: DataFrame, flagged: DataFrame, static: DataFrame, k: int) -> DataFrame:
+    """(query_id, project, id) of documents that can come among the k best of a query; all the best are among them.
+
+    A floor comes first: the k-th best whole score of the documents that have the query's rarest tokens is what the k-th best of all scores
+    at least. Then tokens go from the lightest up as long as what they can all give together, with the best of what does not hang on
+    tokens, stays under the floor: a document that has only such tokens cannot come in, so their
+    postings, which are the long ones, are not met. static: project, id, static.
+    """
+    most = static.groupBy("project").agg(F.max("static").alias("best"), F.min("static").alias("worst"))
+    rare = Window.partitionBy("query_id", "project").orderBy(F.desc("w"), "token")
+    before = F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seed = asked.withColumn("before", before).where(F.col("before") < SEEDS * k)
+    tried = flagged.join(seed.select("query_id", "project", "token"), ["project", "token"]).select("query_id", "project", "id").distinct()
+    # whole scores of these: the query's tokens meet the documents' by document, not by posting
+    whole = _summed(tried.join(flagged, ["project", "id"]).join(asked, ["query_id", "project", "token"])).join(most, "project")
+    floor = (F.col("hit") + words.WHAT_WEIGHT * F.col("hit_what")) / F.col("total") + F.col("worst")
+    nth = F.row_number().over(Window.partitionBy("query_id", "project").orderBy(F.desc("floor")))
+    floors = whole.withColumn("floor", floor).withColumn("nth", nth).where(F.col("nth") == k).select("query_id", "project", "floor")
+    light = Window.partitionBy("query_id", "project").orderBy("w", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gives = F.sum(F.col("w") * (1 + words.WHAT_WEIGHT)).over(light) / F.col("total")
+    told = asked.withColumn("gives", gives).join(floors, ["query_id", "project"], "left").join(most, "project")
+    heavy = told.where(F.col("floor").isNull() | (F.col("gives") + F.col("best") >= F.col("floor") - 1e-6))
+    return flagged.join(heavy.select("query_id", "project", "token"), ["project", "token"]).select("query_id", "project", "id").distinct()
+
+
+def keyword_scores(docs: DataFrame, queries: DataFrame, as_of: Column, space: str = SPACE, tail: int | None = words.WARM_BUDGET, kept: Flags | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, project, id, base, score, created_at) of all documents with a common token; with k, of those that can come among the k best.
 
     Every document takes part in a ranking, but those without a common token stand behind in an order that no query
     changes; so of these only the first `tail` of each project are added, which is as many as any budget can hold.
-    docs: project, id, created_at, confidence, what, why. queries: query_id, project, text.
+    docs: project, id, created_at, confidence, what, why. queries: query_id, project, text. kept: as in weights().
     """
-    hits = weighted(docs, queries, space)
     age = recency(docs.select("project", "id", "created_at", "confidence"))
+    nudge = words.CONFIDENCE_WEIGHT * (F.col("eff") - 1)
     meta = age.select("project", "id", "created_at", "recency", scoring.effective(F.col("confidence"), F.col("created_at"), as_of).alias("eff"))
+    asked, flagged = weights(docs, queries, space, kept)
+    met = flagged.join(asked, ["project", "token"])
+    if k:
+        met = met.join(promising(asked, flagged, meta.select("project", "id", (F.col("recency") + nudge).alias("static")), k), ["query_id", "project", "id"], "left_semi")
+    hits = _summed(met)
     base, what = F.col("hit") / F.col("total"), F.col("hit_what") / F.col("total")
-    nudge = words.CONFIDENCE_WEIGHT * (F.col("eff") - 1)
     scored = hits.join(meta, ["project", "id"]).select("query_id", "project", "id", "created_at", base.alias("base"), (base + words.WHAT_WEIGHT * what + F.col("recency") + nudge).alias("score"))
     if not tail:
         return scored
@@ -204,8 +258,20 @@ def latencies(times: DataFrame, column: str = "ms") -> DataFrame:
 
 
 def distractors(spark, n: int, seed: int = 1234) -> DataFrame:
-    """n made-up records (id, nth, what, why) that scale an evaluation: a tool, a purpose and a form for each, drawn by hash."""
-    pick = lambda name, xs: F.array(*map(F.lit, xs))[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(len(xs))).cast("int")]
-    tool, aim = pick("tool", words.TOOLS), pick("aim", words.AIMS)
-    rows = spark.range(1, n + 1).select(F.format_string("x%05d", "id").alias("id"), F.col("id").alias("nth"), tool.alias("tool"), aim.alias("aim"))
-    return rows.select("id", "nth", F.concat_ws(" ", F.lit("Use"), "tool", F.lit("for"), "aim").alias("what"), F.concat_ws(" ", F.lit("It fits the needs of"), "aim").alias("why"))
+    """n made-up records (id, nth, what, why), no two alike, that scale an evaluation: thing, purpose, manner and reason of each.
+
+    A record's number goes through an affine permutation of all combinations, so that none comes twice and no row depends on another.
+    """
+    parts = (words.TOOLS, words.ROLES, words.AIMS, words.MANNERS, words.REASONS)
+    space = 1
+    for p in parts:
+        space *= len(p)
+    if n > space:
+        raise ValueError(f"there are {space} combinations")
+    step = next(x for x in range(space * 5 // 8 + seed % 97, 2 * space) if gcd(x, space) == 1)
+    rows, left = spark.range(1, n + 1).withColumn("at", F.pmod(F.col("id").cast("decimal(38,0)") * step + seed, F.lit(space)).cast("long")), 1
+    for i, p in enumerate(parts):
+        rows = rows.withColumn(f"p{i}", F.array(*map(F.lit, p))[F.pmod(F.floor(F.col("at") / left), F.lit(len(p))).cast("int")])
+        left *= len(p)
+    what = F.concat_ws(" ", F.lit("Run"), "p0", F.lit("as the"), "p1", F.lit("for"), "p2", "p3")
+    return rows.select(F.format_string("x%09d", "id").alias("id"), F.col("id").alias("nth"), what.alias("what"), F.concat_ws(" ", F.lit("It"), "p4", F.lit("where"), "p2", F.lit("matter")).alias("why"))

@@ -76,14 +76,14 @@ def delta(rows: DataFrame, handoffs: DataFrame, at: str, extra: Column | None =
     return out.where(extra) if extra is not None else out
 
 
-def route(decisions: DataFrame, tasks: DataFrame, as_of: Column, top: int = 3, evidence: int = 3, space: str | None = None, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def route(decisions: DataFrame, tasks: DataFrame, as_of: Column, top: int = 3, evidence: int = 3, space: str | None = None, similar: DataFrame | None = None, kept=None) -> tuple[DataFrame, DataFrame]:
     """Agents by the decayed relevance of their decisions to a task, and their best evidence. tasks: query_id, project, text.
 
     Relevance is the share of the task's tokens by weight, and with `similar` (query_id, project, id, sim) the similarity
     of the vectors besides, as far as it is over 0; a task without tokens has no agents.
     """
     live = decisions.where("archived_at is null")
-    hits = weighted(live, tasks, *((space,) if space else ())).select("query_id", "project", "id", (F.col("hit") / F.col("total")).alias("relevance"))
+    hits = weighted(live, tasks, *((space,) if space else ()), kept=kept).select("query_id", "project", "id", (F.col("hit") / F.col("total")).alias("relevance"))
     if similar is not None:
         told = postings(tasks, ["query_id", "project"], ["text"], *((space,) if space else ())).select("query_id", "project").distinct()
         near = similar.join(told, ["query_id", "project"], "left_semi").select("query_id", "project", "id", F.greatest(F.lit(0.0), F.col("sim")).alias("near"))

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import scoring, words
 from ..functions.text import cost, postings, split_words
 from ..operators import extract, guard, rank, records
+from ..operators.postings import build
+from ..steps import Steps
 from . import oracle
 from .fixtures import COMMITS, EVENTS, PAIRS
 
@@ -116,11 +118,29 @@ def tokenize(spark, d):
 
 def document_frequency(spark, d):
     dec = decisions(spark, d)
-    return rank.idf(dec, rank.flags(dec)).select("project", "token", "df", F.round("idf", 6).alias("idf"))
+    kept(spark, d)
+    return rank.idf(dec, _kept[spark.sparkContext.applicationId, d]).select("project", "token", "df", F.round("idf", 6).alias("idf"))
 
 
-def keyword_scores(spark, d, tail=None):
-    return rank.keyword_scores(decisions(spark, d).where("archived_at is null"), asked(spark, d), as_of(), tail=tail)
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept(spark, d):
+    """The postings of a table's documents, written to the shared folder when a session first asks for them: flags for rank.weights()."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _kept:
+        rows = build(decisions(spark, d)).repartition(F.col("token")).sortWithinPartitions("token")
+        _kept[at] = Steps(spark).keep(rows)
+
+    def flags(docs, asked):
+        mine = _kept[at].join(asked.select("token").distinct(), "token", "left_semi")
+        return mine.join(docs.select("project", "id"), ["project", "id"], "left_semi")
+
+    return flags
+
+
+def keyword_scores(spark, d, tail=None, k=None):
+    return rank.keyword_scores(decisions(spark, d).where("archived_at is null"), asked(spark, d), as_of(), tail=tail, kept=kept(spark, d), k=k)
 
 
 def keyword_rank(spark, d):
@@ -240,7 +260,7 @@ def latest_handoff(spark, d):
 
 
 def route(spark, d):
-    return records.route(decisions(spark, d), asked(spark, d), as_of())
+    return records.route(decisions(spark, d), asked(spark, d), as_of(), kept=kept(spark, d))
 
 
 def route_task(spark, d):

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemospark.functions import scoring, words
 from mnemospark.functions.text import STEM, category, postings
@@ -210,6 +211,63 @@ def test_positions_within_slices_of_time(spark):
     assert got[900] == got[901] == 0.0
 
 
+def test_ranges_are_even_whatever_the_times(spark):
+    """One record far before all others, and all at one time: no range holds twice the mean."""
+    for n, name in ((1, "outlier"), (20000, "equal")):
+        t = F.when(F.col("id") < n, F.lit(datetime(1970, 1, 1) if name == "outlier" else NOW)).otherwise(F.timestamp_micros(F.lit(1704067200000000) + F.col("id") % 5000))
+        df = spark.range(20000).select(F.lit("hot").alias("project"), "id", t.alias("created_at"))
+        got = rank.positions(df, "project", ["created_at", "id"])
+        sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) > 4
+        want = df.select("id", (F.row_number().over(Window.partitionBy("project").orderBy("created_at", "id")) - 1).alias("want"))
+        assert got.join(want, "id").where("nth <> want or n <> 20000").isEmpty()
+
+
+def test_distractors_are_all_different(spark):
+    d = rank.distractors(spark, 5000)
+    assert d.select("what", "why").distinct().count() == 5000 and d.select("id").distinct().count() == 5000
+    assert d.orderBy("nth").first()["what"] == rank.distractors(spark, 3).orderBy("nth").first()["what"]
+    with pytest.raises(ValueError, match="combinations"):
+        rank.distractors(spark, 10**9)
+
+
+def test_kept_postings_are_those_of_a_rebuild(spark, tmp_path):
+    """After several appends, images that change no text, and one that does."""
+    from mnemospark.operators import postings as kept_postings
+
+    m = Memory(spark, str(tmp_path))
+    asked = spark.createDataFrame([(t,) for t in ("queue", "job", "cache", "page", "rest", "api", "log")], "token string")
+    cols = [c for c, _ in m.store.fields("decisions")]
+    def put(rows, op="insert"):
+        full = [(i, p, w, "because it works", "a", NOW, 1.0, None, None, None) for i, p, w in rows]
+        m.store.append("decisions", spark.createDataFrame(full, ", ".join(" ".join(x) for x in m.store.fields("decisions"))).select(*cols), op, NOW)
+    def same():
+        m.kept.refresh()
+        docs = m.store.current("decisions")
+        want = kept_postings.build(docs).join(asked, "token").select("project", "id", "token", "in_what")
+        assert sorted(map(tuple, m.kept.flags(docs, asked).select("project", "id", "token", "in_what").collect())) == sorted(map(tuple, want.collect()))
+    put([("a", "p", "Use one queue for all jobs"), ("b", "p", "Serve the api by rest calls")])
+    same()
+    put([("c", "q", "Put a cache before slow pages")])
+    put([("a", "p", "Use one queue for all jobs")], "reinforce")  # the same text again
+    same()
+    before = m.kept._read(m.kept._adds(m.store.version()), "texts", "id string, text_key long").count()
+    assert before == 3
+    put([("b", "p", "Keep a log of the api calls")], "edit")
+    same()
+    m.kept.fold()
+    same()
+    assert len(m.kept._adds(m.store.version())) == 1 and m.kept.refresh() >= 0
+
+
+def test_bounds_lose_none_of_the_best(spark):
+    d = SF
+    docs, q = catalogue.decisions(spark, d).where("archived_at is null"), catalogue.asked(spark, d)
+    whole = rank.ranked(rank.keyword_scores(docs, q, catalogue.as_of(), tail=None), 5).select("query_id", "project", "id", "pos")
+    some = rank.ranked(rank.keyword_scores(docs, q, catalogue.as_of(), tail=None, k=5), 5).select("query_id", "project", "id", "pos")
+    assert whole.exceptAll(some).isEmpty() and some.exceptAll(whole).isEmpty()
+
+
 def test_git_sources(spark, tmp_path):
     import subprocess
 
