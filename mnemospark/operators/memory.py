@@ -120,6 +120,13 @@ class Memory:
         h = hashlib.md5(f"{batch}/{project}/{seq}".encode()).hexdigest()
         return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
 
+    @staticmethod
+    def _named(steps: Steps, rows: DataFrame, batch: str) -> DataFrame:
+        """Records with the ids that batch_id() gives, written down."""
+        made = F.md5(F.concat_ws("/", F.lit(batch), "project", F.col("seq").cast("string")).cast("binary"))
+        made = F.regexp_replace(made, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        return steps.keep(rows.select("project", F.col("seq").cast("long").alias("seq"), "kind", "data", made.alias("id")))
+
     def write_batch(self, rows: DataFrame, as_of: datetime, source: str | None = None, batch: str | None = None) -> DataFrame:
         """What write() would do with the records (project, seq, kind, data) of each project one after another, in one commit.
 
@@ -127,10 +134,8 @@ class Memory:
         on the executors. A link may name a decision that there is, or one that the batch has accepted before in its project.
         Tables are read once for all projects; no record passes through the driver. project and seq tell records apart.
         """
-        steps, name = Steps(self.spark), batch or uuid.uuid4().hex
-        made = F.md5(F.concat_ws("/", F.lit(name), "project", F.col("seq").cast("string")).cast("binary"))
-        made = F.regexp_replace(made, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-        fixed = steps.keep(rows.select("project", F.col("seq").cast("long").alias("seq"), "kind", "data", made.alias("id")))
+        steps = Steps(self.spark)
+        fixed = self._named(steps, rows, batch or uuid.uuid4().hex)
         reads = [(t, None) for t in ("decisions", "open_tasks", "dead_ends")]
         return self._unit(as_of, reads, lambda u: self._write_batch(u, steps, fixed, as_of, source))
 
@@ -409,6 +414,31 @@ class Memory:
         snap = self.write("snapshot", project, {"file_structure": files or "(empty tree)"}, as_of, "git-hook")
         return {"status": out["status"], "decision": out, "snapshot": snap["status"]}
 
+    def capture_batch(self, commits: DataFrame, as_of: datetime, stream: str, batch: int) -> bool:
+        """capture() for many commits (project, nth, sha, message, files) in one commit of the store; False if the stream's batch was taken before.
+
+        The ledger's row is part of that commit, so a batch that is given twice, after whatever failure, counts once.
+        """
+        steps = Steps(self.spark)
+        seen = steps.keep(extract.gates(extract.parse(commits)))
+        good = seen.where("status = 'candidate'")
+        text = lambda **more: F.create_map(*[y for k, v in more.items() for y in (F.lit(k), v)])
+        decided = good.select("project", (F.col("nth") * 2).alias("seq"), F.lit("decision").alias("kind"), text(what=F.col("what"), why=F.col("why"), agent=F.lit("git-hook"), confidence=F.lit(str(words.MACHINE_CONFIDENCE))).alias("data"))
+        layout = good.select("project", (F.col("nth") * 2 + 1).alias("seq"), F.lit("snapshot").alias("kind"), text(file_structure=F.coalesce(F.nullif("files", F.lit("")), F.lit("(empty tree)"))).alias("data"))
+        fixed = self._named(steps, decided.unionByName(layout), f"{stream}/{batch}")
+        skipped = seen.where("status <> 'candidate'").select("project", F.lit("extract_skipped").alias("kind"), F.to_json(F.struct(F.substring("sha", 1, 12).alias("sha"), F.col("status").alias("reason"), F.substring("subject", 1, 80).alias("subject"))).alias("payload"), "nth")
+
+        def work(u: Unit) -> bool:
+            key = f"{stream}/{batch}"
+            if not u.current("stream_ledger", stream).where(F.col("id") == key).isEmpty():
+                return False
+            self._write_batch(u, steps, fixed, as_of, "git-hook")
+            self._events(u, skipped, as_of)
+            u.put("stream_ledger", "insert", id=key, project=stream, batch=batch, created_at=as_of)
+            return True
+
+        return self._unit(as_of, [(t, None) for t in ("decisions", "open_tasks", "dead_ends", "stream_ledger")], work)
+
     def stats(self, project: str | None = None) -> dict[str, DataFrame]:
         log = self.store.current("audit_log", project).where("kind = 'extract_skipped'")
         return {"by_source": records.source_stats(self.store.current("decisions", project)), "skipped": records.skip_reasons(log)}

@@ -84,9 +84,10 @@ def policy_stats(spark, d):
 
 
 def policy_fixture(spark, d):
-    """Outcomes at the edges of the policy: only five or more with a rate of at most a tenth are turned down at once."""
+    """Outcomes of the tables and, beside these, at the edges of the policy: only five or more with a rate of at most a tenth are turned down at once."""
     rows = [("p", c, o) for c, yes, no in (("dup", 0, 6), ("why", 5, 1), ("four", 0, 4), ("edge", 1, 9), ("over", 2, 9)) for o in ["accepted"] * yes + ["rejected"] * no]
-    return records.tune(spark.createDataFrame(rows, "project string, category string, outcome string")).select("project", "category", "action", "sample_size", F.round("accept_rate", 6).alias("accept_rate"))
+    all_rows = spark.createDataFrame(rows, "project string, category string, outcome string").unionByName(history(spark, d))
+    return records.tune(all_rows).select("project", "category", "action", "sample_size", F.round("accept_rate", 6).alias("accept_rate"))
 
 
 def source_stats(spark, d):
@@ -158,8 +159,11 @@ def recent_rank(spark, d):
     return r.select("project", "id", "pos", F.round("score", 6).alias("score"))
 
 
-def evaluated(spark, d, by=()):
-    """Benchmark passages that stand in a document word for word, looked up by keyword; the words of both meet exactly."""
+def expected(spark, d):
+    """(query_id, id, category) of benchmark passages that stand in a document word for word: the first such document, its language.
+
+    A copy of that document which ranks before it counts as a miss.
+    """
     windows = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, 8), " ")))
     shingle = lambda c: F.explode(F.array_distinct(F.transform(F.array(c), windows)[0])).alias("s")
     b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
@@ -167,13 +171,24 @@ def evaluated(spark, d, by=()):
     docs = read(spark, d, "documents").select("doc_id", "text")
     keys = docs.select("doc_id", shingle(split_words(F.col("text"))))
     near = keys.join(head, "s").join(docs, "doc_id").where("contains(text, passage)")
-    expected = near.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("id"))
+    found = near.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("id"))
+    return found.join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category")), "id")
+
+
+def evaluated(spark, d, by=()):
+    """Benchmark passages that stand in a document word for word, looked up by keyword; the words of both meet exactly."""
     found = rank.ranked(keyword_scores(spark, d).withColumn("score", F.col("base")).withColumn("project", F.lit("all")), 10)
-    expected = expected.join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category")), "id")
-    r = rank.recall(found, expected, list(by))
+    r = rank.recall(found, expected(spark, d), list(by))
     return r.select(*by, "n", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))
 
 
+def labelled_recall(spark, d):
+    """Where the expected document of each passage comes among all documents, by shared tokens alone."""
+    docs = decisions(spark, d).select("id", F.col("id").alias("nth"), "what", "why")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(expected(spark, d).withColumnRenamed("id", "expected"), "query_id")
+    return rank.evaluate(docs, asked)
+
+
 def eval_recall(spark, d):
     return evaluated(spark, d)
 
@@ -228,9 +243,15 @@ def fuzzy_dups(spark, d):
     return guard.fuzzy_pairs(short(spark, d)).select("project", "id", "other", F.round("sim", 6).alias("sim"))
 
 
-def contradictions(spark, d):
+def paired(spark, d):
+    """Opposing choices written for the purpose, and behind them the documents."""
     p = spark.createDataFrame(PAIRS, "project string, id long, seq long, what string, why string")
-    return guard.contradictions(p.where("id >= 100"), p.where("id < 100"))
+    return p.unionByName(short(spark, d).drop("agent").withColumn("id", F.col("id") + 10**12).withColumn("seq", F.col("seq") + 10**12))
+
+
+def contradictions(spark, d):
+    p = paired(spark, d)
+    return guard.contradictions(p.where("id >= 100"), p.where(f"id < 100 or id >= {10**12}"))
 
 
 def guard_reasons(spark, d):
@@ -271,12 +292,14 @@ def route_evidence(spark, d):
     return route(spark, d)[1].select("query_id", "project", "agent", "id", "nth", "relevance")
 
 
-def commits(spark):
-    return extract.gates(extract.parse(spark.createDataFrame(COMMITS, "id long, message string")))
+def commits(spark, d):
+    """Commit messages of every kind, and behind them the turns of conversations."""
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("id"), F.col("text").alias("message"))
+    return extract.gates(extract.parse(spark.createDataFrame(COMMITS, "id long, message string").unionByName(turns)))
 
 
 def extract_gates(spark, d):
-    return commits(spark).select("id", "subject", "ctype", "status", "what", "why")
+    return commits(spark, d).select("id", "subject", "ctype", "status", "what", "why")
 
 
 def extract_conversations(spark, d):
@@ -285,12 +308,16 @@ def extract_conversations(spark, d):
 
 
 def calibrate(spark, d):
-    c = extract.calibrate(commits(spark))
+    c = extract.calibrate(commits(spark, d))
     return c.withColumn("pass_rate", F.round("pass_rate", 6))
 
 
 def supersede_view(spark, d):
+    """A written log and, behind it, the table of events taken as one: an error deletes, anything else is a new image."""
     log = spark.createDataFrame(EVENTS, "id string, seq long, op string, what string, supersedes_id string, archived boolean")
+    key = lambda c: F.concat(F.lit("e"), F.pmod(c, F.lit(500)).cast("string"))
+    more = read(spark, d, "events").select(key(F.col("event_id")).alias("id"), (F.col("event_id") + 1000).alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("insert").alias("op"), F.col("event_type").alias("what"), key(F.col("event_id") * 7).alias("supersedes_id"), F.lit(False).alias("archived"))
+    log = log.unionByName(more)
     return records.supersede_view(log).select("id", "seq", "what", "supersedes_id", "archived")
 
 
@@ -321,10 +348,64 @@ def sequential_guard(spark, d):
     return guard.fold(rows, rows.where("false"))
 
 
+def told(spark, d):
+    """Decisions that have a vector: the table's vectors stand in for those of a model."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return decisions(spark, d).join(v, "id")
+
+
+def near(spark, d):
+    """Live decisions with a vector by their nearness to each benchmark passage, whose vector is that of its number."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rank.dense_rank(told(spark, d).where("archived_at is null").select("project", "id", "embedding"), asked(spark, d).join(v, "query_id").select("query_id", "project", "embedding"))
+
+
+def hybrid_read(spark, d):
+    """The keyword order of each passage and project with its head improved by vectors, as a read with a provider gives it."""
+    both = lambda df: df.withColumn("query_id", F.concat_ws("/", "query_id", "project"))
+    kw = both(rank.ranked(keyword_scores(spark, d))).select("query_id", "id", "base", "pos")
+    return rank.fuse_and_guard(kw, both(near(spark, d)).select("query_id", "id", "pos")).where("pos <= 10")
+
+
+def route_vectors(spark, d):
+    """Agents for each passage, by shared tokens and by vectors."""
+    best, _ = records.route(decisions(spark, d), asked(spark, d), as_of(), similar=near(spark, d).select("query_id", "project", "id", "sim"), kept=kept(spark, d))
+    return best.select("query_id", "project", "agent", "pos", "n", F.round("score", 6).alias("score"))
+
+
+def dense_contradictions(spark, d):
+    """Decisions against the first earlier one with a vector not too far off, a token in common and a phrase of replacement."""
+    v = told(spark, d).select("project", "id", F.col("id").alias("seq"), "what", F.col("embedding").cast("array<double>").alias("embedding"))
+    return guard.opposed(v, v, 0.25)
+
+
+def staging_preview(spark, d):
+    """Turns of conversations as staged records, as a reviewer sees them."""
+    c = read(spark, d, "conversations")
+    data = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("description")))).otherwise(F.to_json(F.struct(F.lit("").alias("what"), F.col("text").alias("file_structure"))))
+    rows = c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("project"), F.when(F.col("role") == "user", "open_task").otherwise("snapshot").alias("type"), F.lit("Too vague").alias("reason"), data.alias("data"))
+    return records.preview(rows)
+
+
+def batch(spark, d):
+    """Documents as one batch of records: every fourth a dead end for the document before, every tenth a decision that replaces it."""
+    kind = F.when(F.col("id") % 4 == 3, "dead_end").otherwise("decision")
+    link = F.concat(F.lit("b"), (F.col("id") - 1).cast("string"))
+    fields = F.create_map(F.lit("what"), F.col("what"), F.lit("why"), F.lit("because"), F.lit("what_tried"), F.col("what"), F.lit("why_failed"), F.lit("slow"),
+                          F.lit("supersedes_id"), F.when((F.col("id") % 10 == 1) & (kind == "decision"), link), F.lit("chosen_decision_id"), F.when(kind == "dead_end", link))
+    return short(spark, d).select("project", "seq", kind.alias("kind"), fields.alias("data"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("id"))
+
+
+def batch_outcomes(spark, d):
+    """What becomes of each record of a batch with links between its records: no SQL can express it."""
+    rows = batch(spark, d)
+    return guard.fold(rows, rows.where("false"), decisions=rows.where("false").select("id"))
+
+
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall eval_by_language dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
-reason_categories token_costs unit_vectors staging_list sequential_guard""".split()
+reason_categories token_costs unit_vectors staging_list sequential_guard batch_outcomes labelled_recall hybrid_read route_vectors dense_contradictions staging_preview""".split()
 
 
 def queries():

@@ -102,6 +102,13 @@ HISTORY = "h as (select d.lang project, d.source category, l.quality = 1 ok from
 ACTION = "case when n >= 5 and accepted / n <= 0.10 then 'auto_reject' else 'stage' end"
 
 
+MESSAGES = f"(select * from {values(COMMITS, 'id, message')} m union all select conv_id * 1000 + turn + 1000, text from conversations) c"
+#: Vectors of the table beside decisions and passages of the same number.
+NEAR = """vd as (select l.project, l.id, e.embedding::double[] e from live l join embeddings e on e.vec_id = l.id),
+  vq as (select a.query_id, a.project, e.embedding::double[] e from asked a join embeddings e on e.vec_id = a.query_id),
+  near as (select query_id, vd.project, vd.id, list_dot_product(vd.e, vq.e) sim from vq join vd on vd.project = vq.project)"""
+
+
 def sql() -> dict[str, str]:
     found = {
         "audit_counts": "select event_type kind, count(*) n from events group by 1",
@@ -111,7 +118,7 @@ def sql() -> dict[str, str]:
         "skip_reason_counts": "select coalesce(json_extract_string(props, '$.k'), 'unknown') reason, count(*) n from events group by 1",
         "policy_tune": f"with {HISTORY} select project, category, {ACTION} as action, n sample_size, round(accepted / n, 6) accept_rate from c",
         "policy_stats": f"with {HISTORY} select project, category, n, accepted, round(accepted / n, 6) accept_rate, {ACTION} as action from c",
-        "policy_fixture": "select 'p' project, * from (values ('dup', 'auto_reject', 6, 0.0::double), ('why', 'stage', 6, 0.833333), ('four', 'stage', 4, 0.0), ('edge', 'auto_reject', 10, 0.1), ('over', 'stage', 11, 0.181818)) t(category, action, sample_size, accept_rate)",
+        "policy_fixture": f"with {HISTORY} select project, category, {ACTION} as action, n sample_size, round(accepted / n, 6) accept_rate from c union all select 'p' project, * from (values ('dup', 'auto_reject', 6, 0.0::double), ('why', 'stage', 6, 0.833333), ('four', 'stage', 4, 0.0), ('edge', 'auto_reject', 10, 0.1), ('over', 'stage', 11, 0.181818)) t(category, action, sample_size, accept_rate)",
         "source_stats": f"with {DEC} select coalesce(source, 'agent') source, count(*) n, count(*) filter (where confidence >= 1) at_cap from dec where archived is null group by 1",
         "latest_snapshot": "select project, turn, role, n from (select conv_id project, turn, role, length(text) n, row_number() over (partition by conv_id order by turn desc, role desc) k from conversations) where k = 1",
         "hot_tasks_pack": "select project, id, cost, used from (select *, sum(cost) over (partition by project order by id desc) used from (select conv_id project, turn id, greatest(1, length(text) // 4) cost from conversations where role = 'user')) where used <= 500",
@@ -148,7 +155,7 @@ def sql() -> dict[str, str]:
             select query_id, id, row_number() over (partition by query_id order by part, k) pos from o""",
         "exact_dups": f"with {DEC}, k as (select project, id, translate(trim(what), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from dec) select project, id, other from (select project, id, first_value(id) over (partition by project, k order by id) other from k) where other <> id",
         "fuzzy_dups": f"with {DEC}, short as (select project, id, id seq, what from dec), {FUZZY} select project, id, other, round(sim, 6) sim from fuzzy",
-        "contradictions": f"with src as (select * from {PAIR} p), {OPPOSED.format('n.id >= 100 and e.id < 100')} select project, id, other from opp",
+        "contradictions": f"with {DEC}, src as (select * from {PAIR} p union all select project, id + 1000000000000, id + 1000000000000, what, why from dec), {OPPOSED.format('n.id >= 100 and (e.id < 100 or e.id >= 1000000000000)')} select project, id, other from opp",
         "guard_reasons": f"""with {DEC}, short as (select project, id, id seq, what, why from dec union all select project, id + 1000000000000, seq + 1000000000000, what, why from {PAIR} p), src as (select * from short),
             k as (select project, id, first_value(id) over (partition by project, translate(trim(what), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') order by seq) f from short),
             {FUZZY}, {OPPOSED.format('e.seq < n.seq')}
@@ -163,16 +170,43 @@ def sql() -> dict[str, str]:
         "route_task": f"{ROUTE} select query_id, project, agent, pos, n, round(score, 6) score from best where pos <= 3",
         "route_evidence": f"""{ROUTE}, e as (select r.*, row_number() over (partition by r.query_id, r.project, r.agent order by round_even(contribution, 4) desc, r.id) nth from rel r join best b on b.query_id = r.query_id and b.project = r.project and b.agent = r.agent and b.pos <= 3)
             select query_id, project, agent, id, nth, round_even(contribution, 4) relevance from e where nth <= 3""",
-        "extract_gates": f"with {gates(values(COMMITS, 'id, message') + ' c')} select id, subject, ctype, status, what, why from gated",
+        "extract_gates": f"with {gates(MESSAGES)} select id, subject, ctype, status, what, why from gated",
         "extract_conversations": f"with {gates('(select conv_id id, text message from conversations) c')} select status, count(*) n from gated group by 1",
-        "calibrate": f"""with {gates(values(COMMITS, 'id, message') + ' c')}, t as (select count(*) total, count(*) filter (where status = 'candidate') passed, count(*) filter (where status = 'type_gate') type_gate,
+        "calibrate": f"""with {gates(MESSAGES)}, t as (select count(*) total, count(*) filter (where status = 'candidate') passed, count(*) filter (where status = 'type_gate') type_gate,
             count(*) filter (where status = 'no_cue') no_cue, count(*) filter (where status = 'too_thin') too_thin from gated)
             select *, round(passed / total, 6) pass_rate, case when passed / total > 0.4 then 'TOO_BROAD' when passed / total >= 0.15 then 'OK' else 'TOO_NARROW' end verdict from t""",
-        "supersede_view": f"""with l as (select * from {values(EVENTS, 'id, seq, op, what, supersedes_id, archived')} e), n as (select * from (select *, row_number() over (partition by id order by seq desc) k from l) where k = 1 and op <> 'delete')
+        "supersede_view": f"""with l as (select * from {values(EVENTS, 'id, seq, op, what, supersedes_id, archived')} e union all
+              select 'e' || event_id % 500, event_id + 1000, case when event_type = 'error' then 'delete' else 'insert' end, event_type, 'e' || (event_id * 7) % 500, false from events), n as (select * from (select *, row_number() over (partition by id order by seq desc) k from l) where k = 1 and op <> 'delete')
             select id, seq, what, case when supersedes_id in (select id from n) then supersedes_id end supersedes_id, archived from n""",
         "reason_categories": "select substr(trim(string_split_regex(text, '[:—(]')[1]), 1, 80) category, count(*) n from conversations group by 1",
         "token_costs": f"select doc_id, greatest(1, length(text) // 4) cost, len(list_filter(string_split_regex(text, '{BLANK}'), lambda w: w <> '')) n_words from documents",
         "unit_vectors": "select vec_id id, round(list_dot_product(embedding::double[], embedding::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6) norm from embeddings",
+        "labelled_recall": f"""with live as (select doc_id id, 'set' project, string_split(text, chr(10))[1] what, text why from documents), asked as (select item_id query_id, 'set' project, text from benchmark),
+            {tokens('terms', 'live', 'project, id', ['what', 'why'])}, {IDF}, {HITS}, s as (select query_id, id, round(hit / total, 9) score from hits join total using (query_id, project)),
+            ex as (select item_id query_id, min(doc_id) id from benchmark b join documents d on contains(d.text, b.text) group by 1),
+            a as (select ex.query_id, ex.id own, d.doc_id id, coalesce(s.score, 0) score from ex join documents d on true left join s on s.query_id = ex.query_id and s.id = d.doc_id),
+            r as (select *, row_number() over (partition by query_id order by score desc, id) pos from a)
+            select query_id, r.id, d.lang category, pos::int pos from r join documents d on d.doc_id = r.id where r.id = own""",
+        "hybrid_read": f"""{SCORED}, {NEAR}, k as (select query_id || '/' || project qp, id, base, row_number() over (partition by query_id, project order by {ORDER}) pos from scored),
+            dn as (select query_id || '/' || project qp, id, row_number() over (partition by query_id, project order by round(sim, 9) desc, id) pos from near),
+            lead as (select qp, count(*) <= 1 or max(case when pos = 1 then base end) - max(case when pos = 2 then base end) >= 0.15 pin from k group by 1),
+            kw as (select k.*, pin from k join lead using (qp)),
+            rest as (select *, row_number() over (partition by qp order by pos) - 1 rk from kw where pos <= 10 and not (pin and pos = 1)),
+            rd as (select d.qp, d.id, row_number() over (partition by d.qp order by d.pos) - 1 rk from dn d semi join rest using (qp, id)),
+            fu as (select qp, rest.id, 1 / (61 + rest.rk) + coalesce(1 / (61 + rd.rk), 0) s, rest.rk from rest left join rd using (qp, id)),
+            o as (select qp, id, 0 part, 0 k from kw where pin and pos = 1 union all select qp, id, 1, row_number() over (partition by qp order by round(s, 12) desc, rk) from fu union all select qp, id, 2, pos from kw where pos > 10)
+            select * from (select qp query_id, id, row_number() over (partition by qp order by part, k) pos from o) where pos <= 10""",
+        "route_vectors": f"""with {DEC}, live as (select * from dec where archived is null), {ASKED}, {tokens('terms', 'live', 'project, id', ['what', 'why'])}, {IDF}, {HITS}, {NEAR},
+            told as (select distinct query_id, project from qt), r1 as (select query_id, project, id, hit / total rel from hits join total using (query_id, project) union all select query_id, project, id, greatest(0, sim) from near semi join told using (query_id, project)),
+            rel as (select query_id, project, id, sum(rel) rel from r1 group by 1, 2, 3), c as (select query_id, r.project, agent, rel * {EFF} contribution from rel r join live l on l.id = r.id and l.project = r.project where rel > 0),
+            agents as (select query_id, project, agent, sum(contribution) score, count(*) n from c group by 1, 2, 3)
+            select query_id, project, agent, pos, n, round(score, 6) score from (select *, row_number() over (partition by query_id, project order by round(score, 9) desc, agent) pos from agents) where pos <= 3""",
+        "dense_contradictions": f"""with {DEC}, sv as (select d.*, e.embedding::double[] e, {' or '.join(f"contains(lower(what), {q(c)})" for c in words.REPLACED)} cue from dec d join embeddings e on e.vec_id = d.id),
+            {tokens('ot', 'sv', 'project, id', ['what'])}, tl as (select project, id, list(distinct token) t from ot group by 1, 2)
+            select n.project, n.id, min(e.id) other from sv n join sv e on n.project = e.project and e.id < n.id and (n.cue or e.cue) and list_dot_product(n.e, e.e) >= 0.25
+              join tl a on a.id = n.id and a.project = n.project join tl b on b.id = e.id and b.project = e.project where list_has_any(a.t, b.t) group by 1, 2""",
+        "staging_preview": """select conv_id || '/' || turn id, substr(conv_id || '/' || turn, 1, 8) short_id, conv_id project, case when role = 'user' then 'open_task' else 'snapshot' end type, 'Too vague' reason,
+            substr(coalesce(nullif(text, ''), '(no preview)'), 1, 80) preview from conversations""",
         "staging_list": "select user_id project, event_id id, row_number() over (partition by user_id order by ts, event_id) nth from events where event_type = 'error'",
     }
     return found

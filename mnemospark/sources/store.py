@@ -35,6 +35,7 @@ SCHEMAS = {
     "audit_log": "id string, project string, kind string, payload string, created_at timestamp",
     "decision_embeddings": "id string, project string, model string, dim int, vector array<float>, created_at timestamp",
     "dead_ends": "id string, project string, what_tried string, why_failed string, chosen_decision_id string, agent string, created_at timestamp, confidence double",
+    "stream_ledger": "id string, project string, batch long, created_at timestamp",
     "handoffs": "id string, project string, from_agent string, to_agent string, payload string, created_at timestamp",
 }
 
@@ -258,7 +259,7 @@ class Unit:
     def __init__(self, store: Store, as_of, reads: Iterable[tuple[str, str | None]]):
         self.store, self.as_of, self.reads, self.base = store, as_of, list(reads), store.version()
         self.rows: dict[str, list[dict]] = {}
-        self.frames: list[tuple[str, DataFrame, str]] = []
+        self.frames: dict[str, list[DataFrame]] = {}
 
     def current(self, name: str, project: str | None = None) -> DataFrame:
         return self.store.current(name, project, self.base)
@@ -268,19 +269,25 @@ class Unit:
         self.rows.setdefault(name, []).append(row | {"op": op})
         return row["id"]
 
-    def frame(self, name: str, rows: DataFrame, order: str = "nth") -> None:
-        """Images with their op; a table gets either frames or rows of one call."""
-        self.frames.append((name, rows, order))
+    def frame(self, name: str, rows: DataFrame) -> None:
+        """Images with their op, in the order of a number nth; behind what the table has got before in this unit."""
+        self.frames.setdefault(name, []).append(rows)
 
     def commit(self) -> int:
         adds: list[dict | None] = []
-        for name, rows in self.rows.items():
-            cols = [c for c, _ in self.store.fields(name)]
-            shape = ", ".join([SCHEMAS[name], "op string"])
-            projects = {r["project"] for r in rows}
-            df = self.store.spark.createDataFrame([(*[r.get(c) for c in cols], r["op"]) for r in rows], shape).coalesce(1)
-            adds.append(self.store.stage(name, df, self.as_of, project=projects.pop() if len(projects) == 1 else None, n=len(rows)))
-        adds += [self.store.stage(name, df, self.as_of, order=order) for name, df, order in self.frames]
+        for name in [*self.rows, *(x for x in self.frames if x not in self.rows)]:
+            cols, parts, own = [c for c, _ in self.store.fields(name)] + ["op"], self.frames.get(name, []), self.rows.get(name, [])
+            if own:
+                values = [(*[r.get(c) for c in cols], i) for i, r in enumerate(own)]
+                parts = [self.store.spark.createDataFrame(values, ", ".join([SCHEMAS[name], "op string", "nth long"])).coalesce(1), *parts]
+            # one append a table, so that no two rows get one number
+            df = None
+            for i, x in enumerate(parts):
+                x = x.select(*cols, F.struct(F.lit(i).alias("of"), F.col("nth").cast("long").alias("nth")).alias("nth"))
+                df = x if df is None else df.unionByName(x)
+            projects = {r["project"] for r in own}
+            alone = len(parts) == 1 and bool(own)
+            adds.append(self.store.stage(name, df, self.as_of, order="nth", project=projects.pop() if alone and len(projects) == 1 else None, n=len(own) if alone else None))
         try:
             return self.store.commit(adds, self.base, self.reads)
         except Conflict:

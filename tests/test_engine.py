@@ -61,8 +61,8 @@ def test_words_after_the_twentieth_count(spark, tmp_path):
     assert {r.status for r in catalogue.sequential_guard(spark, d).collect()} == {"committed"}
 
 
-def test_every_query_has_sql_or_is_the_fold():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"sequential_guard"}
+def test_every_query_has_sql_or_is_a_fold():
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"sequential_guard", "batch_outcomes"}
 
 
 def test_stems(spark):
@@ -169,8 +169,9 @@ def test_batches_persist(spark, tmp_path):
 
 def test_hybrid_read_with_a_provider(spark, tmp_path):
     m = Memory(spark, str(tmp_path), embed=toy, model="toy")
-    for what in ("Keep a log of every single job", "Serve the api by rest calls only", "Put a cache before slow pages", "Keep the queue small at night"):
-        assert m.write("decision", "p", {"what": what, "why": "because it works"}, NOW)["status"] == "committed"
+    rows = [("p", i, "decision", {"what": what, "why": "because it works"}) for i, what in enumerate(("Keep a log of every single job", "Serve the api by rest calls only", "Put a cache before slow pages", "Keep the queue small at night"))]
+    out = m.write_batch(spark.createDataFrame(rows, "project string, seq long, kind string, data map<string,string>"), NOW)
+    assert {r["status"] for r in out.collect()} == {"committed"}
     warm = [r["what"] for r in m.warm("p", "api design", NOW).collect()]
     assert warm[0] == "Serve the api by rest calls only" and len(warm) == 4
     # no token in common: the dense order stands
@@ -268,6 +269,40 @@ def test_bounds_lose_none_of_the_best(spark):
     assert whole.exceptAll(some).isEmpty() and some.exceptAll(whole).isEmpty()
 
 
+def test_commits_as_a_stream(spark, tmp_path):
+    """A stream that dies after a batch was committed, and is started again, gives the tables of one pass."""
+    import json
+
+    from mnemospark.streaming.capture import capture_stream
+
+    shape = "project string, at timestamp, sha string, message string, files string"
+    messages = ["feat(api): switched to cursor pages instead of offsets\n\nOffsets were slow because deep pages rescan rows.", "chore: tidy imports in all the old modules",
+                "perf: adopted arena allocation for parse trees\n\nFrees dominated the profile of the parser.", "feat: replaced polling with push for status pages\n\nPolling cost us a third of all requests."]
+    for f in (0, 1):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        lines = [json.dumps({"project": "p", "at": f"2024-05-0{2 * f + i + 1} 00:00:00", "sha": f"{f}{i}" * 10, "message": messages[2 * f + i], "files": "a.py, b.py"}) for i in (0, 1)]
+        (tmp_path / "in" / f"{f}.json").write_text("\n".join(lines))
+    source = lambda n: spark.readStream.schema(shape).option("maxFilesPerTrigger", n).json(f"{tmp_path}/in")
+    whole, broken = Memory(spark, f"{tmp_path}/whole"), Memory(spark, f"{tmp_path}/broken")
+    capture_stream(whole, source(9), "git", f"{tmp_path}/c1").awaitTermination()
+
+    class Dies:
+        """Takes the first batch and dies before the stream can note it."""
+
+        def capture_batch(self, *a):
+            assert broken.capture_batch(*a)
+            raise OSError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        capture_stream(Dies(), source(1), "git", f"{tmp_path}/c2").awaitTermination()
+    capture_stream(broken, source(1), "git", f"{tmp_path}/c2").awaitTermination()
+    shown = lambda m: [sorted(map(tuple, m.store.current(t).select(*c).collect())) for t, c in (("decisions", ("what", "why", "confidence", "source")), ("snapshots", ("file_structure",)), ("audit_log", ("kind",)))]
+    assert shown(whole) == shown(broken) and len(shown(whole)[0]) == 3
+    skip = whole.audit_log("p").where("kind = 'extract_skipped'").first()["payload"]
+    assert json.loads(skip) == {"sha": "010101010101", "reason": "type_gate", "subject": "chore: tidy imports in all the old modules"}
+    assert whole.store.current("stream_ledger").count() == 1 and broken.store.current("stream_ledger").count() == 2
+
+
 def test_git_sources(spark, tmp_path):
     import subprocess
 

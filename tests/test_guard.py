@@ -144,16 +144,10 @@ def test_similar_pairs_against_all(spark):
         assert both == want | {(s, y, x) for s, x, y in want} | {(r[0], r[1], r[1]) for r in rows}
 
 
-def test_links_within_a_batch(spark):
-    """Records that name a decision of the batch count only once that is accepted; those left out stand in nobody's way."""
-    rng, rows = random.Random(5), []
-    for p, i, kind, data in made(160, 9, ("decision", "open_task", "dead_end")):
-        if kind != "open_task" and rng.random() < 0.5:
-            data = data | {"supersedes_id" if kind == "decision" else "chosen_decision_id": rng.choice([f"b{rng.randrange(i + 5)}", f"b{max(0, i - 1)}", "held", "nope", " "])}
-        rows.append((p, i, kind, data, f"b{i}"))
-    held, want, there = {}, {}, {"held"}
-    kept = {}
-    for p, seq, kind, data, id_ in rows:
+def linked_one_by_one(rows, there):
+    """The reasons of records (project, seq, kind, data, id) one at a time, links followed."""
+    held, want, kept = {}, {}, {}
+    for p, seq, kind, data, id_ in sorted(rows, key=lambda r: r[1]):
         mine = held.setdefault((p, kind), [])
         reason = check(kind, data, mine)
         link = next((x.strip() for x in (data.get("supersedes_id"), data.get("chosen_decision_id")) if x and x.strip()), None)
@@ -164,6 +158,26 @@ def test_links_within_a_batch(spark):
             mine.append(data[guard.MAIN[kind]].strip())
             if kind == "decision":
                 kept[id_] = p
+    return want
+
+
+def test_the_batch_of_documents(spark):
+    """The registered query against one record at a time."""
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in catalogue.batch(spark, d).collect()]
+    got = {(r["project"], r["seq"]): r["reason"] for r in catalogue.batch_outcomes(spark, d).collect()}
+    want = linked_one_by_one(rows, set())
+    assert got == want and {r.split(":")[0].split(" (")[0] for r in want.values()} >= {"ok", "Referenced decision does not exist"}
+
+
+def test_links_within_a_batch(spark):
+    """Records that name a decision of the batch count only once that is accepted; those left out stand in nobody's way."""
+    rng, rows = random.Random(5), []
+    for p, i, kind, data in made(160, 9, ("decision", "open_task", "dead_end")):
+        if kind != "open_task" and rng.random() < 0.5:
+            data = data | {"supersedes_id" if kind == "decision" else "chosen_decision_id": rng.choice([f"b{rng.randrange(i + 5)}", f"b{max(0, i - 1)}", "held", "nope", " "])}
+        rows.append((p, i, kind, data, f"b{i}"))
+    want = linked_one_by_one(rows, {"held"})
     new = spark.createDataFrame(rows, BATCH + ", id string")
     got = {(r["project"], r["seq"]): r["reason"] for r in guard.fold(new, new.where("false"), decisions=spark.createDataFrame([("held",)], "id string")).collect()}
     assert got == want and sum(r.startswith("Referenced") for r in want.values()) > 10
