@@ -351,6 +351,14 @@ class Memory:
             known = known.unionByName(fresh.select("id", "vector"))
         return docs.join(known, "id").select("project", "id", "seq", "what", F.col("vector").cast("array<double>").alias("embedding"))
 
+    def import_vectors(self, rows: DataFrame, as_of: datetime) -> int:
+        """Takes over vectors stored as blobs of little-endian 32-bit floats: id, project, model, dim, blob; those of another length than dim are refused."""
+        found = rows.withColumn("vector", scoring.floats(F.col("blob"))).withColumn("created_at", F.lit(as_of).cast("timestamp"))
+        bad = found.where(F.col("blob").isNull() | (F.octet_length("blob") != F.col("dim") * 4)).select("id").limit(1).collect()
+        if bad:
+            raise ValueError(f"the vector of {bad[0]['id']} has not the length that it names")
+        return self.store.append("decision_embeddings", found, "upsert", as_of)
+
     def read(self, project: str, query: str, as_of: datetime, include_archived: bool = False, audit: bool = True) -> dict:
         """hot tasks, the last snapshot, warm decisions and token_estimate; each read is an audit event unless audit is False."""
         hot, snap, warm = self.hot(project), self.snapshot(project), self.warm(project, query, as_of, include_archived)
@@ -373,7 +381,8 @@ class Memory:
         if self.embed and (asked := self._query_vector(project, task)) is not None:
             live = old.where("archived_at is null")
             near = rank.dense_rank(self.vectors(live, as_of).select("project", "id", "embedding"), asked)
-        return records.route(old, q, F.lit(as_of).cast("timestamp"), top, similar=near)
+        best, proof = records.route(old, q, F.lit(as_of).cast("timestamp"), top, similar=near)
+        return best.withColumn("score", F.bround("score", 4)), proof  # ranked before it is rounded
 
     def handoff(self, project: str, from_agent: str | None, to_agent: str | None, as_of: datetime) -> dict:
         """The packet, as it is stored: id, project, agents, time, state (five latest decisions, hot tasks, snapshot) and what changed since the last one."""

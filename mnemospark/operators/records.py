@@ -30,7 +30,7 @@ def policy_stats(history: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def counts(log: DataFrame, project=None) -> DataFrame:
-    return (log.where(F.col("project") == project) if project is not None else log).groupBy("kind").agg(F.count("*").alias("n"))
+    return (log.where(F.col("project") == project) if project is not None else log).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
 def tail(log: DataFrame, limit: int = 50, project=None) -> DataFrame:

@@ -174,3 +174,17 @@ def test_a_provider_that_fails_is_gone_on_without(spark, tmp_path):
     assert m.write("decision", "p", {"what": "Use one queue for all jobs", "why": "simple"}, NOW)["status"] == "committed"
     assert [r["what"] for r in m.warm("p", "queue", NOW).collect()] == ["Use one queue for all jobs"]
     assert isinstance(m.embed_error, OSError)
+
+
+def test_vectors_from_blobs(spark, tmp_path):
+    import struct
+
+    m = Memory(spark, str(tmp_path), embed=toy, model="old")
+    vectors = {"a": [1.0, -2.5, 0.1, 0.0], "b": [3.4028234663852886e38, 1e-45, -0.0, 1.17549435e-38], "c": []}
+    rows = [(i, "p", "old", len(v), struct.pack(f"<{len(v)}f", *v)) for i, v in vectors.items()]
+    df = spark.createDataFrame(rows, "id string, project string, model string, dim int, blob binary")
+    assert m.import_vectors(df, NOW) == 3
+    want = {i: list(struct.unpack(f"<{len(v)}f", struct.pack(f"<{len(v)}f", *v))) for i, v in vectors.items()}
+    assert {r["id"]: r["vector"] for r in m.store.current("decision_embeddings").collect()} == want
+    with pytest.raises(ValueError, match="length"):
+        m.import_vectors(df.withColumn("dim", F.lit(9)), NOW)
