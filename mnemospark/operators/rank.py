@@ -161,6 +161,14 @@ def pack(rows: DataFrame, keys: list[str], order: list, size: Column, budget: in
     return rows.withColumn("cost", size).withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 
 
+def most_that_fit(rows: DataFrame, key: str, size: Column, budget: int) -> int:
+    """As many rows as any choice from one group can have within the budget: those of the smallest sizes, which are at least 1."""
+    w = Window.partitionBy(key).orderBy("size")
+    small = rows.select(key, size.alias("size")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= budget)
+    fits = small.withColumn("used", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= budget)
+    return fits.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0] or 1
+
+
 def dense_rank(vectors: DataFrame, queries: DataFrame, k: int | None = None, blocks: int = 64) -> DataFrame:
     """(query_id, project, id, sim, pos) of a stated set of queries against all vectors of their project.
 

@@ -149,9 +149,10 @@ def keyword_rank(spark, d):
 
 
 def warm_pack(spark, d):
-    top = rank.ranked(keyword_scores(spark, d, words.WARM_BUDGET), words.WARM_BUDGET)
-    rows = top.join(decisions(spark, d).select("id", rank.tokens_cost().alias("size")), "id")
-    return rank.pack(rows, ["query_id", "project"], ["pos"], F.col("size"), words.WARM_BUDGET).select("query_id", "project", "id", "pos", "cost", "used")
+    sizes = decisions(spark, d).where("archived_at is null").select("project", "id", rank.tokens_cost().alias("size"))
+    most = rank.most_that_fit(sizes, "project", F.col("size"), words.WARM_BUDGET)
+    top = rank.ranked(keyword_scores(spark, d, most), most)
+    return rank.pack(top.join(sizes, ["project", "id"]), ["query_id", "project"], ["pos"], F.col("size"), words.WARM_BUDGET).select("query_id", "project", "id", "pos", "cost", "used")
 
 
 def recent_rank(spark, d):
