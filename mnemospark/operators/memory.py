@@ -43,7 +43,9 @@ class Memory:
     # writes
     def _unit(self, as_of: datetime, reads: list[tuple[str, str | None]], work: Callable[[Unit], Any]) -> Any:
         """One commit of what a call decides; decided again where a table that it read has changed before it could commit."""
-        return unit(self.store, as_of, reads, work)
+        out = unit(self.store, as_of, reads, work)
+        self.store.tidy()
+        return out
 
     def _get(self, name: str, id_: str, u: Unit | None = None) -> dict | None:
         found = (u or self.store).current(name).where(F.col("id") == id_).limit(1).collect()

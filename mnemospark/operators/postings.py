@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, terms
-from ..sources.store import PART, PLACE, Store
+from ..sources.store import PART, PLACE, Conflict, Store
 from ..steps import Steps
 
 BUCKETS = 64
@@ -96,7 +96,10 @@ class Kept:
         steps = Steps(self.store.spark)
         texts = self._read(adds, "texts", "id string, text_key long").distinct()
         posts = self._read(adds, "rows", ROWS).distinct()
-        self._write(steps, texts, posts, texts, max(x["through"] for x in adds), [x["append"] for x in adds])
+        try:
+            self._write(steps, texts, posts, texts, max(x["through"] for x in adds), [x["append"] for x in adds])
+        except Conflict:  # another handle has folded them
+            pass
 
     def flags(self, docs: DataFrame, asked: DataFrame) -> DataFrame:
         """(project, id, token, in_what) of the tokens in `asked` and of records as they are in docs: project, id, what, why."""

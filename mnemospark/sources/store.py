@@ -23,6 +23,8 @@ LOG = "seq long, op string, at timestamp"
 PLACE, PART = 23, 13
 #: Versions between two lists of all that is live, from which a new handle starts.
 STATE_EVERY = 64
+#: Appends of a table that are folded into one when a call finds so many, and folded ones likewise.
+APPENDS, FOLDED = 128, 16
 #: The layout of this store; 1 is a folder a table without a log, which is adopted as its first commit.
 FORMAT = 2
 SCHEMAS = {
@@ -174,15 +176,17 @@ class Store:
         With `base`, the version that they were decided at, and `reads`, the tables (and projects) that they were decided on,
         the commit is refused if one of these has changed since.
         """
-        adds = [x for x in adds if x]
+        adds, drops = [x for x in adds if x], list(drops)
         if not adds and not drops:
             return self.version()
         reads, v = list(reads), (self.version() if base is None else base) + 1
-        text = json.dumps({"format": FORMAT, "adds": adds, "drops": list(drops)})
+        text = json.dumps({"format": FORMAT, "adds": adds, "drops": drops})
         while not self.files.claim(f"{self.root}/_log/{v:020d}.json", text):
             self.version()
             if base is not None and any(_touches(x, reads) for x in self.entries[v]["adds"]):
                 raise Conflict(f"version {v} changed what version {base} was read for")
+            if set(drops) & set(self.entries[v]["drops"]):
+                raise Conflict(f"version {v} has folded the same appends")
             v += 1
         return v
 
@@ -198,10 +202,10 @@ class Store:
         return staged["rows"] if staged else 0
 
     # reading
-    def log(self, name: str, project: str | None = None, version: int | None = None) -> DataFrame:
-        """All images up to a version; columns that older files lack are null."""
+    def log(self, name: str, project: str | None = None, version: int | None = None, adds: list[dict] | None = None) -> DataFrame:
+        """All images up to a version, or those of some appends; columns that older files lack are null."""
         now = self.version()
-        live = [x for x in self.live[now if version is None else version] if x["table"] == name and (project is None or x["projects"] is None or project in x["projects"])]
+        live = adds if adds is not None else [x for x in self.live[now if version is None else version] if x["table"] == name and (project is None or x["projects"] is None or project in x["projects"])]
         shape, places = ", ".join([SCHEMAS[name], LOG]), "append string, part long, place long"
         cols = [f.split(" ")[0] for f in shape.split(", ")]
         out = self.spark.createDataFrame([], shape)
@@ -227,24 +231,39 @@ class Store:
         """When the table was last appended to."""
         return self.log(name).agg(F.max("at")).first()[0]
 
-    def compact(self, name: str) -> int:
+    def compact(self, name: str, whole: bool = True) -> int:
         """Folds a table into one append, sorted by id within a project, with a Bloom filter on ids; versions before stay readable.
 
+        Unless `whole`, only appends that were not folded yet are, and what they delete is kept as such, so that the cost follows what is new.
         Appends of others since then are kept beside it. Returns the version.
         """
         base = self.version()
-        live = [x for x in self.live[base] if x["table"] == name and x["format"] == FORMAT]
+        live = [x for x in self.live[base] if x["table"] == name and x["format"] == FORMAT and (whole or not x.get("compacted"))]
+        if not live:
+            return base
+        # what an older layout holds stays beside, and so do the deletions of its rows
+        keep_deleted = not whole or any(x["table"] == name and x["format"] == 1 for x in self.live[base])
+        log = self.log(name, adds=live)
+        rows = log.groupBy("id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "id"]), "seq").alias("r")).select("id", "r.*")
+        rows = (rows if keep_deleted else rows.where("op <> 'delete'")).withColumn("part", F.lit(0).cast("long")).withColumn("place", F.lit(0).cast("long"))
         token = uuid.uuid4().hex
-        rows = self.current(name, version=base).withColumn("part", F.lit(0).cast("long")).withColumn("place", F.lit(0).cast("long"))
         writer = rows.repartition("project", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("project", "id").write.partitionBy("project")
         writer.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path(name)}/append={token}")
-        if not self.files.names(f"{self.path(name)}/append={token}"):
-            return base
         add = {"table": name, "append": token, "format": FORMAT, "projects": None, "rows": None, "compacted": True}
-        legacy = [x for x in self.live[base] if x["table"] == name and x["format"] == 1]
-        if legacy:
-            raise RuntimeError("a table that was taken over is compacted by copying its store")
-        return self.commit([add], drops=[x["append"] for x in live])
+        try:
+            return self.commit([add], base, drops=[x["append"] for x in live])
+        except Conflict:  # another handle was first; its result will do
+            self.discard([add])
+            return self.version()
+
+    def tidy(self) -> None:
+        """Folds what is new of tables that have got many appends, and all of those that have many folded ones."""
+        now = self.live[self.version()]
+        for name in SCHEMAS:
+            mine = [x for x in now if x["table"] == name and x["format"] == FORMAT]
+            folded = sum(bool(x.get("compacted")) for x in mine)
+            if len(mine) - folded >= APPENDS or folded >= FOLDED:
+                self.compact(name, whole=folded >= FOLDED)
 
 
 def _touches(add: dict, reads: list[tuple[str, str | None]]) -> bool:

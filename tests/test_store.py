@@ -113,6 +113,29 @@ def test_compaction(spark, tmp_path):
         assert s.current("audit_log").agg(F.max_by("id", "seq")).first()[0] == "later"
         assert len([x for x in s.live[s.version()] if x["table"] == "audit_log"]) == 2
     assert b.log("audit_log", version=before).count() == 7
+    # two handles that fold the same appends: the second finds them folded
+    live = len(a.live[a.version()])
+    with pytest.raises(Conflict):
+        b.commit([{"table": "audit_log", "append": "x", "format": 2, "projects": None, "compacted": True}], before, drops=[x["append"] for x in b.live[before] if x["table"] == "audit_log"])
+    assert len(a.live[a.version()]) == live
+    # what is new alone, with a deletion of what was folded before
+    a.append("audit_log", events(spark, ["e1"], "p1"), "delete", NOW)
+    now = sorted((r["id"], r["seq"]) for r in b.current("audit_log").collect())
+    a.compact("audit_log", whole=False)
+    assert sorted((r["id"], r["seq"]) for r in b.current("audit_log").collect()) == now and "e1" not in dict(now)
+    assert [x.get("compacted") for x in b.live[b.version()] if x["table"] == "audit_log"] == [True, True]
+
+
+def test_many_appends_are_folded_on_the_way(spark, tmp_path, monkeypatch):
+    from mnemospark.sources import store
+
+    monkeypatch.setattr(store, "APPENDS", 4)
+    monkeypatch.setattr(store, "FOLDED", 2)
+    m = Memory(spark, str(tmp_path))
+    for i in range(9):
+        m.audit("p", f"k{i}", NOW)
+    assert [r["kind"] for r in m.audit_log("p").orderBy("id").collect()] == [f"k{i}" for i in range(9)]
+    assert len([x for x in m.store.live[m.store.version()] if x["table"] == "audit_log"]) <= 4
 
 
 def test_a_batch_is_its_records_one_by_one(spark, tmp_path):
