@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy of candidate strings, in DataFrame functions only.
 
 Candidates are runs of 20 or more characters that keys are made of. A candidate belongs to the class "hex" (digits
-and a-f in one case) or "base64" (lower case, upper case and digits together). Over every window of `WINDOW`
+and a-f in one case), "base64" (lower case, upper case and digits together), "base36" (lower case and digits) or "base32"
+(upper case and digits); the latter two hold 20 letters and digits in a row, with digits in several places, as words with a
+number behind them don't. Over every window of `WINDOW`
 characters the entropy is kept by incremental counts: as the window moves on, the counts of the character that
 leaves and of the one that comes change, and with them their two terms of the sum of c * log2(c). A candidate costs time in
 proportion to its length. The largest entropy
@@ -20,9 +22,18 @@ from pyspark.sql import functions as F
 from .common import columns
 from .spans import joined, matches, starts
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_base36", "entropy_base32")
 WINDOW = 20
-THRESHOLD = {"hex": 3.0, "base64": 3.8}
+THRESHOLD = {"hex": 3.0, "base64": 3.8, "base36": 3.4, "base32": 3.3}
+#: By class: which candidates belong to it, in order. `m` is the candidate.
+_RUNS = lambda letters, n: f"m rlike '(?:(?<![0-9])[0-9]++[{letters}]++){{{n}}}'"
+_DIGITS = "5 * length(regexp_replace(m, '[^0-9]+', '')) >= length(m)"
+SHAPE = {
+    "hex": "m rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' and m rlike '[0-9]' and m rlike '[a-fA-F]'",
+    "base64": "m rlike '[a-z]' and m rlike '[A-Z]' and m rlike '[0-9]'",
+    "base36": f"not m rlike '[A-Z]' and m rlike '[a-z0-9]{{20}}' and ({_RUNS('a-z', 3)} or {_RUNS('a-z', 2)} and {_DIGITS})",
+    "base32": f"not m rlike '[a-z]' and m rlike '[A-Z0-9]{{20}}' and {_RUNS('A-Z', 2)}",
+}
 MARK = "[SECRET]"
 PATTERN = {
     "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
@@ -100,12 +111,13 @@ def scan(docs: DataFrame, also: list[str] = ()) -> DataFrame:
     df = df.withColumns({f"s_{k}": F.expr(f"filter({span(k, k)}, s -> s.ok)") for k in good})
     df = df.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
     # a candidate's class, and whether it is worth the windows
-    shape = "case when m rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' and m rlike '[0-9]' and m rlike '[a-fA-F]' then 'hex' when m rlike '[a-z]' and m rlike '[A-Z]' and m rlike '[0-9]' then 'base64' end"
+    shape = "case " + " ".join(f"when {test} then '{k}'" for k, test in SHAPE.items()) + " end"
     df = df.withColumn("cands", F.expr(f"filter(transform(m_candidate, (m, i) -> named_struct('start', p_candidate[i], 'end', p_candidate[i] + length(m), 'm', m, 'class', {shape})), s -> s.class is not null)"))
     allowed = " or ".join("s.m rlike '^(?:{})$'".format(p.replace("\\", "\\\\")) for p in ALLOWED)
     df = df.withColumn("cands", F.expr(f"filter(cands, s -> not ({allowed}) and not exists(base, b -> b.start < s.end and s.start < b.end))"))
-    over = f"{_entropy('s.m')} >= if(s.class = 'hex', {THRESHOLD['hex']}d, {THRESHOLD['base64']}d)"
-    df = df.withColumn("extra", F.expr(f"transform(filter(cands, s -> {over}), s -> named_struct('start', s.start, 'order', if(s.class = 'hex', 3, 4), 'end', s.end, 'kind', concat('entropy_', s.class), 'ok', true))"))
+    least = "case s.class " + " ".join(f"when '{k}' then {v}d" for k, v in THRESHOLD.items()) + " end"
+    kind = "case s.class " + " ".join(f"when '{k}' then {KINDS.index('entropy_' + k)}" for k in THRESHOLD) + " end"
+    df = df.withColumn("extra", F.expr(f"transform(filter(cands, s -> {_entropy('s.m')} >= {least}), s -> named_struct('start', s.start, 'order', {kind}, 'end', s.end, 'kind', concat('entropy_', s.class), 'ok', true))"))
     df = df.withColumn("all", F.array_sort(F.concat("base", "extra")))
     return df.select("doc_id", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in good], "base", "all", F.col("__t").alias("whole_text"), *also)
 

@@ -62,6 +62,32 @@ def test_entropy_adds_spans(spark):
     assert spans[7] == f"assign:0:{6 + len(key)}"
 
 
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+}
+
+
+def test_recall_and_false_finds_by_class(spark):
+    """Random keys of each class, 24 to 60 characters (hex: to 31, longer ones are base spans), amid prose; and strings like keys that are none."""
+    rng = random.Random(36)
+    planted = [(k, "".join(rng.choice(a) for _ in range(rng.randint(24, 31 if k == "hex" else 60)))) for k, a in ALPHABETS.items() for _ in range(400)]
+    rows = secret_scans.report(frame(spark, [f"the key {t} is here" for _, t in planted])).collect()
+    hit, right = collections.Counter(), collections.Counter()
+    for r in rows:
+        k, t = planted[r.doc_id]
+        whole = [s.split(":")[0] for s in r.spans.split(",") if s.endswith(f":8:{8 + len(t)}")]
+        hit[k] += bool(whole)
+        right[k] += "entropy_" + {"base36_upper": "base32"}.get(k, k) in whole
+    assert all(hit[k] >= 392 for k in ("hex", "base64", "base36", "base36_upper")) and hit["base32"] >= 384, hit
+    assert all(right[k] >= 376 for k in ALPHABETS), right
+    words = "emission richtlinie verordnung gesellschaft versicherung international development configuration measurement co2 covid19 mp3 sha256 version2 utf8 h1n1 2024 q3".split()
+    clean = ["".join(rng.sample(words, rng.randint(2, 4))) for _ in range(200)] + ["-".join(rng.sample(words, 4)) for _ in range(200)] + ["/".join(rng.sample(words, 4)) for _ in range(200)]
+    clean += [c.upper() for c in clean[200:]] + [f"{rng.randint(10**21, 10**22)}" for _ in range(100)] + ["GB29NWBK60161331926819", "DE89370400440532013000", "2024-01-15t10-22-33z-backup", "ORDER-2024-000123-ITEM-77-PARTS"]
+    false = [clean[r.doc_id] for r in secret_scans.report(frame(spark, [f"see {c} there" for c in clean])).collect() if r.spans]
+    assert len(false) <= len(clean) * 0.03, (len(false), len(clean), false[:20])
+
+
 def test_entropy_is_that_of_windows(spark):
     rng = random.Random(4)
     tokens = ["".join(rng.choice("ABCdef0123+/") for _ in range(n)) for n in (20, 33, 90, 500)] + ["a" * 50]
