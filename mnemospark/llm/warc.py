@@ -4,8 +4,10 @@ A revisit says that a resource had not changed. Its body is that of the latest e
 canonical URL, if the revisit's validators (ETag, else Last-Modified, else payload digest) agree with that response's;
 its headers are that response's with those that a 304 answer may renew taken from the revisit.
 
-The as-of join goes by canonical URL and time. A URL's records are dealt to slices of time, so that a hot URL does not
-gather in one task: within a slice a running last value finds the response; what a slice inherits from earlier ones is
+The as-of join goes by canonical URL and time. At one URL and time only the response with the largest id is ever asked
+for, so responses are first reduced to one each. A URL's records are dealt to slots between quantiles of time over all
+records, and revisits at a time that fills several slots are spread over these; so a hot URL does not gather in one task,
+whatever the times are. Within a slot a running last value finds the response; what a slot inherits from earlier ones is
 the last response of each, carried over at most SLICES rows a URL.
 
 Defined results: records without URL or time resolve to nothing; at equal times a response comes before a revisit, and
@@ -15,6 +17,8 @@ too is "unverified"; empty tables give no rows; columns that are not named here
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +45,18 @@ def canonical(url: Column) -> Column:
     return F.concat(host, rest)
 
 
+def slots(cuts: list[int]):
+    """A column function of times and spreads: the slot between sorted cuts; a time that several cuts equal has all slots around them."""
+    edges = np.array(cuts, "int64")
+
+    @F.pandas_udf("int")
+    def slot(ts: pd.Series, spread: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(edges, ts, "left"), np.searchsorted(edges, ts, "right")
+        return pd.Series(low + spread.to_numpy() % (high - low + 1)).astype("int32")
+
+    return slot
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Adds canonical_url, response_id, status, headers_merged and digest_resolved to the revisits of a record table.
 
@@ -49,15 +65,17 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     r = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "kind", "headers", "digest").withColumn("canonical_url", canonical(F.col("url")))
     r = Scratch(records.sparkSession).keep(r)  # every branch below reads these slim rows, not what they come from
-    t0, t1 = r.agg(F.min("ts"), F.max("ts")).first()
-    wide = max(1.0, (t1 - t0 + 1) / SLICES) if t0 is not None else 1.0
-    usable = r.where("canonical_url is not null and ts is not null").withColumn("slice", F.floor((F.col("ts") - F.lit(t0 or 0)) / F.lit(wide)).cast("int"))
-    full = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "digest"))
-    order = [F.col("ts"), F.when(F.col("kind") == "response", 0).otherwise(1), F.col("record_id")]
+    cuts = r.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)])).first()[0]
+    slot = slots(cuts or [])
+    usable = r.where("canonical_url is not null and ts is not null")
+    named = F.struct("record_id", "headers", "digest")
+    answers = usable.where("kind = 'response'").groupBy("canonical_url", "ts").agg(F.max_by(named, F.struct("record_id", "digest")).alias("full")).withColumn("slice", slot("ts", F.lit(0).cast("long")))
+    asks = usable.where("kind = 'revisit'").withColumn("slice", slot("ts", F.pmod(F.xxhash64("record_id", "url", "digest"), F.lit(1 << 31))))
+    order = [F.col("ts"), F.when(F.col("full").isNotNull(), 0).otherwise(1)]
     within = Window.partitionBy("canonical_url", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = usable.withColumn("near", F.last(full, ignorenulls=True).over(within)).where("kind = 'revisit'")
-    # the last response of each slice that has one, then what each slice inherits
-    lasts = usable.where("kind = 'response'").groupBy("canonical_url", "slice").agg(F.max_by(F.struct("record_id", "headers", "digest"), F.struct("ts", "record_id")).alias("last"))
+    near = asks.unionByName(answers, allowMissingColumns=True).withColumn("near", F.last("full", ignorenulls=True).over(within)).where("full is null").drop("full")
+    # the last response of each slot that has one, then what each slot inherits
+    lasts = answers.groupBy("canonical_url", "slice").agg(F.max_by("full", "ts").alias("last"))
     marks = lasts.select("canonical_url", "slice", "last", F.lit(False).alias("asks")).unionByName(near.select("canonical_url", "slice").distinct().withColumn("last", F.lit(None).cast(lasts.schema["last"].dataType)).withColumn("asks", F.lit(True)))
     earlier = Window.partitionBy("canonical_url").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
     inherited = marks.withColumn("far", F.last("last", ignorenulls=True).over(earlier)).where("asks").select("canonical_url", "slice", "far")

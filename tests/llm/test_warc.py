@@ -73,3 +73,18 @@ def test_odd_rows(spark):
     assert warc.resolve(frame(spark, [(1, "a", 1, "revisit", None, None)]).where("false")).count() == 0
     again = frame(spark, [(1, "a/x", 1, "response", {}, "p"), (2, "a/x", 2, "revisit", {}, "p"), (2, "a/x", 2, "revisit", {}, "p")])
     assert [r.response_id for r in warc.resolve(again).collect()] == [1, 1]
+
+
+def test_times_of_any_spread(spark):
+    """An outlier in time and equal times crowd no slot, and answers stay those of the plain search."""
+    F = warc.F
+    for make in (lambda i: 0 if i == 0 else 10**12 + i, lambda i: 7, lambda i: 7 if i % 3 else i):
+        times = sorted(make(i) for i in range(40000))
+        cuts = [times[i * len(times) // 100] for i in range(1, 100)]
+        df = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts long, i long")
+        most = df.groupBy(warc.slots(cuts)("ts", F.pmod(F.xxhash64("i"), F.lit(1 << 31))).alias("s")).count().agg(F.max("count")).first()[0]
+        assert most <= 2 * len(times) / 100, most
+    rng = random.Random(9)
+    for make in (lambda i: 0 if i == 5 else 10**12 + i, lambda i: 7, lambda i: rng.choice((7, 7, 7, i)), lambda i: rng.choice((7, 8))):
+        rows = [(i, "a.com/x", make(i), rng.choice(("response", "revisit", "revisit")), {"etag": f'"{rng.randint(1, 3)}"'}, None) for i in range(400)]
+        check(spark, rows)
