@@ -322,7 +322,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id, or a row without if none has one.
 
     Rows that share an id are told apart by their texts, so none goes but for a copy that stays. Of rows that agree in
-    id and text one stays. Rows whose text has no words have no copies and all stay.
+    id and text that one stays whose other columns come first as JSON. Rows whose text has no words have no copies and all stay.
     """
     scratch = Scratch(spark)
     rows, classes = _linked(spark, docs, scratch)
@@ -330,5 +330,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "th")).alias("best"))
     kept = scratch.keep(kept.select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("th")))
     packed = docs.select(F.struct(*columns(docs)).alias("packed"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
-    stay = packed.where("words").join(grows(kept), "th").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["doc_id", "th"]).select("packed.*")
+    same = packed.where("words").join(grows(kept), "th").where(F.col("doc_id").eqNullSafe(F.col("id")))
+    others = [F.col("packed")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.to_json(F.struct(F.lit(0).alias("0"), *[c.cast("string").alias(f"c{i}") for i, c in enumerate(others)]))
+    stay = same.groupBy("doc_id", "th").agg(F.min_by("packed", first).alias("packed")).select("packed.*")
     return stay.union(packed.where("not words").select("packed.*"))

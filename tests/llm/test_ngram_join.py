@@ -155,3 +155,11 @@ def test_shingles_tell_words_apart():
     rng = random.Random(2)
     for t in [" ".join(words(rng, n)) for n in (1, 3, 5, 6, 3000)] + ["", "  ", "a" * 900, "x y " * 300, " é 😀\tz\n"]:
         assert len(ngram_join.shingles(t.encode())) == len(shingle_set(t) or ())
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    """Which of the rows with one id and text stays hangs on what they hold, not on where they lie."""
+    rows = [(1, "one text of some words that repeats", s, {"k": i}, None if i % 2 else float(i)) for i, s in enumerate("dbaec")] + [(2, "another text of quite other words here", "z", None, None)] * 3
+    schema = "doc_id long, text string, `so.urce` string, m map<string,int>, x double"
+    kept = [sorted((r[0], r[2]) for r in ngram_join.keep_one(spark, spark.createDataFrame(some, schema).repartition(n)).collect()) for some, n in ((rows, 1), (rows[::-1], 5), (rows[3:] + rows[:3], 3))]
+    assert kept == [[(1, "a"), (2, "z")]] * 3
