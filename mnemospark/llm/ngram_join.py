@@ -25,11 +25,14 @@ looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Scratch, by_group, columns, components, grows
 
@@ -239,6 +242,31 @@ def _blocked(scratch: Scratch, df: DataFrame, key: str, order: str, size: str) -
     return df.withColumn("d", F.explode(dealt)).select("*", "d.part", "d.side").drop("d", "blocks", "own", "n")
 
 
+def _sized(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """Adds `part` and `side` as `_blocked` does, to sets of shingles by group; blocks whose sets differ too much in size to be linked don't meet.
+
+    Of sets with a similarity of 0.8 one has at most 1.25 times the shingles of the other, so the classes of their sizes, on
+    a scale of powers of that, are the same or next to each other. A group that fits into one block is one class.
+    """
+    sets = sets.withColumn("class", F.floor(F.log(F.greatest(F.length("sh") / 8, F.lit(1))) / math.log(1.2501)).cast("int"))
+    counts = sets.groupBy("group", "class").agg(F.count("*").alias("m"))
+    of_group, nearby = Window.partitionBy("group"), Window.partitionBy("group").orderBy("class")
+    counts = counts.withColumn("n", F.sum("m").over(of_group)).where("n > 1").withColumn("size", F.expr(BLOCK)).withColumn("one", F.col("n") <= F.col("size"))
+    beside = lambda by: F.coalesce(F.ceil(F.sum("m").over(nearby.rangeBetween(by, by)) / F.col("size")), F.lit(0))
+    plain = lambda c, x: F.when(F.col("one"), x).otherwise(c).cast("long")
+    counts = counts.select("group", "class", plain(F.col("class"), 0).alias("at"), plain(F.ceil(F.col("m") / F.col("size")), 1).alias("blocks"), plain(beside(-1), 0).alias("below"), plain(beside(1), 0).alias("above"))
+    df = sets.join(grows(scratch.keep(counts)), ["group", "class"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # a part is a pair of classes (the same, or one and the next) and a block of each
+    part = lambda pair, a, b: f"shiftleft({pair}, 44) + shiftleft({a}, 22) + {b}"
+    dealt = F.expr(f"""
+      concat(
+        transform(sequence(0L, blocks - 1), o -> named_struct('part', {part('2 * at', 'least(own, o)', 'greatest(own, o)')}, 'side', case when o = own then 0 when own < o then -1 else 1 end)),
+        transform(filter(sequence(0L, below), o -> o < below), o -> named_struct('part', {part('2 * at - 1', 'o', 'own')}, 'side', 1)),
+        transform(filter(sequence(0L, above), o -> o < above), o -> named_struct('part', {part('2 * at + 1', 'own', 'o')}, 'side', -1)))
+    """)
+    return df.withColumn("d", F.explode(dealt)).select("rep", "group", "sh", "d.part", "d.side")
+
+
 def forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
     """(rep, bucket): the nodes under which representatives are compared; reps has rep and label."""
     label = F.expr(f"substring(label, tree * {DEPTH * LEVEL} + 1, {DEPTH * LEVEL})")
@@ -289,7 +317,7 @@ def _linked(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Dat
     texts = grows(wanted).join(whole.withColumnRenamed("doc_id", "id"), ["th"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "group", "text")
     # rows that agree in id and text stand for each other
     sets = texts.mapInArrow(_shingled, "rep long, group long, sh binary").groupBy("rep", "group").agg(F.first("sh").alias("sh"))
-    verified = _blocked(scratch, scratch.keep(sets), "group", "rep", BLOCK).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify, "rep long, top long, links long")
+    verified = _sized(scratch, scratch.keep(sets)).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify, "rep long, top long, links long")
     verified = scratch.keep(verified)
     roots = components(scratch, verified.select(F.col("rep").alias("a"), F.col("top").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))

@@ -137,6 +137,33 @@ def test_large_nodes_are_split_and_shortened(spark, monkeypatch):
     assert {r.n_links for r in ngram_join.match(spark, df).collect()} == {199}
 
 
+def test_blocks_by_size(spark, tmp_path):
+    """In a group of several blocks any two sets that could be linked by their sizes meet exactly once, others never; small groups are one part."""
+    rng = random.Random(8)
+    sizes = [rng.choice((1, 2, 4, 5, 40, 50, 51, 400, 500, 501, 4000)) for _ in range(700)] + [rng.randint(1, 3000) for _ in range(300)]
+    rows = [(i, 1, bytes(8 * n)) for i, n in enumerate(sizes)] + [(2000 + i, 2, bytes(8 * n)) for i, n in enumerate(sizes[:50])] + [(3000, 3, bytes(8))]
+    got = ngram_join._sized(Scratch(spark), spark.createDataFrame(rows, "rep long, group long, sh binary")).select("rep", "group", "part", "side").collect()
+    parts = collections.defaultdict(list)
+    for r in got:
+        parts[r.group, r.part].append((r.rep, r.side))
+    assert not any(g == 3 for g, _ in parts) and [len(v) for (g, _), v in parts.items() if g == 2] == [50]
+    met = collections.Counter()
+    for (g, _), members in parts.items():
+        if g == 1:
+            same = all(side == 0 for _, side in members)
+            left = [i for i, side in members if side <= 0]
+            right = left if same else [i for i, side in members if side > 0]
+            met.update((min(i, j), max(i, j)) for i in left for j in right if i < j or not same)
+    assert set(met.values()) == {1}
+    size = lambda i: sizes[i]
+    for i in range(1000):
+        for j in range(i + 1, 1000):
+            low, high = sorted((size(i), size(j)))
+            if low * 5 >= high * 4:
+                assert (i, j) in met
+    assert all(max(size(i), size(j)) <= 1.6 * min(size(i), size(j)) for i, j in met)
+
+
 def test_target_depth():
     d = ngram_join.deepest(ngram_join.RECALL)
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
