@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, words
 from ..functions.text import category, cost, postings
+from ..sources import imports
 from ..sources.store import Store, Unit, unit
 from ..steps import Steps
 from . import extract, guard, rank, records
@@ -353,6 +354,10 @@ class Memory:
             known = known.unionByName(fresh.select("id", "vector"))
         return docs.join(known, "id").select("project", "id", "seq", "what", F.col("vector").cast("array<double>").alias("embedding"))
 
+    def import_tables(self, tables: dict[str, DataFrame], as_of: datetime) -> dict[str, int]:
+        """Takes over tables of a relational store by name, in one commit; how many rows each got (see sources.imports)."""
+        return imports.take_over(self.store, tables, as_of)
+
     def import_vectors(self, rows: DataFrame, as_of: datetime) -> int:
         """Takes over vectors stored as blobs of little-endian 32-bit floats: id, project, model, dim, blob; those of another length than dim are refused."""
         found = rows.withColumn("vector", scoring.floats(F.col("blob"))).withColumn("created_at", F.lit(as_of).cast("timestamp"))
