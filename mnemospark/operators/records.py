@@ -124,3 +124,16 @@ def supersede_view(log: DataFrame, key: str = "id") -> DataFrame:
     now = latest(log, key, "seq", "seq").where("op <> 'delete'")
     alive = now.select(F.col(key).alias("__alive"))
     return now.join(alive, F.col("supersedes_id") == F.col("__alive"), "left").withColumn("supersedes_id", F.col("__alive")).drop("__alive")
+
+
+def resolved(ids: DataFrame, asked: DataFrame) -> DataFrame:
+    """(prefix, found, id): how many ids begin with each asked prefix, and the id where it is the only one.
+
+    Ids and prefixes meet on length and leading part, so no id is held against a prefix that it doesn't begin with; matches
+    are counted before they are exchanged, and prefixes have few lengths. An empty prefix is one that all ids begin with.
+    """
+    want = asked.select(F.col("prefix").cast("string").alias("prefix")).where("prefix is not null").distinct()
+    sizes = [r[0] for r in want.select(F.length("prefix")).distinct().collect()]  # as many as ids have characters, at most
+    parts = ids.select(F.col("id").cast("string").alias("id")).where("id is not null").select("id", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where("size <= length(id)")
+    counts = parts.groupBy(F.expr("left(id, size)").alias("prefix")).agg(F.count("*").alias("found"), F.min("id").alias("id"))
+    return want.join(counts, "prefix", "left").select("prefix", F.coalesce("found", F.lit(0)).alias("found"), F.when(F.col("found") == 1, F.col("id")).alias("id"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scoring, words
+from ..functions import scoring, text, words
 from ..functions.text import cost, postings, split_words
 from ..operators import extract, guard, rank, records
 from ..operators.postings import build
+from ..sources import imports
 from ..steps import Steps
 from . import oracle
 from .fixtures import COMMITS, EVENTS, PAIRS
@@ -403,10 +404,30 @@ def batch_outcomes(spark, d):
     return guard.fold(rows, rows.where("false"), decisions=rows.where("false").select("id"))
 
 
+def imported_events(spark, d):
+    """Events as another store exports them, with ISO texts in three zones and some that say no time, taken over as the import does."""
+    e = read(spark, d, "events").withColumn("hours", (F.col("event_id") % 3).cast("int"))
+    iso = F.date_format(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("hours") * 3600000000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    told = F.when(F.col("event_type") == "error", "no time").when(F.col("event_type") == "signup", None).otherwise(F.concat(iso, F.lit("+0"), F.col("hours").cast("string"), F.lit(":00")))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("project"), F.unix_micros(imports.moment(told)).alias("created_us"))
+
+
+def resolved_prefixes(spark, d):
+    """Ids of documents that begin with the number of a passage or with that of an order."""
+    numbers = read(spark, d, "benchmark").select(F.col("item_id").alias("prefix")).union(read(spark, d, "orders").select("o_orderkey"))
+    return records.resolved(read(spark, d, "documents").select(F.col("doc_id").alias("id")), numbers)
+
+
+def vague_layouts(spark, d):
+    """Lines of documents as layouts of a project: how many say too little."""
+    lines = read(spark, d, "documents").select(F.col("lang").alias("project"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("project").agg(F.count("*").alias("n"), F.count_if(text.vague_snapshot(F.col("line"))).alias("vague"))
+
+
 NAMES = """audit_counts audit_tail audit_fails audit_total skip_reason_counts policy_tune policy_stats policy_fixture source_stats latest_snapshot hot_tasks_pack
 effective_confidence sweep_archive tokenize document_frequency keyword_rank warm_pack recent_rank eval_recall eval_by_language dense_rank dense_topk rrf_fuse hybrid_pin exact_dups
 fuzzy_dups contradictions guard_reasons provenance handoff_delta latest_handoff route_task route_evidence extract_gates extract_conversations calibrate supersede_view
-reason_categories token_costs unit_vectors staging_list sequential_guard batch_outcomes labelled_recall hybrid_read route_vectors dense_contradictions staging_preview""".split()
+reason_categories token_costs unit_vectors staging_list sequential_guard batch_outcomes labelled_recall hybrid_read route_vectors dense_contradictions staging_preview imported_events resolved_prefixes vague_layouts""".split()
 
 
 def queries():

@@ -114,6 +114,12 @@ def sql() -> dict[str, str]:
         "audit_counts": "select event_type kind, count(*) n from events group by 1",
         "audit_tail": "select event_id id, user_id project, event_type kind, props payload from events order by event_id desc limit 50",
         "audit_fails": "select event_id id, user_id project, event_type kind from events where event_type in ('error', 'signup')",
+        "imported_events": "select event_id id, user_id project, case when event_type = 'error' then 0 when event_type = 'signup' then null else epoch_us(ts) end created_us from events",
+        "resolved_prefixes": """with w as (select item_id::varchar prefix from benchmark union select o_orderkey::varchar from orders),
+            m as (select prefix, count(*) n, min(doc_id::varchar) id from w join documents on left(doc_id::varchar, length(prefix)) = prefix group by 1)
+            select w.prefix, coalesce(n, 0) found, case when n = 1 then id end id from w left join m on w.prefix = m.prefix""",
+        "vague_layouts": """select lang project, count(*) n, count(*) filter (where not contains(line, ',') and not contains(line, '/') and length(trim(line)) < 10) vague
+            from (select lang, unnest(string_split(text, chr(10))) line from documents) group by 1""",
         "audit_total": "select count(*) total from events",
         "skip_reason_counts": "select coalesce(json_extract_string(props, '$.k'), 'unknown') reason, count(*) n from events group by 1",
         "policy_tune": f"with {HISTORY} select project, category, {ACTION} as action, n sample_size, round(accepted / n, 6) accept_rate from c",

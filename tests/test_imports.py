@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from mnemospark.operators import records
 from mnemospark.operators.memory import Memory
 
 NOW = datetime(2024, 6, 1)
@@ -77,3 +78,14 @@ def test_older_layouts_and_refusals(spark, tmp_path):
         with pytest.raises(ValueError, match="decision_embeddings"):
             m.import_tables({"decision_embeddings": vectors}, NOW)
     assert m.store.version() == at and m.import_tables({"decisions": old.limit(0)}, NOW) == {"decisions": 0}
+
+
+def test_prefixes(spark):
+    """None, the one, or not unique, as one prefix at a time would give; odd prefixes and empty tables too."""
+    ids = ["abc", "abd", "b", "", None, "é😀x", "abc1"]
+    asked = ["", "a", "ab", "abc", "abd", "b", "bb", "é😀", None, "a", "x" * 50]
+    df, want = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([(p,) for p in asked], "prefix string")
+    got = {r["prefix"]: (r["found"], r["id"]) for r in records.resolved(df, want).collect()}
+    brute = {p: [i for i in ids if i is not None and i.startswith(p)] for p in asked if p is not None}
+    assert got == {p: (len(f), f[0] if len(f) == 1 else None) for p, f in brute.items()}
+    assert records.resolved(df, want.limit(0)).count() == 0 and all(r["found"] == 0 for r in records.resolved(df.limit(0), want).collect())
