@@ -81,7 +81,7 @@ def contradictions(new: DataFrame, existing: DataFrame, order: bool = False) ->
 def opposed_pairs(new: DataFrame, existing: DataFrame, least: float = words.OPPOSED) -> DataFrame:
     """(project, id, e_seq, other): existing records before a new one with a similar vector, a token in common and a phrase of replacement in either.
 
-    Records meet on project and token, so no pairs are formed but those with something in common; both need `embedding`.
+    Records meet on project and token, and only where one of the two has such a phrase, so no pairs are formed but of these; both need `embedding`.
     """
     def told(df: DataFrame, names: dict[str, str]) -> DataFrame:
         cue = F.lit(False)
@@ -89,10 +89,12 @@ def opposed_pairs(new: DataFrame, existing: DataFrame, least: float = words.OPPO
             cue = cue | F.contains(F.lower("what"), F.lit(x))
         return df.withColumn("cue", cue).select("project", "id", "seq", "cue", "embedding").withColumnsRenamed(names)
 
-    tokens = lambda df, name: postings(df, ["project", "id"], ["what"]).select("project", F.col("id").alias(name), "token")
-    pairs = tokens(new, "id").join(tokens(existing, "other"), ["project", "token"]).select("project", "id", "other").distinct()
     n = told(new, {"seq": "n_seq", "cue": "n_cue", "embedding": "n_vector"})
     e = told(existing, {"id": "other", "seq": "e_seq", "cue": "e_cue", "embedding": "e_vector"})
+    tokens = lambda df, name, cues: postings(df, ["project", "id"], ["what"]).select("project", F.col("id").alias(name), "token").join(cues.select("project", name).distinct(), ["project", name], "left_semi")
+    whole, part = tokens(new, "id", n), tokens(existing, "other", e)
+    cued = tokens(new, "id", n.where("n_cue")).join(part, ["project", "token"]), whole.join(tokens(existing, "other", e.where("e_cue")), ["project", "token"])
+    pairs = cued[0].unionByName(cued[1].select(*cued[0].columns)).select("project", "id", "other").distinct()
     near = pairs.join(n, ["project", "id"]).join(e, ["project", "other"]).where((F.col("n_cue") | F.col("e_cue")) & (F.col("e_seq") < F.col("n_seq")))
     return near.where(dot(F.col("n_vector"), F.col("e_vector")) >= least).select("project", "id", "e_seq", "other")
 
