@@ -58,6 +58,25 @@ def postings(df: DataFrame, keys: list[str], fields: list[str], space: str = SPA
     return terms(df, keys, fields, space).distinct()
 
 
+def row_tokens(df: DataFrame, fields: list[str], space: str = SPACE) -> DataFrame:
+    """df with an array of each field's tokens, each once, in place of the field: what postings() gives, without leaving the row."""
+    table = F.create_map(*[x for k, v in words.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    more = lambda t: F.when(t.isin(*words.RELATED), F.concat(F.array(t), table[t])).otherwise(F.array(t))
+    for f in fields:
+        df = df.withColumn(f, F.array_distinct(F.transform(F.array_distinct(split_words(F.col(f).cast("string"), space)), lambda x: F.lower(F.btrim(x, F.lit(words.PUNCTUATION))))))
+        df = df.withColumn(f, F.filter(f, lambda x: (F.length(x) > 2) & ~x.isin(*words.STOP)))
+        df = df.withColumn(f, F.expr(f"transform(`{f}`, w -> {STEM})"))
+        df = df.withColumn(f, F.array_distinct(F.flatten(F.transform(f, more))))
+    return df
+
+
+def row_flags(df: DataFrame, space: str = SPACE) -> DataFrame:
+    """(project, id, token, in_what), each token once a row of df: project, id, what, why. Nothing is exchanged, and a task holds one row's tokens at a time."""
+    rows = row_tokens(spread(df.select("project", "id", "what", "why"), "id"), ["what", "why"], space)
+    flag = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(n).alias("in_what")))
+    return rows.select("project", "id", F.explode(F.concat(flag(F.col("what"), 1), flag(F.array_except("why", "what"), 0))).alias("x")).select("project", "id", "x.token", "x.in_what")
+
+
 def guard_tokens(c: Column) -> Column:
     """Words for duplicates: stop words and length are tested before stripping."""
     w = F.filter(split_words(F.lower(c)), lambda x: ~x.isin(*words.GUARD_STOP) & (F.length(x) > 2))

@@ -106,5 +106,6 @@ class Kept:
         at = [r[0] for r in asked.select(bucket(F.col("token"))).distinct().collect()]  # at most BUCKETS numbers
         rows = self._read(self._adds(self.store.version()), "rows", f"{ROWS}, bucket int").where(F.col("bucket").isin(at))
         mine = docs.select("project", "id", text_key(docs).alias("text_key"))
-        found = rows.join(asked.select("token").distinct(), "token", "left_semi").join(mine, ["project", "id", "text_key"], "left_semi")
+        # dealt by document, as rank.weights() wants them
+        found = rows.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").repartition("project", "id").join(mine, ["project", "id", "text_key"], "left_semi")
         return found.groupBy("project", "id", "token").agg(F.max("in_what").alias("in_what"))
