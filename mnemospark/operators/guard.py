@@ -47,14 +47,12 @@ def fuzzy_pairs(df: DataFrame, least: float = words.SIMILAR) -> DataFrame:
     sets = spread(df.select("project", "id", "seq", "what"), "id").select(F.col("project").alias("scope"), "id", "seq", F.array_sort(guard_tokens(F.col("what"))).alias("t")).where(F.size("t") > 0)
     # written once: what follows reads it from many sides, each with columns of its own, which no exchange could serve
     sets = steps.keep(sets)
-    reps = steps.keep(sets.groupBy("scope", "t").agg(F.min(F.struct("seq", "id")).alias("rep")))
-    near = similar.within(reps.select("scope", F.col("rep.id").alias("sid"), "t"), least)
-    links = near.select("scope", "x", "y", "sim").union(near.select("scope", "y", "x", "sim")).union(reps.select("scope", "rep.id", "rep.id", F.lit(1.0))).toDF("scope", "x", "y", "sim")
-    # what a record is too similar to first: the earliest record over all sets near its own
-    found = links.join(reps.select("scope", F.col("rep.id").alias("y"), "rep"), ["scope", "y"])
-    first = found.groupBy("scope", "x").agg(F.min(F.struct(F.col("rep.seq").alias("seq"), F.col("rep.id").alias("id"), "sim")).alias("m"))
-    first = first.join(reps.select("scope", F.col("rep.id").alias("x"), "t"), ["scope", "x"]).select("scope", "t", "m")
-    return sets.join(first, ["scope", "t"]).where("m.seq < seq").select(F.col("scope").alias("project"), "id", F.col("m.id").alias("other"), F.col("m.sim").alias("sim"))
+    reps = sets.groupBy("scope", "t").agg(F.min(F.struct("seq", "id")).alias("m")).withColumn("nth", F.monotonically_increasing_id())
+    reps = steps.keep(reps.select("scope", "t", F.struct("m.seq", "m.id", "nth").alias("rep")))
+    near = similar.first(reps.select("scope", F.col("rep").alias("sid"), "t"), None, least).select("scope", F.col("x").alias("rep"), "y", "sim")
+    # what a record is too similar to first: the earliest record of a set near its own before that, or else of its own
+    first = reps.join(near, ["scope", "rep"], "left").select("scope", "t", F.coalesce("y", "rep").alias("m"), F.coalesce("sim", F.lit(1.0)).alias("sim"))
+    return sets.join(first, ["scope", "t"]).where("m.seq < seq").select(F.col("scope").alias("project"), "id", F.col("m.id").alias("other"), "sim")
 
 
 def choices(df: DataFrame) -> DataFrame:
@@ -176,13 +174,12 @@ def hits(classes: DataFrame, held: DataFrame) -> DataFrame:
     exact = classes.select("scope", "key", ascii_lower(F.col("text")).alias("same")).join(exact, ["scope", "same"]).select("scope", "key", F.col("m").alias("exact"))
     tokens = lambda df: df.withColumn("t", likes(F.col("scope"), F.col("text"))).where(F.size("t") > 0)
     mine, theirs = tokens(classes), tokens(held)
-    sid = F.md5(F.array_join("t", " ").cast("binary"))
-    a = mine.select("scope", sid.alias("sid"), "t").distinct()
-    b = theirs.groupBy("scope", "t").agg(first.alias("m"))
-    links = similar.between(a, b.select("scope", sid.alias("sid"), "t"), words.SIMILAR)
-    near = links.withColumnRenamed("y", "sid").join(b.select("scope", sid.alias("sid"), "m"), ["scope", "sid"])
-    near = near.groupBy("scope", "x").agg(F.min(F.struct("m", "sim")).alias("near")).withColumnRenamed("x", "sid")
-    near = mine.select("scope", "key", sid.alias("sid")).join(near, ["scope", "sid"]).select("scope", "key", "near")
+    steps, same_set = Steps(classes.sparkSession), F.md5(F.array_join("t", " ").cast("binary")).alias("same_set")
+    a = steps.keep(mine.groupBy("scope", same_set).agg(F.first("t").alias("t")).withColumn("sid", F.monotonically_increasing_id()))
+    b = steps.keep(theirs.groupBy("scope", "t").agg(first.alias("m")).withColumn("sid", F.struct("m.fresh", "m.seq", F.monotonically_increasing_id().alias("nth"))))
+    links = similar.first(a.select("scope", "sid", "t"), b.select("scope", "sid", "t"), words.SIMILAR)
+    near = links.join(b.select("scope", F.col("sid").alias("y"), "m"), ["scope", "y"]).join(a.select("scope", F.col("sid").alias("x"), "same_set"), ["scope", "x"])
+    near = mine.select("scope", "key", same_set).join(near, ["scope", "same_set"]).groupBy("scope", "key").agg(F.min(F.struct("m", "sim")).alias("near"))
     swaps = contradictions(_told(classes, True), _told(held, False), order=True)
     swaps = swaps.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("at.fresh").alias("fresh"), F.col("at.seq").alias("seq"), F.col("other").alias("text")).alias("swap"))
     out = exact.join(near, ["scope", "key"], "full").join(swaps, ["scope", "key"], "full")
@@ -230,27 +227,25 @@ def hits_of_one(classes: DataFrame, held: DataFrame, text: str) -> DataFrame:
 AGAINST = "exact is not null or swap is not null or meant is not null or near is not null"
 
 
-def _edges(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _edges(steps: Steps, reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(active, edges): the records all of whose lists of postings show at most `most` earlier ones, and (scope, later, earlier) among those shown.
 
     Lists are those of rare tokens (for similar texts) and of swapped words (for choices); of a list only its first `most` records
     are looked at, so a list that a hot group fills costs most * most at the most, and nothing that could stand against an active record is left out.
     """
     sets = reps.select("scope", F.col("seq").alias("sid"), likes(F.col("scope"), F.col("text")).alias("t")).where(F.size("t") > 0)
-    head = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("sid"))).where(F.col("k") <= most).drop("k")
-    count = lambda df, name: df.groupBy("scope", "sid").agg(F.count("*").alias(name))
-    listed = similar.prefixes(sets, similar.frequencies(sets), words.SIMILAR)
-    seen = head(listed, "scope", "token")
+    sets = steps.keep(sets)
+    listed = similar.listed(similar.coded(steps, sets, similar.codes(steps, sets)), words.SIMILAR)
+    seen, hidden = similar.heads(steps, listed, ["scope", "token"], most, most)
     sides = choices(reps.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what")))
     both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("ws")), F.struct(F.lit(1).alias("side"), F.col("r").alias("ws")))).alias("x")
     sides = sides.select(F.col("project").alias("scope"), F.col("id").alias("sid"), "rank", "l", "r", both).select("scope", "sid", "rank", "l", "r", "x.side", F.explode("x.ws").alias("w"))
     # both sides of a word make one list, so that whoever sees its own place in it sees all before it
-    sides_seen = head(sides, "scope", "rank", "w")
-    active = reps.select("scope", F.col("seq").alias("sid"))
-    for x, name in ((listed, "a"), (seen, "b"), (sides, "c"), (sides_seen, "d")):
-        active = active.join(count(x, name), ["scope", "sid"], "left")
-    active = active.where("coalesce(a, 0) = coalesce(b, 0) and coalesce(c, 0) = coalesce(d, 0)").select("scope", F.col("sid").alias("seq"))
-    near = similar.measured(similar.candidates(seen, seen, words.SIMILAR, F.col("a.sid") > F.col("b.sid")), sets, sets, words.SIMILAR).select("scope", F.col("x").alias("later"), F.col("y").alias("earlier"))
+    sides_seen, sides_hidden = similar.heads(steps, steps.keep(sides), ["scope", "rank", "w"], most, most)
+    active = reps.select("scope", "seq")
+    for x in (hidden, sides_hidden):
+        active = active if x is None else active.join(x.select("scope", F.col("sid").alias("seq")).distinct(), ["scope", "seq"], "left_anti")
+    near = similar.met(seen, seen, words.SIMILAR, F.col("a.sid") > F.col("b.sid")).select("scope", F.col("x").alias("later"), F.col("y").alias("earlier"))
     x, y = sides_seen.where("side = 0").alias("x"), sides_seen.where("side = 1").alias("y")
     swap = lambda a, b: F.arrays_overlap(f"x.{a}", f"y.{b}")
     meet = (F.col("x.scope") == F.col("y.scope")) & (F.col("x.rank") == F.col("y.rank")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.sid") != F.col("y.sid")) & swap("l", "r") & swap("r", "l") & ~(swap("l", "l") & swap("r", "r"))
@@ -268,7 +263,7 @@ def _greedy(steps: Steps, reps: DataFrame, needs: DataFrame, meant: DataFrame |
     """
     done, most, linked = None, NEAREST, not needs.isEmpty()
     while not reps.isEmpty():
-        active, edges = _edges(reps, most)
+        active, edges = _edges(steps, reps, most)
         active = steps.keep(active)
         edges = edges.unionByName(meant) if meant is not None else edges
         edges = steps.keep(edges.join(active.withColumnRenamed("seq", "later"), ["scope", "later"], "left_semi"))
