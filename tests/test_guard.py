@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,53 @@ def test_links_within_a_batch(spark):
     new = spark.createDataFrame(rows, BATCH + ", id string")
     got = {(r["project"], r["seq"]): r["reason"] for r in guard.fold(new, new.where("false"), decisions=spark.createDataFrame([("held",)], "id string")).collect()}
     assert got == want and sum(r.startswith("Referenced") for r in want.values()) > 10
+
+
+def shuffled(spark, df):
+    """Bytes that a query's shuffles write, as the executors count them."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.executorList(False)))
+    before = total()
+    rows = df().count()
+    time.sleep(1)  # the counts come by way of the listener
+    return rows, total() - before
+
+
+def near_copies(spark, n):
+    """n near copies of one text of twelve words, half of them under a second opening."""
+    what = F.concat(F.lit("alpha bravo charlie delta echo foxtrot golf hotel india juliet number"), F.col("id").cast("string"), F.lit(" sort"), F.pmod("id", F.lit(7)).cast("string"))
+    return spark.range(n).select(F.lit("p").alias("project"), "id", F.col("id").alias("seq"), what.alias("what"), F.lit("").alias("why"))
+
+
+@pytest.mark.parametrize("query", [guard.fuzzy_pairs, guard.reasons])
+def test_shuffles_of_near_copies_grow_with_their_number(spark, query):
+    """Four times the copies, not sixteen times the bytes: pairs are reduced to the first one where they are made."""
+    (_, few), (rows, many) = (shuffled(spark, lambda n=n: query(near_copies(spark, n))) for n in (1000, 4000))
+    assert rows >= 3999 and many < 8 * few
+
+
+@pytest.mark.parametrize(("longer", "head"), [(1024, 64), (8, 3), (1, 1)])
+def test_the_first_similar_set_against_all(spark, monkeypatch, longer, head):
+    """Also where lists are looked at by their heads first."""
+    monkeypatch.setattr(similar, "LONG", longer)
+    monkeypatch.setattr(similar, "HEAD", head)
+    rng = random.Random(11)
+    made_sets = lambda n: [("s" if rng.random() < 0.7 else "r", i, sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(1, 12)))) for i in range(n)]
+    one, two = made_sets(250), made_sets(200)
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    frame = lambda rows: spark.createDataFrame(rows, "scope string, sid long, t array<string>")
+    for others, fits in ((None, lambda x, y: y < x), (two, lambda x, y: True)):
+        want = {}
+        for scope, x, t in one:
+            hit = next(((y, sim(t, u)) for s, y, u in others or one if s == scope and fits(x, y) and sim(t, u) >= 0.45), None)
+            if hit:
+                want[scope, x] = hit
+        got = similar.first(frame(one), frame(others) if others else None, 0.45).collect()
+        assert {(r["scope"], r["x"]): (r["y"], r["sim"]) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_equal_ids_of_different_texts_stay_apart(spark):
+    """An id that comes twice keeps the tokens of its texts apart."""
+    rows = [("p", 1, 1, "red green blue white black"), ("p", 2, 2, "one two three four five six"), ("p", 2, 2, "red green blue white black grey"), ("p", 3, 3, "one two three four five six seven")]
+    got = guard.fuzzy_pairs(spark.createDataFrame(rows, "project string, id long, seq long, what string")).collect()
+    assert sorted((r["id"], r["other"]) for r in got) == [(2, 1), (3, 2)]
