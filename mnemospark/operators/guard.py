@@ -108,14 +108,16 @@ def reasons(new: DataFrame) -> DataFrame:
     exact = exact_pairs(new).select("project", "id", F.lit(1).alias("exact"))
     opp = contradictions(new, new).join(new.select("id", F.col("seq").alias("s")), "id").join(new.select(F.col("id").alias("other"), F.col("seq").alias("o")), "other").where("o < s").select("project", "id", F.lit(1).alias("opp"))
     near = fuzzy_pairs(new).select("project", "id", F.lit(1).alias("near"))
-    out = new.join(exact, ["project", "id"], "left").join(opp, ["project", "id"], "left").join(near, ["project", "id"], "left")
+    # what a record's own text says is told before anything is joined, so that no text travels
+    own = F.when(required("decision").isNotNull(), "Missing required field").when(vague("decision"), "Too vague")
+    told = new.select("project", "id", own.alias("own"), (F.trim(F.coalesce(F.col("why"), F.lit(""))) == "").alias("no_why"))
+    out = told.join(exact, ["project", "id"], "left").join(opp, ["project", "id"], "left").join(near, ["project", "id"], "left")
     reason = (
-        F.when(required("decision").isNotNull(), "Missing required field")
-        .when(vague("decision"), "Too vague")
+        F.when(F.col("own").isNotNull(), F.col("own"))
         .when(F.col("exact") == 1, "Exact duplicate")
         .when(F.col("opp") == 1, "Contradicts existing decision")
         .when(F.col("near") == 1, "Too similar to existing decision")
-        .when(F.trim(F.coalesce(F.col("why"), F.lit(""))) == "", "Missing 'why' field")
+        .when(F.col("no_why"), "Missing 'why' field")
         .otherwise("ok")
     )
     return out.select("project", "id", reason.alias("reason"))
