@@ -175,13 +175,13 @@ def hits(classes: DataFrame, held: DataFrame) -> DataFrame:
     exact = held.where("scope not like 'dead_end%'").groupBy("scope", ascii_lower(F.col("text")).alias("same")).agg(first.alias("m"))
     exact = classes.select("scope", "key", ascii_lower(F.col("text")).alias("same")).join(exact, ["scope", "same"]).select("scope", "key", F.col("m").alias("exact"))
     tokens = lambda df: df.withColumn("t", likes(F.col("scope"), F.col("text"))).where(F.size("t") > 0)
-    mine, theirs = tokens(classes), tokens(held)
-    steps, same_set = Steps(classes.sparkSession), F.md5(F.array_join("t", " ").cast("binary")).alias("same_set")
-    a = steps.keep(mine.groupBy("scope", same_set).agg(F.first("t").alias("t")).withColumn("sid", F.monotonically_increasing_id()))
+    steps = Steps(classes.sparkSession)
+    mine, theirs = steps.keep(tokens(classes).select("scope", "key", "t", F.md5(F.array_join("t", " ").cast("binary")).alias("same_set"))), tokens(held)
+    a = steps.keep(mine.groupBy("scope", "same_set").agg(F.first("t").alias("t")).withColumn("sid", F.monotonically_increasing_id()))
     b = steps.keep(theirs.groupBy("scope", "t").agg(first.alias("m")).withColumn("sid", F.struct("m.fresh", "m.seq", F.monotonically_increasing_id().alias("nth"))))
     links = similar.first(a.select("scope", "sid", "t"), b.select("scope", "sid", "t"), words.SIMILAR)
     near = links.join(b.select("scope", F.col("sid").alias("y"), "m"), ["scope", "y"]).join(a.select("scope", F.col("sid").alias("x"), "same_set"), ["scope", "x"])
-    near = mine.select("scope", "key", same_set).join(near, ["scope", "same_set"]).groupBy("scope", "key").agg(F.min(F.struct("m", "sim")).alias("near"))
+    near = mine.select("scope", "key", "same_set").join(near, ["scope", "same_set"]).groupBy("scope", "key").agg(F.min(F.struct("m", "sim")).alias("near"))
     swaps = contradictions(_told(classes, True), _told(held, False), order=True)
     swaps = swaps.select(F.col("project").alias("scope"), F.col("id").alias("key"), F.struct(F.col("at.fresh").alias("fresh"), F.col("at.seq").alias("seq"), F.col("other").alias("text")).alias("swap"))
     out = exact.join(near, ["scope", "key"], "full").join(swaps, ["scope", "key"], "full")
@@ -355,9 +355,11 @@ def _accepted(known: DataFrame, held: DataFrame, needs: DataFrame, steps: Steps)
     lone = F.col("within") | (F.col("scope").startswith("dead_end") & (F.size(likes(F.col("scope"), F.col("text"))) == 0)) | F.lit(bool(more))
     fit = fit.withColumn("class", F.when(lone, F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("="), ascii_lower(F.col("text")))))
     reps = steps.keep(fit.groupBy("scope", "class").agg(F.min(F.struct("seq", "text", *more)).alias("m")).select("scope", "m.*"))
-    key = F.col("seq").cast("string").alias("key")
-    gone = hits(reps.select("scope", key, "text", *more), held).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq")).distinct()
-    free = steps.keep(reps.join(gone, ["scope", "seq"], "left_anti"))
+    free = reps
+    if not held.isEmpty():
+        key = F.col("seq").cast("string").alias("key")
+        gone = hits(reps.select("scope", key, "text", *more), held).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq")).distinct()
+        free = steps.keep(reps.join(gone, ["scope", "seq"], "left_anti"))
     meant = None
     if more:
         told = free.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what"), "embedding")
