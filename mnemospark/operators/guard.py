@@ -165,18 +165,28 @@ def likes(scope_: Column, text: Column) -> Column:
     return F.when(F.size(t) > 0, t).otherwise(none)
 
 
+def _tokens(df: DataFrame) -> DataFrame:
+    """df with likes() as t, where it doesn't have it already."""
+    return (df if "t" in df.columns else df.withColumn("t", likes(F.col("scope"), F.col("text")))).where(F.size("t") > 0)
+
+
 def hits(classes: DataFrame, held: DataFrame) -> DataFrame:
     """(scope, key, exact, opposed, near) of classes that something held stands against; each the first held record, by fresh and seq.
 
     classes: scope, key, text, one text of each; held: scope, fresh, seq, text; where both have `embedding`, decisions are
-    compared by meaning besides. Texts that agree but for ASCII case, and token sets that agree, are collapsed on both sides before anything is joined.
+    compared by meaning besides, and where they have `t`, it is what likes() gives. Texts that agree but for ASCII case, and token sets that agree, are
+    collapsed on both sides before anything is joined. Where classes have `first`, the seq of their first record, those with an equal held text before it
+    are looked up no further.
     """
     first = F.min(F.struct("fresh", "seq", "text"))
     exact = held.where("scope not like 'dead_end%'").groupBy("scope", ascii_lower(F.col("text")).alias("same")).agg(first.alias("m"))
     exact = classes.select("scope", "key", ascii_lower(F.col("text")).alias("same")).join(exact, ["scope", "same"]).select("scope", "key", F.col("m").alias("exact"))
-    tokens = lambda df: df.withColumn("t", likes(F.col("scope"), F.col("text"))).where(F.size("t") > 0)
     steps = Steps(classes.sparkSession)
-    mine, theirs = steps.keep(tokens(classes).select("scope", "key", "t", F.md5(F.array_join("t", " ").cast("binary")).alias("same_set"))), tokens(held)
+    if "first" in classes.columns:
+        exact = steps.keep(exact)
+        settled = classes.join(exact, ["scope", "key"]).where(F.struct("exact.fresh", "exact.seq") < F.struct(F.lit(1), F.col("first")))
+        classes = steps.keep(classes.join(settled.select("scope", "key"), ["scope", "key"], "left_anti").drop("first"))
+    mine, theirs = steps.keep(_tokens(classes).select("scope", "key", "t", F.md5(F.array_join("t", " ").cast("binary")).alias("same_set"))), _tokens(held)
     a = steps.keep(mine.groupBy("scope", "same_set").agg(F.first("t").alias("t")).withColumn("sid", F.monotonically_increasing_id()))
     b = steps.keep(theirs.groupBy("scope", "t").agg(first.alias("m")).withColumn("sid", F.struct("m.fresh", "m.seq", F.monotonically_increasing_id().alias("nth"))))
     links = similar.first(a.select("scope", "sid", "t"), b.select("scope", "sid", "t"), words.SIMILAR)
@@ -235,8 +245,8 @@ def _edges(steps: Steps, reps: DataFrame, most: int) -> tuple[DataFrame, DataFra
     Lists are those of rare tokens (for similar texts) and of swapped words (for choices); of a list only its first `most` records
     are looked at, so a list that a hot group fills costs most * most at the most, and nothing that could stand against an active record is left out.
     """
-    sets = reps.select("scope", F.col("seq").alias("sid"), likes(F.col("scope"), F.col("text")).alias("t")).where(F.size("t") > 0)
-    sets = steps.keep(sets)
+    sets = _tokens(reps).select("scope", F.col("seq").alias("sid"), "t")
+    sets = sets if "t" in reps.columns else steps.keep(sets)
     listed = similar.listed(similar.coded(steps, sets, similar.codes(steps, sets)), words.SIMILAR)
     seen, hidden = similar.heads(steps, listed, ["scope", "token"], most, most)
     sides = choices(reps.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what")))
@@ -291,7 +301,8 @@ def _greedy(steps: Steps, reps: DataFrame, needs: DataFrame, meant: DataFrame |
         if rest.isEmpty():
             break
         key = F.col("seq").cast("string").alias("key")
-        gone = hits(rest.select("scope", key, "text"), fresh.select("scope", F.lit(1).alias("fresh"), "seq", "text")).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq"))
+        own = [x for x in ("t",) if x in reps.columns]
+        gone = hits(rest.select("scope", key, "text", *own), fresh.select("scope", F.lit(1).alias("fresh"), "seq", "text", *own)).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq"))
         if meant is not None:
             gone = gone.unionByName(meant.join(fresh.select("scope", F.col("seq").alias("earlier")), ["scope", "earlier"], "left_semi").select("scope", F.col("later").alias("seq")))
         reps = steps.keep(rest.join(gone.distinct(), ["scope", "seq"], "left_anti"))
@@ -317,8 +328,8 @@ def judge(known: DataFrame, held: DataFrame, one: str | None = None) -> DataFram
     key = F.col("text") if "embedding" in known.columns else ascii_lower(F.col("text"))  # vectors may tell apart what case does
     known = known.withColumn("key", key)
     compared = known.where((F.col("kind") != "snapshot") & F.col("own").isNull())
-    classes = compared.groupBy("scope", "key").agg(F.min("text").alias("text"), *([F.first("embedding").alias("embedding")] if "embedding" in known.columns else []))
-    found = hits(classes, held) if one is None else hits_of_one(classes, held, one)
+    classes = compared.groupBy("scope", "key").agg(F.min("text").alias("text"), F.min("seq").alias("first"), *[F.first(x).alias(x) for x in ("t", "embedding") if x in known.columns])
+    found = hits(classes, held) if one is None else hits_of_one(classes.drop("first"), held, one)
     before = lambda m: F.col(m).isNotNull() & (F.struct(F.col(f"{m}.fresh"), F.col(f"{m}.seq")) < F.struct(F.lit(1), F.col("seq")))
     out = known.join(found, ["scope", "key"], "left")
     name = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in NAMES.items()])
@@ -346,13 +357,14 @@ def held_texts(existing: DataFrame) -> DataFrame:
 
 
 def _accepted(known: DataFrame, held: DataFrame, needs: DataFrame, steps: Steps) -> DataFrame:
-    """(scope, fresh, seq, text) of the records of a batch that are accepted and that later ones are judged by."""
-    more = ["embedding"] if "embedding" in known.columns else []
+    """(scope, fresh, seq, text, t) of the records of a batch that are accepted and that later ones are judged by; known and held have `t`, what likes() gives."""
+    vectors = "embedding" in known.columns
+    more = ["t", *(["embedding"] if vectors else [])]
     fit = known.where(F.col("own").isNull() & F.col("kind").isin(*NAMES) & ((F.col("kind") != "decision") | (F.col("why") != "")) & F.coalesce("linked", F.lit(True)))
     fit = fit.select("scope", "seq", "text", "within", *more)
     # what one of a class stands against, all later ones do, so only the first can be accepted; not so for one that waits for another
     # record of the batch, for what vectors may tell apart, and for dead ends without tokens, which are no one's likes
-    lone = F.col("within") | (F.col("scope").startswith("dead_end") & (F.size(likes(F.col("scope"), F.col("text"))) == 0)) | F.lit(bool(more))
+    lone = F.col("within") | (F.col("scope").startswith("dead_end") & (F.size("t") == 0)) | F.lit(vectors)
     fit = fit.withColumn("class", F.when(lone, F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("="), ascii_lower(F.col("text")))))
     reps = steps.keep(fit.groupBy("scope", "class").agg(F.min(F.struct("seq", "text", *more)).alias("m")).select("scope", "m.*"))
     free = reps
@@ -361,7 +373,7 @@ def _accepted(known: DataFrame, held: DataFrame, needs: DataFrame, steps: Steps)
         gone = hits(reps.select("scope", key, "text", *more), held).where(AGAINST).select("scope", F.col("key").cast("long").alias("seq")).distinct()
         free = steps.keep(reps.join(gone, ["scope", "seq"], "left_anti"))
     meant = None
-    if more:
+    if vectors:
         told = free.where("scope like 'decision%'").select(F.col("scope").alias("project"), F.col("seq").alias("id"), "seq", F.col("text").alias("what"), "embedding")
         meant = steps.keep(opposed_pairs(told, told).select(F.col("project").alias("scope"), F.col("id").alias("later"), F.col("other").alias("earlier")))
     return _greedy(steps, free, needs, meant).select("scope", F.lit(1).alias("fresh"), "seq", "text", *more)
@@ -372,8 +384,8 @@ def fold(new: DataFrame, existing: DataFrame, actions: DataFrame | None = None,
 
     new and existing: project, seq, kind, and a `data` map; seq tells the records of a project apart; existing holds what checks
     look at (all decisions, open tasks, dead ends). actions: (project, category, action). The accepted records are the first, in
-    order, of a graph of what stands against what, found in rounds (see _greedy); then every record is judged against these. No
-    project gathers in a task. Where new has `id`, links are followed: decisions holds the ids of decisions that there are, and a
+    order, of a graph of what stands against what, found in rounds (see _greedy); nothing stands against these, and every other record is judged by them. Texts
+    are read and told apart once, and what comes of it is written down. No project gathers in a task. Where new has `id`, links are followed: decisions holds the ids of decisions that there are, and a
     link may also name a decision of the same project that the batch has accepted before. Where new and existing have `embedding`,
     decisions are compared by meaning too.
     """
@@ -384,16 +396,22 @@ def fold(new: DataFrame, existing: DataFrame, actions: DataFrame | None = None,
         known = known.join(new.where("kind = 'decision'").select("project", F.col("id").alias("link"), F.col("seq").alias("nth")), ["project", "link"], "left")
         known = known.withColumn("nth", F.when(F.col("there").isNull() & (F.col("nth") < F.col("seq")), F.col("nth")))
         known = known.withColumn("within", F.col("nth").isNotNull()).withColumn("linked", F.when(F.col("link").isNotNull(), F.coalesce("there", F.lit(False)) | F.col("within")))
-        known = steps.keep(known.drop("there"))
+        known = known.drop("there")
+    # of records that are compared; written once, as texts and their tokens are looked at from many sides
+    known = steps.keep(known.withColumn("t", F.when(F.col("own").isNull() & F.col("kind").isin(*NAMES), likes(F.col("scope"), F.col("text")))))
+    if "id" in new.columns:
         needs = known.where("within").select("scope", "seq", scope(F.lit("decision"), F.col("project")).alias("of"), "nth")
     else:
         needs = known.where("false").select("scope", "seq", F.col("scope").alias("of"), F.col("seq").alias("nth"))
-    held = held_texts(existing)
+    held = held_texts(existing).withColumn("t", likes(F.col("scope"), F.col("text")))
     taken = steps.keep(_accepted(known, held, needs, steps))
     if "id" in new.columns:
         met = taken.select(F.col("scope").alias("of"), F.col("seq").alias("nth"), F.lit(True).alias("met"))
         known = known.withColumn("of", scope(F.lit("decision"), F.col("project"))).join(met, ["of", "nth"], "left").withColumn("linked", F.when(F.col("within"), F.coalesce("met", F.lit(False))).otherwise(F.col("linked")))
-    judged = judge(known, held.unionByName(taken))
+    # an accepted record has nothing before it that stands against it
+    known = known.join(taken.select("scope", "seq", "text", F.lit(True).alias("taken")).distinct(), ["scope", "seq", "text"], "left")
+    accepted = known.where("taken").select("project", "seq", F.lit("committed").alias("status"), F.lit("ok").alias("reason"))
+    judged = judge(known.where("taken is null").drop("taken"), held.unionByName(taken)).unionByName(accepted)
     return with_policy(judged, actions) if actions is not None else judged
 
 

@@ -232,3 +232,17 @@ def test_equal_ids_of_different_texts_stay_apart(spark):
     rows = [("p", 1, 1, "red green blue white black"), ("p", 2, 2, "one two three four five six"), ("p", 2, 2, "red green blue white black grey"), ("p", 3, 3, "one two three four five six seven")]
     got = guard.fuzzy_pairs(spark.createDataFrame(rows, "project string, id long, seq long, what string")).collect()
     assert sorted((r["id"], r["other"]) for r in got) == [(2, 1), (3, 2)]
+
+
+def test_only_records_that_were_not_accepted_are_looked_up(spark, monkeypatch):
+    texts = ["Use the alpha queue for jobs today", "use the ALPHA queue for jobs today", "Use the alpha queue for jobs today now", "Keep beta cache near the edge nodes", "Write gamma logs into cold storage weekly", "Too short"]
+    rows = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "project string, seq long, what string")
+    rows = rows.select("project", "seq", F.lit("decision").alias("kind"), F.create_map(F.lit("what"), "what", F.lit("why"), F.lit("because")).alias("data"))
+    asked, searched = [], []
+    judge, listed = guard.judge, guard.similar.first
+    monkeypatch.setattr(guard, "judge", lambda known, *a: (asked.extend(r.seq for r in known.collect()), judge(known, *a))[1])
+    monkeypatch.setattr(guard.similar, "first", lambda a, *b: (searched.append(a.count()), listed(a, *b))[1])
+    got = {r.seq: r.status for r in guard.fold(rows, rows.where("false")).collect()}
+    assert got == {0: "committed", 1: "staged", 2: "staged", 3: "committed", 4: "committed", 5: "staged"}
+    # the equal text is told without a search for similar ones
+    assert sorted(asked) == [1, 2, 5] and searched[-1] == 1
