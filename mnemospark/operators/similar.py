@@ -22,10 +22,12 @@ def _bits(word: int) -> Column:
 
 
 def codes(steps: Steps, *sets: DataFrame) -> DataFrame:
-    """(scope, token, df, code) of the tokens that stand in two sets or more, each with a number of its own; written once, so that it keeps it."""
-    tokens = [s.select("scope", F.explode("t").alias("token")) for s in sets]
+    """(scope, token, df, code) of the tokens that stand in two sets or more, or in one of each side, each with a number of its own; written once, so that it keeps it."""
+    tokens = [s.select("scope", F.explode("t").alias("token"), F.lit(i).alias("side")) for i, s in enumerate(sets)]
     both = tokens[0] if len(tokens) == 1 else tokens[0].unionByName(tokens[1])
-    freq = both.groupBy("scope", "token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    # what stands on one side alone is common to no pair
+    freq = both.groupBy("scope", "token").agg(F.count("*").cast("int").alias("df"), F.min("side").alias("a"), F.max("side").alias("b")).where("df > 1")
+    freq = (freq.where("a < b") if len(tokens) > 1 else freq).drop("a", "b")
     freq = steps.keep(freq.withColumn("id", F.monotonically_increasing_id()))
     # partition and row, closer together, so that an int will do
     part, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))

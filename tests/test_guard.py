@@ -246,3 +246,12 @@ def test_only_records_that_were_not_accepted_are_looked_up(spark, monkeypatch):
     assert got == {0: "committed", 1: "staged", 2: "staged", 3: "committed", 4: "committed", 5: "staged"}
     # the equal text is told without a search for similar ones
     assert sorted(asked) == [1, 2, 5] and searched[-1] == 1
+
+
+def test_tokens_of_one_side_alone_have_no_codes(spark):
+    a = spark.createDataFrame([("s", 1, ["x", "y"]), ("s", 2, ["x", "only"]), ("s", 3, ["only", "y"])], "scope string, sid long, t array<string>")
+    b = spark.createDataFrame([("s", 9, ["x", "other"]), ("s", 10, ["other", "y"])], "scope string, sid long, t array<string>")
+    steps = guard.Steps(spark)
+    assert {r.token for r in guard.similar.codes(steps, a, b).collect()} == {"x", "y"}
+    assert {r.token for r in guard.similar.codes(steps, a).collect()} == {"x", "y", "only"}
+    assert sorted((r.x, r.y) for r in guard.similar.between(a, b, 0.3).collect()) == [(1, 9), (1, 10), (2, 9), (3, 10)]
